@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import toxicity
+from lodestone.llm import secrets, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,3 +18,40 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(docs, secrets.update(docs))
+
+
+QUERIES["op10_secrets"] = op10_secrets
+_ANY_CASE = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+
+
+def _secrets_sql() -> str:
+    """Spans by the lengths of the gaps and matches before them."""
+    parts = []
+    for place, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", _ANY_CASE).replace("'", "''")
+        whole = f"{pattern}" if not r.group else pattern
+        least = f"length(regexp_extract(ms[i], '{whole}', {r.group})) >= {r.least}" if r.least else "true"
+        parts.append(
+            f"""SELECT doc_id, {place} AS rule, '{r.name}' AS kind,
+  CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS s,
+  CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(ms[1:i], lambda m: length(m))) AS BIGINT) AS e
+FROM (SELECT doc_id, gaps, ms, unnest(range(1, len(ms) + 1)) AS i FROM
+  (SELECT doc_id, string_split_regex(t, '{whole}') AS gaps, regexp_extract_all(t, '{whole}') AS ms FROM d)) WHERE {least}"""
+        )
+    base = ", ".join(f"'{r.name}'" for r in secrets.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rule) FILTER (kind IN ({base})), '')) AS base_sha256,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rule) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE_SQL["op10_secrets"] = _secrets_sql()
