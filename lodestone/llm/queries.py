@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import secrets, toxicity
+from lodestone.llm import pseudonyms, secrets, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,11 @@ FROM d LEFT JOIN g USING (doc_id)"""
 
 
 ORACLE_SQL["op10_secrets"] = _secrets_sql()
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key=spark.conf.get("lodestone.pseudonym.key", "lodestone-demonstration-key"))
+
+
+QUERIES["op2_pseudonyms"] = op2_pseudonyms
