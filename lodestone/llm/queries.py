@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from lodestone.llm import hnsw, linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_near_duplicates"] = op8_near_duplicates
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES["op6_nearest"] = op6_nearest
