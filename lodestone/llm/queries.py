@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import hnsw, linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from lodestone.llm import hnsw, lbl, linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_nearest"] = op6_nearest
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_lm_scores"] = op5_lm_scores
