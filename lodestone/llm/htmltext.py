@@ -194,62 +194,61 @@ def parse(html: str | None) -> Page:
     return p.page
 
 
-FEATURES = 16 + len(TAGS) + 2 * len(GROUPS) + len(OUTER) + 4 + 3
-
-
-def features(page: Page) -> np.ndarray:
-    """One row per node."""
-    n = len(page.tag)
-    parent = page.parent
-    chars, links, leaves, tags, marks, paragraphs = ([0] * n for _ in range(6))
-    depth, index, kids, before = [0] * n, [0] * n, [0] * n, [0] * n
-    article = [0] * n
-    seen = 0
-    for i in range(n):
-        p = parent[i]
-        if p >= 0:
-            depth[i] = depth[p] + 1
-            index[i] = kids[p]
-            kids[p] += 1
-        before[i] = seen
-        tags[i] = 1
-        if page.tag[i] == "#text":
-            chars[i], links[i], leaves[i] = len(page.text[i]), page.link[i], 1
-            marks[i] = len(_PUNCTUATION.findall(page.text[i]))
-            seen += chars[i]
-        paragraphs[i] = page.tag[i] == "p"
-        article[i] = page.tag[i] in ("article", "main")
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        for x in (chars, links, leaves, tags, marks, paragraphs, article):
-            x[p] += x[i]
-    total = max(seen, 1)
-    outer, above = [0] * n, [0] * n
-    x = np.zeros((n, FEATURES), np.float32)
-    tag_at, own_at = 16, 16 + len(TAGS)
-    outer_no = {t: k for k, t in enumerate(OUTER)}
-    for i in range(n):
-        p = max(parent[i], 0)
-        if i:
-            outer[i] = outer[p] | (1 << outer_no[page.tag[p]] if page.tag[p] in outer_no else 0)
-            above[i] = above[p] | page.groups[p]
-        c = chars[i]
-        x[i, :16] = (
-            np.log1p(c), np.log1p(c / max(leaves[i], 1)), links[i] / max(c, 1), np.log(tags[i]), c / tags[i], depth[i], index[i] / max(kids[p], 1), kids[p],
-            c / total, before[i] / total, marks[i] / max(c, 1), links[p] / max(chars[p], 1), c / max(chars[p], 1), paragraphs[p], paragraphs[i], (before[i] + c) / total,
-        )
-        if (t := TAG_NO.get(page.tag[i])) is not None:
-            x[i, tag_at + t] = 1
-        for k in range(len(GROUPS)):
-            x[i, own_at + k] = page.groups[i] >> k & 1
-            x[i, own_at + len(GROUPS) + k] = above[i] >> k & 1
-        at = own_at + 2 * len(GROUPS)
-        for k in range(len(OUTER)):
-            x[i, at + k] = outer[i] >> k & 1
-        at += len(OUTER)
-        x[i, at : at + 4] = article[i] > 0, article[0] > 0, TAG_NO.get(page.tag[p], -1), above[i] > 0
-        x[i, at + 4 :] = links[0] / total, np.log1p(total), page.tag[p] in ("p", "li", "h1", "h2", "h3", "blockquote")
-    return x
+def _below(values: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum over each node's subtree, which is the nodes up to its end."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[end] - total[:-1]
+
+
+def features(pages: list[Page]) -> np.ndarray:
+    """One row per node of all pages, one page after another."""
+    if not pages:
+        return np.zeros((0, 1), np.float32)
+    n = sum(len(p.tag) for p in pages)
+    parent, end, depth, index, kids, root = (np.zeros(n, np.int64) for _ in range(6))
+    outer, above = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    outer_bit = {t: 1 << k for k, t in enumerate(OUTER)}
+    at = 0
+    for page in pages:
+        m = len(page.tag)
+        up = page.parent
+        size, deep, place, many, out, over = [1] * m, [0] * m, [0] * m, [0] * m, [0] * m, [0] * m
+        for i in range(1, m):
+            q = up[i]
+            deep[i] = deep[q] + 1
+            place[i] = many[q]
+            many[q] += 1
+            out[i] = out[q] | outer_bit.get(page.tag[q], 0)
+            over[i] = over[q] | page.groups[q]
+        for i in range(m - 1, 0, -1):
+            size[up[i]] += size[i]
+        own = slice(at, at + m)
+        parent[own] = up
+        parent[at] = 0
+        parent[own] += at
+        end[own] = size
+        depth[own], index[own], kids[own], outer[own], above[own], root[own] = deep, place, many, out, over, at
+        at += m
+    end += np.arange(n)
+    tags = [t for p in pages for t in p.tag]
+    number = np.array([TAG_NO.get(t, -1) for t in tags])
+    groups = np.array([g for p in pages for g in p.groups])
+    length = np.array([len(t) for p in pages for t in p.text])
+    leaf = number == TAG_NO["#text"]
+    marks = np.array([len(_PUNCTUATION.findall(t)) if t else 0 for p in pages for t in p.text])
+    before = np.cumsum(length) - length
+    before -= before[root]
+    chars, links, leaves = _below(length, end), _below(np.array([x for p in pages for x in p.link]), end), _below(leaf, end)
+    marks, paragraphs = _below(marks, end), _below(number == TAG_NO["p"], end)
+    article = _below((number == TAG_NO["article"]) | (number == TAG_NO["main"]), end)
+    nodes, some, total = end - np.arange(n), np.maximum(chars, 1), np.maximum(chars[root], 1)
+    dense = np.column_stack([
+        np.log1p(chars), np.log1p(chars / np.maximum(leaves, 1)), links / some, np.log(nodes), chars / nodes, depth, index / np.maximum(kids[parent], 1), kids[parent],
+        chars / total, before / total, marks / some, links[parent] / some[parent], chars / some[parent], paragraphs[parent], paragraphs, (before + chars) / total,
+        article > 0, article[root] > 0, number[parent], above > 0, links[root] / total, np.log1p(total), np.isin(number[parent], [TAG_NO[t] for t in ("p", "li", "h1", "h2", "h3", "blockquote")]),
+    ])
+    bits = [v[:, None] >> np.arange(k) & 1 for v, k in ((groups, len(GROUPS)), (above, len(GROUPS)), (outer, len(OUTER)))]
+    return np.column_stack([dense, number[:, None] == np.arange(len(TAGS)), *bits]).astype(np.float32)
 
 
 @dataclass
@@ -354,7 +353,7 @@ def _short(rng: random.Random, most: int = 4) -> str:
 
 
 def _links(rng: random.Random, n: int, wrap: str = "ul") -> str:
-    items = [f'<a href="/{i}">{_short(rng)}</a>' for i in range(n)]
+    items = [f'<a href="/{i}">{_short(rng, rng.choice([1, 1, 4]))}{rng.choice(["", "", "", ",", ".", "!", "***"])}</a>' for i in range(n)]
     if wrap == "ul":
         return "<ul>" + "".join(f"<li>{x}" + rng.choice(["</li>", ""]) for x in items) + "</ul>"
     return rng.choice([" ", " | ", ""]).join(items)
@@ -392,7 +391,8 @@ def _body(rng: random.Random) -> str:
         u = rng.random()
         text = _words(rng, rng.choice([1, 2, 4, 8, 20, 40, 80, 160]))
         if u < 0.06:
-            out.append(f"<h{rng.randint(2, 4)}>{_short(rng, 8)}</h2>".replace("</h2>", f"</h{out and 2}>"))
+            k = rng.randint(2, 4)
+            out.append(f"<h{k}>{_short(rng, 8)}</h{k}>")
         elif u < 0.12:
             out.append("<ul>" + "".join(f"<li>{_words(rng, rng.randint(1, 20))}</li>" for _ in range(rng.randint(1, 6))) + "</ul>")
         elif u < 0.16:
@@ -460,23 +460,20 @@ def made_page(seed: int) -> str:
 @cache
 def model(pages: int = PAGES) -> Trees:
     """The fitted trees; the same whenever and wherever they are fitted."""
-    xs, ys, ws = [], [], []
-    for seed in range(pages):
-        page = parse(made_page(seed))
-        x = features(page)
+    ys, ws, made = [], [], [parse(made_page(seed)) for seed in range(pages)]
+    for page in made:
         n = len(page.tag)
         gold = np.array(page.gold) & np.array([t == "#text" for t in page.tag])
         for i in range(n - 1, 0, -1):
             gold[page.parent[i]] |= gold[i]
-        xs.append(x)
         ys.append(gold)
         ws.append(1 + np.log1p(np.array([len(t) for t in page.text])) / 4)
-    return boost(np.concatenate(xs), np.concatenate(ys).astype(np.float64), np.concatenate(ws))
+    return boost(features(made), np.concatenate(ys).astype(np.float64), np.concatenate(ws))
 
 
 def main_texts(htmls: list[str | None], trees: Trees) -> list[str]:
     pages = [parse(h) for h in htmls]
-    margins = trees.margin(np.concatenate([features(p) for p in pages])) if pages else np.zeros(0)
+    margins = trees.margin(features(pages))
     out, at = [], 0
     for p in pages:
         n = len(p.tag)
