@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import hnsw, lbl, linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from lodestone.llm import hnsw, htmltext, lbl, linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_lm_scores"] = op5_lm_scores
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op9_main_text"] = op9_main_text

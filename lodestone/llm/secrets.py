@@ -142,12 +142,15 @@ def digest(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
     )
 
 
-def redact(versions: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """versions with each secret of a rule replaced by mark, rule after rule; all other columns and rows stay."""
-    out = F.col("text")
-    for r in rules:
-        if r.group == 2:
-            out = F.regexp_replace(out, f"({r.pattern.replace(r.pattern[r.pattern.rindex('('):], '')})[A-Za-z0-9+/_.=-]{{{r.least},}}", f"$1{mark}")
-        else:
-            out = F.regexp_replace(out, r.pattern, mark)
-    return versions.withColumn("text", out)
+def redact(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """versions with every span that the ledger has for a text replaced by mark; spans that overlap become one. All rows and columns stay."""
+    found = findings(versions, ledger, rules)
+    text = F.col("text")
+    spans = F.array_sort(F.flatten(F.map_values("found")))
+
+    def cut(acc: Column, s: Column) -> Column:
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    cleaned = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.col("found").isNull(), text).otherwise(cleaned)).select(*[F.col(f"`{c}`") for c in versions.columns])
