@@ -25,6 +25,7 @@ input are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,9 +43,16 @@ BUCKETS = 1024
 #: Rounds to a group of rounds.
 ROUND_GROUP = 4096
 #: Words that a task remembers; it starts anew beyond.
-MEMO = 400_000
-_PIECE = re.compile(rb"[a-z]+|[^a-z0-9'\x80-\xff]+")
-_SIMPLE = re.compile(rb"([a-z]+)([.,;:!?&%$#*|<>\"()+=-]*)")
+MEMO = 800_000
+#: Letters whose lower case and normal form are settled letter by letter, then ASCII signs (no apostrophe).
+_SIMPLE = re.compile("([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,;:!?&%$#*|<>\"()+=-]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies spell bytes by characters: printable ones of Latin-1 by themselves, the others by those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
 class WordIds(dict):
@@ -60,26 +68,38 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.spelling = byte_letters()
+        self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def letters(self, word: str) -> bytes:
+        """Ids of a run of simple lower-case letters."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+        return struct.pack("<%dH" % len(out := self.model.tokenize(spelled)), *[t.id for t in out])
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        lower = word.lower()  # ASCII letters only
-        m = _SIMPLE.fullmatch(lower)
+        text = word.decode("utf-8", "replace")
+        m = _SIMPLE.fullmatch(text.lower())
         if m is None:
-            ids = self.whole(word.decode("utf-8", "replace"))
+            ids = self.whole(text)
         elif m[2]:
-            ids = self[m[1]] + (self[m[2]] if m[2] in self else self.whole(m[2].decode()))
-        elif lower != word:
-            ids = self[lower]
+            ids = self[m[1].encode()] + self.signs(m[2])
         else:
-            ids = np.array([t.id for t in self.model.tokenize(word.decode())], "<u2").tobytes()
+            ids = self.letters(m[1])
         self[word] = ids
         return ids
 
+    def signs(self, run: str) -> bytes:
+        if run not in self.runs:
+            if len(self.runs) > 10_000:
+                self.runs.clear()
+            self.runs[run] = self.whole(run)
+        return self.runs[run]
+
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text and the end id."""
         data = (text or "").encode("utf-8", "replace")
