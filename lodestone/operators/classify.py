@@ -37,7 +37,7 @@ def member_base_flags(flags: Column, is_arrow: Column) -> Column:
 # What the parts of an expression are used for; inherit keeps the whole's use, set bits are added to it.
 EXPRESSION_RULES = [
     ("call", "callee", 0, CALLED), ("call", "argument", 0, ADDRESS_TAKEN), ("comma", "left", 0, 0), ("comma", "right", 1, 0), ("assign", "left", 1, ASSIGNED),
-    ("compound-assign", "left", 1, MODIFIED), ("cast-array-to-pointer", "operand", 0, ADDRESS_TAKEN), ("cast-to-void", "operand", 0, 0), ("cast-lvalue-to-rvalue", "operand", 0, READ),
+    ("assign", "right", 0, 0), ("compound-assign", "left", 1, MODIFIED), ("compound-assign", "right", 0, 0), ("cast-array-to-pointer", "operand", 0, ADDRESS_TAKEN), ("cast-to-void", "operand", 0, 0), ("cast-lvalue-to-rvalue", "operand", 0, READ),
     ("address-of", "operand", 0, ADDRESS_TAKEN), ("dereference", "operand", 0, 0), ("parenthesis", "operand", 1, 0), ("declaration", "initialiser", 0, ADDRESS_TAKEN),
     ("return", "operand", 0, ADDRESS_TAKEN), ("list", "item", 0, ADDRESS_TAKEN),
 ]
