@@ -1,10 +1,561 @@
-"""Registered source-facts queries and their DuckDB equivalents."""
+"""Registered source-facts queries; their DuckDB equivalents stand in ``oracle``."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from lodestone.functions import regex
+from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
+from lodestone.plans.fixtures import DECLARATIONS, JOBS, NAMES, PRECOMPILED, TABS, TRACE_RECORDS
+from lodestone.plans.oracle import ORACLE_SQL
+from lodestone.schema import REFERENCE
+from lodestone.sources.facts import document_files, event_refs, line_refs, page_paths
+from lodestone.sources.store import shared_dir, table
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+SYMBOL = "u1::k1"
+FILE = "@/ev/2024-01-05"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _busy(facts: DataFrame) -> DataFrame:
+    """The symbol with the most references, as a one-row table."""
+    return facts.groupBy("symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol").limit(1).select("symbol")
+
+
+# --- cross-reference ------------------------------------------------------
+
+
+@query
+def refs_of_symbol(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    return facts.join(F.broadcast(_busy(facts)), "symbol", "left_semi").select(*REFERENCE).distinct()  # one row
+
+
+@query
+def refs_of_missing_symbol(s: SparkSession, d: str) -> DataFrame:
+    return xref.refs_of_symbol(event_refs(s, d), "no such symbol").agg(F.count("*").alias("n"))
+
+
+@query
+def refs_of_symbol_report(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    rows = facts.join(F.broadcast(_busy(facts)), "symbol", "left_semi").select(*REFERENCE).distinct()
+    out = report.Report("References", ("file", "line", "kind"), report.numbered(rows, ["file", "line", "start_col", "end_col", "kind"]))
+    return out.sorted("kind").select("position", "file", "line", "kind")
+
+
+@query
+def file_refs_range(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    first = facts.agg(F.min("file").alias("file"))
+    return facts.join(F.broadcast(first), "file", "left_semi").where(F.col("line").between(5, 12)).select(*REFERENCE).distinct()  # one row
+
+
+@query
+def prefix_lower_bound(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select(*REFERENCE).distinct()
+    return tables.lower_bound(facts, ["symbol", "file", "line", "start_col", "end_col", "kind"], ["u5"])
+
+
+@query
+def reverse_scan_topk(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select(*REFERENCE).distinct()
+    last = facts.orderBy(*[F.desc(c) for c in REFERENCE]).limit(25)
+    return last.withColumn("position", F.row_number().over(W.orderBy(*[F.desc(c) for c in REFERENCE])).cast("bigint"))
+
+
+@query
+def all_paths(s: SparkSession, d: str) -> DataFrame:
+    return dictionary.ranked(xref.all_paths(event_refs(s, d)), ["path"])
+
+
+@query
+def all_symbols(s: SparkSession, d: str) -> DataFrame:
+    return dictionary.ranked(xref.all_symbols(event_refs(s, d)), ["symbol"])
+
+
+@query
+def single_definition(s: SparkSession, d: str) -> DataFrame:
+    return xref.single_definition(event_refs(s, d))
+
+
+@query
+def single_definition_path(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    wanted = facts.select(F.col("file").alias("symbol")).unionByName(facts.select("symbol").where(F.col("symbol").like("u1%"))).unionByName(s.createDataFrame([("@/zz",)], "symbol string"))
+    return xref.definitions_of(facts, wanted)
+
+
+@query
+def global_definitions(s: SparkSession, d: str) -> DataFrame:
+    return xref.global_definitions(event_refs(s, d))
+
+
+@query
+def non_local_filter(s: SparkSession, d: str) -> DataFrame:
+    return tables.global_symbols(tables.symbol_rows(event_refs(s, d)))
+
+
+@query
+def first_definition(s: SparkSession, d: str) -> DataFrame:
+    return xref.first_definition(line_refs(s, d))
+
+
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    """Event facts where every symbol of an even k has a second type, and those of k = 0 have none."""
+    facts = event_refs(s, d)
+    k = F.regexp_extract("symbol", "k([0-9]+)$", 1).cast("bigint")
+    second = facts.where(k % 2 == 0).withColumn("symbol_type", F.lit("Macro"))
+    return facts.unionByName(second).withColumn("symbol_type", F.when(k != 0, F.col("symbol_type")))
+
+
+@query
+def symbol_types(s: SparkSession, d: str) -> DataFrame:
+    return xref.symbol_types(_typed(s, d))
+
+
+@query
+def symbols_report(s: SparkSession, d: str) -> DataFrame:
+    return report.symbol_report(xref.symbol_types(_typed(s, d))).sorted("symbol_type").select("position", "symbol", "symbol_type")
+
+
+@query
+def files_report(s: SparkSession, d: str) -> DataFrame:
+    return report.file_report(xref.all_paths(event_refs(s, d))).sorted("path").select("position", "path")
+
+
+@query
+def defs_report_sorted_desc(s: SparkSession, d: str) -> DataFrame:
+    return report.definition_report(xref.global_definitions(event_refs(s, d))).sorted("file", descending=True).select("position", "symbol", "file")
+
+
+@query
+def report_page(s: SparkSession, d: str) -> DataFrame:
+    return report.definition_report(xref.global_definitions(event_refs(s, d))).page("symbol", 100, 50).select("position", "symbol", "file")
+
+
+def _filtered(s: SparkSession, d: str, pattern: str) -> DataFrame:
+    rows = xref.all_symbols(event_refs(s, d)).select(F.col("symbol"), F.lit(0).alias("source_row"))
+    return report.Report("Symbols", ("symbol",), rows).filter(pattern).rows.select("symbol")
+
+
+@query
+def report_regex_filter_smartcase_lower(s: SparkSession, d: str) -> DataFrame:
+    return document_files(s, d).where(regex.report_filter(F.col("content"), "^(the|der) a")).select("doc_id")
+
+
+@query
+def report_regex_filter_smartcase_upper(s: SparkSession, d: str) -> DataFrame:
+    return document_files(s, d).where(regex.report_filter(F.col("content"), "^(The|Der) a")).select("doc_id")
+
+
+@query
+def report_regex_filter_symbols(s: SparkSession, d: str) -> DataFrame:
+    return _filtered(s, d, "k(7|9)$")
+
+
+@query
+def report_filter_empty(s: SparkSession, d: str) -> DataFrame:
+    return _filtered(s, d, "")
+
+
+@query
+def report_column_widths(s: SparkSession, d: str) -> DataFrame:
+    return report.Report("Global Definitions", ("symbol", "file"), xref.global_definitions(event_refs(s, d))).widths().select(F.col("symbol").alias("w_symbol"), F.col("file").alias("w_file"))
+
+
+def _points(facts: DataFrame) -> DataFrame:
+    """Every start and the column after it, as points."""
+    own = facts.select("file", "line", F.col("start_col").alias("col"))
+    return own.unionByName(own.withColumn("col", F.col("col") + 1)).distinct()
+
+
+@query
+def point_in_span_best(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    return xref.point_in_span(facts, _points(facts))
+
+
+@query
+def symbols_at_span(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    return xref.symbols_at_span(facts, facts.select("file", "line", "start_col", "end_col")).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query
+def click_to_definition(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    return xref.click_to_definition(facts, _points(facts))
+
+
+@query
+def span_end_rule(s: SparkSession, d: str) -> DataFrame:
+    li = line_refs(s, d)
+    end_line = F.col("line") + F.when(F.col("start_col") % 7 == 0, 1).otherwise(0)
+    end = F.col("end_col") - 4
+    return li.select("file", "line", "start_col", classify.span_end(F.col("line"), F.col("start_col"), end_line, end).alias("end_col")).distinct()
+
+
+# --- dictionaries and tables ----------------------------------------------
+
+
+@query
+def dict_encode(s: SparkSession, d: str) -> DataFrame:
+    return dictionary.encode(event_refs(s, d), "symbol")
+
+
+@query
+def dict_decode_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select("file", "line", "symbol").distinct()
+    ids = dictionary.encode(facts, "symbol")
+    coded = facts.join(ids.withColumnRenamed("value", "symbol"), "symbol").select("file", "line", F.col("id").alias("symbol_id"))
+    return dictionary.decode(coded, ids, "symbol_id", "symbol").select("file", "line", "symbol_id", "symbol")
+
+
+@query
+def dict_lookup(s: SparkSession, d: str) -> DataFrame:
+    ids = dictionary.encode(event_refs(s, d), "kind")
+    return dictionary.lookup(ids, "Called").unionByName(dictionary.lookup(ids, "Missing"))
+
+
+@query
+def table_distinct(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select(*REFERENCE)
+    return tables.distinct_rows(facts.unionByName(facts))
+
+
+@query
+def merge_indexes(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    day = F.dayofmonth(F.substring("file", 6, 10).cast("date"))
+    even, odd = facts.where(day % 2 == 0), facts.where(day % 3 != 0)
+    index = merge.merge_indexes(even, odd)
+    return index.tables["Reference"]
+
+
+@query
+def merge_id_map(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    old = dictionary.encode(facts.where(F.dayofmonth(F.substring("file", 6, 10).cast("date")) % 2 == 0), "symbol")
+    return dictionary.id_map(old, dictionary.encode(facts, "symbol")).select("old_id", "new_id")
+
+
+@query
+def invert_reference(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select(*REFERENCE).distinct()
+    order = ["symbol", "kind", "file", "line", "start_col", "end_col"]
+    return dictionary.ranked(tables.invert(facts, order), order, "position")
+
+
+@query
+def invert_symbol(s: SparkSession, d: str) -> DataFrame:
+    symbols = tables.symbol_rows(event_refs(s, d))
+    return dictionary.ranked(tables.invert(symbols, ["symbol_type", "symbol"]), ["symbol_type", "symbol"], "position")
+
+
+@query
+def archive_manifest(s: SparkSession, d: str) -> DataFrame:
+    return merge.entry_hashes(event_refs(s, d))
+
+
+@query
+def archive_dedup(s: SparkSession, d: str) -> DataFrame:
+    entries = document_files(s, d).select(F.sha2("content", 256).alias("hash"), "doc_id", "file")
+    return merge.first_of_hash(entries, ["doc_id"])
+
+
+@query
+def archive_open_entry(s: SparkSession, d: str) -> DataFrame:
+    """An archive is written to the shared folder and one entry read back."""
+    path = f"{shared_dir(s)}/archive-{uuid.uuid4().hex}"
+    facts = event_refs(s, d).select(*REFERENCE).distinct()
+    merge.write_archive(facts, path)
+    name = merge.open_archive(s, path).agg(F.min("name").alias("name")).first()["name"] or ""
+    return merge.open_entry(s, path, name).select(*REFERENCE)
+
+
+@query
+def archive_merge(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select(*REFERENCE).distinct()
+    half = facts.where("line < 12").select(F.lit("b").alias("archive"), F.col("file").alias("entry"), "*")
+    both = facts.select(F.lit("a").alias("archive"), F.col("file").alias("entry"), "*").unionByName(half)
+    hashes = merge.entry_hashes(facts).select(F.lit("a").alias("archive"), F.col("name").alias("entry"), "hash")
+    return merge.merge_archives(hashes.unionByName(hashes.withColumn("archive", F.lit("b"))), both)
+
+
+@query
+def catalog_stats(s: SparkSession, d: str) -> DataFrame:
+    return merge.catalog_stats(tables.build_index(event_refs(s, d)))
+
+
+@query
+def dump_denormalized(s: SparkSession, d: str) -> DataFrame:
+    return tables.build_index(event_refs(s, d)).decoded("Reference")
+
+
+@query
+def index_type_lookup(s: SparkSession, d: str) -> DataFrame:
+    return tables.build_index(event_refs(s, d)).decoded("SymbolTypeIndex").where(F.col("type") == "Path")
+
+
+@query
+def vle_row_size(s: SparkSession, d: str) -> DataFrame:
+    li = line_refs(s, d)
+    scaled = [F.col("line"), F.col("start_col") * 3000, F.length("file") * 400_000]
+    return li.groupBy(tables.row_width(scaled).alias("bytes")).agg(F.count("*").alias("n"))
+
+
+@query
+def incremental_stale(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d)
+    entries = facts.select(F.concat(F.lit("idx"), (F.col("line") % 5).cast("string")).alias("index_file"), F.lit(20).cast("bigint").alias("index_mtime"), F.col("file").alias("name")).distinct()
+    entries = entries.where("index_file <> 'idx3' OR name < '@/ev/2024-01-10'").unionByName(entries.limit(0)).unionByName(s.createDataFrame([("idx3", 20, "<built-in>"), ("none", None, "@/zz")], "index_file string, index_mtime bigint, name string"))
+    mtimes = facts.select(F.col("file").alias("name"), F.dayofmonth(F.substring("file", 6, 10).cast("date")).cast("bigint").alias("mtime")).distinct()
+    return merge.reusable(entries, mtimes)
+
+
+# --- text -----------------------------------------------------------------
+
+
+@query
+def line_table(s: SparkSession, d: str) -> DataFrame:
+    return text.lines(document_files(s, d))
+
+
+@query
+def offset_to_line(s: SparkSession, d: str) -> DataFrame:
+    files = document_files(s, d)
+    offsets = files.select("file", F.explode(F.array(F.lit(0), F.lit(57), F.lit(311)).cast("array<bigint>")).alias("offset"), F.octet_length("content").alias("n")).where("offset <= n").drop("n")
+    return text.offset_to_line(files, offsets)
+
+
+@query
+def location_to_offset(s: SparkSession, d: str) -> DataFrame:
+    rows = text.lines(document_files(s, d))
+    return text.location_to_offset(rows, rows.select("file", "line", F.lit(40).cast("bigint").alias("col")))
+
+
+@query
+def longest_line(s: SparkSession, d: str) -> DataFrame:
+    return text.longest_line(document_files(s, d))
+
+
+@query
+def tab_expanded_length(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(TABS, "line string").select("line", text.tab_width(F.col("line")).alias("width"))
+
+
+@query
+def word_at_position(s: SparkSession, d: str) -> DataFrame:
+    rows = text.lines(document_files(s, d)).where(F.length("text") == F.col("len"))
+    return text.words_at(rows, rows.select("file", "line", F.explode(F.array(F.lit(0), F.lit(9), F.lit(23)).cast("array<bigint>")).alias("col")))
+
+
+@query
+def find_in_file_matches(s: SparkSession, d: str) -> DataFrame:
+    return text.matches(document_files(s, d), "the[a-z]* of")
+
+
+@query
+def find_longest_matches(s: SparkSession, d: str) -> DataFrame:
+    return text.longest_matches(document_files(s, d), ["the", "the of", "of"])
+
+
+@query
+def match_next_prev(s: SparkSession, d: str) -> DataFrame:
+    return text.next_previous(text.matches(document_files(s, d), "the[a-z]* of"))
+
+
+def _states(files: DataFrame) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(a).cast("bigint").alias("find_start"), F.lit(b).cast("bigint").alias("previous")) for a, b in ((-1, -1), (200, -1), (100, 400), (600, 300), (0, 10**9))])
+    return files.select("file", F.explode(pairs).alias("s")).select("file", "s.*")
+
+
+@query
+def match_best_index(s: SparkSession, d: str) -> DataFrame:
+    files = document_files(s, d)
+    return text.best_match(text.matches(files, "the[a-z]* of"), _states(files))
+
+
+@query
+def match_label(s: SparkSession, d: str) -> DataFrame:
+    found = text.matches(document_files(s, d), "the[a-z]* of").groupBy("file").agg(F.count("*").alias("n"))
+    per = document_files(s, d).select("file").join(found, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("n"))
+    picked = F.when(F.col("n") > 3, F.lit(2)).otherwise(F.lit(-1))
+    return per.select("file", text.match_label(F.lit("x"), F.col("n"), picked).alias("label"))
+
+
+@query
+def syntax_kinds(s: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_kinds(document_files(s, d))
+
+
+@query
+def color_overlay(s: SparkSession, d: str) -> DataFrame:
+    return syntax.colour_overlay(event_refs(s, d))
+
+
+@query
+def keyword_lookup(s: SparkSession, d: str) -> DataFrame:
+    words = document_files(s, d).select(F.explode(F.split("content", "[^A-Za-z0-9_]+")).alias("word"))
+    return words.where(F.col("word").isin(*sorted(syntax.KEYWORDS))).groupBy("word").agg(F.count("*").alias("n"))
+
+
+# --- trees ----------------------------------------------------------------
+
+
+@query
+def path_categories(s: SparkSession, d: str) -> DataFrame:
+    return page_paths(s, d).select("path", tree.category(F.col("path")).alias("category"))
+
+
+@query
+def path_tree(s: SparkSession, d: str) -> DataFrame:
+    return tree.nodes(page_paths(s, d))
+
+
+@query
+def folder_auto_expand(s: SparkSession, d: str) -> DataFrame:
+    return tree.auto_expanded(tree.nodes(page_paths(s, d)))
+
+
+@query
+def tree_preorder(s: SparkSession, d: str) -> DataFrame:
+    return tree.preorder(tree.nodes(page_paths(s, d))).select("row", "category", "path", "is_file", "last")
+
+
+@query
+def tree_visible(s: SparkSession, d: str) -> DataFrame:
+    t = tree.nodes(page_paths(s, d))
+    return tree.visible(t, tree.auto_expanded(t).unionByName(t.where("depth = 1 AND NOT is_file").select("category", "path"))).select("category", "path")
+
+
+@query
+def tree_roots(s: SparkSession, d: str) -> DataFrame:
+    return tree.roots(tree.nodes(page_paths(s, d)))
+
+
+# --- history, traces, rules -----------------------------------------------
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    action = F.when(F.col("event_type") == "error", "back").when(F.col("event_type") == "signup", "forward").otherwise("jump")
+    return e.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"), F.col("event_id").alias("seq"), action.alias("action"), F.get_json_object("props", "$.k").alias("place"), F.lit(None).cast("string").alias("origin"))
+
+
+@query
+def history_fold(s: SparkSession, d: str) -> DataFrame:
+    return history.fold(_sessions(s, d))
+
+
+def _trace(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(TRACE_RECORDS, "line bigint, cwd string, pidlist array<bigint>, argv array<string>")
+
+
+@query
+def trace_delta_decode(s: SparkSession, d: str) -> DataFrame:
+    return trace.decode_pids(_trace(s)).select("line", F.posexplode("procs").alias("pos", "p")).select("line", F.col("pos").cast("bigint").alias("pos"), "p.pid", "p.start")
+
+
+@query
+def trace_delta_encode(s: SparkSession, d: str) -> DataFrame:
+    again = trace.decode_pids(_trace(s)).select("line", F.posexplode(trace.encode_pids(F.col("procs"))).alias("pos", "delta"))
+    return again.select("line", F.col("pos").cast("bigint").alias("pos"), "delta")
+
+
+@query
+def trace_parent(s: SparkSession, d: str) -> DataFrame:
+    return trace.parents(_trace(s))
+
+
+@query
+def trace_driver_child(s: SparkSession, d: str) -> DataFrame:
+    return trace.below_driver(_trace(s))
+
+
+@query
+def trace_compile_steps(s: SparkSession, d: str) -> DataFrame:
+    return trace.compile_steps(_trace(s))
+
+
+def _jobs(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(JOBS, "directory string, file string, argv array<string>")
+
+
+@query
+def compile_db_paths(s: SparkSession, d: str) -> DataFrame:
+    return trace.indexing_jobs(_jobs(s)).withColumn("argv", F.array_join("argv", " "))
+
+
+@query
+def pch_strip(s: SparkSession, d: str) -> DataFrame:
+    jobs = trace.strip_precompiled(_jobs(s), s.createDataFrame(PRECOMPILED, "path string"))
+    return jobs.select("directory", "file", F.array_join("argv", " ").alias("argv"))
+
+
+def _flags(s: SparkSession) -> DataFrame:
+    both = F.array(F.lit(False), F.lit(True))
+    return s.range(32).select(F.col("id").cast("int").alias("flags"), F.explode(both).alias("is_function")).withColumn("is_rvalue", F.explode(both))
+
+
+@query
+def expr_ref_kinds(s: SparkSession, d: str) -> DataFrame:
+    return _flags(s).withColumn("kind", F.explode(classify.reference_kinds(F.col("flags"), F.col("is_function"), F.col("is_rvalue"))))
+
+
+@query
+def member_flags(s: SparkSession, d: str) -> DataFrame:
+    rows = _flags(s).select("flags", F.col("is_function").alias("is_arrow")).distinct()
+    return rows.withColumn("base", classify.member_base_flags(F.col("flags"), F.col("is_arrow"))).withColumn("masked", classify.rvalue_flags(F.col("flags")))
+
+
+@query
+def operand_flags(s: SparkSession, d: str) -> DataFrame:
+    uses = _flags(s).select("flags").distinct().withColumn("u", F.explode(F.array(*[F.struct(F.lit(e).alias("expression"), F.lit(p).alias("part")) for e, p, _, _ in classify.EXPRESSION_RULES])))
+    return classify.operand_flags(uses.select("flags", "u.*")).select("expression", "part", "flags", "part_flags")
+
+
+@query
+def qualifier_segments(s: SparkSession, d: str) -> DataFrame:
+    facts = event_refs(s, d).select("symbol").distinct()
+    rows = facts.select("symbol", F.posexplode(classify.qualifiers(F.col("symbol"))).alias("pos", "qualifier"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query
+def symbol_names(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame(NAMES, "scopes array<string>, name string, file string, offset bigint, in_function boolean, internal boolean, parameters array<string>, qualifier string")
+    c = F.col
+    return rows.select(classify.symbol_name(c("scopes"), c("name"), c("file"), c("offset"), c("in_function"), c("internal"), c("parameters"), c("qualifier")).alias("symbol"))
+
+
+@query
+def declaration_facts(s: SparkSession, d: str) -> DataFrame:
+    return classify.declaration_facts(s.createDataFrame(DECLARATIONS, "class string, name string, defining boolean"))
+
+
+@query
+def volume_definitions(s: SparkSession, d: str) -> DataFrame:
+    """The volume fixture: definitions and declarations of every part."""
+    return xref.single_definition(line_refs(s, d)).select("symbol", "n_def", "n_decl")
+
+
+@query
+def volume_point_lookup(s: SparkSession, d: str) -> DataFrame:
+    li = line_refs(s, d).withColumn("symbol_type", F.lit("Class"))
+    return xref.point_in_span(li, li.select("file", "line", F.col("start_col").alias("col")))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

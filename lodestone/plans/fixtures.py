@@ -1,0 +1,44 @@
+"""Literal inputs for operators that no table has data for."""
+
+from __future__ import annotations
+
+#: line, cwd, (pid, start) deltas from ancestor to process, argv
+TRACE_RECORDS = [
+    (1, "/b", [10, 100], ["make", "all"]),
+    (2, "/b", [10, 100, 2, 5], ["/usr/bin/g++", "-c", "a b.cc", "-o", "a.o"]),
+    (3, "/b", [10, 100, 2, 5, 1, 1], ["cc1plus", "a b.cc"]),
+    (4, "/b", [10, 100, 2, 5, 1, 1, 1, 1], ["g++", "-c", "inner.cc"]),
+    (5, "/b", [10, 100, 5, 9], ["ccache", "clang++", "-c", "x.cc"]),
+    (6, "/b", [10, 100, 5, 9], ["clang++", "-O2", "-c", "it's.cpp"]),
+    (7, "/b", [10, 100, 5, 9, 3, 3], ["clang", "-c", "child.c"]),
+    (8, "/c", [77, 1, 3, 4], ["gcc", "-E", "-c", "pre.c"]),
+    (9, "/c", [77, 1, 9, 9], ["gcc", "-c", "-E", "pre.c"]),
+    (10, "/c", [77, 1, 11, 2], ["gcc", "-c", "start.S", "main.c"]),
+    (11, "/c", [77, 1, 12, 2], ["gcc", "-c", "no_source"]),
+    (12, "/c", [77, 1, 13, 2], ["ld", "-c", "x.c"]),
+]
+#: directory, file, argv
+JOBS = [
+    ("/b", "a.cc", ["g++", "-c", "a.cc", "-o", "out/a.o"]),
+    ("/b", "/src/b.c", ["/usr/bin/cc", "-include", "pre.h", "-c", "/src/b.c"]),
+    ("/b", "c.tar.cc", ["clang++", "-include", "plain.h", "-o", "c", "c.tar.cc"]),
+    ("/b", "noext", ["gcc", "-o", "x", "-o", "y.obj", "-o", "z.o", "noext"]),
+    ("/b", "e.c", []),
+    ("/b", "f.c", ["gcc", "-include", "-include", "f.c", "-include"]),
+    ("/c", "g.c", ["gcc", "-include", "/b/pre.h", "-include", "x.h", "g.c"]),
+]
+PRECOMPILED = [("/b/pre.h.gch",), ("/c/x.h.pch",), ("/q/plain.h.gch",)]
+TABS = [("",), ("\t",), ("a\tb",), ("12345678\t",), ("é\tx",), ("\t\t a",)]
+#: scopes, name, file, offset, in_function, internal, parameters, qualifier
+NAMES = [
+    (["std", "vector"], "size", "/i/vector", 10, False, False, [], " const"),
+    ([None], "helper", "/s/a.cc", 5, False, False, ["int", "char *"], None),
+    (["N"], None, "/s/a.h", 77, False, False, None, None),
+    ([], "local", "/s/b.cc", 120, True, False, None, None),
+    ([], "hidden", "/s/b.cc", 9, False, True, ["void"], None),
+    ([], "main", "/s/b.cc", 1, False, False, None, None),
+]
+DECLARATIONS = [
+    ("function", "f", True), ("function", "f", False), ("instantiated-function", "f", True), ("parameter", "p", False), ("parameter", "p", True), ("class", None, True), ("struct", "S", True),
+    ("field", "x", True), ("using-directive", "N", False), ("class-template", "T", True), ("label", "l", True), ("macro", "M", True), ("namespace-alias", "A", False), ("enumerator", "E", True),
+]
