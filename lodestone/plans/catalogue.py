@@ -238,7 +238,7 @@ def table_distinct(s: SparkSession, d: str) -> DataFrame:
 @query
 def merge_indexes(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
-    day = F.dayofmonth(F.substring("file", 6, 10).cast("date"))
+    day = F.dayofmonth(F.substring("file", 6, 10).try_cast("date"))
     even, odd = facts.where(day % 2 == 0), facts.where(day % 3 != 0)
     index = merge.merge_indexes(even, odd)
     return index.tables["Reference"]
@@ -247,7 +247,7 @@ def merge_indexes(s: SparkSession, d: str) -> DataFrame:
 @query
 def merge_id_map(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
-    old = dictionary.encode(facts.where(F.dayofmonth(F.substring("file", 6, 10).cast("date")) % 2 == 0), "symbol")
+    old = dictionary.encode(facts.where(F.dayofmonth(F.substring("file", 6, 10).try_cast("date")) % 2 == 0), "symbol")
     return dictionary.id_map(old, dictionary.encode(facts, "symbol")).select("old_id", "new_id")
 
 
@@ -321,7 +321,7 @@ def incremental_stale(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
     entries = facts.select(F.concat(F.lit("idx"), (F.col("line") % 5).cast("string")).alias("index_file"), F.lit(20).cast("bigint").alias("index_mtime"), F.col("file").alias("name")).distinct()
     entries = entries.where("index_file <> 'idx3' OR name < '@/ev/2024-01-10'").unionByName(entries.limit(0)).unionByName(s.createDataFrame([("idx3", 20, "<built-in>"), ("none", None, "@/zz")], "index_file string, index_mtime bigint, name string"))
-    mtimes = facts.select(F.col("file").alias("name"), F.dayofmonth(F.substring("file", 6, 10).cast("date")).cast("bigint").alias("mtime")).distinct()
+    mtimes = facts.select(F.col("file").alias("name"), F.dayofmonth(F.substring("file", 6, 10).try_cast("date")).cast("bigint").alias("mtime")).distinct()
     return merge.reusable(entries, mtimes)
 
 
