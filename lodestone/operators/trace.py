@@ -99,7 +99,7 @@ def compile_steps(records: DataFrame, existing: DataFrame | None = None) -> Data
     sources = F.filter(rest, lambda a: _ends(a, SOURCE_EXTENSIONS))
     steps = records.where(is_driver(F.col("argv")) & (compile_mode(F.col("argv")) == "-c"))
     steps = steps.where((F.size(sources) == 1) & ~F.exists(rest, lambda a: _ends(a, ASSEMBLY_EXTENSIONS)))
-    steps = steps.join(below_driver(records), "line", "left_anti").select("line", F.col("cwd").alias("directory"), quote(F.col("argv")).alias("command"), sources[0].alias("file"))
+    steps = steps.join(below_driver(records), "line", "left_anti").select("line", F.col("cwd").alias("directory"), quote(F.col("argv")).alias("command"), F.get(sources, F.lit(0)).alias("file"))
     if existing is None:
         return steps
     known = existing.select(F.col("path").alias("_path"))

@@ -92,7 +92,7 @@ def click_to_definition(facts: DataFrame, points: DataFrame) -> DataFrame:
     """Where a click at each point (file, line, col) leads: its innermost span must hold exactly one symbol."""
     facts = facts.select(*REFERENCE).distinct()
     spans = point_in_span(facts, points).select("file", "line", "col", "start_col", "end_col")
-    symbols = symbols_at_span(facts, spans.drop("col")).where(F.size("symbols") == 1).withColumn("symbol", F.col("symbols")[0]).drop("symbols")
+    symbols = symbols_at_span(facts, spans.drop("col")).where(F.size("symbols") == 1).withColumn("symbol", F.get("symbols", F.lit(0))).drop("symbols")
     at = spans.join(symbols, ["file", "line", "start_col", "end_col"]).select("file", "line", "col", "symbol")
     to = definitions_of(facts, at).select("symbol", F.col("file").alias("to_file"), F.col("line").alias("to_line"), F.col("start_col").alias("to_col"))
     return at.join(to, "symbol").select("file", "line", "col", "symbol", "to_file", "to_line", "to_col")
