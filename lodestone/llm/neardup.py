@@ -57,36 +57,42 @@ def word_hashes(text: Column) -> Column:
     return F.transform(word_array(F.lower(text)), lambda w: F.xxhash64(w))
 
 
+_STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _P) | np.uint64(1)
+
+
 def shingles(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a batch of word-hash lists, and the document (row) of each; documents in order."""
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(lists) else np.zeros(0, np.uint64)
-    padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
-    left = ends[row] - np.arange(len(words)) if len(words) else np.zeros(0, np.int64)
-    h = np.zeros(len(words), np.uint64)
-    for k in range(SHINGLE):
-        h = np.where(left > k, mix(h * _P + padded[k : k + len(words)]), h)
-    short = sizes[row] < SHINGLE
-    first = left == sizes[row]
-    keep = np.where(short, first, left >= SHINGLE)
-    return h[keep], row[keep]
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = words * _STEPS[0]
+    for k in range(1, SHINGLE):
+        h[: n - k] += words[k:] * _STEPS[k]
+    starts = np.cumsum(sizes) - sizes
+    short = np.flatnonzero((sizes < SHINGLE) & (sizes > 0))
+    for i in short.tolist():  # one shingle of all words
+        own = words[starts[i] : starts[i] + sizes[i]]
+        h[starts[i]] = (own * _STEPS[: len(own)]).sum() + np.uint64(len(own))
+    counts = np.where(sizes < SHINGLE, sizes > 0, sizes - SHINGLE + 1).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), counts)
+    at = np.arange(len(row)) + (starts - (np.cumsum(counts) - counts))[row]
+    return mix(h[at]), row
 
 
 def elements(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Shingle hashes with occurrences told apart: the first keeps its hash, a later one gets another."""
     key = mix(h + row.astype(np.uint64) * _Q)
-    by = np.argsort(key, kind="stable")
-    s = key[by]
-    same = np.concatenate([[False], s[1:] == s[:-1]])
-    if not same.any():
-        return h
-    at = np.arange(len(s))
-    start = np.maximum.accumulate(np.where(same, 0, at))
-    nth = np.empty(len(s), np.uint64)
-    nth[by] = (at - start).astype(np.uint64)
-    return np.where(nth > 0, mix(h + nth * _P), h)
+    slot = (key & np.uint64((1 << 18) - 1)).view(np.int64)  # most keys share their slot with none
+    some = np.flatnonzero(np.bincount(slot, minlength=1 << 18)[slot] > 1)
+    by = some[np.argsort(key[some], kind="stable")]
+    again = np.concatenate([[False], key[by[1:]] == key[by[:-1]]])
+    at = np.arange(len(by))
+    nth = (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64)
+    out = h.copy()
+    out[by] = np.where(nth > 0, mix(h[by] + nth * _P), h[by])
+    return out
 
 
 def _quantiles() -> np.ndarray:
@@ -113,14 +119,19 @@ def samples(h: np.ndarray, row: np.ndarray, ln_weight: np.ndarray, n: int, draws
     counts = np.diff(np.append(starts, len(row)))
     docs = row[starts]
     lighter = np.flatnonzero(ln_weight < 0)
+    u, v = np.empty_like(h), np.empty_like(h)
+    r, ln_c, beta, ln_a = (np.empty(len(h), np.float32) for _ in range(4))
     for j in range(draws):
-        u = (h ^ mix(np.full(1, j + 1, np.uint64))) * _P
-        u ^= u >> np.uint64(31)
-        u *= _Q
-        r = GAMMA[u >> np.uint64(52)]
-        ln_c = LN_GAMMA[(u >> np.uint64(40)) & np.uint64(4095)]
-        beta = ((u >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
-        ln_a = ln_c + r * (beta - np.float32(1))  # of weight 1
+        seed = mix(np.array([j + 1], np.uint64) * _P)[0]
+        np.multiply(np.bitwise_xor(h, seed, out=u), mix(np.array([seed], np.uint64))[0] | np.uint64(1), out=u)
+        np.take(GAMMA, np.right_shift(u, np.uint64(52), out=v).view(np.int64), out=r, mode="clip")
+        np.right_shift(u, np.uint64(40), out=v)
+        np.take(LN_GAMMA, np.bitwise_and(v, np.uint64(4095), out=v).view(np.int64), out=ln_c, mode="clip")
+        np.right_shift(u, np.uint64(16), out=v)
+        np.multiply(np.bitwise_and(v, np.uint64(0xFFFFFF), out=v).view(np.int64), np.float32(2.0**-24), out=beta, casting="unsafe")
+        np.subtract(beta, np.float32(1), out=ln_a)  # of weight 1
+        np.multiply(ln_a, r, out=ln_a)
+        np.add(ln_a, ln_c, out=ln_a)
         t = None
         if len(lighter):
             t = np.floor(ln_weight[lighter] / r[lighter] + beta[lighter])
@@ -140,7 +151,7 @@ def samples(h: np.ndarray, row: np.ndarray, ln_weight: np.ndarray, n: int, draws
     return out
 
 
-def _blocks(b: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _blocks(b: pa.RecordBatch, size: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about that many words each."""
     sizes = b.column("words").value_lengths().to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // size
@@ -156,11 +167,20 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(TABLE, np.int64)
+        held: list[np.ndarray] = []
         for whole in batches:
             for b in _blocks(whole):
                 h, row = shingles(b.column("words"))
-                slot = np.unique(row.astype(np.int64) * TABLE + (h % np.uint64(TABLE)).astype(np.int64)) % TABLE
-                df += np.bincount(slot, minlength=TABLE)
+                slot = row * TABLE + (h & np.uint64(TABLE - 1)).astype(np.int64)
+                slot.sort()
+                if len(slot):
+                    slot = slot[np.concatenate([[True], slot[1:] != slot[:-1]])]
+                held.append((slot & (TABLE - 1)).astype(np.int32))
+            if sum(map(len, held)) > TABLE:
+                df += np.bincount(np.concatenate(held), minlength=TABLE)
+                held.clear()
+        if held:
+            df += np.bincount(np.concatenate(held), minlength=TABLE)
         cut = df.astype("<u4").reshape(parts, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "counts"])
 
@@ -283,7 +303,7 @@ def _sampled(docs: DataFrame, idf: object, bands: int, rows_: int) -> DataFrame:
         for whole in batches:
             for b in _blocks(whole):
                 h, row = shingles(b.column("words"))
-                ln_w = table[(h % np.uint64(TABLE)).astype(np.int64)]
+                ln_w = table[(h & np.uint64(TABLE - 1)).astype(np.int64)]
                 s = samples(elements(h, row), row, ln_w, b.num_rows, bands * rows_)
                 keys = np.zeros((b.num_rows, bands), np.uint64)
                 for k in range(bands):
@@ -311,7 +331,8 @@ def _elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 els = [pairs[cuts[i] : cuts[i + 1]].tobytes() for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(els, pa.binary())], ["doc", "els"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    # the same join at every size: wanted grows with the input, so it is never broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi")
     words = rows.select("doc", word_hashes(F.col("text")).alias("words"))
     return words.mapInArrow(run, "doc long, els binary")
 
