@@ -68,7 +68,7 @@ def shingles(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = words * _STEPS[0]
-    for k in range(1, SHINGLE):
+    for k in range(1, min(SHINGLE, n)):
         h[: n - k] += words[k:] * _STEPS[k]
     starts = np.cumsum(sizes) - sizes
     short = np.flatnonzero((sizes < SHINGLE) & (sizes > 0))
