@@ -144,8 +144,10 @@ def digest(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
 
 def redact(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """versions with every span that the ledger has for a text replaced by mark; spans that overlap become one. All rows and columns stay."""
-    found = findings(versions, ledger, rules)
-    text = F.col("text")
+    names = [f"_c{i}" for i in range(len(versions.columns))]  # clashes with no column of the join
+    at = names[versions.columns.index("text")]
+    found = findings(versions.toDF(*names), ledger, rules, text=at)
+    text = F.col(at)
     spans = F.array_sort(F.flatten(F.map_values("found")))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -153,4 +155,4 @@ def redact(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
         return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     cleaned = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.col("found").isNull(), text).otherwise(cleaned)).select(*[F.col(f"`{c}`") for c in versions.columns])
+    return found.withColumn(at, F.when(F.col("found").isNull(), text).otherwise(cleaned)).select(*[F.col(n).alias(c) for n, c in zip(names, versions.columns, strict=True)])
