@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +49,33 @@ def word_count(text: Column) -> Column:
     blanked = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
     gaps = F.length(blanked) - F.length(F.replace(blanked, F.lit(" "), F.lit("")))
     return F.when(blanked == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+
+
+BLOCK = "part int, task int, sums binary"
+PARTS = 64
+
+
+def blocks_of(vector: np.ndarray) -> pa.RecordBatch:
+    """A task's vector of 64-bit floats as PARTS rows of BLOCK."""
+    cuts = [x.astype("<f8").tobytes() for x in np.array_split(vector, PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId() % PARTS] * PARTS, pa.int32()), pa.array(cuts, pa.binary())], ["part", "task", "sums"])
+
+
+def vector_sum(blocks: DataFrame) -> np.ndarray:
+    """The sum of all tasks' vectors (rows of BLOCK); its length, not the number of tasks, bounds what the driver gets.
+
+    Two rounds: PARTS groups of tasks first, then the groups, so no task reads what all tasks wrote.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for part, task, sums in zip(*(b.column(c).to_pylist() for c in ("part", "task", "sums")), strict=True):
+                own = np.frombuffer(sums, "<f8")
+                total[part, task] = total[part, task] + own if (part, task) in total else own
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["part", "task", "sums"])
+
+    first = blocks.repartition(4 * PARTS, "part", "task").mapInArrow(add, BLOCK)
+    got = first.withColumn("task", F.lit(0)).repartition(PARTS, "part").mapInArrow(add, BLOCK).collect()
+    return np.concatenate([np.frombuffer(r["sums"], "<f8") for r in sorted(got, key=lambda r: r["part"])])

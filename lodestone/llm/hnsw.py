@@ -170,10 +170,10 @@ def nodes(rows: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
-INDEX = "shard long, vectors binary, ids array<array<long>>, base binary, upper array<binary>, entry int, top int, dim int"
+INDEX = "shard long, shards long, vectors binary, ids array<array<long>>, base binary, upper array<binary>, entry int, top int, dim int"
 
 
-def build(rows: DataFrame, keep: int, shard_rows: int = 4096, n_rows: int | None = None) -> DataFrame:
+def build(rows: DataFrame, keep: int, shard_rows: int = 4096) -> DataFrame:
     """The index: one row per shard with its vectors, ids and flat neighbour arrays, written to the shared folder."""
     own = written(nodes(rows, keep).withColumn("dim", F.size("v")))
     n_shards = max(1, -(-own.count() // shard_rows))
@@ -183,16 +183,17 @@ def build(rows: DataFrame, keep: int, shard_rows: int = 4096, n_rows: int | None
         pdf = pdf.assign(first=[x[0] for x in pdf["ids"]]).sort_values("first")
         vectors = np.array(pdf["v"].tolist(), dtype=np.float64)
         g = Graph(vectors)
-        row = (int(pdf["shard"].iloc[0]), vectors.tobytes(), pdf["ids"].tolist(), g.base.tobytes(), [u.tobytes() for u in g.upper], g.entry, g.top, vectors.shape[1])
-        return pd.DataFrame([row], columns=["shard", "vectors", "ids", "base", "upper", "entry", "top", "dim"])
+        row = (int(pdf["shard"].iloc[0]), n_shards, vectors.tobytes(), pdf["ids"].tolist(), g.base.tobytes(), [u.tobytes() for u in g.upper], g.entry, g.top, vectors.shape[1])
+        return pd.DataFrame([row], columns=["shard", "shards", "vectors", "ids", "base", "upper", "entry", "top", "dim"])
 
     return written(own.groupBy("shard").applyInPandas(make, INDEX))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest others. queries: id and v as from usable()."""
-    shards = index.select(F.col("shard").alias("asked"), "dim")
-    asked = queries.dropDuplicates(["id"]).withColumn("dim", F.size("v")).join(shards, "dim").select("asked", F.col("id").alias("query_id"), "v")
+    n = index.agg(F.max("shards").alias("n")).first()["n"] or 1
+    asked = queries.dropDuplicates(["id"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    asked = asked.select((F.col("shard") + F.size("v") * F.lit(n)).alias("asked"), F.col("id").alias("query_id"), "v")
 
     def find(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import BLOCK, blocks_of, vector_sum, written
 
 TOP, BUCKETS, DIM = 768, 256, 32
 SYMBOLS = TOP + BUCKETS
 TABLE = 1 << 18
 NOISE = 64
 BATCH = 8192
-BLOCK = 2_000_000
+LEARN_AT = 2_000_000
 RATE = 0.1
 MEMO = 400_000
 END = "\n"  # no word
@@ -104,9 +104,19 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy((F.col("word") == END).desc(), F.desc("c"), "word").limit(TABLE).toArrow()
-    words = [w.encode() for w in top.column("word").to_pylist()]
-    c = top.column("c").to_numpy().astype(np.int64)
+    # the most frequent: all above a count that leaves TABLE at most, found by a histogram of fixed size
+    grade = F.floor(F.log2("c") * 8)
+    steps = sorted(((r["g"], r["k"]) for r in counts.groupBy(grade.alias("g")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    room, least = TABLE - 1, None
+    for g, k in steps:
+        room -= k
+        if room < 0:
+            break
+        least = g
+    top = counts.where((F.col("word") == END) | ((grade >= least) if least is not None else F.lit(False))).toArrow()
+    ordered = sorted((w != END, -k, w) for w, k in zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    words = [w.encode() for _, _, w in ordered]
+    c = np.array([-k for _, k, _ in ordered], np.int64)
     all_ = {r["bucket"]: (r["n"], r["v"]) for r in counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     bn, bv = (np.array([all_.get(i, (0, 0))[k] for i in range(BUCKETS)], np.int64) for k in (0, 1))
     for w, k in zip(words[:TOP], c[:TOP].tolist(), strict=True):
@@ -203,7 +213,6 @@ def fit(training: DataFrame, v: Vocabulary, seed: int = 7) -> list[np.ndarray]:
     start = initial(v, seed)
     if not v.n:
         return start
-    sizes = [p.size for p in start]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, table, unigram = shared.value
@@ -230,25 +239,14 @@ def fit(training: DataFrame, v: Vocabulary, seed: int = 7) -> list[np.ndarray]:
             two, one = contexts(symbols, n)
             held.append((two * SYMBOLS + one) * SYMBOLS + symbols)
             waiting += len(symbols)
-            if waiting >= BLOCK:
+            if waiting >= LEARN_AT:
                 learn()
         learn()
-        flat = np.concatenate([p.reshape(-1) for p in params]).astype("<f8") * seen
-        parts = np.array_split(flat, 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([seen] * 16, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "n", "sums"])
+        yield blocks_of(np.append(np.concatenate([p.reshape(-1) for p in params]).astype("<f8") * seen, seen))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        for b in batches:
-            for part, n, x in zip(*(b.column(c).to_pylist() for c in ("part", "n", "sums")), strict=True):
-                own = np.frombuffer(x, "<f8")
-                total[part] = [total[part][0] + n, total[part][1] + own] if part in total else [n, own]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["part", "n", "sums"])
-
-    schema = "part int, n long, sums binary"
-    got = sorted(training.select("text").mapInArrow(run, schema).repartition(16, "part").mapInArrow(add, schema).collect())
-    flat = np.concatenate([np.frombuffer(x["sums"], "<f8") / max(x["n"], 1) for x in got]).astype(np.float32)
-    cuts = np.cumsum(sizes)[:-1]
+    total = vector_sum(training.select("text").mapInArrow(run, BLOCK))
+    flat = (total[:-1] / max(total[-1], 1)).astype(np.float32)
+    cuts = np.cumsum([p.size for p in start])[:-1]
     return [x.reshape(p.shape) for x, p in zip(np.split(flat, cuts), start, strict=True)]
 
 

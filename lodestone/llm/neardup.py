@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import word_array, written
+from lodestone.llm.common import BLOCK, blocks_of, vector_sum, word_array, written
 
 SHINGLE = 5
 BANDS, ROWS = 11, 4
@@ -163,7 +163,6 @@ def _blocks(b: pa.RecordBatch, size: int = 60_000) -> Iterator[pa.RecordBatch]:
 def slot_counts(docs: DataFrame) -> np.ndarray:
     """Documents per hash slot of their shingles, over all documents; TABLE numbers, whatever the input's size."""
     rows = docs.select(word_hashes(F.col("text")).alias("words"))
-    parts = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(TABLE, np.int64)
@@ -181,22 +180,9 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
                 held.clear()
         if held:
             df += np.bincount(np.concatenate(held), minlength=TABLE)
-        cut = df.astype("<u4").reshape(parts, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "counts"])
+        yield blocks_of(df)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(counts, "<u4").astype("<i8")
-                total[part] = total[part] + own if part in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
-
-    got = rows.mapInArrow(count, "part int, counts binary").repartition(16, "part").mapInArrow(add, "part int, counts binary").collect()
-    df = np.zeros((parts, TABLE // parts), np.int64)
-    for r in got:
-        df[r["part"]] = np.frombuffer(r["counts"], "<i8")
-    return df.reshape(-1)
+    return vector_sum(rows.mapInArrow(count, BLOCK))
 
 
 def ln_idf(df: np.ndarray, n_docs: int, rare: float = RARE) -> np.ndarray:

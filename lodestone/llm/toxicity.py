@@ -79,6 +79,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_features: int = 4096) -> OrdinalModel:
     """Fit on at most max_labelled labelled documents; features and weights are bounded by max_features."""
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    n = sample.count()
+    if n > 2 * max_labelled:  # else every task would send its own max_labelled rows to one place
+        share = F.shiftrightunsigned(F.xxhash64("doc_id").bitwiseXOR(-(1 << 63)), 11) / F.lit(float(1 << 53))  # in the hash's own order
+        sample = sample.where(share < 1.5 * max_labelled / n)
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
     got = rows.mapInArrow(_features, "doc_id long, toxic int, index array<int>").toArrow()
