@@ -108,3 +108,10 @@ def macro_facts(macros: DataFrame) -> DataFrame:
     """macros (file, line, col, name, event) as facts: the symbol is #name, the span the name's."""
     kind = F.when(F.col("event") == "define", F.lit("Definition")).when(F.col("event") == "undef", F.lit("Undefinition")).when(F.col("event").isin("defined", "ifdef", "ifndef"), F.lit("Defined-Test")).otherwise(F.lit("Expansion"))
     return macros.select("file", "line", F.col("col").alias("start_col"), (F.col("col") + F.octet_length("name")).alias("end_col"), F.concat(F.lit("#"), "name").alias("symbol"), kind.alias("kind"), F.lit("Macro").alias("symbol_type"))
+
+
+def widened_span(line_text: Column, start: Column, name: Column) -> Column:
+    """struct<start, end> (bytes, from 1) of a name on its line, with a destructor's tilde or the operator keyword before it."""
+    before = F.substring(line_text.cast("binary"), F.lit(1), (start - 1).cast("int")).cast("string")
+    lead = F.regexp_extract(before, "(~|\\boperator)[ \\t]*$", 0)
+    return F.struct((start - F.octet_length(lead)).cast("bigint").alias("start"), (start + F.octet_length(name)).cast("bigint").alias("end"))

@@ -82,6 +82,18 @@ def reusable(entries: DataFrame, mtimes: DataFrame) -> DataFrame:
     return every.join(per, "index_file", "left").select("index_file", (F.col("index_mtime").isNotNull() & F.coalesce("fresh", F.lit(True))).alias("reusable"))
 
 
+def entry_position(manifest: DataFrame, name: str) -> DataFrame:
+    """position of an entry in the archive's order of names, -1 where it has none."""
+    hit = manifest.agg(F.count_if(F.col("name") < name).alias("before"), F.count_if(F.col("name") == name).alias("n"))
+    return hit.select(F.when(F.col("n") > 0, F.col("before")).otherwise(-1).cast("bigint").alias("position"))
+
+
+def archive_stats(facts: DataFrame, entry: str = "file") -> DataFrame:
+    """name, hash, n, symbols of each entry: the archive's dump by entry."""
+    counts = facts.groupBy(F.col(entry).alias("name")).agg(F.count_distinct("symbol").alias("symbols"))
+    return entry_hashes(facts, entry).join(counts, "name")
+
+
 def catalog_stats(index: CodeIndex) -> DataFrame:
     """part, name, n, bytes of every dictionary and table (bytes: of dictionaries)."""
     out = None
@@ -98,4 +110,4 @@ def dump(index: CodeIndex, name: str) -> DataFrame:
     return index.decoded(name).select(F.to_json(F.struct("*")).alias("json"))
 
 
-__all__ = ["catalog_stats", "dump", "entry_hashes", "first_of_hash", "merge_archives", "merge_facts", "merge_indexes", "open_archive", "open_entry", "reusable", "write_archive"]
+__all__ = ["archive_stats", "catalog_stats", "dump", "entry_hashes", "entry_position", "first_of_hash", "merge_archives", "merge_facts", "merge_indexes", "open_archive", "open_entry", "reusable", "write_archive"]

@@ -63,3 +63,8 @@ def file_report(paths: DataFrame) -> Report:
 
 def symbol_report(types: DataFrame) -> Report:
     return Report("Symbols", ("symbol", "symbol_type"), numbered(types, ["symbol"]), closes=False)
+
+
+def batches(report_rows: DataFrame, n: int) -> DataFrame:
+    """report_rows (source_row) with batch: groups of a twentieth of the n rows, 100 at least."""
+    return report_rows.withColumn("batch", F.floor(F.col("source_row") / F.lit(max(100, n // 20))).cast("bigint"))

@@ -157,3 +157,30 @@ def match_label(pattern: Column, count: Column, selected: Column) -> Column:
         F.when(pattern == "", F.lit("")).when(selected >= 0, F.concat((selected + 1).cast("string"), F.lit(" of "), count.cast("string")))
         .when(count == 1, F.lit("1 match")).otherwise(F.concat(count.cast("string"), F.lit(" matches")))
     )
+
+
+def range_text(content: Column, start: Column, end: Column) -> Column:
+    """Text of the byte range from start to end, cut to the content."""
+    first = F.greatest(start, F.lit(0)).cast("int")
+    last = F.least(end, F.octet_length(content)).cast("int")
+    return F.substring(content.cast("binary"), first + 1, F.greatest(last - first, F.lit(0))).cast("string")
+
+
+def char_widths(line_rows: DataFrame) -> DataFrame:
+    """file, line, col (byte), n (bytes), is_word of every character."""
+    chars = line_rows.select("file", "line", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "c"))
+    w = W.partitionBy("file", "line").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    n = F.octet_length("c").cast("bigint")
+    return chars.select("file", "line", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint").alias("col"), n.alias("n"), F.col("c").rlike("^[A-Za-z0-9_]$").alias("is_word"))
+
+
+def backgrounds(spans: DataFrame) -> DataFrame:
+    """file, at, what: of the spans (file, start, end, what) over each byte the strongest: selection, then hover, then match."""
+    rank = F.when(F.col("what") == "selection", 3).when(F.col("what") == "hover", 2).otherwise(1)
+    cells = spans.where(F.col("end") > F.col("start")).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    return cells.groupBy("file", "at").agg(F.max_by("what", rank).alias("what"))
+
+
+def canonical_files(files: DataFrame) -> DataFrame:
+    """real_path, ids: one context per real path for files (id, real_path) that several names reach."""
+    return files.groupBy("real_path").agg(F.array_sort(F.collect_set("id")).alias("ids"))

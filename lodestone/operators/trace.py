@@ -120,6 +120,15 @@ def read_compile_db(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("directory string, command string, file string, arguments array<string>").option("multiLine", True).json(path)
 
 
+def split_command(command: Column) -> Column:
+    """argv of a shell command line: quotes group, a backslash takes the next character as it is (not within single quotes)."""
+    parts = F.regexp_extract_all(command, F.lit("(?:'[^']*'|\"(?:\\\\.|[^\"\\\\])*\"|\\\\.|[^\\s'\"\\\\])+"), F.lit(0))
+    pieces = lambda a: F.regexp_extract_all(a, F.lit("'[^']*'|\"(?:\\\\.|[^\"\\\\])*\"|\\\\.|[^'\"\\\\]+"), F.lit(0))
+    inner = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)
+    plain = lambda p: F.when(F.startswith(p, F.lit("'")), inner(p)).otherwise(F.regexp_replace(F.when(F.startswith(p, F.lit('"')), inner(p)).otherwise(p), "\\\\(.)", "$1"))
+    return F.transform(parts, lambda a: F.array_join(F.transform(pieces(a), plain), ""))
+
+
 def indexing_jobs(commands: DataFrame) -> DataFrame:
     """directory, source, argv (driver replaced), index_path of commands (directory, file, argv).
 
@@ -162,4 +171,4 @@ def strip_precompiled(jobs: DataFrame, precompiled: DataFrame) -> DataFrame:
     return out.withColumn("argv", F.transform(kept, lambda x: x["arg"])).drop("_job", "_m", "_drop")
 
 
-__all__ = ["absolute", "below_driver", "compile_steps", "decode_pids", "encode_pids", "indexing_jobs", "parents", "quote", "read_compile_db", "read_trace", "strip_precompiled", "write_compile_db"]
+__all__ = ["absolute", "below_driver", "compile_steps", "decode_pids", "encode_pids", "indexing_jobs", "parents", "quote", "read_compile_db", "read_trace", "split_command", "strip_precompiled", "write_compile_db"]

@@ -74,3 +74,14 @@ def visible(tree: DataFrame, opened: DataFrame) -> DataFrame:
     ancestors = tree.select("category", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/", -1)) - 1), lambda i: F.array_join(F.slice(F.split("path", "/", -1), F.lit(1), i), "/"))).alias("folder")).where("folder <> ''")
     shut = ancestors.join(opened.select("category", F.col("path").alias("folder")), ["category", "folder"], "left_anti").select("category", "path").distinct()
     return tree.join(shut, ["category", "path"], "left_anti")
+
+
+def ancestors(path: Column) -> Column:
+    """All folders above a path, the outermost first."""
+    parts = F.split(path, "/", -1)
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def open_all(tree: DataFrame, chosen: DataFrame) -> DataFrame:
+    """category, path of the folders to open so that all chosen (category, path) show."""
+    return chosen.select("category", F.explode(ancestors(F.col("path"))).alias("path")).distinct().join(tree.where("NOT is_file").select("category", "path"), ["category", "path"], "left_semi")

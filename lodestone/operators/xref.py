@@ -103,3 +103,8 @@ def first_definition(facts: DataFrame) -> DataFrame:
     w = W.partitionBy("symbol").orderBy("file", "line", "start_col", "end_col")
     rows = facts.where(F.col("kind") == DEFINITION).select(*REFERENCE).distinct()
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def with_text(refs: DataFrame, line_rows: DataFrame) -> DataFrame:
+    """refs (line from 1) with the text of their line; line_rows count from 0."""
+    return refs.join(line_rows.select("file", (F.col("line") + 1).alias("line"), "text"), ["file", "line"])

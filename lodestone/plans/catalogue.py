@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import regex
 from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
-from lodestone.plans.fixtures import DECLARATIONS, JOBS, NAMES, PRECOMPILED, TABS, TRACE_RECORDS
+from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, JOBS, NAME_SPANS, NAMES, PRECOMPILED, TABS, TRACE_RECORDS
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
 from lodestone.sources.facts import document_files, event_refs, line_refs, page_paths
@@ -558,4 +558,83 @@ def volume_point_lookup(s: SparkSession, d: str) -> DataFrame:
     return xref.point_in_span(li, li.select("file", "line", F.col("start_col").alias("col")))
 
 
+# --- smaller operators ----------------------------------------------------
+
+
+@query
+def command_split(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame(COMMANDS, "command string").withColumn("argv", trace.split_command(F.col("command")))
+    return rows.select("command", F.array_join("argv", "|").alias("argv"), F.size("argv").cast("bigint").alias("n"))
+
+
+@query
+def widened_spans(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame(NAME_SPANS, "line string, at bigint, name string")
+    return rows.withColumn("x", classify.widened_span(F.col("line"), F.col("at"), F.col("name"))).select("line", "x.start", "x.end")
+
+
+@query
+def range_text(s: SparkSession, d: str) -> DataFrame:
+    files = document_files(s, d).where(F.octet_length("content") == F.length("content"))
+    return files.select("file", text.range_text(F.col("content"), F.lit(10), F.lit(60)).alias("text"))
+
+
+@query
+def char_widths(s: SparkSession, d: str) -> DataFrame:
+    rows = text.lines(document_files(s, d)).where("line < 2")
+    return text.char_widths(rows).groupBy("file", "line", "n", "is_word").agg(F.count("*").alias("chars"), F.max("col").alias("last"))
+
+
+@query
+def refs_with_text(s: SparkSession, d: str) -> DataFrame:
+    rows = text.lines(document_files(s, d))
+    refs = text.matches(document_files(s, d), "the[a-z]* of").join(document_files(s, d).select("file"), "file").select("file", F.lit(1).cast("bigint").alias("line"), "idx")
+    return xref.with_text(refs, rows)
+
+
+@query
+def match_backgrounds(s: SparkSession, d: str) -> DataFrame:
+    found = text.matches(document_files(s, d), "the[a-z]* of").select("file", "start", (F.col("start") + F.col("len")).alias("end"), F.when(F.col("idx") == 1, "hover").when(F.col("idx") == 2, "selection").otherwise("match").alias("what"))
+    wider = found.where("what = 'selection'").withColumn("start", F.greatest(F.col("start") - 40, F.lit(0)))
+    return text.backgrounds(found.unionByName(wider)).groupBy("file", "what").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+
+
+@query
+def tree_open_all(s: SparkSession, d: str) -> DataFrame:
+    t = tree.nodes(page_paths(s, d))
+    return tree.open_all(t, t.where("is_file AND depth > 2").select("category", "path"))
+
+
+@query
+def archive_entry_position(s: SparkSession, d: str) -> DataFrame:
+    manifest = merge.entry_hashes(event_refs(s, d))
+    return merge.entry_position(manifest, "@/ev/2024-01-05").unionByName(merge.entry_position(manifest, "@/zz"))
+
+
+@query
+def archive_dump(s: SparkSession, d: str) -> DataFrame:
+    return merge.archive_stats(event_refs(s, d))
+
+
+@query
+def report_batches(s: SparkSession, d: str) -> DataFrame:
+    rows = report.file_report(xref.all_symbols(event_refs(s, d)).withColumnRenamed("symbol", "path")).rows
+    return report.batches(rows, rows.count()).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query
+def canonical_files(s: SparkSession, d: str) -> DataFrame:
+    files = document_files(s, d).select(F.col("doc_id").alias("id"), F.sha2("content", 256).alias("real_path"))
+    return text.canonical_files(files).select("real_path", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query
+def macro_facts(s: SparkSession, d: str) -> DataFrame:
+    names = {"signup": "define", "view": "ifdef", "click": "expand", "purchase": "undef", "error": "defined"}
+    e = table(s, d, "events")
+    event = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    macros = e.select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.hour("ts").cast("bigint").alias("line"), F.minute("ts").cast("bigint").alias("col"), F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("name"), F.try_element_at(event, "event_type").alias("event"))
+    return classify.macro_facts(macros)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -42,3 +42,7 @@ DECLARATIONS = [
     ("function", "f", True), ("function", "f", False), ("instantiated-function", "f", True), ("parameter", "p", False), ("parameter", "p", True), ("class", None, True), ("struct", "S", True),
     ("field", "x", True), ("using-directive", "N", False), ("class-template", "T", True), ("label", "l", True), ("macro", "M", True), ("namespace-alias", "A", False), ("enumerator", "E", True),
 ]
+COMMANDS = [
+    ("g++ -c 'a b.cc' -o a.o",), (r"""cc  -DX=\"y\" "-I/a \\ b" x\ y.c""",), ("",), (r"""gcc 'it'\''s' ""z""",),
+]
+NAME_SPANS = [("x ~Foo()", 4, "Foo"), ("bool operator  ==(", 16, "=="), ("é ~ B", 6, "B"), ("myoperator x", 12, "x")]

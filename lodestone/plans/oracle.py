@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestone.operators import classify, syntax, trace
-from lodestone.plans.fixtures import DECLARATIONS, JOBS, NAMES, TABS, TRACE_RECORDS
+from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, JOBS, NAME_SPANS, NAMES, TABS, TRACE_RECORDS
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -287,3 +287,31 @@ oracle(
   QUALIFY row_number() OVER (PARTITION BY p.file, p.line, p.col ORDER BY lr.start_col DESC, lr.end_col, lr.symbol, lr.kind) = 1""",
     LI,
 )
+_ARGV = ["g++|-c|a b.cc|-o|a.o", r'cc|-DX="y"|-I/a \ b|x y.c', "", "gcc|it's|z"]
+oracle("command_split", f"SELECT command, argv, CAST(n AS BIGINT) AS n FROM {values([(c, a, len(a.split('|')) if a else 0) for (c,), a in zip(COMMANDS, _ARGV, strict=True)], 'command, argv, n')}")
+_AT = [(3, 7), (6, 18), (4, 7), (12, 13)]
+oracle("widened_spans", f'SELECT line, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM {values([(x[0], *at) for x, at in zip(NAME_SPANS, _AT, strict=True)], 'line, "start", "end"')}')
+oracle("range_text", "SELECT file, substr(content, 11, 50) AS text FROM df WHERE strlen(content) = length(content)", DOC)
+oracle(
+    "char_widths",
+    """SELECT file, line, n, is_word, count(*) AS chars, max(col) AS last FROM (SELECT file, line, CAST(strlen(text[1:i - 1]) AS BIGINT) AS col, CAST(strlen(text[i]) AS BIGINT) AS n, regexp_matches(text[i], '^[A-Za-z0-9_]$') AS is_word
+FROM (SELECT file, line, text, unnest(range(1, length(text) + 1)) AS i FROM dl WHERE line < 2)) GROUP BY file, line, n, is_word""",
+    DOC,
+)
+oracle("refs_with_text", "SELECT m.file, CAST(1 AS BIGINT) AS line, idx, text FROM m JOIN dl ON m.file = dl.file AND dl.line = 0", DOC, MATCH)
+oracle(
+    "match_backgrounds",
+    """SELECT file, what, count(*) AS n, min("at") AS first FROM (SELECT file, "at", arg_max(what, p) AS what FROM (SELECT file, what, CASE what WHEN 'selection' THEN 3 WHEN 'hover' THEN 2 ELSE 1 END AS p, unnest(range(a, b)) AS "at" FROM
+(SELECT file, start AS a, start + len AS b, CASE idx WHEN 1 THEN 'hover' WHEN 2 THEN 'selection' ELSE 'match' END AS what FROM m UNION ALL SELECT file, greatest(start - 40, 0), start + len, 'selection' FROM m WHERE idx = 2)) GROUP BY file, "at") GROUP BY file, what""",
+    DOC, MATCH,
+)
+oracle("tree_open_all", "SELECT DISTINCT category, array_to_string(string_split(path, '/')[1:i], '/') AS path FROM (SELECT category, path, unnest(range(1, depth)) AS i FROM tn WHERE is_file AND depth > 2)", PG)
+oracle("archive_entry_position", "SELECT CASE WHEN count(*) FILTER (file = n) > 0 THEN count(DISTINCT file) FILTER (file < n) ELSE -1 END AS position FROM ev, (VALUES ('@/ev/2024-01-05'), ('@/zz')) AS v(n) GROUP BY n", EV)
+oracle("archive_dump", "SELECT name, hash, n, symbols FROM (SELECT file AS name, sha256(string_agg(x, chr(10) ORDER BY x)) AS hash, count(*) AS n FROM (SELECT file, concat_ws('|', file, line, start_col, end_col, symbol, kind) AS x FROM r) GROUP BY file) JOIN (SELECT file AS name, count(DISTINCT symbol) AS symbols FROM r GROUP BY file) USING (name)", EV)
+oracle("report_batches", "SELECT CAST(i // greatest(100, t // 20) AS BIGINT) AS batch, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS t FROM (SELECT symbol FROM ev UNION SELECT file FROM ev)) GROUP BY 1", EV)
+oracle("canonical_files", "SELECT sha256(content) AS real_path, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM df GROUP BY content", DOC)
+oracle(
+    "macro_facts",
+    """SELECT strftime(ts, '%Y-%m-%d') AS file, hour(ts) AS line, minute(ts) AS start_col, minute(ts) + strlen('M' || user_id) AS end_col, '#M' || user_id AS symbol,
+  CASE event_type WHEN 'signup' THEN 'Definition' WHEN 'purchase' THEN 'Undefinition' WHEN 'click' THEN 'Expansion' ELSE 'Defined-Test' END AS kind, 'Macro' AS symbol_type FROM events""",
+)
