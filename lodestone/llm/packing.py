@@ -162,8 +162,8 @@ def rounds(lengths: DataFrame, shares: dict[str, float] | None = None, window: i
     rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1))
     per = rows.groupBy("queue").agg(F.sum("n_tokens").alias("t"))
     if shares is None:
-        total = rows.agg(F.sum("n_tokens").alias("total"))
-        quanta = per.join(F.broadcast(total)).select("queue", (F.col("t") / F.col("total") * window).alias("quantum"))
+        total = lengths.agg(F.sum("n_tokens").alias("n")).first()["n"] or 1
+        quanta = per.select("queue", (F.col("t") / F.lit(total) * window).alias("quantum"))
     else:
         named = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (f"={k}", float(v))])
         quanta = per.select("queue", (F.coalesce(F.try_element_at(named, "queue"), F.lit(min(shares.values()))) / F.lit(sum(shares.values())) * window).alias("quantum"))
@@ -173,7 +173,7 @@ def rounds(lengths: DataFrame, shares: dict[str, float] | None = None, window: i
 
 def stream(lengths: DataFrame, **params: object) -> DataFrame:
     """rounds() with at long: the place of the document's first token in the whole stream."""
-    rows = rounds(lengths, **params)
+    rows = written(rounds(lengths, **params))  # no text in it; three passes follow
     per = rows.groupBy("round").agg(F.sum("n_tokens").alias("_t")).withColumn("_g", F.floor(F.col("round") / ROUND_GROUP).cast("long"))
     groups = per.groupBy("_g").agg(F.sum("_t").alias("_s"))
     groups = groups.select("_g", F.coalesce(F.sum("_s").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_gs"))
