@@ -19,7 +19,7 @@ counted over all documents in TABLE hash slots, a table of fixed size.
    outside its largest one are compared with all its other chunks.
 4. Connected components of the links are the classes.
 
-Two documents of similarity 0.8 share a bucket with a chance of 0.996.
+Two documents of similarity 0.8 share a bucket with a chance of 0.9998.
 
 Edge cases: null, empty and blank texts have the same (no) words and are one
 class; rows that repeat share their id's class; null ids are left out; an
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import BLOCK, blocks_of, vector_sum, word_array, written
 
 SHINGLE = 5
-BANDS, ROWS = 11, 4
+BANDS, ROWS = 16, 4
 TABLE = 1 << 20
 RARE = 0.05
 CHUNK = 512
