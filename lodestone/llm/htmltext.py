@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -81,13 +82,20 @@ class Page:
     gold: list[bool] = field(default_factory=list)  # of leaves, in made pages
 
 
+CLOSES = {t: [other for other, by in CLOSED_BY.items() if t in by] for t in frozenset().union(*CLOSED_BY.values())}
+
+
 class _Parser(HTMLParser):
+    """Work per tag doesn't grow with the number of open elements, but for the tags that end them."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.page = Page()
-        self.open: list[tuple[str, int, bool]] = []  # tag, node (-1 inline), marked as main text
+        self.open: list[tuple[str, int, bool]] = []  # tag, node (-1 inline, -2 skipped), marked as main text
+        self.names: Counter = Counter()  # of open elements
+        self.blocks = [0]
         self.parts: list[str] = []
-        self.links = self.skip = 0
+        self.links = self.skip = self.marked = 0
         self.link_chars = 0
         self._node("html", "", False)
 
@@ -98,83 +106,88 @@ class _Parser(HTMLParser):
             if (k := WORD_GROUP.get(w.lower())) is not None:
                 bits |= 1 << k
         p.tag.append(tag)
-        p.parent.append(self._block() if p.parent else -1)
+        p.parent.append(self.blocks[-1] if p.parent else -1)
         p.groups.append(bits)
         p.text.append("")
         p.link.append(0)
         p.gold.append(gold)
         return len(p.tag) - 1
 
-    def _block(self) -> int:
-        return next((n for _, n, _ in reversed(self.open) if n >= 0), 0)
+    def _push(self, tag: str, node: int, gold: bool = False) -> None:
+        self.open.append((tag, node, gold))
+        self.names[tag] += 1
+        self.marked += gold
+        self.links += tag == "a" and node == -1
+        self.skip += node == -2
+        if node >= 0:
+            self.blocks.append(node)
+
+    def _drop(self, k: int, end: int | None = None) -> None:
+        """Close the open elements from k to end."""
+        for tag, node, gold in self.open[k:end]:
+            self.names[tag] -= 1
+            self.marked -= gold
+            self.links -= tag == "a" and node == -1
+            self.skip -= node == -2
+            if node >= 0:
+                self.blocks.pop()
+        del self.open[k:end]
 
     def _flush(self) -> None:
         if self.parts:
             text = _SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
-                i = self._node("#text", "", bool(self.open) and any(g for _, _, g in self.open))
+                i = self._node("#text", "", self.marked > 0)
                 self.page.text[i], self.page.link[i] = text, min(self.link_chars, len(text))
             self.parts.clear()
         self.link_chars = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skip:
-            if tag in SKIP and tag not in VOID:
-                self.skip += 1
-                self.open.append((tag, -2, False))
-            return
         if tag in SKIP:
-            self.skip = 1
-            self.open.append((tag, -2, False))
+            self._push(tag, -2)
+            return
+        if self.skip:
             return
         if tag == "br":
             self.parts.append(" ")
             return
         if tag in INLINE:
-            self.open.append((tag, -1, False))
-            self.links += tag == "a"
+            self._push(tag, -1)
             return
         self._flush()
         if tag in VOID:
             return
-        for k in range(len(self.open) - 1, -1, -1):  # implied ends
-            other = self.open[k][0]
-            if tag in CLOSED_BY.get(other, ()):
-                self._close(k)
-                break
-            if other in LISTS:
-                break
-        if tag in ("html", "body") and any(t == tag for t, _, _ in self.open):
+        if any(self.names[other] for other in CLOSES.get(tag, ())):  # implied ends
+            for k in range(len(self.open) - 1, -1, -1):
+                other = self.open[k][0]
+                if tag in CLOSED_BY.get(other, ()):
+                    self._drop(k)
+                    break
+                if other in LISTS:
+                    break
+        if tag in ("html", "body") and self.names[tag]:
             return
         named = dict(attrs)
         gold = "data-gold" in named
         names = " ".join(named.get(k) or "" for k in ("class", "id", "role"))
-        self.open.append((tag, 0 if tag == "html" else self._node(tag, names, gold), gold))
+        self._push(tag, 0 if tag == "html" else self._node(tag, names, gold), gold)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("p", "div", "section", "article", "li"):
             self.handle_endtag(tag)
 
-    def _close(self, k: int) -> None:
-        self._flush()
-        for tag, node, _ in self.open[k:]:
-            self.links -= tag == "a" and node == -1
-            self.skip -= node == -2
-        del self.open[k:]
-
     def handle_endtag(self, tag: str) -> None:
+        if not self.names[tag] or self.skip and tag not in SKIP:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             other, node, _ = self.open[k]
             if other == tag:
-                if node == -1:
-                    self.links -= tag == "a"
-                    del self.open[k]
-                elif node == -2:
-                    self.skip -= 1
-                    del self.open[k]
+                if node >= 0:
+                    self._flush()
+                    self._drop(k)
                 else:
-                    self._close(k)
+                    self._drop(k, k + 1)
                 return
             if tag in INLINE and node >= 0 and other in LISTS:
                 return
