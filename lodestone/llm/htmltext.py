@@ -30,7 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGES = 360
+PAGES = 480
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
@@ -61,10 +61,16 @@ GROUPS = {
     "form": "form search subscribe newsletter signup login share sharing social follow contact",
     "main": "content article post entry main body story text page prose markdown",
 }
+#: Parts of longer names.
+STEMS = {
+    "nav": ("breadcrumb", "navig", "pagina"), "head": ("header", "masthead"), "foot": ("footer", "copyright"), "side": ("sidebar", "widget", "related", "trending"), "note": ("cookie", "consent", "notice", "popup"),
+    "ad": ("advert", "sponsor", "promo", "banner"), "talk": ("comment", "discuss", "replies"), "form": ("newsletter", "subscri", "signup", "search"), "main": ("content", "article", "story"),
+}
 WORD_GROUP = {w: i for i, (_, ws) in reversed(list(enumerate(GROUPS.items()))) for w in ws.split()}
 TAGS = "html body nav header footer aside main article section div p h1 h2 h3 h4 li ul ol table tr td form fieldset blockquote pre figure figcaption dl details address #text".split()
 TAG_NO = {t: i for i, t in enumerate(TAGS)}
 OUTER = ("nav", "header", "footer", "aside", "article", "main", "form")
+STEM_GROUP = [(stem, list(GROUPS).index(g)) for g, stems in STEMS.items() for stem in stems]
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -82,6 +88,14 @@ class Page:
     gold: list[bool] = field(default_factory=list)  # of leaves, in made pages
 
 
+@lru_cache(100_000)
+def _groups(word: str) -> int:
+    """Bits of the groups that a word of a name belongs to."""
+    if word in WORD_GROUP:
+        return 1 << WORD_GROUP[word]
+    return next((1 << k for stem, k in STEM_GROUP if stem in word), 0)
+
+
 CLOSES = {t: [other for other, by in CLOSED_BY.items() if t in by] for t in frozenset().union(*CLOSED_BY.values())}
 
 
@@ -103,8 +117,8 @@ class _Parser(HTMLParser):
         p = self.page
         bits = 0
         for w in _SPLIT.split(names):
-            if (k := WORD_GROUP.get(w.lower())) is not None:
-                bits |= 1 << k
+            if w:
+                bits |= _groups(w.lower())
         p.tag.append(tag)
         p.parent.append(self.blocks[-1] if p.parent else -1)
         p.groups.append(bits)
@@ -169,7 +183,7 @@ class _Parser(HTMLParser):
             return
         named = dict(attrs)
         gold = "data-gold" in named
-        names = " ".join(named.get(k) or "" for k in ("class", "id", "role"))
+        names = " ".join(named.get(k) or "" for k in ("class", "id", "role", "itemprop", "aria-label"))
         self._push(tag, 0 if tag == "html" else self._node(tag, names, gold), gold)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -436,9 +450,9 @@ def made_page(seed: int) -> str:
     if chance(0.8):
         top.append(_part(rng, "nav", ["nav", "main-menu", "navbar", "breadcrumbs", "menu"], _links(rng, rng.randint(2, 12), rng.choice(["ul", "ul", "flat"])), plain))
     if chance(0.4):
-        rng.choice([top, bottom]).append(_part(rng, "div", ["cookie-notice", "notice", "consent", "cookie-banner", "gdpr"], f"<p>{_words(rng, rng.randint(4, 40))}</p>" + rng.choice(["", "<button>Ok</button>", '<a href="/p">More</a>']), 0))
+        rng.choice([top, bottom]).append(_part(rng, "div", ["cookie-notice", "notice", "consent", "cookie-banner", "gdpr", "notice notice-info", "alert"], f"<p>{_words(rng, rng.randint(4, 40))}</p>" + rng.choice(["", "<button>Ok</button>", '<a href="/p">More</a>']), 0))
     if chance(0.6):
-        rng.choice([top, left, right, bottom]).append(_part(rng, "div", ["ad", "ads", "advert", "sponsored", "promo", "ad-slot"], rng.choice([_words(rng, rng.randint(2, 40)), f"<p>{_words(rng, rng.randint(2, 40))}</p>", _words(rng, 5) + "\n" + _words(rng, 9)]), 0))
+        rng.choice([top, left, right, bottom]).append(_part(rng, "div", ["ad", "ads", "advert", "sponsored", "promo", "ad-slot", "advertisement", "ad-banner", "adbanner"], rng.choice([_words(rng, rng.randint(2, 40)), f"<p>{_words(rng, rng.randint(2, 40))}</p>", _words(rng, 5) + "\n" + _words(rng, 9)]), 0))
     if chance(0.5):
         rng.choice([left, right]).append(_part(rng, "aside", ["sidebar", "widget", "related", "side-bar", "popular"], f"<h3>{_short(rng)}</h3>" * chance(0.6) + rng.choice([_links(rng, rng.randint(2, 10)), f"<p>{_words(rng, rng.randint(4, 60))}</p>", _links(rng, 3) + f"<p>{_words(rng, 20)}</p>"]), plain))
     if chance(0.35):
@@ -449,7 +463,7 @@ def made_page(seed: int) -> str:
         bottom.append(_part(rng, "footer", ["footer", "site-footer", "copyright"], rng.choice([f"&copy; {_words(rng, rng.randint(2, 30))}", f"<p>{_words(rng, rng.randint(4, 40))}</p>", _links(rng, 5) + f"<p>&copy; {_short(rng)}</p>", f"&copy; x.example &middot; {_words(rng, 8)}\n{_words(rng, 5)}"]), plain))
     kind = rng.choice(["article", "article", "article", "main", "named", "section", "plain"])
     tag = {"article": "article", "main": "main", "section": "section"}.get(kind, "div")
-    attrs = _attrs(rng, ["content", "article-body", "post", "entry-content", "story", "main-content"], 1 if kind == "named" else 0.3) if kind != "plain" else ""
+    attrs = _attrs(rng, ["content", "article-body", "post", "entry-content", "story", "main-content", "post-body", "maincontent", "text"], 1 if kind == "named" else 0.3) if kind != "plain" else ""
     text = _body(rng)
     cut = text.find("<p>", len(text) // 2)
     if chance(0.2) and cut > 0:  # boilerplate in the midst of the main text
@@ -463,6 +477,8 @@ def made_page(seed: int) -> str:
         main = f"<{tag}{attrs} data-gold>{text}</{tag}>"
     if chance(0.2) and tag != "main":
         main = f"<main>{main}</main>"
+    for _ in range(rng.choice([0, 0, 0, 1, 2])):
+        main = f"<div{_attrs(rng, ['wrap', 'row', 'col', 'inner', 'center'], 0.7)}>{main}</div>"
     if chance(0.3):
         body = "".join(top) + f"<div{_attrs(rng, ['wrap', 'container', 'page', 'layout'], 0.7)}>" + "".join(left) + main + "".join(right) + "</div>" + "".join(bottom)
     else:
