@@ -33,7 +33,7 @@ from lodestone.llm.common import written
 
 M = 16
 EF_BUILD = 80
-EF_SEARCH = 96
+EF_SEARCH = 128
 
 
 class Graph:
