@@ -9,6 +9,9 @@ from pyspark.sql.window import Window as W
 from lodestone.operators.tables import global_symbols, symbol_rows
 from lodestone.schema import DECLARATION, DEFINITION, PATH_TYPE, REFERENCE
 
+#: Columns to a stretch of a line in point lookups.
+STRETCH = 32
+
 
 def refs_of_symbol(facts: DataFrame, symbol: str) -> DataFrame:
     """Distinct references of one symbol; none for an unknown symbol."""
@@ -74,10 +77,13 @@ def covers(start: Column, end: Column, at: Column) -> Column:
 def point_in_span(facts: DataFrame, points: DataFrame) -> DataFrame:
     """The innermost reference at each point (file, line, col): latest start, then earliest end, then symbol and kind order.
 
-    One aggregate per point over the references of its line; nothing is ranked or sorted.
+    A span stands in each stretch of STRETCH columns that it touches, a point in
+    one; so a point meets the spans near it, not all of a long line. The best is
+    one aggregate per point; nothing is ranked or sorted.
     """
-    refs = facts.select(*REFERENCE).distinct()
-    hit = points.distinct().join(refs, ["file", "line"]).where(covers(F.col("start_col"), F.col("end_col"), F.col("col")))
+    stretch = lambda c: F.floor(c / STRETCH).cast("bigint")
+    refs = facts.select(*REFERENCE).distinct().where("end_col > start_col").withColumn("_s", F.explode(F.sequence(stretch(F.col("start_col")), stretch(F.col("end_col") - 1))))
+    hit = points.distinct().withColumn("_s", stretch(F.col("col"))).join(refs, ["file", "line", "_s"]).where(covers(F.col("start_col"), F.col("end_col"), F.col("col")))
     best = F.min(F.struct((-F.col("start_col")).alias("later"), "end_col", "symbol", "kind")).alias("b")
     return hit.groupBy("file", "line", "col").agg(best).select("file", "line", "col", (-F.col("b.later")).alias("start_col"), "b.end_col", "b.symbol", "b.kind")
 
