@@ -11,8 +11,9 @@ counted over all documents in TABLE hash slots, a table of fixed size.
 2. Improved consistent weighted sampling draws ROWS * BANDS samples per
    document; the samples of a band make its bucket.
 3. In each bucket every two documents that no chain of links joins yet are
-   compared by weighted Jaccard similarity over all their elements; those of
-   ``threshold`` or more are linked. Once linked, a document needn't be
+   compared by weighted Jaccard similarity over all their elements, with the
+   document frequencies and with term frequencies alone; those of ``threshold``
+   or more by either are linked. Once linked, a document needn't be
    compared with the rest of its group, so no group is expanded into pairs. A
    bucket of more than CHUNK documents is dealt into chunks by hash first.
    Then, where a large bucket still holds several components, the documents
@@ -212,7 +213,7 @@ def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], idf: n
     owner = np.repeat(np.arange(n), [len(s) // 2 for s in sets])
     own = values.reshape(-1, 2)
     weight = np.exp(idf[(own[:, 1] % np.uint64(TABLE)).astype(np.int64)]).astype(np.float64)
-    total = np.bincount(owner, weights=weight, minlength=n)
+    total, size = np.bincount(owner, weights=weight, minlength=n), np.bincount(owner, minlength=n)
     _, ids = np.unique(own[:, 0], return_inverse=True)
     by = np.argsort(ids, kind="stable")
     edges = np.concatenate([[0], np.cumsum(np.bincount(ids))])
@@ -228,7 +229,9 @@ def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], idf: n
             continue
         flat = np.repeat(first - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
         inter = np.bincount(members[flat], weights=np.repeat(weight[mine], k), minlength=n)
-        near = np.flatnonzero(inter >= threshold * (total + total[i] - inter) - 1e-9)
+        shared = np.bincount(members[flat], minlength=n)
+        alike = (inter >= threshold * (total + total[i] - inter) - 1e-9) | (shared >= threshold * (size + size[i] - shared) - 1e-9)
+        near = np.flatnonzero(alike)
         for j in near.tolist():
             if j != i and (flags is None or flags[i] != flags[j] or flags[i] == 1) and root(i) != root(j):
                 parent[root(i)] = root(j)
