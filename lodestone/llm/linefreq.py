@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, word_array, word_count
+from lodestone.llm.common import SPACE, word_array
 from lodestone.llm.spans import let
 
 WINDOW = 5
@@ -124,6 +124,3 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 10, max_share: float =
     cut = own.join(key(bad), ["host", "h", "salt"], "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("h").alias("_cut"))
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains("_cut", F.xxhash64(normalise(x))), F.lit(False)) | (normalise(x) == "")), "\n")
     return docs.join(cut, docs["doc_id"] == cut["_doc"], "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).drop("_doc", "_cut")
-
-
-__all__ = ["base_counts", "boilerplate", "doc_lines", "line_quality", "removed_words", "without_boilerplate", "word_count"]

@@ -37,11 +37,3 @@ def matches(text: Column, pattern: str, extra: Callable[[Column], Column] | None
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), fold, lambda acc: acc["out"])
 
     return F.when(text.rlike(pattern), let(found, walk)).otherwise(empty)
-
-
-def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """text with new(match) in place of each match; new gets and gives a string."""
-    gaps = F.split(text, pattern, -1)
-    ms = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), new)
-    parts = F.zip_with(gaps, ms, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
