@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.store import materialise as written
+from lodestone.sources.store import shared_dir, table
+
 #: A word is a maximal run of anything but the ASCII white space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests on one machine)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_array(text: Column) -> Column:
     """Words of a text as an array; none for a null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -79,3 +58,6 @@ def vector_sum(blocks: DataFrame) -> np.ndarray:
     first = blocks.repartition(4 * PARTS, "part", "task").mapInArrow(add, BLOCK)
     got = first.withColumn("task", F.lit(0)).repartition(PARTS, "part").mapInArrow(add, BLOCK).collect()
     return np.concatenate([np.frombuffer(r["sums"], "<f8") for r in sorted(got, key=lambda r: r["part"])])
+
+
+__all__ = ["BLOCK", "SPACE", "WORD", "blocks_of", "shared_dir", "table", "vector_sum", "word_array", "word_count", "written"]
