@@ -58,6 +58,13 @@ def bucket(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few texts are held as tokens at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def split(docs: DataFrame) -> DataFrame:
     """row, doc_id, text, held_out."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
@@ -73,7 +80,7 @@ def token_counts(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
-        for b in batches:
+        for b in _parts(batches):
             for text in b.column("text").to_pylist():
                 c.update(tokens(text))
             if len(c) > MEMO:
@@ -232,7 +239,7 @@ def fit(training: DataFrame, v: Vocabulary, seed: int = 7) -> list[np.ndarray]:
                 held.clear()
                 waiting = 0
 
-        for b in batches:
+        for b in _parts(batches):
             lists = [tokens(t) for t in b.column("text").to_pylist()]
             n = np.array([len(x) for x in lists], np.int64)
             symbols = table[np.fromiter((i for x in lists for i in map(ids.__getitem__, x)), np.int64, int(n.sum()))]
@@ -286,7 +293,7 @@ def score(rows: DataFrame, counts: DataFrame, v: Vocabulary, params: list[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, table, one_, two_, z, base, inside = tables()
-        for b in batches:
+        for b in _parts(batches):
             row, doc, held = (b.column(c).to_pylist() for c in ("row", "doc_id", "held_out"))
             lists = [tokens(t) for t in b.column("text").to_pylist()]
             n = np.array([len(x) for x in lists], np.int64)
