@@ -44,6 +44,8 @@ BANDS, ROWS = 16, 4
 TABLE = 1 << 20
 RARE = 0.05
 CHUNK = 512
+#: Element meetings that a comparison holds at a time.
+MEETINGS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -227,9 +229,13 @@ def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], idf: n
         k = last - first
         if not k.sum():
             continue
-        flat = np.repeat(first - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        inter = np.bincount(members[flat], weights=np.repeat(weight[mine], k), minlength=n)
-        shared = np.bincount(members[flat], minlength=n)
+        inter, shared = np.zeros(n), np.zeros(n, np.int64)
+        part = np.cumsum(k) // MEETINGS
+        for at in np.split(np.arange(len(k)), np.flatnonzero(np.diff(part)) + 1):  # long documents in parts
+            own_k = k[at]
+            flat = np.repeat(first[at] - (np.cumsum(own_k) - own_k), own_k) + np.arange(own_k.sum())
+            inter += np.bincount(members[flat], weights=np.repeat(weight[mine][at], own_k), minlength=n)
+            shared += np.bincount(members[flat], minlength=n)
         alike = (inter >= threshold * (total + total[i] - inter) - 1e-9) | (shared >= threshold * (size + size[i] - shared) - 1e-9)
         near = np.flatnonzero(alike)
         for j in near.tolist():
@@ -257,11 +263,13 @@ def _linked(rows: DataFrame, idf: object, threshold: float) -> DataFrame:
             held.clear()
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("group", "doc", "label", "els")), strict=True):
-                if held and held[0][0] != r[0]:
-                    flush()
-                if not held or held[-1][1] != r[1]:
-                    held.append(r)
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                for r in zip(*(part.column(c).to_pylist() for c in ("group", "doc", "label", "els")), strict=True):
+                    if held and held[0][0] != r[0]:
+                        flush()
+                    if not held or held[-1][1] != r[1]:
+                        held.append(r)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
             out.clear()
         flush()
