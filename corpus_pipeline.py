@@ -42,8 +42,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target proportions; a document stands there up to three times."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Sources in their target proportions, in the mix's order; a document stands there up to three times."""
+    return mixing.mixed(docs, ordered=True).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

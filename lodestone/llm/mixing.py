@@ -26,7 +26,7 @@ source of its own, last in order; rows that repeat are separate documents that
 get copies alike but for the last extra copy; an empty table gives an empty
 result; extra columns are kept by ``mixed`` (its own are shard, position and
 copy, each left out where the documents have one of that name) and ignored by
-``taken``.
+``taken``, which counts the copies that the shards drew.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestone.llm.common import word_count, written
+from lodestone.llm.spans import let
 
 BUCKETS = 256
 NULL = "\x00"
@@ -124,13 +125,15 @@ def _copies(sized: DataFrame, buckets: DataFrame, plan: DataFrame) -> DataFrame:
     return ranked.join(share, ["skey", "size", "hb"]).withColumn("copies", F.col("base") + (F.col("rank") <= F.col("quota")).cast("long")).drop("base", "quota", "hb")
 
 
-def taken(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = 3.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of docs."""
+def taken(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = 3.0, n_shards: int = 64, block_docs: int = 32, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, places: one row per row of docs.
+
+    places: array<struct<shard, position, copy>>, one for each copy in the mix, in the mix's order; taken counts their words.
+    """
     sized = written(_sized(docs.select("doc_id", "text", "source"), seed).drop("text", "source"))  # texts are read once
     sources = _sources(sized, weights, max_repeat)
-    buckets = sized.groupBy("skey", "size", "hb").agg(F.count("*").alias("n"))
-    rows = _copies(sized, buckets, _plan(buckets, sources)).join(F.broadcast(sources), "skey")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = _drawn(sized, sized, sources, n_shards, block_docs, seed).join(F.broadcast(sources), "skey")
+    return rows.select("doc_id", "size", "source_size", "target", (F.size("places") * F.col("size")).cast("long").alias("taken"), "places")
 
 
 def _sources(sized: DataFrame, weights: tuple[float, ...], max_repeat: float) -> DataFrame:
@@ -160,32 +163,43 @@ def split_blocks(blocks: dict[str, int], n_shards: int, seed: int) -> Iterable[t
         yield from walk(np.array([blocks[x] for x in names], dtype=np.int64), 0, n_shards, "")
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = 3.0, n_shards: int = 64, block_docs: int = 32, seed: int = 7) -> DataFrame:
+def _drawn(rows: DataFrame, slim: DataFrame, sources: DataFrame, n_shards: int, block_docs: int, seed: int) -> DataFrame:
+    """rows (with skey, size, h, hb and doc_id, as slim has them) with places: where the shards' draws put each copy."""
+    buckets = slim.groupBy("skey", "size", "hb").agg(F.count("*").alias("n"))
+    plan = written(_plan(buckets, sources))
+    # blocks: ranges of the copies' keyed hash, as many as give block_docs to a block on average
+    per = {r["skey"]: r["n"] for r in plan.groupBy("skey").agg(F.sum(F.col("n") * F.col("base") + F.col("extra")).alias("n")).collect()}
+    blocks = {k: -(-int(per[k]) // block_docs) for k in sorted(per) if per[k]}
+    spark = rows.sparkSession
+    counts = spark.createDataFrame(list(blocks.items()) or [("", 1)], "skey string, n_blocks long")
+    draws = spark.createDataFrame(list(split_blocks(blocks, n_shards, seed)) or [("", 0, 0, 0)], "skey string, shard long, first long, end long")
+    ends = draws.groupBy("skey").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+
+    def place(copy: Column) -> Column:
+        unit = F.shiftrightunsigned(keyed(seed + 1, F.col("doc_id"), F.col("rank"), copy), 11) / F.lit(float(1 << 53))
+        block = F.least(F.floor(unit * F.col("n_blocks")).cast("long"), F.col("n_blocks") - 1)
+        shard = let(block, lambda b: F.filter("ends", lambda e: e["end"] > b)[0]["shard"])
+        return F.struct(shard.alias("shard"), keyed(seed + 2, F.col("doc_id"), F.col("rank"), copy).alias("position"), copy.alias("copy"))
+
+    copies = _copies(rows, buckets, plan).join(F.broadcast(counts.join(ends, "skey")), "skey", "left")
+    places = F.array_sort(F.transform(F.sequence(F.lit(1).cast("long"), "copies"), place))
+    none = F.array().cast("array<struct<shard:long,position:long,copy:long>>")
+    return copies.withColumn("places", F.when(F.col("copies") > 0, places).otherwise(none)).drop("copies", "rank", "n_blocks", "ends")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: float = 3.0, n_shards: int = 64, block_docs: int = 32, seed: int = 7, ordered: bool = False) -> DataFrame:
     """The mix: docs' columns with copy, shard and position long; a document stands there once per copy.
 
-    The order of the mix is (shard, position).
+    The order of the mix is (shard, position); ordered sorts the rows by it.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)
     at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
     sized = own.withColumns({"skey": source_key(at["source"]), "size": word_count(at["text"]), "doc_id": at["doc_id"], "h": keyed(seed, at["doc_id"])}).withColumn("hb", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     slim = written(sized.select("skey", "size", "h", "hb", "doc_id"))
-    buckets = slim.groupBy("skey", "size", "hb").agg(F.count("*").alias("n"))
-    plan = written(_plan(buckets, _sources(slim, weights, max_repeat)))
-    # blocks: ranges of the copies' keyed hash, as many as give block_docs to a block on average
-    per = {r["skey"]: r["n"] for r in plan.groupBy("skey").agg(F.sum(F.col("n") * F.col("base") + F.col("extra")).alias("n")).collect()}
-    blocks = {k: -(-int(per[k]) // block_docs) for k in sorted(per) if per[k]}
-    spark = docs.sparkSession
-    counts = spark.createDataFrame(list(blocks.items()) or [("", 1)], "skey string, n_blocks long")
-    draws = spark.createDataFrame(list(split_blocks(blocks, n_shards, seed)) or [("", 0, 0, 0)], "skey string, shard long, first long, end long")
-    ends = draws.groupBy("skey").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
-    sources_plan = counts.join(ends, "skey")
-    rows = _copies(sized, buckets, plan).where("copies > 0").join(F.broadcast(sources_plan), "skey")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    place = keyed(seed + 1, F.col("doc_id"), F.col("rank"), F.col("copy"))
-    unit = F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))
-    rows = rows.withColumn("_block", F.least(F.floor(unit * F.col("n_blocks")).cast("long"), F.col("n_blocks") - 1))
-    rows = rows.withColumn("shard", F.filter("ends", lambda e: e["end"] > F.col("_block"))[0]["shard"])
-    rows = rows.withColumn("position", keyed(seed + 2, F.col("doc_id"), F.col("rank"), F.col("copy")))
+    rows = _drawn(sized, slim, _sources(slim, weights, max_repeat), n_shards, block_docs, seed)
+    rows = rows.select(*names, F.inline("places"))
+    if ordered:
+        rows = rows.orderBy("shard", "position", "copy")
     own_names = [c for c in ("copy", "shard", "position") if c not in docs.columns]
     return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], *own_names)

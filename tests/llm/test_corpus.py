@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import mixing, neardup, packing, secrets, toxicity
+from lodestone.llm import mixing, neardup, packing, queries, secrets, toxicity
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -98,6 +98,18 @@ def test_mixed_rows_follow_taken(docs, clashing):
         assert out.columns[: len(df.columns)] == df.columns
 
 
+def test_taken_counts_the_drawn_copies(spark, docs, hard):
+    for df in (docs, hard):
+        rows = mixing.taken(df, n_shards=8, block_docs=4).collect()
+        assert all(r.taken == len(r.places) * r["size"] and list(r.places) == sorted(r.places) for r in rows)
+        mixed = mixing.mixed(df, n_shards=8, block_docs=4, ordered=True).select("doc_id", "shard", "position", "copy").collect()
+        assert Counter(map(tuple, mixed)) == Counter((r.doc_id, *p) for r in rows for p in r.places)
+        assert [tuple(r)[1:] for r in mixed] == sorted(tuple(r)[1:] for r in mixed)
+    assert {p.shard for r in mixing.taken(docs, n_shards=8, block_docs=4).collect() for p in r.places} == set(range(8))
+    op7 = queries.QUERIES["op7_mixing"](spark, SF).select("doc_id", F.inline("places")).orderBy("shard", "position").collect()
+    assert [r.doc_id for r in corpus_pipeline.mix(spark, docs, SF).collect()] == [r.doc_id for r in op7]
+
+
 def test_splitting_tree_deals_every_block_once():
     blocks = {"a": 1000, "b": 37, "c": 1}
     draws = list(mixing.split_blocks(blocks, 16, 3))
