@@ -9,7 +9,9 @@ counted over all documents in TABLE hash slots, a table of fixed size.
 
 1. Documents of the same words are one class; its smallest id stands for it.
 2. Improved consistent weighted sampling draws ROWS * BANDS samples per
-   document; the samples of a band make its bucket.
+   document; the samples of a band make its bucket. A document with common
+   shingles draws them a second time with all weights 1, so that it meets those
+   that are like it by term frequencies alone.
 3. In each bucket every two documents that no chain of links joins yet are
    compared by weighted Jaccard similarity over all their elements, with the
    document frequencies and with term frequencies alone; those of ``threshold``
@@ -20,7 +22,9 @@ counted over all documents in TABLE hash slots, a table of fixed size.
    outside its largest one are compared with all its other chunks.
 4. Connected components of the links are the classes.
 
-Two documents of similarity 0.8 share a bucket with a chance of 0.9998.
+Two documents of similarity 0.8, by either weighting, share a bucket with a
+chance of 0.9998. (Where only one has common shingles, none of these is shared,
+and the weighted similarity is the higher one.)
 
 Edge cases: null, empty and blank texts have the same (no) words and are one
 class; rows that repeat share their id's class; null ids are left out; an
@@ -149,7 +153,8 @@ def samples(h: np.ndarray, row: np.ndarray, ln_weight: np.ndarray, n: int, draws
         if t is not None:
             level = np.zeros(len(h), np.int64)
             level[lighter] = t
-            value = mix(value + level[pick].astype(np.uint64) * _Q)
+            own = level[pick]
+            value = np.where(own != 0, mix(value + own.astype(np.uint64) * _Q), value)  # the same at level 0 whatever the batch holds
         out[docs, j] = value
     return out
 
@@ -292,8 +297,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _keys(s: np.ndarray, bands: int, rows_: int) -> np.ndarray:
+    """A bucket for each band of a document's samples."""
+    keys = np.zeros((len(s), bands), np.uint64)
+    for k in range(bands):
+        x = np.full(len(s), k + 1, np.uint64)
+        for j in range(rows_):
+            x = mix(x * _P + s[:, k * rows_ + j])
+        keys[:, k] = x
+    return keys
+
+
 def _sampled(docs: DataFrame, idf: object, bands: int, rows_: int) -> DataFrame:
-    """doc long, same (key of equal words), keys array<long> (a bucket for each band)."""
+    """doc long, same (key of equal words), keys array<long> (a bucket for each band and weighting; equal ones once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -301,14 +317,16 @@ def _sampled(docs: DataFrame, idf: object, bands: int, rows_: int) -> DataFrame:
             for b in _blocks(whole):
                 h, row = shingles(b.column("words"))
                 ln_w = table[(h & np.uint64(TABLE - 1)).astype(np.int64)]
-                s = samples(elements(h, row), row, ln_w, b.num_rows, bands * rows_)
-                keys = np.zeros((b.num_rows, bands), np.uint64)
-                for k in range(bands):
-                    x = np.full(b.num_rows, k + 1, np.uint64)
-                    for j in range(rows_):
-                        x = mix(x * _P + s[:, k * rows_ + j])
-                    keys[:, k] = x
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * bands + 1, bands), pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
+                els = elements(h, row)
+                weighted = _keys(samples(els, row, ln_w, b.num_rows, bands * rows_), bands, rows_)
+                plain = weighted.copy()  # as it is for documents without common shingles
+                common = np.zeros(b.num_rows, bool)
+                common[row[ln_w < 0]] = True
+                if common.any():
+                    at = common[row]
+                    plain[common] = _keys(samples(els[at], row[at], np.zeros(int(at.sum()), np.float32), b.num_rows, bands * rows_)[common], bands, rows_)
+                keys, keep = np.hstack([weighted, plain]), np.hstack([np.ones(weighted.shape, bool), plain != weighted])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32()), pa.array(keys[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("same"), lists], ["doc", "same", "keys"])
 
     words = docs.select(F.col("doc_id").cast("long").alias("doc"), word_hashes(F.col("text")).alias("words")).where("doc IS NOT NULL")

@@ -35,6 +35,25 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert classes(df, chunk=8) == want  # large buckets are dealt into chunks and still come out whole
 
 
+def test_copies_of_common_passages_are_found(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passages = [words(f"p{i}x", 100) for i in range(12)]
+    texts = {i: " ".join([*passages, words(f"long{i}x", 1500)]) for i in range(60)}
+    texts |= {100 + i: words(f"else{i}x", 50) for i in range(20)}
+    texts |= {200 + 2 * i + k: f"{p} {words(f'own{i}x{k}x', 11)}" for i, p in enumerate(passages) for k in range(2)}
+    want = brute.near_classes(texts)
+    assert all(want[201 + 2 * i] == 200 + 2 * i for i in range(12)) and len(set(want.values())) == 92
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert classes(df) == want
+
+
+def test_samples_do_not_depend_on_the_batch():
+    h, row = np.arange(1, 41, dtype=np.uint64) * neardup._P, np.repeat([0, 1], 20)
+    ln_w = np.where(row == 1, np.float32(-1), np.float32(0))
+    both, one = neardup.samples(h, row, ln_w, 2, 8), neardup.samples(h[:20], row[:20], ln_w[:20], 1, 8)
+    assert both[0].tolist() == one[0].tolist()
+
+
 def test_near_duplicates_of_hard_rows(spark, hard, none, clashing):
     got = classes(hard)
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8} and classes(clashing) == got and classes(none) == {}
