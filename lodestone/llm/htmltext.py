@@ -158,6 +158,8 @@ class _Parser(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SKIP:
+            if tag == "option" and self.open and self.open[-1][0] == tag:  # implied end
+                self._drop(len(self.open) - 1)
             self._push(tag, -2)
             return
         if self.skip:
@@ -192,14 +194,20 @@ class _Parser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.names[tag] or self.skip and tag not in SKIP:
+        if not self.names[tag]:
             return
+        if self.skip and tag not in SKIP:
+            if self.skip > self.names["option"] or tag in INLINE:
+                return
+            self._drop(len(self.open) - self.skip)  # options outside a list end with their parent
         for k in range(len(self.open) - 1, -1, -1):
             other, node, _ = self.open[k]
             if other == tag:
                 if node >= 0:
                     self._flush()
                     self._drop(k)
+                elif node == -2:
+                    self._drop(k)  # what is still open in it, such as options
                 else:
                     self._drop(k, k + 1)
                 return

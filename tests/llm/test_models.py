@@ -136,3 +136,15 @@ def test_decoding_never_contradicts():
         page = htmltext.parse(htmltext.made_page(seed))
         keep = htmltext.decode(page, rng.normal(0, 2, len(page.tag)))
         assert all(keep[p] for k, p in zip(keep[1:], page.parent[1:], strict=True) if k)
+
+
+def test_unclosed_options_end_with_their_list():
+    lists = "<select><option>A{0}<option selected>B{0}</select> <select><optgroup><option>C{0}<optgroup><option>D{0}</select><datalist><option>E{0}<option>F{0}</datalist>"
+    text = "<p>" + "The article goes on for a while, with commas, and it ends here. " * 6 + "</p>"
+    page = "<html><body><nav><a href='/'>Home</a></nav><div>{0}</div><form>Pick {1}</form><article><h1>Heading</h1>{2}</article></body></html>"
+    closed = page.format("<option>S</option>", lists.format("</option>"), text * 3)
+    unclosed = page.format("<option>S", lists.format(""), text * 3)
+    assert htmltext.parse(unclosed) == htmltext.parse(closed)
+    assert "The article goes on" in "".join(htmltext.parse(unclosed).text) and not {"A", "B", "C", "D", "E", "F", "S"} & set(htmltext.parse(unclosed).text)
+    got = htmltext.main_texts([unclosed, closed], htmltext.model())
+    assert got[0] == got[1] and got[0].count("The article goes on") == 18
