@@ -12,7 +12,8 @@ format, so the same value gets the same pseudonym in every document:
 - IPv4 addresses, permuted over all addresses;
 - dates (year-month-day, day.month.year, month/day/year) that exist, from 1800
   to 2199, permuted over those days;
-- the digits and the letters of an e-mail address's local part.
+- the digits and the letters of an e-mail address's local part, in blocks of
+  34 digits or 12 letters, each tweaked by those before it.
 
 The permutation is f(x) = P^-1(P(x) + 1) over Z_a x Z_b, where P is an
 alternating Feistel network with SHA-256 as round function: it has no fixed
@@ -76,17 +77,32 @@ def permute(key: str, tweak: Column, left: Column, right: Column, a: Column, b:
     return F.aggregate(down, let(F.aggregate(up, pair(left, right), forth), shift), back)
 
 
-def permute_digits(key: str, tweak: str, digits: Column) -> Column:
-    """A string of 1 to 34 decimal digits, permuted among those of its length."""
+def permute_digits(key: str, tweak: str, digits: Column, more: Column | None = None) -> Column:
+    """A string of 1 to 34 decimal digits, permuted among those of its length; more is added to the tweak."""
     n = F.length(digits)
     m = F.floor(n / 2).cast("int")
     ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
     left = F.when(m > 0, F.substring(digits, F.lit(1), m)).otherwise(F.lit("0"))
     right = F.substring(digits, m + 1, n - m)
-    out = permute(key, F.concat(F.lit(f"{tweak}:"), n), left.cast("long"), right.cast("long"), ten(m), ten(n - m))
+    out = permute(key, F.concat(F.lit(f"{tweak}:"), n, F.lit("") if more is None else more), left.cast("long"), right.cast("long"), ten(m), ten(n - m))
     return let(out, lambda p: F.concat(F.when(m > 0, F.lpad(p["l"].cast("string"), m, "0")).otherwise(F.lit("")), F.lpad(p["r"].cast("string"), n - m, "0")))
 
 
+def in_blocks(text: Column, size: int, new: Callable[[Column, Column], Column]) -> Column:
+    """text in blocks of size characters, each replaced by new(block, tweak).
+
+    The tweak, empty for the first block, names the block's number and the text
+    before it, so the map of whole texts is one-to-one where that of blocks is.
+    """
+
+    def block(i: Column) -> Column:
+        tweak = F.when(i > 0, F.concat(F.lit(":"), i, F.lit(":"), F.substring(text, F.lit(1), i * size))).otherwise(F.lit(""))
+        return let(F.struct(F.substring(text, i * size + 1, F.lit(size)).alias("b"), tweak.alias("t")), lambda x: new(x["b"], x["t"]))
+
+    last = F.floor((F.length(text) - 1) / size).cast("int")
+    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(0), last), block), "")).otherwise(F.lit(""))
+
+
 def refill(shape: Column, chars: Column, kind: str) -> Column:
     """shape with its characters that match kind replaced, in order, by those of chars."""
     each = F.split(shape, "")
@@ -220,10 +236,9 @@ def _phone(key: str) -> Callable[[Column], Column]:
 
 
 def _email(key: str) -> Callable[[Column], Column]:
-    """Digits and letters of the local part, each within its kind; letters by a permutation of base-26 numbers."""
+    """All digits and letters of the local part, each within its kind; letters by a permutation of base-26 numbers."""
 
-    def letters(local: Column) -> Column:
-        found = F.substring(F.lower(_only(local, "A-Za-z")), 1, 12)
+    def letters(found: Column, tweak: Column) -> Column:
         n = F.length(found)
         m = F.floor(n / 2).cast("int")
         number = lambda s: F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda acc, c: acc * 26 + F.ascii(c) - 97)
@@ -233,15 +248,15 @@ def _email(key: str) -> Callable[[Column], Column]:
             steps = F.sequence(F.lit(1), k)
             return F.when(k > 0, F.aggregate(steps, F.struct(F.lit("").alias("s"), v.alias("v")), lambda acc, _: F.struct(F.concat(F.char(F.pmod(acc["v"], F.lit(26)) + 97), acc["s"]).alias("s"), F.floor(acc["v"] / 26).cast("long").alias("v")), lambda acc: acc["s"])).otherwise(F.lit(""))
 
-        out = permute(key, F.concat(F.lit("letters:"), n), number(F.substring(found, F.lit(1), m)), number(F.substring(found, m + 1, n - m)), base(m), base(n - m))
-        return F.when(n > 0, let(out, lambda p: F.concat(text(p["l"], m), text(p["r"], n - m)))).otherwise(F.lit(""))
+        out = permute(key, F.concat(F.lit("letters:"), n, tweak), number(F.substring(found, F.lit(1), m)), number(F.substring(found, m + 1, n - m)), base(m), base(n - m))
+        return let(out, lambda p: F.concat(text(p["l"], m), text(p["r"], n - m)))
 
     def new(m: Column) -> Column:
         local, domain = F.substring_index(m, "@", 1), F.substring(m, F.locate("@", m), F.length(m))
-        digits = F.substring(_only(local, "0-9"), 1, 34)
-        changed = F.when(F.length(digits) > 0, refill(local, F.rpad(permute_digits(key, "email", digits), 64, "0"), "[0-9]")).otherwise(local)
-        rest = F.substring(F.lower(_only(local, "A-Za-z")), F.lit(13), F.length(local))
-        return F.concat(let(F.concat(letters(local), rest), lambda s: let(changed, lambda c: refill(c, s, "[A-Za-z]"))), domain)
+        digits = let(_only(local, "0-9"), lambda s: in_blocks(s, 34, lambda x, t: permute_digits(key, "email", x, t)))
+        named = let(F.lower(_only(local, "A-Za-z")), lambda s: in_blocks(s, 12, letters))
+        changed = let(digits, lambda s: refill(local, s, "[0-9]"))
+        return F.concat(let(named, lambda s: let(changed, lambda c: refill(c, s, "[A-Za-z]"))), domain)
 
     return new
 
