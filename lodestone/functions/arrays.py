@@ -16,7 +16,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(values: Column, start: Column, step: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column], levels: int = 2) -> Column:
     """For each value of an array the fold by step of those up to and including it; step must be associative, with start as neutral element.
 
     Sums of blocks of BLOCK values are folded first, those of blocks of blocks
@@ -40,6 +40,6 @@ def running(values: Column, start: Column, step: Callable[[Column, Column], Colu
     return let(values, lambda xs: F.when(F.size(xs) > 0, level(xs, levels)).otherwise(F.slice(F.array(start), 1, 0)))
 
 
-def running_sum(values: Column) -> Column:
+def running_sum(values: Column, levels: int = 2) -> Column:
     """Running totals of an array of integers, as array<bigint>."""
-    return running(F.transform(values, lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return running(F.transform(values, lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b, levels)
