@@ -1,39 +1,40 @@
 """Regular-expression matches with positions, in built-in functions only.
 
 The gaps between matches come from ``split`` with the same pattern, so the
-start of match i is the length of gaps 0..i and matches 0..i-1.
+start of match i is the length of gaps 0..i and matches 0..i-1; the running
+totals take work in proportion to the number of matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import let, running_sum
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body over value, which is evaluated once however often body names it."""
-    return F.transform(F.array(value), body)[0]
+MATCHES = "array<struct<start:int,end:int,from:int,to:int,m:string>>"
 
 
-def matches(text: Column, pattern: str, extra: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<start int, end int, m string>> of the leftmost non-overlapping matches, in code points.
+def matches(text: Column, pattern: Column) -> Column:
+    """array<struct<start, end, from, to int, m string>> of the leftmost non-overlapping matches; start and end in code points, from and to in bytes of UTF-8.
 
     The pattern must not match the empty string nor look beyond its match (the
     gaps are cut by the same pattern). No match and a null text: empty array.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    pair = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
+
+    def walk(p: Column) -> Column:
+        # code points in the upper half, bytes (below 2**31 in a text) in the lower one
+        size = lambda x: F.shiftleft(F.length(x).cast("bigint"), 32) + F.octet_length(x)
+        ends = running_sum(F.transform(p["m"], lambda m, i: size(F.get(p["g"], i)) + size(m)))
+
+        def one(m: Column, e: Column) -> Column:
+            end, to = F.shiftright(e, 32).cast("int"), e.bitwiseAND((1 << 32) - 1).cast("int")
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), (to - F.octet_length(m)).alias("from"), to.alias("to"), m.alias("m"))
+
+        return F.zip_with(p["m"], ends, one)
 
-    def fold(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("m")))).alias("out"))
+    return F.when(F.rlike(text, pattern), let(pair, walk)).otherwise(F.array().cast(MATCHES))
 
-    def walk(ms: Column) -> Column:
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), fold, lambda acc: acc["out"])
 
-    return F.when(text.rlike(pattern), let(found, walk)).otherwise(empty)
+__all__ = ["MATCHES", "let", "matches"]
