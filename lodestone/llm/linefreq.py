@@ -11,14 +11,18 @@ Base rules count over the whole text; repeated five-word windows are first
 looked for by hash, and counted by their words only in the few documents that
 have two windows of one hash.
 
-Everything runs in built-in functions. Lines are shuffled as hashes with their
-document's id; the first grouping holds that id, so a line that stands in a
-third of all documents is still dealt over all tasks, and the second gets one
-row per line and map task. The join back is salted.
+Everything runs in built-in functions. Texts are read once: base counts and
+the hashes and word counts of a row's lines are written to the shared folder,
+keyed by row. The first grouping holds the document, so a line that stands in
+a third of all documents is still dealt over all tasks, and the second gets
+one row per line and map task. Joins with hosts and with boilerplate lines are
+salted.
 
 Edge cases: a null text has no words and fails; a document without a wordy
-line has none to remove; rows that repeat count as one document for the line
-counts and are each returned (as are ties); a null host is a host of its own;
+line has none to remove. Rows that share an id count as one document for the
+line counts of their hosts, whether their texts are equal or not; a row
+without an id is a document of its own. Each row (repeated ones and ties too)
+is returned with the counts of its own text. A null host is a host of its own;
 an empty table gives an empty result; extra columns of the input are ignored.
 """
 
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, word_array
+from lodestone.llm.common import SPACE, word_array, written
 from lodestone.llm.spans import let
 
 WINDOW = 5
@@ -76,51 +80,52 @@ def normalise(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(line), SPACE, " "), F.lit(" "))
 
 
-def doc_lines(docs: DataFrame) -> DataFrame:
-    """One row per wordy line of each row of docs: doc_id, host, row (a number of the row), line hash h, n words."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), normalise), lambda x: x != "")
-    each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    return docs.select("doc_id", F.col("source").alias("host"), F.explode(each).alias("l")).select("doc_id", "host", "l.h", "l.n")
+def line_list(text: Column) -> Column:
+    """array<struct<h, n>>: hash and number of words of each wordy line."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), normalise), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
-def boilerplate(lines: DataFrame, docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """host, h of the lines above the limits."""
-    counts = lines.groupBy("host", "h", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    hosts = docs.select(F.col("source").alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    found = counts.alias("c").join(hosts.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host")))
-    return found.where(F.col("n_docs") > max_share * F.col("host_docs")).select("c.host", "c.h")
+def _host(source: Column) -> Column:
+    """A host as a join key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def removed_words(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """doc_id, n_removed long: words of boilerplate lines of each doc_id that has any, summed over a doc_id's rows."""
-    lines = doc_lines(docs)
-    bad = boilerplate(lines, docs, min_docs, max_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = lines.groupBy("doc_id", "host", "h").agg(F.sum("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    key = lambda d: d.withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")))  # noqa: E731  null-safe
-    return key(own).join(key(bad), ["host", "h", "salt"], "left_semi").groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_removed"))
+def boilerplate(rows: DataFrame, lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """host, h of the lines above the limits. rows: row, doc_id, host; lines: these and h."""
+    own = F.when(F.col("doc_id").isNull(), F.col("row")).alias("own")
+    salted = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = lines.select("host", "h", "doc_id", own).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    hosts = rows.select("host", "doc_id", own).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    found = counts.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted(hosts), ["host", "salt"])
+    return found.where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h")
+
+
+def removals(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """row, h, n of the boilerplate lines of rows (row, doc_id, host, lines)."""
+    lines = rows.select("row", "doc_id", "host", F.explode("lines").alias("l")).select("row", "doc_id", "host", "l.h", "l.n")
+    bad = boilerplate(rows, lines, min_docs, max_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = lines.select("row", "host", "h", "n", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    return own.join(bad, ["host", "h", "salt"], "left_semi").select("row", "h", "n")
 
 
 def line_quality(docs: DataFrame, min_docs: int = 10, max_share: float = 0.02, least_left: float = 0.5) -> DataFrame:
     """doc_id, the base counts, n_removed, base_failed and kept, one row per row of docs."""
-    base = docs.select("doc_id", base_counts(F.col("text")).alias("b")).select("doc_id", "b.*")
-    removed = removed_words(docs, min_docs, max_share)
-    rows = docs.groupBy("doc_id").agg(F.count("*").alias("copies"))
-    removed = removed.join(rows, "doc_id").select("doc_id", (F.col("n_removed") / F.col("copies")).cast("long").alias("n_removed"))
-    out = base.join(removed, "doc_id", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _host(F.col("source")).alias("host"), base_counts(F.col("text")).alias("b"), F.coalesce(line_list(F.col("text")), F.array()).alias("lines")))
+    removed = removals(rows, min_docs, max_share).groupBy("row").agg(F.sum("n").cast("long").alias("n_removed"))
+    out = rows.select("row", "doc_id", "b.*").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).drop("row")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed") < least_left * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
 def without_boilerplate(docs: DataFrame, min_docs: int = 10, max_share: float = 0.02) -> DataFrame:
-    """docs with its boilerplate lines cut out of text; lines that stay are as they were. All columns stay.
-
-    Rows are joined by doc_id, so rows of one doc_id must be of one host.
-    """
-    lines = doc_lines(docs)
-    bad = boilerplate(lines, docs, min_docs, max_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    key = lambda d: d.withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")))
-    own = key(lines.select("doc_id", "host", "h").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    cut = own.join(key(bad), ["host", "h", "salt"], "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("h").alias("_cut"))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains("_cut", F.xxhash64(normalise(x))), F.lit(False)) | (normalise(x) == "")), "\n")
-    return docs.join(cut, docs["doc_id"] == cut["_doc"], "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).drop("_doc", "_cut")
+    """docs with its boilerplate lines cut out of text; lines that stay are as they were. All columns stay."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # clash with no column of the joins
+    at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    whole = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    rows = whole.select("row", at["doc_id"].alias("doc_id"), _host(at["source"]).alias("host"), F.coalesce(line_list(at["text"]), F.array()).alias("lines"))
+    cut = removals(rows, min_docs, max_share).groupBy("row").agg(F.collect_set("h").alias("cut"))
+    left = F.array_join(F.filter(F.split(at["text"], "\n", -1), lambda x: ~F.array_contains("cut", F.xxhash64(normalise(x))) | (normalise(x) == "")), "\n")
+    text = F.when(F.col("cut").isNull(), at["text"]).otherwise(left)
+    return whole.join(cut, "row", "left").select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -12,8 +12,10 @@ format, so the same value gets the same pseudonym in every document:
 - IPv4 addresses, permuted over all addresses;
 - dates (year-month-day, day.month.year, month/day/year) that exist, from 1800
   to 2199, permuted over those days;
-- the digits and the letters of an e-mail address's local part, in blocks of
-  34 digits or 12 letters, each tweaked by those before it.
+- all digits and all letters of an e-mail address's local part, whatever their
+  number, in blocks of 34 digits or 12 letters, each tweaked by those before
+  it; upper case stays where it was, and names that differ in case only have
+  pseudonyms that differ in case only; the domain stays.
 
 The permutation is f(x) = P^-1(P(x) + 1) over Z_a x Z_b, where P is an
 alternating Feistel network with SHA-256 as round function: it has no fixed
@@ -22,8 +24,10 @@ that fail their validation and all other text stay as they are.
 
 Everything runs in built-in functions, row by row, without a shuffle.
 
-Edge cases: a null text stays null, an empty one empty; repeated rows each get
-the same result; other columns of the input are kept as they are.
+Edge cases: a null text stays null, an empty one empty; repeated rows and rows
+without an id or with a shared one each get the result of their own text; other
+columns of the input are kept as they are, one named n_values in place of the
+count.
 """
 
 from __future__ import annotations
@@ -256,7 +260,8 @@ def _email(key: str) -> Callable[[Column], Column]:
         digits = let(_only(local, "0-9"), lambda s: in_blocks(s, 34, lambda x, t: permute_digits(key, "email", x, t)))
         named = let(F.lower(_only(local, "A-Za-z")), lambda s: in_blocks(s, 12, letters))
         changed = let(digits, lambda s: refill(local, s, "[0-9]"))
-        return F.concat(let(named, lambda s: let(changed, lambda c: refill(c, s, "[A-Za-z]"))), domain)
+        cased = lambda out: F.array_join(F.transform(F.split(out, ""), lambda c, i: F.when(F.substring(local, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+        return F.concat(let(let(named, lambda s: let(changed, lambda c: refill(c, s, "[A-Za-z]"))), cased), domain)
 
     return new
 
@@ -285,7 +290,9 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the values in its text column replaced, and n_values long (how many were replaced)."""
-    col = F.col(text)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # clash with none of the columns made here
+    at = names[docs.columns.index(text)]
+    col = F.col(at)
     some = col.rlike("[0-9][0-9 .()/-]{5}|@")  # few texts go further
     old = F.regexp_extract_all(col, F.lit(PATTERN), F.lit(0))
     new = F.transform(old, lambda m: pseudonym(m, key))
@@ -296,5 +303,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         changed = F.size(F.filter(F.zip_with(old, n, lambda a, b: a != b), lambda x: x))
         return F.struct(F.array_join(parts, "").alias("text"), changed.cast("long").alias("n"))
 
-    out = docs.withColumn("_new", F.when(some & col.rlike(PATTERN), let(new, joined)))
-    return out.withColumns({text: F.coalesce(F.col("_new.text"), col), "n_values": F.coalesce(F.col("_new.n"), F.lit(0).cast("long"))}).drop("_new")
+    out = docs.toDF(*names).withColumn("new", F.when(some & col.rlike(PATTERN), let(new, joined)))
+    own = {at: F.coalesce(F.col("new.text"), col)}
+    kept = [own.get(n, F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    return out.select(*kept, *([] if "n_values" in docs.columns else [F.coalesce(F.col("new.n"), F.lit(0).cast("long")).alias("n_values")]))

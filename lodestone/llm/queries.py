@@ -74,21 +74,21 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_line_quality"] = op3_line_quality
 _SPACE = "[\\x20\\x09-\\x0D]+"
-ORACLE_SQL["op3_line_quality"] = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS ws FROM d),
-g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
-r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
-l AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
-ln AS (SELECT doc_id, source, line, trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g'), ' ') AS n FROM l),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE n <> '' GROUP BY doc_id),
-h AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
-bad AS (SELECT source, n FROM (SELECT source, n, count(DISTINCT doc_id) AS k FROM ln WHERE n <> '' GROUP BY source, n) JOIN h USING (source) WHERE k >= 10 AND k > 0.02 * host_docs),
-rm AS (SELECT doc_id, sum(len(n) - len(replace(n, ' ', '')) + 1) AS n FROM ln SEMI JOIN bad USING (source, n) GROUP BY doc_id),
-o AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+ORACLE_SQL["op3_line_quality"] = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
+l AS (SELECT rid, source, (doc_id, CASE WHEN doc_id IS NULL THEN rid END) AS doc, unnest(string_split(t, chr(10))) AS line FROM d),
+ln AS (SELECT rid, source, doc, line, trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g'), ' ') AS n FROM l),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln WHERE n <> '' GROUP BY rid),
+h AS (SELECT source, count(DISTINCT (doc_id, CASE WHEN doc_id IS NULL THEN rid END)) AS host_docs FROM d GROUP BY source),
+bad AS (SELECT c.source, n FROM (SELECT source, n, count(DISTINCT doc) AS k FROM ln WHERE n <> '' GROUP BY source, n) c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE k >= 10 AND k > 0.02 * host_docs),
+rm AS (SELECT rid, sum(len(ln.n) - len(replace(ln.n, ' ', '')) + 1) AS n FROM ln JOIN bad ON ln.source IS NOT DISTINCT FROM bad.source AND ln.n = bad.n GROUP BY rid),
+o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
   coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(rm.n, 0) AS BIGINT) AS n_removed
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN rm USING (doc_id))
+  FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN rm USING (rid))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed >= 0.5 * n_words AS kept FROM o"""
 
