@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodestone.sources.store import materialise as written
 from lodestone.sources.store import shared_dir, table
@@ -30,6 +31,30 @@ def word_count(text: Column) -> Column:
     return F.when(blanked == "", F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
+def bucket_bits(n: int, rows: int = 4096) -> int:
+    """Bits of a hash that tell buckets of about so many rows apart."""
+    return max(0, (n // rows).bit_length())
+
+
+def running_total(rows: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, out: str) -> DataFrame:
+    """rows with the sum of value over earlier rows of its keys and itself, in the order (bucket, order).
+
+    bucket must split large groups into parts of bounded size and must be a
+    function of the leading order column that never falls.
+    """
+    cut = rows.withColumn("_b", bucket).withColumn("_v", value)
+    sums = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    offsets = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    inside = F.sum("_v").over(W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return cut.withColumn("_in", inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_b", "_v")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], row: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined to a right side of one row per key, which is copied salts times, so that a hot key of left is dealt over as many tasks."""
+    own = left.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    return own.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
+
+
 BLOCK = "part int, task int, sums binary"
 PARTS = 64
 
@@ -60,4 +85,4 @@ def vector_sum(blocks: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["sums"], "<f8") for r in sorted(got, key=lambda r: r["part"])])
 
 
-__all__ = ["BLOCK", "SPACE", "WORD", "blocks_of", "shared_dir", "table", "vector_sum", "word_array", "word_count", "written"]
+__all__ = ["BLOCK", "SPACE", "WORD", "blocks_of", "bucket_bits", "running_total", "shared_dir", "spread_join", "table", "vector_sum", "word_array", "word_count", "written"]

@@ -4,31 +4,35 @@ A document's elements are its shingles of five lower-case words, the second
 and later occurrences of a shingle as elements of their own (so term frequency
 counts); shorter documents are one shingle. An element weighs its shingle's
 inverse document frequency, ln(N / df) / ln(1 / RARE), at most 1: shingles in
-less than a share RARE of all documents weigh 1, very common ones less. df is
-counted over all documents in TABLE hash slots, a table of fixed size.
+less than a share RARE of all documents weigh 1, very common ones less, 0.05 at
+least. df is counted over all documents in TABLE hash slots, a table of fixed
+size; shingles of less than 20 documents weigh 1, so that copies in small
+tables count in full.
 
-1. Documents of the same words are one class; its smallest id stands for it.
+1. Rows of the same words are one text; all that follows is keyed by texts.
 2. Improved consistent weighted sampling draws ROWS * BANDS samples per
-   document; the samples of a band make its bucket. A document with common
+   text; the samples of a band make its bucket. A text with common
    shingles draws them a second time with all weights 1, so that it meets those
    that are like it by term frequencies alone.
-3. In each bucket every two documents that no chain of links joins yet are
+3. In each bucket every two texts that no chain of links joins yet are
    compared by weighted Jaccard similarity over all their elements, with the
    document frequencies and with term frequencies alone; those of ``threshold``
-   or more by either are linked. Once linked, a document needn't be
-   compared with the rest of its group, so no group is expanded into pairs. A
-   bucket of more than CHUNK documents is dealt into chunks by hash first.
-   Then, where a large bucket still holds several components, the documents
-   outside its largest one are compared with all its other chunks.
+   or more by either are linked. Once linked, a text needn't be compared with
+   the rest of its group, so no group is expanded into pairs. A bucket of more
+   than CHUNK texts or CHUNK_WORDS words is dealt into chunks by hash first.
+   Then, where such a bucket still holds several components, the texts outside
+   its largest one are compared with all its other chunks.
 4. Connected components of the links are the classes.
 
-Two documents of similarity 0.8, by either weighting, share a bucket with a
+Two texts of similarity 0.8, by either weighting, share a bucket with a
 chance of 0.9998. (Where only one has common shingles, none of these is shared,
 and the weighted similarity is the higher one.)
 
 Edge cases: null, empty and blank texts have the same (no) words and are one
-class; rows that repeat share their id's class; null ids are left out; an
-empty table gives an empty result; extra columns of the input are ignored.
+class. Every row has a class by its own text: rows that repeat or share an id
+are each returned, rows without an id too. A class is named by its smallest id,
+null where none of its rows has one. An empty table gives an empty result;
+extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +45,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BLOCK, blocks_of, vector_sum, word_array, written
+from lodestone.llm.common import BLOCK, blocks_of, spread_join, vector_sum, word_array, written
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 TABLE = 1 << 20
 RARE = 0.05
-CHUNK = 512
+CHUNK = 256
+CHUNK_WORDS = 1_000_000
 #: Element meetings that a comparison holds at a time.
 MEETINGS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -200,8 +205,8 @@ def ln_idf(df: np.ndarray, n_docs: int, rare: float = RARE) -> np.ndarray:
     return np.log(weight).astype(np.float32)
 
 
-def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], idf: np.ndarray, threshold: float, flags: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that join components of one group: (document, document). flags: 1 and 2 are the two sides that are compared, None compares all."""
+def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray | None], threshold: float) -> list[tuple[int, int]]:
+    """Links that join components of one group: (text, text). sets: elements of each; weights: theirs, None where all are 1."""
     n = len(docs)
     parent = list(range(n))
 
@@ -216,15 +221,14 @@ def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], idf: n
         parent[root(i)] = root(seen.setdefault(x, i))
     if len(seen) < 2:
         return []
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) // 2 for s in sets])
-    own = values.reshape(-1, 2)
-    weight = np.exp(idf[(own[:, 1] % np.uint64(TABLE)).astype(np.int64)]).astype(np.float64)
-    total, size = np.bincount(owner, weights=weight, minlength=n), np.bincount(owner, minlength=n)
-    _, ids = np.unique(own[:, 0], return_inverse=True)
+    sizes = [len(x) for x in sets]
+    owner = np.repeat(np.arange(n), sizes)
+    weight = np.concatenate([np.ones(k, np.float32) if w is None else w for w, k in zip(weights, sizes, strict=True)])
+    total, size = np.bincount(owner, weights=weight, minlength=n), np.array(sizes)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     by = np.argsort(ids, kind="stable")
     edges = np.concatenate([[0], np.cumsum(np.bincount(ids))])
-    members, begin = owner[by], np.concatenate([[0], np.cumsum([len(s) // 2 for s in sets])])
+    members, begin = owner[by], np.concatenate([[0], np.cumsum(sizes)])
     links, left = [], len(seen)
     for i in range(n):
         if left < 2:
@@ -244,43 +248,46 @@ def _verify(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], idf: n
         alike = (inter >= threshold * (total + total[i] - inter) - 1e-9) | (shared >= threshold * (size + size[i] - shared) - 1e-9)
         near = np.flatnonzero(alike)
         for j in near.tolist():
-            if j != i and (flags is None or flags[i] != flags[j] or flags[i] == 1) and root(i) != root(j):
+            if j != i and root(i) != root(j):
                 parent[root(i)] = root(j)
                 links.append((int(docs[i]), int(docs[j])))
                 left -= 1
     return links
 
 
-def _linked(rows: DataFrame, idf: object, threshold: float) -> DataFrame:
-    """Edges a, b of rows (group long, doc long, label long, els binary), each group in one place."""
+def _linked(rows: DataFrame, threshold: float) -> DataFrame:
+    """Edges a, b of rows (group, doc, label long, els, weights binary), each group in one place."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "group").sortWithinPartitions("group", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
         held: list[tuple] = []
         out: list[tuple[int, int]] = []
 
         def flush() -> None:
             if len(held) > 1:
                 sets = [np.frombuffer(x[3], "<u8") for x in held]
-                out.extend(_verify(np.array([x[1] for x in held]), np.array([x[2] for x in held]), sets, table, threshold, None))
+                weights = [None if x[4] is None else np.frombuffer(x[4], "<f4") for x in held]
+                out.extend(_verify(np.array([x[1] for x in held]), np.array([x[2] for x in held]), sets, weights, threshold))
             held.clear()
 
+        def links() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                for r in zip(*(part.column(c).to_pylist() for c in ("group", "doc", "label", "els")), strict=True):
+            for k in range(0, b.num_rows, 100):
+                part = b.slice(k, 100)
+                for r in zip(*(part.column(c).to_pylist() for c in ("group", "doc", "label", "els", "weights")), strict=True):
                     if held and held[0][0] != r[0]:
                         flush()
                     if not held or held[-1][1] != r[1]:
                         held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            yield links()
             out.clear()
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        yield links()
 
-    return dealt.select("group", "doc", "label", "els").mapInArrow(run, "a long, b long")
+    return dealt.select("group", "doc", "label", "els", "weights").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,8 +297,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = written(least.join(jump, "label", "left").select("id", F.least("label", "next").alias("label"), "old"))
+        least = written(least)  # named twice below
+        heads = least.select("label").distinct().join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label")
+        new = written(spread_join(least, heads, ["label"], F.col("id"), "left").select("id", F.least("label", "next").alias("label"), "old"))
         labels = new.select("id", "label")
         if not new.where("label <> old").limit(1).count():
             return labels
@@ -308,8 +316,13 @@ def _keys(s: np.ndarray, bands: int, rows_: int) -> np.ndarray:
     return keys
 
 
+def same_words(words: Column) -> Column:
+    """Key of a text: equal for equal words."""
+    return F.concat_ws(",", F.xxhash64(words), F.hash(words), F.size(words))
+
+
 def _sampled(docs: DataFrame, idf: object, bands: int, rows_: int) -> DataFrame:
-    """doc long, same (key of equal words), keys array<long> (a bucket for each band and weighting; equal ones once)."""
+    """row, doc_id long, same (key of equal words), n (words), keys array<long> (a bucket for each band and weighting; equal ones once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -327,49 +340,53 @@ def _sampled(docs: DataFrame, idf: object, bands: int, rows_: int) -> DataFrame:
                     plain[common] = _keys(samples(els[at], row[at], np.zeros(int(at.sum()), np.float32), b.num_rows, bands * rows_)[common], bands, rows_)
                 keys, keep = np.hstack([weighted, plain]), np.hstack([np.ones(weighted.shape, bool), plain != weighted])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32()), pa.array(keys[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("same"), lists], ["doc", "same", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("same"), b.column("words").value_lengths(), lists], ["row", "doc_id", "same", "n", "keys"])
 
-    words = docs.select(F.col("doc_id").cast("long").alias("doc"), word_hashes(F.col("text")).alias("words")).where("doc IS NOT NULL")
-    slim = words.select("doc", "words", F.concat_ws(",", F.xxhash64("words"), F.hash("words"), F.size("words")).alias("same"))
-    return slim.mapInArrow(run, "doc long, same string, keys array<long>")
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
+    slim = words.select("row", "doc_id", "words", same_words(F.col("words")).alias("same"))
+    return slim.mapInArrow(run, "row long, doc_id long, same string, n int, keys array<long>")
 
 
-def _elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, els (binary: pairs of element and shingle hash, 64-bit little-endian) of the wanted documents."""
+def _elements_of(docs: DataFrame, wanted: DataFrame, idf: object) -> DataFrame:
+    """doc, els (binary, 64-bit little-endian), weights (binary, 32-bit, null where all are 1) of the wanted texts (doc, first, same): of the row of the first id, or any of its equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
         for whole in batches:
             for b in _blocks(whole):
                 h, row = shingles(b.column("words"))
-                pairs = np.column_stack([elements(h, row), h]).astype("<u8")
-                cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-                els = [pairs[cuts[i] : cuts[i + 1]].tobytes() for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(els, pa.binary())], ["doc", "els"])
+                ln_w = table[(h & np.uint64(TABLE - 1)).astype(np.int64)]
+                els, cuts = elements(h, row).astype("<u8"), np.searchsorted(row, np.arange(b.num_rows + 1))
+                own = [slice(cuts[i], cuts[i + 1]) for i in range(b.num_rows)]
+                weights = [np.exp(ln_w[k]).astype("<f4").tobytes() if (ln_w[k] < 0).any() else None for k in own]
+                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([els[k].tobytes() for k in own], pa.binary()), pa.array(weights, pa.binary())], ["doc", "els", "weights"])
 
     # the same join at every size: wanted grows with the input, so it is never broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi")
-    words = rows.select("doc", word_hashes(F.col("text")).alias("words"))
-    return words.mapInArrow(run, "doc long, els binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", same_words(word_hashes(F.col("text"))).alias("key"))
+    rows = rows.join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("same")) & F.col("id").eqNullSafe(F.col("first")))
+    return rows.select("doc", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc long, els binary, weights binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), one row per distinct id of docs."""
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, doc_id, same) and the classes of texts (same, class_id, kept: the number of the row that stands for the class)."""
     sc = docs.sparkSession.sparkContext
     idf = sc.broadcast(ln_idf(slot_counts(docs), docs.count()))
     sampled = written(_sampled(docs, idf, bands, rows))
-    same = sampled.groupBy("same").agg(F.min("doc").alias("rep"), F.any_value("keys").alias("keys"))
-    reps = written(same)
-
-    # buckets of two or more; of those with the same documents one is enough
-    each = reps.select("rep", F.explode("keys").alias("key")).where("rep IS NOT NULL")
-    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("all2")).where("n > 1")
-    sizes = sizes.groupBy("n", "all", "all2").agg(F.min("key").alias("key"))
-    members = written(each.join(sizes.select("key", "n"), "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long")).select(F.col("rep").alias("doc"), "key", "chunks"))
-    els = written(_elements_of(docs, members.select("doc").distinct()).dropDuplicates(["doc"]))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    texts = written(sampled.groupBy("same").agg(least, F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()))
+
+    # buckets of two or more; of those with the same texts one is enough
+    each = texts.select("rep", "n", F.explode("keys").alias("key"))
+    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.bit_xor(F.xxhash64("rep")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("all2")).where("n > 1")
+    sizes = sizes.groupBy("n", "words", "all", "all2").agg(F.min("key").alias("key"))
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / CHUNK_WORDS)).cast("long")
+    members = written(each.drop("n").join(sizes.select("key", chunks.alias("chunks")), "key").select(F.col("rep").alias("doc"), "key", "chunks"))
+    wanted = members.select("doc").distinct().join(texts.select(F.col("rep").alias("doc"), F.col("least.doc_id").alias("first"), "same"), "doc")
+    els = written(_elements_of(docs, wanted, idf).dropDuplicates(["doc"]))  # equal ones
 
     place = F.pmod(F.xxhash64("key", "doc"), F.col("chunks"))
     first = members.select(F.xxhash64("key", place).alias("group"), "doc", F.col("doc").alias("label")).join(els, "doc")
-    edges = written(_linked(first, idf, threshold))
+    edges = written(_linked(first, threshold))
     labels = components(edges)
 
     # large buckets: what is outside a bucket's largest component meets its other chunks
@@ -385,13 +402,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         right = minor.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         group = F.xxhash64("key", "chunk", "part").alias("group")
         again = left.select(group, "doc", "label").unionByName(right.select(group, "doc", "label")).join(els, "doc")
-        edges = edges.unionByName(written(_linked(again, idf, threshold)))
+        edges = edges.unionByName(written(_linked(again, threshold)))
         labels = components(edges)
 
-    classes = reps.select("same", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("label", "rep").alias("class_id"))
-    salts = 16
-    copies = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    own = sampled.select(F.col("doc").alias("doc_id"), "same").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return own.join(copies, ["same", "salt"]).select("doc_id", "class_id").distinct()
+    labelled = texts.select("same", "rep", "least").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = written(labelled)
+    named = labelled.groupBy("label").agg(F.min("least").alias("least")).select("label", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("kept"))
+    return sampled.select("row", "doc_id", "same"), spread_join(labelled.select("same", "label"), named, ["label"], F.col("same")).drop("label")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), one row per row of docs."""
+    own, classes = _classes(docs, threshold, bands, rows, chunk)
+    return spread_join(own, classes, ["same"], F.col("row")).select("doc_id", "class_id")
+
 
+def first_of_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """One row of docs for each class, that of its smallest id (rows without an id come last, then the first read), with all its columns.
 
+    docs must give its rows in the same order each time it is read, as files do.
+    """
+    _, classes = _classes(docs, threshold, bands, rows, chunk)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    kept = classes.select(F.col("kept").alias("row")).distinct()
+    return docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()).join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)

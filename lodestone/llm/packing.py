@@ -1,25 +1,30 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of documents in keyed-hash order. In every round a
-source may spend a quantum of tokens, its target share of the window; what it
-doesn't spend (or overspends) carries on as its deficit. Under that rule a
-document whose tokens end at place E of its queue is served in round
-ceil(E / quantum), whatever came before, so the rounds of all documents follow
-from running totals per queue and no state goes from window to window or from
-partition to partition by hand. The rounds one after another, and within a
-round the sources one after another, give the stream that is cut into
-sequences: every sequence is full but the last.
-
-A running total over any number of rows is taken in two steps: sums of small
-buckets first, then a window inside each bucket.
+Each source is a queue of documents, in keyed-hash order or in a given one. A
+window is one sequence. In every window a queue may spend a quantum, its target
+share of LENGTH tokens; the part of a token that it can't spend carries on as
+its deficit, from window to window, and a queue that has run out leaves its
+share to the others by theirs. Documents are cut where a quantum ends, so every
+window has its target proportions but for rounding.
+
+What all queues have spent by the end of a window follows from their totals
+alone (``Schedule``), so any document's pieces follow from its place in its
+queue, and no state goes from task to task: deficits carry on across partitions
+as they do across windows. Slices of a window stand one after another; the
+stream of them is cut into sequences, each full but the last.
+
+Targets: ``shares`` by source; without them each source's own share of all
+tokens, with which all queues end together and all windows can meet their
+targets. The QUEUES - 1 largest sources are queues of their own, all others
+share one more.
 
 Tokens are made once, kept as 16-bit ids in the shared folder, and joined back
 to the pieces by row for the check sums.
 
 Edge cases: a null text is empty and has only its end id; a null source is a
-queue of its own; rows that repeat are packed each; a document longer than a
-sequence is cut; an empty table gives an empty result; extra columns of the
-input are ignored.
+queue like any other; rows that repeat, share an id or have none are packed
+each; a document longer than its quanta is cut; an empty table gives an empty
+result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lodestone.llm.common import written
+from lodestone.llm.common import bucket_bits, running_total, written
+from lodestone.operators.dictionary import ranked
 
 END_ID = 2
 LENGTH = 4096
-BUCKETS = 1024
-#: Rounds to a group of rounds.
-ROUND_GROUP = 4096
+QUEUES = 256
 #: Words that a task remembers; it starts anew beyond.
 MEMO = 800_000
 #: Letters whose lower case and normal form are settled letter by letter, then ASCII signs (no apostrophe).
@@ -124,98 +127,131 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """row, doc_id, source, n_tokens, ids (binary, 16-bit little-endian), written to the shared folder."""
+def tokenized(docs: DataFrame, tokenizer: str | None = None, order: Column | None = None) -> DataFrame:
+    """row, doc_id, source, n_tokens, ids (binary, 16-bit little-endian), place (order as text), written to the shared folder."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
         for b in batches:
             ids = [known.ids(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("source"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "doc_id", "source", "n_tokens", "ids"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return written(rows.mapInArrow(run, "row long, doc_id long, source string, n_tokens long, ids binary"))
-
-
-def running_total(rows: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: str, out: str) -> DataFrame:
-    """rows with the sum of value over earlier rows of its keys and itself, in the order (bucket, order).
-
-    bucket must split large groups into parts of bounded size and must be a
-    function of the leading order column that never falls.
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("source"), b.column("place"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "doc_id", "source", "place", "n_tokens", "ids"])
+
+    place = F.lit(None).cast("string") if order is None else order.cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), place.alias("place"), "text")
+    return written(rows.mapInArrow(run, "row long, doc_id long, source string, place string, n_tokens long, ids binary"))
+
+
+class Schedule:
+    """What each queue has spent by the end of each window, from the queues' tokens and shares alone."""
+
+    def __init__(self, tokens: list[int], shares: list[float], length: int) -> None:
+        self.tokens, self.length = np.array(tokens, np.int64), length
+        self.share = np.array(shares, float) / sum(shares)
+        ends = self.tokens / self.share  # of the queues, in tokens of a stream in which none runs out
+        self.times = np.concatenate([[0.0], np.sort(ends)])
+        self.served = np.minimum(self.tokens, self.share * self.times[:, None]).sum(1)
+        self.served[-1] = self.tokens.sum()
+
+    def spent(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens of each queue in all windows up to each of windows: (windows, queues); none before window 0."""
+        n = (windows + 1) * self.length
+        time = np.interp(n, self.served, self.times)
+        out = np.floor(np.minimum(self.tokens, self.share * time[:, None]) + 0.5).astype(np.int64)
+        out[n >= self.served[-1]] = self.tokens
+        return out
+
+    def window(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Window of the token at a place (from 0) of its queue."""
+        w = np.floor(np.interp((at + 0.5) / self.share[queue], self.times, self.served) / self.length).astype(np.int64)
+        while True:
+            early, late = self._of(queue, w - 1) > at, self._of(queue, w) <= at
+            if not (early.any() or late.any()):
+                return w
+            w = w - early + late
+
+    def _of(self, queue: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What each queue has spent by the end of its own w."""
+        n = (w + 1) * self.length
+        own = self.tokens[queue]
+        out = np.floor(np.minimum(own, self.share[queue] * np.interp(n, self.served, self.times)) + 0.5).astype(np.int64)
+        return np.where(n >= self.served[-1], own, out)
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cuts of documents (queue, first place in it, tokens): document, begin in it, length, window, place in the stream."""
+        first, last = self.window(queue, start), self.window(queue, start + size - 1)
+        many = last - first + 1
+        doc = np.repeat(np.arange(len(queue)), many)
+        w = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        named, at = np.unique(w, return_inverse=True)
+        before, after = self.spent(named - 1), self.spent(named)
+        slices = np.cumsum(after - before, axis=1) - (after - before)  # where each queue's slice begins in its window
+        q = queue[doc]
+        begin, end = np.maximum(start[doc], before[at, q]), np.minimum(start[doc] + size[doc], after[at, q])
+        place = before.sum(1)[at] + slices[at, q] + begin - before[at, q]
+        keep = np.flatnonzero(end > begin)
+        doc, w, begin, end, place = doc[keep], w[keep], begin[keep], end[keep], place[keep]
+        # slices may reach over the end of a sequence by a few tokens
+        cuts = (place + end - begin - 1) // self.length - place // self.length + 1
+        i = np.repeat(np.arange(len(doc)), cuts)
+        k = np.arange(len(i)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        left = np.where(k == 0, place[i], (place[i] // self.length + k) * self.length)
+        right = np.minimum(place[i] + end[i] - begin[i], (left // self.length + 1) * self.length)
+        return doc[i], begin[i] - start[doc[i]] + left - place[i], right - left, w[i], left
+
+
+def queues(lengths: DataFrame, shares: dict[str | None, float] | None = None) -> tuple[list[tuple[str | None, int]], int]:
+    """The largest sources with their tokens, QUEUES - 1 at most, and the tokens of all others; those that shares names come first."""
+    per = written(lengths.groupBy("source").agg(F.sum("n_tokens").alias("t")))
+    named = F.coalesce(F.col("source").isin([k for k in shares or {} if k is not None]), F.lit(None in (shares or {})))
+    top = [(r["source"], r["t"]) for r in per.orderBy(named.desc(), F.desc("t"), "source").limit(QUEUES - 1).collect()]
+    return sorted(top, key=lambda r: (r[0] is None, r[0] or "")), int(per.agg(F.sum("t").alias("n")).first()["n"] or 0) - sum(t for _, t in top)
+
+
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, with_ids: bool = False, shares: dict[str | None, float] | None = None, order: Column | None = None, seed: int = 7) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, window (whose quantum it is of) and, if asked for, ids (array<int>).
+
+    shares: target share of each source; a source that it doesn't name gets the
+    least share named. order: a column that sorts each queue's documents; a
+    keyed hash where there is none.
     """
-    cut = rows.withColumn("_b", bucket)
-    sums = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.sum(value).over(W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return cut.withColumn("_in", inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_b")
-
-
-def rounds(lengths: DataFrame, shares: dict[str, float] | None = None, window: int = 64 * LENGTH, seed: int = 7) -> DataFrame:
-    """lengths (row, doc_id, source, n_tokens) with queue, queue_end (tokens of its queue up to its end) and round.
-
-    shares: target share of each source in a window; None gives each source its
-    share of all tokens, so that all queues end together. A source that shares
-    doesn't name gets the least share named.
-    """
-    rows = lengths.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1))
-    per = rows.groupBy("queue").agg(F.sum("n_tokens").alias("t"))
-    if shares is None:
-        total = lengths.agg(F.sum("n_tokens").alias("n")).first()["n"] or 1
-        quanta = per.select("queue", (F.col("t") / F.lit(total) * window).alias("quantum"))
+    tokens = tokenized(docs, tokenizer, order)
+    lengths = tokens.select("row", "doc_id", "source", "n_tokens", "place")
+    own, rest = queues(lengths, shares)
+    if not own:
+        return docs.sparkSession.createDataFrame([], PIECE + (", ids array<int>" if with_ids else ""))
+    totals = [t for _, t in own] + ([rest] if rest else [])
+    least = min(shares.values()) if shares else 0
+    share = [float(t) for t in totals] if shares is None else [float(shares.get(k, least)) for k, _ in own] + ([float(least)] if rest else [])
+    numbers = docs.sparkSession.createDataFrame([(k, i) for i, (k, _) in enumerate(own)], "name string, queue int")  # QUEUES rows at most
+    rows = lengths.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name")), "left").drop("name").withColumn("queue", F.coalesce("queue", F.lit(len(own))))
+    if order is not None:
+        rows = ranked(rows, ["place", "row"], "_h")
+        bucket = F.shiftright("_h", 12)
     else:
-        named = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (f"={k}", float(v))])
-        quanta = per.select("queue", (F.coalesce(F.try_element_at(named, "queue"), F.lit(min(shares.values()))) / F.lit(sum(shares.values())) * window).alias("quantum"))
-    rows = running_total(rows, ["queue"], [F.col("_h"), F.col("doc_id"), F.col("row")], F.shiftrightunsigned("_h", 63 - 10), "n_tokens", "queue_end")
-    return rows.join(quanta, "queue").withColumn("round", F.ceil(F.col("queue_end") / F.col("quantum")).cast("long")).drop("_h", "quantum")
-
-
-def stream(lengths: DataFrame, **params: object) -> DataFrame:
-    """rounds() with at long: the place of the document's first token in the whole stream."""
-    rows = written(rounds(lengths, **params))  # no text in it; three passes follow
-    per = rows.groupBy("round").agg(F.sum("n_tokens").alias("_t")).withColumn("_g", F.floor(F.col("round") / ROUND_GROUP).cast("long"))
-    groups = per.groupBy("_g").agg(F.sum("_t").alias("_s"))
-    groups = groups.select("_g", F.coalesce(F.sum("_s").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_gs"))
-    starts = per.withColumn("_in", F.coalesce(F.sum("_t").over(W.partitionBy("_g").orderBy("round").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    starts = starts.join(groups, "_g").select("round", (F.col("_in") + F.col("_gs")).alias("_start"))
-    inside = F.sum("n_tokens").over(W.partitionBy("round").orderBy("queue", "queue_end", "row").rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("_in", F.coalesce(inside, F.lit(0))).join(starts, "round").withColumn("at", F.col("_start") + F.col("_in")).drop("_start", "_in")
-
-
-def pieces(placed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Cut the stream: start (in the document), length, sequence_id and offset of each piece."""
-    first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n_tokens") - 1) / length)
-    rows = placed.withColumn("sequence_id", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("at"), F.col("sequence_id") * length)
-    end = F.least(F.col("at") + F.col("n_tokens"), (F.col("sequence_id") + 1) * length)
-    return rows.withColumns({"start": begin - F.col("at"), "length": end - begin, "offset": begin - F.col("sequence_id") * length})
-
-
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, round long"
-
-
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, with_ids: bool = False, **params: object) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, round and, if asked for, ids (array<int>)."""
-    tokens = tokenized(docs, tokenizer)
-    placed = stream(tokens.select("row", "doc_id", "source", "n_tokens"), **params).select("row", "at", "round")
-    rows = tokens.join(placed, "row").select("doc_id", "source", "n_tokens", "at", "round", "ids")
+        rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "row"), 1))
+        bucket = F.shiftrightunsigned("_h", 63 - bucket_bits(lengths.count()))
+    placed = running_total(rows, ["queue"], [F.col("_h"), F.col("row")], bucket, F.col("n_tokens"), "queue_end")
+    plan = Schedule(totals, share, length)
+    cut = tokens.join(placed.select("row", "queue", (F.col("queue_end") - F.col("n_tokens")).alias("at")), "row").select("doc_id", "source", "n_tokens", "queue", "at", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, source, n, at, round_, ids in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                whole = np.frombuffer(ids, "<u2").astype("<u4")
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(at + start, length)
-                    k = min(n - start, length - offset)
-                    own = whole[start : start + k]
-                    row = (doc, start, k, zlib.crc32(own.tobytes()), n, sequence, offset, source, round_)
-                    out.append((*row, own.tolist()) if with_ids else row)
-                    start += k
-            schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("source", pa.string()), ("round", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
-            columns = list(zip(*out, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return rows.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                n, queue, at = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "queue", "at"))
+                doc, start, size, window, place = plan.pieces(queue, at, n)
+                ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype("<u4")
+                data = memoryview(ids.view(np.uint8))
+                left = 4 * ((np.cumsum(n) - n)[doc] + start)
+                crc = [zlib.crc32(data[i:j]) for i, j in zip(left.tolist(), (left + 4 * size).tolist(), strict=True)]
+                picked = pa.array(doc)
+                columns = [b.column("doc_id").take(picked), *(pa.array(x, pa.int64()) for x in (start, size, crc, n[doc], place // length, place % length)), b.column("source").take(picked), pa.array(window, pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([ids[i // 4 : i // 4 + k].tolist() for i, k in zip(left.tolist(), size.tolist(), strict=True)], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECE.split(", ")] + ["ids"] * with_ids)
+
+    return cut.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))

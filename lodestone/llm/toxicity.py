@@ -13,7 +13,9 @@ rows, picked by a hash of their id; every document is scored over its whole
 text.
 
 Edge cases: a null or wordless text scores as one without features; rows that
-repeat are scored each; a doc_id with contradicting labels counts as toxic;
+repeat, share an id or have none are scored each by their own text; of rows that
+share a labelled id one (of the least text hash) is fitted on; a doc_id with
+contradicting labels counts as toxic;
 labels with a null id or flag, or without a document, are left out; without
 any usable label of both classes every document gets grade 0 and severity 0.
 Extra columns of the input are ignored.
@@ -84,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_featu
         share = F.shiftrightunsigned(F.xxhash64("doc_id").bitwiseXOR(-(1 << 63)), 11) / F.lit(float(1 << 53))  # in the hash's own order
         sample = sample.where(share < 1.5 * max_labelled / n)
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
     got = rows.mapInArrow(_features, "doc_id long, toxic int, index array<int>").toArrow()
     if not got.num_rows:
         return OrdinalModel({}, [0.0] * GRADES)
@@ -142,21 +144,22 @@ def fit_grades(toxic: np.ndarray, sizes: np.ndarray, index: np.ndarray, max_feat
     return OrdinalModel({int(h): float(x) for h, x in zip(strong, params[:k], strict=True) if x}, [float(t) for t in theta])
 
 
+def _above(m: OrdinalModel, texts: list[str | None]) -> list[np.ndarray]:
+    """P(grade > j) of each text, for j = 0, 1, ..."""
+    s = m.logits(texts)
+    return [1 / (1 + np.exp(-np.clip(s - t, -30, 30))) if m.weights else np.zeros(len(s)) for t in m.thresholds]
+
+
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, n_words, severity (expected), grade (most probable), p_toxic, toxic (p_toxic >= 0.5), one row per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
             texts = b.column("text").to_pylist()
-            s = m.logits(texts)
+            above = _above(shared.value, texts)
             n = [len((t or "").encode("utf-8", "replace").split()) for t in texts]
-            if m.weights:
-                above = [1 / (1 + np.exp(-np.clip(s - t, -30, 30))) for t in m.thresholds]
-            else:
-                above = [np.zeros(len(s))] * GRADES
-            cum = np.column_stack([np.ones(len(s)), *above, np.zeros(len(s))])
+            cum = np.column_stack([np.ones(len(n)), *above, np.zeros(len(n))])
             grade = np.argmax(cum[:, :-1] - cum[:, 1:], axis=1).astype(np.int32)
             out = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sum(above)), pa.array(grade), pa.array(above[0]), pa.array(above[0] >= 0.5)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "severity", "grade", "p_toxic", "toxic"])
@@ -164,5 +167,18 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The rows of docs whose own text isn't toxic, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_above(shared.value, b.column(at).to_pylist())[0] < 0.5))
+
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names).mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+
+
 def toxic_grades(docs: DataFrame, labels: DataFrame, **params: int) -> DataFrame:
     return score(docs, fit(docs, labels, **params))

@@ -56,7 +56,20 @@ def test_samples_do_not_depend_on_the_batch():
 
 def test_near_duplicates_of_hard_rows(spark, hard, none, clashing):
     got = classes(hard)
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8} and classes(clashing) == got and classes(none) == {}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, None: None} and classes(clashing) == got and classes(none) == {}
+    assert neardup.near_duplicates(hard).count() == hard.count()
+
+
+def test_rows_that_share_an_id_or_have_none(spark, docs):
+    words = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (2, words("b") + " x"), (None, words("c")), (None, words("c") + " y"), (None, words("d")), (7, words("d"))]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], docs.schema)
+    got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter({(1, 1): 3, (2, 1): 1, (None, None): 2, (None, 7): 1, (7, 7): 1})
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, df, SF).collect()}
+    assert kept == {(1, words("a")), (1, words("b")), (None, words("c")), (7, words("d"))}
+    lost = Counter((r.doc_id, r.text) for r in df.collect()) - Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, df, SF).collect())
+    assert not lost
 
 
 def test_many_copies(spark):
@@ -111,7 +124,7 @@ def test_mixed_rows_follow_taken(docs, clashing):
             taken[r.doc_id] += r.taken
         got = Counter()
         out = mixing.mixed(df, n_shards=8, block_docs=4)
-        for r in out.select(*df.columns).withColumn("w", mixing.word_count(F.col("text"))).select("doc_id", "w").collect():
+        for r in out.select("doc_id", mixing.word_count(F.col("text")).alias("w")).collect():
             got[r.doc_id] += r.w
         assert +got == +taken
         assert out.columns[: len(df.columns)] == df.columns
@@ -131,14 +144,45 @@ def test_taken_counts_the_drawn_copies(spark, docs, hard):
 
 def test_splitting_tree_deals_every_block_once():
     blocks = {"a": 1000, "b": 37, "c": 1}
-    draws = list(mixing.split_blocks(blocks, 16, 3))
+    quotas = mixing.even_quotas(1038, 16)
+    draws = list(mixing.split_blocks(blocks, quotas, 3))
     for name, n in blocks.items():
         own = sorted((a, b) for s, _, a, b in draws if s == name)
         assert own[0][0] == 0 and own[-1][1] == n and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
     per = Counter()
     for _, shard, a, b in draws:
         per[shard] += b - a
-    assert max(per.values()) - min(per.values()) <= 2 and draws == list(mixing.split_blocks(blocks, 16, 3))
+    assert [per[k] for k in range(16)] == quotas.tolist() and max(quotas) - min(quotas) <= 1 and draws == list(mixing.split_blocks(blocks, quotas, 3))
+
+
+def test_blocks_are_exact_and_drawn_whole(spark, docs):
+    """Each source's copies make blocks of block_docs, the last one smaller; every block goes to one shard, as the tree drew it."""
+    slim = mixing._slim(docs, 7)
+    sources = mixing.source_table(slim)
+    rows = mixing._drawn(slim, sources, 8, 4, 7).collect()
+    blocks, shards = defaultdict(Counter), defaultdict(set)
+    for r in rows:
+        blocks[r.skey][r.block] += 1
+        shards[r.skey, r.block].add(r["shard"])
+    assert all(len(x) == 1 for x in shards.values())
+    for own in blocks.values():
+        assert sorted(own) == list(range(len(own))) and all(own[k] == 4 for k in range(len(own) - 1)) and 1 <= own[len(own) - 1] <= 4
+    per = Counter(s for x in shards.values() for s in x)
+    assert [per[k] for k in range(8)] == mixing.even_quotas(len(shards), 8).tolist()
+    table = spark.createDataFrame([(k, len(v)) for k, v in blocks.items()], "skey string, n_blocks long")
+    drawn = {(r.skey, b): r["shard"] for r in mixing.draws(table, 8, 7).collect() for b in range(r["first"], r.end)}
+    assert drawn == {k: next(iter(v)) for k, v in shards.items()}
+
+
+def test_many_sources(spark):
+    """More sources than groups: targets equal the plain version, all blocks are dealt."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(0, 9), f"host{rng.randint(0, 999)}" if i % 50 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = brute.mix_targets([(s, t) for _, t, s in rows])
+    got = mixing.taken(df).collect()
+    source = {i: s for i, _, s in rows}
+    assert all(r.source_size == want[source[r.doc_id]][0] and abs(r.target - want[source[r.doc_id]][1]) < 1e-6 * max(1, r.target) for r in got)
 
 
 def check_packing(rows, texts, tokenizer, length=packing.LENGTH):
@@ -176,27 +220,70 @@ def test_packing(spark, docs, hard, none, clashing):
     assert sorted(i for r in whole for i in r.ids) == sorted(i for x in odd for i in [*t.encode(x, add_special_tokens=False).ids, 2])
 
 
-def test_rounds_are_deficit_round_robin(spark):
-    """The rounds equal those of the queue-by-queue algorithm."""
-    rng = random.Random(4)
-    rows = [(k, k, s, rng.randint(1, 900)) for k, s in enumerate(rng.choices("abc", [6, 3, 1], k=600))]
-    df = spark.createDataFrame(rows, "row long, doc_id long, source string, n_tokens long")
-    got = packing.rounds(df, window=3000).collect()
-    quantum = Counter()
-    for _, _, s, n in rows:
-        quantum[f"={s}"] += n
-    total = sum(quantum.values())
-    for name in quantum:
-        share = quantum[name] / total * 3000
-        queue = sorted((r for r in got if r.queue == name), key=lambda r: r.queue_end)
-        deficit, served, k = 0.0, 0, 0
-        while served < len(queue):
-            k += 1
-            deficit += share
-            while served < len(queue) and queue[served].n_tokens <= deficit + 1e-6:
-                deficit -= queue[served].n_tokens
-                assert queue[served]["round"] == k
-                served += 1
+def test_windows_are_deficit_round_robin():
+    """What the queues spend equals token-by-token deficit round-robin, within a token of each."""
+    tokens, shares, length = [5000, 2600, 900], [3.0, 2.0, 1.0], 100
+    plan = packing.Schedule(tokens, shares, length)
+    left, deficit, spent = tokens[:], [0.0] * 3, [0] * 3
+    for w in range(85):
+        room = float(length)
+        while room > 1e-9:  # a queue that runs out leaves its share to the others
+            open_ = [i for i in range(3) if left[i] - deficit[i] > 1e-9]
+            unit = min([room / sum(shares[i] for i in open_)] + [(left[i] - deficit[i]) / shares[i] for i in open_])
+            for i in open_:
+                deficit[i] += shares[i] * unit
+                room -= shares[i] * unit
+        for i in range(3):
+            k = min(left[i], int(deficit[i] + 0.5))
+            left[i], deficit[i], spent[i] = left[i] - k, deficit[i] - k, spent[i] + k
+        assert np.abs(plan.spent(np.array([w]))[0] - spent).max() <= 1
+    assert plan.spent(np.array([84]))[0].tolist() == tokens
+
+
+def variation(rows, share, length=packing.LENGTH):
+    """Total variation of each full sequence's sources from share."""
+    per = defaultdict(Counter)
+    for r in rows:
+        per[r.sequence_id][r.source] += r.length
+    return {s: sum(abs(c[k] / length - share.get(k, 0)) for k in set(c) | set(share)) / 2 for s, c in per.items() if sum(c.values()) == length}
+
+
+def test_every_sequence_has_its_target_proportions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs).collect()
+    total = Counter()
+    for r in rows:
+        total[r.source] += r.length
+    n = sum(total.values())
+    off = variation(rows, {k: v / n for k, v in total.items()})
+    assert len(off) == n // packing.LENGTH and sorted(off.values())[len(off) // 2] < 0.01 and max(off.values()) < 0.02
+    # given shares, among them one of a source that isn't there: held until the first source runs out
+    shares = {"src1": 4.0, "src2": 2.0, "nowhere": 1.0}
+    rows = packing.pack(docs, shares=shares).collect()
+    assert sum(r.length for r in rows) == n
+    weight = {k: shares.get(k, 1.0) for k in total}
+    share = {k: v / sum(weight.values()) for k, v in weight.items()}
+    first = min(total[k] / share[k] for k in total) // packing.LENGTH
+    off = variation(rows, share)
+    assert first > 3 and all(off[s] < 0.02 for s in range(int(first)))
+
+
+def test_queues_keep_a_given_order(spark):
+    rows = [(i, f"word{i} " * 30, "ab"[i % 2], f"{(i * 37) % 101:03d}") for i in range(101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, o string")
+    got = packing.pack(df, length=64, order=F.col("o")).collect()
+    place = {i: o for i, _, _, o in rows}
+    for s in "ab":
+        own = sorted((r for r in got if r.source == s), key=lambda r: (r.sequence_id, r.offset))
+        assert [place[r.doc_id] for r in own] == sorted(place[r.doc_id] for r in own)
+
+
+def test_sources_beyond_the_queues_share_one(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "QUEUES", 3)
+    df = spark.createDataFrame([(i, f"some text {i}", f"s{i % 7}" if i % 8 else None) for i in range(60)], "doc_id long, text string, source string")
+    check_packing(packing.pack(df, length=16).collect(), [(r.doc_id, r.text) for r in df.collect()], Tokenizer.from_file(packing.default_tokenizer()), 16)
 
 
 def plain_pipeline(spark, sf):

@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import mixing, packing
 
-sizes = st.lists(st.integers(0, 10**6), min_size=1, max_size=12)
-
-
-@given(sizes)
-@settings(max_examples=200, deadline=None)
-def test_targets(found):
-    weights = [1.0 + i % 3 for i in range(len(found))]
-    out = mixing.targets(found, weights)
-    assert all(t <= 3 * s + 1e-6 for t, s in zip(out, found, strict=True))
-    assert math.isclose(sum(out), sum(found), rel_tol=1e-9, abs_tol=1e-6)
-    free = [t / w for t, s, w in zip(out, found, weights, strict=True) if s and t < 3 * s - 1e-6]
-    assert not free or max(free) - min(free) <= 1e-6 * max(free)
-
-
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 500), min_size=1), st.integers(1, 40), st.integers(0, 9))
 @settings(max_examples=100, deadline=None)
 def test_splitting_tree(blocks, shards, seed):
     got = {name: [] for name in blocks}
-    for name, shard, first, end in mixing.split_blocks(blocks, shards, seed):
+    quotas = mixing.even_quotas(sum(blocks.values()), shards)
+    for name, shard, first, end in mixing.split_blocks(blocks, quotas, seed):
         assert 0 <= shard < shards and first < end
         got[name] += range(first, end)
     assert all(sorted(v) == list(range(blocks[k])) for k, v in got.items())
 
 
+@given(st.lists(st.tuples(st.lists(st.integers(1, 400), min_size=1, max_size=8), st.floats(0.1, 9)), min_size=1, max_size=5), st.integers(8, 64))
+@settings(max_examples=200, deadline=None)
+def test_schedule_covers_every_token_once(sources, length):
+    sizes = [np.array(x) for x, _ in sources]
+    plan = packing.Schedule([int(x.sum()) for x in sizes], [w for _, w in sources], length)
+    queue = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
+    n, start = np.concatenate(sizes), np.concatenate([np.cumsum(x) - x for x in sizes])
+    doc, begin, k, _, place = plan.pieces(queue, start, n)
+    assert (k > 0).all() and (place // length == (place + k - 1) // length).all()
+    assert sorted(x for a, b in zip(place.tolist(), k.tolist(), strict=True) for x in range(a, a + b)) == list(range(int(n.sum())))
+    for d in range(len(n)):
+        own = doc == d
+        assert sorted(x for a, b in zip(begin[own].tolist(), k[own].tolist(), strict=True) for x in range(a, a + b)) == list(range(int(n[d])))
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_word_ids_equal_whole_encoding(text):
