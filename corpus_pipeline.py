@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +19,13 @@ from lodestone.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model finds toxic go; all others stay, those without an id too."""
-    grades = toxicity.toxic_grades(docs, table(spark, sf_dir, "labels"))
-    toxic = grades.where("toxic").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose own text the ordinal model finds toxic go; all others stay, whatever their ids."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one of the smallest id."""
-    classes = neardup.near_duplicates(docs)
-    kept = docs.join(classes.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """One row of each near-duplicate class stays, that of the smallest id; rows of one id and different texts are documents of their own."""
+    return neardup.first_of_classes(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +40,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack(docs)
+    """Pieces of training sequences; each source's documents in the order of the mix, which its files keep (a keyed hash where docs comes from no files)."""
+    place = F.format_string("%s/%020d", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    try:
+        docs.select(place)
+    except AnalysisException:
+        return packing.pack(docs)
+    return packing.pack(docs, order=place)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
