@@ -18,8 +18,9 @@ one space, blocks are trimmed and joined by one newline. Scripts, styles, head
 metadata, templates, embedded frames and form controls never count as text.
 
 Edge cases: null and empty html gives empty text; text outside any element is
-a block of its own; unclosed elements end with their parent; rows that repeat
-are each returned; an empty table gives an empty result; extra columns of the
+a block of its own; unclosed elements end with their parent, those that never
+count as text too (an unclosed button, list of options or text field also at the
+next block); rows that repeat are each returned; an empty table gives an empty result; extra columns of the
 input are ignored.
 """
 
@@ -42,13 +43,16 @@ PAGES = 480
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
-SKIP = frozenset("script style title template noscript noembed svg iframe object canvas audio video select textarea button datalist option".split())
+#: Elements for phrases or options only: a block ends them.
+FIELDS = frozenset("select textarea button datalist option optgroup".split())
+SKIP = frozenset("script style title template noscript noembed svg iframe object canvas audio video select textarea button datalist option optgroup".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "head": frozenset(["body", "div", "p", "nav", "header", "main", "article", "section", "h1"]),
 }
+BLOCKS = CLOSED_BY["p"] - {"option"}
 LISTS = frozenset("ul ol dl table body html div section article aside nav header footer main form blockquote".split())
 GROUPS = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs",
@@ -73,6 +77,7 @@ OUTER = ("nav", "header", "footer", "aside", "article", "main", "form")
 STEM_GROUP = [(stem, list(GROUPS).index(g)) for g, stems in STEMS.items() for stem in stems]
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
+_FIELD_END = re.compile("</textarea", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
@@ -102,8 +107,9 @@ CLOSES = {t: [other for other, by in CLOSED_BY.items() if t in by] for t in froz
 class _Parser(HTMLParser):
     """Work per tag doesn't grow with the number of open elements, but for the tags that end them."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.field_ends = len(_FIELD_END.findall(html))  # of text fields, still to come
         self.page = Page()
         self.open: list[tuple[str, int, bool]] = []  # tag, node (-1 inline, -2 skipped), marked as main text
         self.names: Counter = Counter()  # of open elements
@@ -157,12 +163,16 @@ class _Parser(HTMLParser):
         self.link_chars = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SKIP:
-            if tag == "option" and self.open and self.open[-1][0] == tag:  # implied end
+        if self.skip and tag in BLOCKS and self.open[-1][0] in FIELDS:
+            while self.open and self.open[-1][0] in FIELDS:
                 self._drop(len(self.open) - 1)
-            self._push(tag, -2)
-            return
-        if self.skip:
+        if tag == "option" and self.open and self.open[-1][0] == tag:  # implied end
+            self._drop(len(self.open) - 1)
+        if tag in SKIP or self.skip:
+            if tag not in VOID:
+                self._push(tag, -2)
+            if tag == "textarea" and self.field_ends:  # its tags are text
+                self.set_cdata_mode(tag)
             return
         if tag == "br":
             self.parts.append(" ")
@@ -194,22 +204,19 @@ class _Parser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        self.field_ends -= tag == "textarea"
         if not self.names[tag]:
             return
-        if self.skip and tag not in SKIP:
-            if self.skip > self.names["option"] or tag in INLINE:
-                return
-            self._drop(len(self.open) - self.skip)  # options outside a list end with their parent
         for k in range(len(self.open) - 1, -1, -1):
             other, node, _ = self.open[k]
             if other == tag:
+                if node == -1:
+                    if not self.skip:
+                        self._drop(k, k + 1)
+                    return
                 if node >= 0:
                     self._flush()
-                    self._drop(k)
-                elif node == -2:
-                    self._drop(k)  # what is still open in it, such as options
-                else:
-                    self._drop(k, k + 1)
+                self._drop(k)  # and all that is still open in it
                 return
             if tag in INLINE and node >= 0 and other in LISTS:
                 return
@@ -222,7 +229,7 @@ class _Parser(HTMLParser):
 
 
 def parse(html: str | None) -> Page:
-    p = _Parser()
+    p = _Parser(html or "")
     p.feed(html or "")
     p.close()
     p._flush()

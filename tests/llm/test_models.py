@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import hnsw, htmltext, lbl, toxicity
@@ -148,3 +149,30 @@ def test_unclosed_options_end_with_their_list():
     assert "The article goes on" in "".join(htmltext.parse(unclosed).text) and not {"A", "B", "C", "D", "E", "F", "S"} & set(htmltext.parse(unclosed).text)
     got = htmltext.main_texts([unclosed, closed], htmltext.model())
     assert got[0] == got[1] and got[0].count("The article goes on") == 18
+
+
+PARAGRAPH = "The council met on Tuesday, and after a long debate it agreed to repair the old bridge. "
+UNCLOSED = [
+    "<div><button>Go</div>", "<header><noscript>no script</header>", "<div><svg><g><path d='x'><text>drawn</div>", "<form><textarea>typed <b>here</form>", "<div><select><option>a<option>b</div>",
+    "<button>Go", "<select><option>a<optgroup><option>b", "<textarea>typed", "<form><textarea><div>typed</div><p>more</p></textarea></form>", "<div><svg><div>in</div></svg></div>", "<nav><a href='/'><svg></a></nav>",
+    "<div><object><p>fallback</div>", "<aside><video><track><p>no video</aside>",
+]
+
+
+@pytest.mark.parametrize("before", UNCLOSED)
+def test_no_page_is_lost_to_unclosed_elements(before):
+    page = f"<html><body>{before}<article><h1>The bridge</h1><p>{PARAGRAPH * 3}</p><p>{PARAGRAPH * 2}</p></article></body></html>"
+    got = htmltext.main_texts([page], htmltext.model())[0]
+    assert got == "\n".join(["The bridge", (PARAGRAPH * 3).strip(), (PARAGRAPH * 2).strip()])
+
+
+def test_pages_written_by_hand():
+    """Pages of other makes than the rule's, with their main text written beside them."""
+    long, other = PARAGRAPH * 4, "Work will start in spring, the mayor said, and traffic will be led over the new road until then. " * 2
+    pages = [
+        (f"<body><div id=wrap><div class='site-header'><a href=/>Daily</a></div><div class='entry-content'><h2>Bridge</h2><p>{long}<p>{other}</div><div class=sidebar><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div></div>", ["Bridge", long, other]),
+        (f"<body><main><article><p>{long}</p><ul><li>First point of three</li><li>Second point, longer</li></ul><p>{other}</p></article></main><section id=comments><h3>2 comments</h3><div class=comment><p>Great news, thanks a lot for writing about it!</p></div></section><footer><p>Copyright by the paper</p></footer>", [long, "First point of three", "Second point, longer", other]),
+        (f"<body><div class='cookie-banner'>We use cookies. <button>Fine</button></div><nav><ul><li><a href=a>Home</a></li><li><a href=b>Sport</a></li></ul></nav><article><h1>A &amp; B</h1><p>{long}</p><blockquote><p>{other}</p></blockquote></article><aside class=related><h4>Read on</h4><a href=c>Another story</a></aside>", ["A & B", long, other]),
+    ]
+    got = htmltext.main_texts([html for html, _ in pages], htmltext.model())
+    assert got == ["\n".join(t.strip() for t in want) for _, want in pages]
