@@ -91,6 +91,28 @@ def test_nearest_recall(spark):
     assert all(math.isclose(got[q][k + 1][1], s, rel_tol=1e-12) for q in want for k, (i, s) in enumerate(want[q]) if got[q][k + 1][0] == i)
 
 
+def test_recall_of_routed_queries(spark):
+    """Far more cells than a query visits, one of them with a third of all vectors."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(80, 24))
+    of = np.where(rng.random(3000) < 1 / 3, 0, rng.integers(0, 80, 3000))
+    rows = list(enumerate(centres[of] + 0.3 * rng.normal(size=(3000, 24))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    want = exact(rows, [(i, v) for i, v in rows if i % 50 == 0])
+    got = defaultdict(set)
+    for r in hnsw.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=16, probe=24).collect():
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == set(want) and sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.9, 0.0]), (2, [0.1, 1.0]), (3, [1.0, 1.0]), (4, [-1.0, -1.0]), (5, [0.0, -1.0])] + [(9, [1.0, 0.2 + k / 999]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 9), (4, 3), (5, 5)]
+    assert math.isclose(got[0].score, 1.0) and math.isclose(got[4].score, 0.0, abs_tol=1e-12)
+
+
 def test_nearest_of_hard_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (10, [-0.0, 1.0]), (50, [1.0, 0.0, 0.0])]
