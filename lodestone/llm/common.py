@@ -31,7 +31,7 @@ def word_count(text: Column) -> Column:
     return F.when(blanked == "", F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
-def bucket_bits(n: int, rows: int = 4096) -> int:
+def bucket_bits(n: int, rows: int = 512) -> int:
     """Bits of a hash that tell buckets of about so many rows apart."""
     return max(0, (n // rows).bit_length())
 

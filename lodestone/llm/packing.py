@@ -230,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, wi
     rows = lengths.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name")), "left").drop("name").withColumn("queue", F.coalesce("queue", F.lit(len(own))))
     if order is not None:
         rows = ranked(rows, ["place", "row"], "_h")
-        bucket = F.shiftright("_h", 12)
+        bucket = F.shiftright("_h", 9)
     else:
         rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "row"), 1))
         bucket = F.shiftrightunsigned("_h", 63 - bucket_bits(lengths.count()))
