@@ -63,29 +63,65 @@ def span_end(start_line: Column, start: Column, end_line: Column, end: Column) -
     return F.when(e == start, start + 1).otherwise(e)
 
 
-# Declaration class, then (kind where it defines, kind where it doesn't, symbol type); null kinds are left out.
+# Declaration class, then (kind where it defines, kind where it doesn't, symbol type, of the declaration's target instead); null kinds are left out.
 DECLARATION_RULES = [
-    ("instantiated-function", None, None, None), ("constructor", "Definition", "Declaration", "Constructor"), ("destructor", "Definition", "Declaration", "Destructor"),
-    ("method", "Definition", "Declaration", "Method"), ("function", "Definition", "Declaration", "Function"), ("parameter", "Definition", None, "Parameter"),
-    ("global-variable", "Definition", "Declaration", "GlobalVariable"), ("local-variable", "Definition", "Declaration", "LocalVariable"),
-    ("struct", "Definition", "Declaration", "Struct"), ("class", "Definition", "Declaration", "Class"), ("union", "Definition", "Declaration", "Union"),
-    ("enum", "Definition", "Declaration", "Enum"), ("interface", "Definition", "Declaration", "Interface"), ("using-directive", "Using-Directive", "Using-Directive", None),
-    ("using-declaration", "Using", "Using", None), ("namespace-alias", "Declaration", "Declaration", "Namespace"), ("function-template", None, None, None), ("class-template", None, None, None),
-    ("field", "Declaration", "Declaration", "Field"), ("typedef", "Declaration", "Declaration", "Typedef"), ("namespace", "Declaration", "Declaration", "Namespace"),
-    ("enumerator", "Declaration", "Declaration", "Enumerator"), ("macro", "Definition", "Definition", "Macro"), ("include", "Included", "Included", "Path"),
+    ("instantiated-function", None, None, None, False), ("constructor", "Definition", "Declaration", "Constructor", False), ("destructor", "Definition", "Declaration", "Destructor", False),
+    ("method", "Definition", "Declaration", "Method", False), ("function", "Definition", "Declaration", "Function", False), ("parameter", "Definition", None, "Parameter", False),
+    ("global-variable", "Definition", "Declaration", "GlobalVariable", False), ("local-variable", "Definition", "Declaration", "LocalVariable", False),
+    ("struct", "Definition", "Declaration", "Struct", False), ("class", "Definition", "Declaration", "Class", False), ("union", "Definition", "Declaration", "Union", False),
+    ("enum", "Definition", "Declaration", "Enum", False), ("interface", "Definition", "Declaration", "Interface", False), ("using-directive", "Using-Directive", "Using-Directive", None, False),
+    ("using-declaration", "Using", "Using", None, False), ("namespace-alias", "Declaration", "Declaration", "Namespace", False), ("namespace-alias", "Namespace-Alias", "Namespace-Alias", None, True), ("function-template", None, None, None, False), ("class-template", None, None, None, False),
+    ("field", "Declaration", "Declaration", "Field", False), ("typedef", "Declaration", "Declaration", "Typedef", False), ("namespace", "Declaration", "Declaration", "Namespace", False),
+    ("enumerator", "Declaration", "Declaration", "Enumerator", False), ("macro", "Definition", "Definition", "Macro", False), ("include", "Included", "Included", "Path", False),
 ]
+# Forms of types that make a reference, and the kinds outside and inside a list of bases.
+TYPE_FORMS = ("tag", "typedef", "template-parameter", "record-specialisation")
+TYPE_KINDS = ("Reference", "Base-Class")
 
 
 def declaration_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DECLARATION_RULES, "class string, defining_kind string, other_kind string, symbol_type string")
+    return spark.createDataFrame(DECLARATION_RULES, "class string, defining_kind string, other_kind string, symbol_type string, of_target boolean")
 
 
 def declaration_facts(declarations: DataFrame) -> DataFrame:
-    """declarations (class, name, defining, ...) with kind and symbol_type; unnamed and omitted ones go, an unknown class declares without a type."""
+    """declarations (class, name, target, defining, ...) with kind and symbol_type; unnamed and omitted ones go, an unknown class declares without a type.
+
+    A rule of the target (an alias's namespace) makes a fact of its own, whose name is the target.
+    """
     rules = declaration_rules(declarations.sparkSession)
     kind = F.when(F.col("_known").isNull(), F.lit("Declaration")).when(F.col("defining"), F.col("defining_kind")).otherwise(F.col("other_kind"))
-    joined = declarations.where("name IS NOT NULL").join(F.broadcast(rules.withColumn("_known", F.lit(True))), "class", "left")
-    return joined.withColumn("kind", kind).where("kind IS NOT NULL").drop("defining_kind", "other_kind", "_known")
+    joined = declarations.join(F.broadcast(rules.withColumn("_known", F.lit(True))), "class", "left")  # a fixed table
+    named = joined.withColumn("kind", kind).withColumn("name", F.when(F.col("of_target"), F.col("target")).otherwise(F.col("name")))
+    return named.where("kind IS NOT NULL AND name IS NOT NULL").drop("defining_kind", "other_kind", "of_target", "target", "_known")
+
+
+def initializer_facts(initializers: DataFrame) -> DataFrame:
+    """Constructor initializers (member, ...) as facts: a named member is Initialized; one of a base (null member) makes none."""
+    return initializers.where("member IS NOT NULL").withColumnRenamed("member", "symbol").withColumn("kind", F.lit("Initialized"))
+
+
+def type_facts(types: DataFrame) -> DataFrame:
+    """Written types (form, symbol, in_bases, ...) as facts: the symbol's Base-Class in a definition's list of bases, else a Reference; other forms make none."""
+    kind = F.when(F.col("in_bases"), F.lit(TYPE_KINDS[1])).otherwise(F.lit(TYPE_KINDS[0]))
+    return types.where(F.col("form").isin(*TYPE_FORMS) & F.col("symbol").isNotNull()).withColumn("kind", kind).drop("form", "in_bases")
+
+
+def include_facts(includes: DataFrame) -> DataFrame:
+    """Includes (file, line, start_col, end_col, found, target) as facts: those whose target wasn't found make none; a target without a path is <blank>."""
+    symbol = F.concat(F.lit("@"), F.when(F.coalesce("target", F.lit("")) == "", F.lit("<blank>")).otherwise(F.col("target")))
+    return includes.where("found").select("file", "line", "start_col", "end_col", symbol.alias("symbol"), F.lit("Included").alias("kind"), F.lit("Path").alias("symbol_type"))
+
+
+def scoped_name(scopes: Column, name: Column, typedef_name: Column, arguments: Column, offset: Column) -> Column:
+    """Scopes and name joined by ::. scopes: array<struct<name, enum>>; enums are left out. An unnamed tag takes its typedef's name; arguments: of an explicit specialisation, null for none."""
+    own = F.concat(F.coalesce(name, typedef_name, F.concat(F.lit("<unnamed"), offset.cast("string"), F.lit(">"))), F.coalesce(F.concat(F.lit("<"), F.array_join(arguments, ", "), F.lit(">")), F.lit("")))
+    outer = F.transform(F.filter(scopes, lambda s: ~s["enum"]), lambda s: F.coalesce(s["name"], F.lit("<anon>")))
+    return F.array_join(F.concat(outer, F.array(own)), "::")
+
+
+def function_signature(extern_c: Column, parameters: Column, qualifier: Column) -> Column:
+    """Parameter types and qualifiers after a function's name; none where its first declaration is extern C."""
+    return F.when(extern_c, F.lit("")).otherwise(F.concat(F.lit("("), F.array_join(parameters, ", "), F.lit(")"), F.coalesce(qualifier, F.lit(""))))
 
 
 def symbol_name(scopes: Column, name: Column, file: Column, offset: Column, in_function: Column, internal: Column, parameters: Column, qualifier: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -58,14 +59,20 @@ RESULT = "session string, seq bigint, action string, at string, cursor bigint, s
 def fold(events: DataFrame) -> DataFrame:
     """session, seq, action, at, cursor, size after each event; events: session, seq, action (jump, back, forward), place, origin.
 
-    A session's events are one ordered group.
+    Sessions are dealt over tasks and sorted; a task holds one session's list
+    (bounded by CAP) and cursor, however many events the session has.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, rows = History(), []
-        for session, seq, action, place, origin in pdf.sort_values("seq")[["session", "seq", "action", "place", "origin"]].itertuples(index=False):
-            at = h.apply(action, place, origin)
-            rows.append((session, seq, action, at, h.cursor, len(h.entries)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return events.groupBy("session").applyInPandas(run, RESULT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, own = History(), None
+        for pdf in batches:
+            rows = []
+            for session, seq, action, place, origin in pdf.itertuples(index=False):
+                if own is None or session != own[0]:
+                    h, own = History(), (session,)
+                at = h.apply(action, place, origin)
+                rows.append((session, seq, action, at, h.cursor, len(h.entries)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    sorted_ = events.select("session", "seq", "action", "place", "origin").repartition("session").sortWithinPartitions("session", "seq")
+    return sorted_.mapInPandas(run, RESULT)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.dictionary import ranked
 from lodestone.operators.tables import CodeIndex, build_index
 from lodestone.schema import REFERENCE
-from lodestone.sources.store import layout
+from lodestone.sources.store import layout, materialise, write_clustered
 
 
 def merge_facts(*parts: DataFrame) -> DataFrame:
@@ -25,12 +28,24 @@ def merge_indexes(*parts: DataFrame) -> CodeIndex:
     return build_index(merge_facts(*parts))
 
 
+#: Facts of an entry that are hashed as one text.
+HASHED = 4096
+
+
 def entry_hashes(facts: DataFrame, entry: str = "file") -> DataFrame:
-    """name, hash (SHA-256 of the sorted facts of an entry, its own name in them), n: one row per entry."""
+    """name, hash, n: one row per entry.
+
+    The hash is the SHA-256 of the hashes, in order, of the blocks of HASHED
+    sorted facts (an entry's own name in them), so no entry is gathered in one
+    row: its facts are ranked over all partitions.
+    """
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in REFERENCE])
-    return facts.select(F.col(entry).alias("name"), line.alias("row")).distinct().groupBy("name").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("row")), "\n"), 256).alias("hash"), F.count("*").alias("n")
-    )
+    rows = ranked(facts.select(F.col(entry).alias("name"), line.alias("row")).distinct(), ["name", "row"], "at")
+    first = rows.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = rows.join(first, "name").groupBy("name", "n", F.floor((F.col("at") - F.col("first")) / HASHED).alias("block"))
+    blocks = blocks.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row")), "\n"), 256).alias("h"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"])
+    return blocks.groupBy("name", "n").agg(F.sha2(F.array_join(hashes, "\n"), 256).alias("hash")).select("name", "hash", "n")
 
 
 def first_of_hash(entries: DataFrame, order: list[str], key: str = "hash") -> DataFrame:
@@ -44,11 +59,21 @@ def first_of_hash(entries: DataFrame, order: list[str], key: str = "hash") -> Da
     return entries.groupBy(key).agg(best).select(key, "b.*").select(*entries.columns)
 
 
+def united(*parts: DataFrame, entry: str = "file") -> DataFrame:
+    """The facts of several parts of an archive; an entry may come from one part only."""
+    names = None
+    for k, p in enumerate(parts):
+        own = p.select(F.col(entry).alias("name"), F.lit(k).alias("part")).distinct()
+        names = own if names is None else names.unionByName(own)
+    twice = names.groupBy("name").count().where("count > 1").orderBy("name").limit(1).collect()
+    if twice:
+        raise ValueError(f"an archive holds an entry once: {twice[0]['name']}")
+    return merge_facts(*parts)
+
+
 def write_archive(facts: DataFrame, path: str, entry: str = "file", compressed: bool = True) -> None:
-    """Facts by entry in folders of their own, and a manifest of names, hashes and lengths."""
-    out = facts.withColumn("entry_name", F.col(entry))
-    option = "snappy" if compressed else "uncompressed"
-    out.repartition("entry_name").sortWithinPartitions("entry_name", *REFERENCE).write.option("compression", option).partitionBy("entry_name").parquet(f"{path}/entries")
+    """Facts clustered by entry, so that statistics lead to one entry's row groups, and a manifest of names, hashes and lengths."""
+    write_clustered(facts.withColumn("entry_name", F.col(entry)), f"{path}/entries", ["entry_name", *REFERENCE], compression="snappy" if compressed else "uncompressed")
     entry_hashes(facts, entry).write.parquet(f"{path}/manifest")
 
 
@@ -59,7 +84,7 @@ def open_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_entry(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Facts of one entry; other entries' folders are not read."""
+    """Facts of one entry; row groups of other entries are not read."""
     return spark.read.parquet(f"{path}/entries").where(F.col("entry_name") == name).drop("entry_name")
 
 
@@ -82,6 +107,20 @@ def reusable(entries: DataFrame, mtimes: DataFrame) -> DataFrame:
     return every.join(per, "index_file", "left").select("index_file", (F.col("index_mtime").isNotNull() & F.coalesce("fresh", F.lit(True))).alias("reusable"))
 
 
+def refresh(spark: SparkSession, old: str, out: str, index_mtimes: DataFrame, mtimes: DataFrame, rebuild: Callable[[DataFrame], DataFrame]) -> None:
+    """Write an archive at out from the one at old: entries that are fresh are taken over, all others (name) are rebuilt.
+
+    index_mtimes: index_file, index_mtime, name, as in reusable(); an entry's
+    index file bears its name. Entries of one content are kept once.
+    """
+    state = materialise(reusable(index_mtimes, mtimes))
+    kept = spark.read.parquet(f"{old}/entries").join(state.where("reusable").select(F.col("index_file").alias("entry_name")), "entry_name", "left_semi").drop("entry_name")
+    fresh = rebuild(state.where("NOT reusable").select(F.col("index_file").alias("name")))
+    facts = materialise(united(kept, fresh.select(*kept.columns)))
+    first = first_of_hash(entry_hashes(facts).select("hash", "name"), ["name"])
+    write_archive(facts.join(first.select(F.col("name").alias("file")), "file", "left_semi").select(*facts.columns), out)
+
+
 def entry_position(manifest: DataFrame, name: str) -> DataFrame:
     """position of an entry in the archive's order of names, -1 where it has none."""
     hit = manifest.agg(F.count_if(F.col("name") < name).alias("before"), F.count_if(F.col("name") == name).alias("n"))
@@ -110,4 +149,4 @@ def dump(index: CodeIndex, name: str) -> DataFrame:
     return index.decoded(name).select(F.to_json(F.struct("*")).alias("json"))
 
 
-__all__ = ["archive_stats", "catalog_stats", "dump", "entry_hashes", "entry_position", "first_of_hash", "merge_archives", "merge_facts", "merge_indexes", "open_archive", "open_entry", "reusable", "write_archive"]
+__all__ = ["archive_stats", "catalog_stats", "dump", "entry_hashes", "entry_position", "first_of_hash", "merge_archives", "merge_facts", "merge_indexes", "open_archive", "open_entry", "refresh", "reusable", "united", "write_archive"]

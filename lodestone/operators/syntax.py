@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ KEYWORDS = frozenset(
     static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void
     volatile wchar_t while and not_eq and_eq or bitand or_eq bitor xor compl xor_eq not""".split()
 )
-#: Colour of the symbols of a type; other types leave the text's own colour.
-SYMBOL_COLOURS = {"GlobalVariable": "cyan", "Field": "red", "Namespace": "magenta", "Struct": "magenta", "Class": "magenta", "Union": "magenta", "Enum": "magenta", "Typedef": "magenta", "Macro": "blue"}
+# Colours of kinds of text.
+KIND_COLOURS = {"comment": "darkGreen", "quoted": "darkGreen", "number": "darkBlue", "directive": "darkBlue", "keyword": "darkYellow"}
+# Colour of the symbols of a type; other types leave the text's own colour.
+SYMBOL_COLOURS = {"GlobalVariable": "darkCyan", "Field": "darkRed", "Namespace": "darkMagenta", "Struct": "darkMagenta", "Class": "darkMagenta", "Union": "darkMagenta", "Enum": "darkMagenta", "Typedef": "darkMagenta", "Macro": "darkBlue"}
 _TOKEN = re.compile(
     rb"""(?P<comment>/\*(?:.*?\*/|.*\Z)|//(?:[^\n]|(?<=\\)\n)*\n?)
     |(?P<quoted>'(?:\\.|[^\\'])*(?:'|\\?\Z)|"(?:\\.|[^\\"])*(?:"|\\?\Z))
@@ -118,9 +121,29 @@ def colour_overlay(facts: DataFrame) -> DataFrame:
     return cells.groupBy("file", "line", "col").agg(best).select("file", "line", "col", "b.colour")
 
 
-def overlay_runs(spans: DataFrame, runs: DataFrame) -> DataFrame:
-    """runs (file, start, end, kind) cut at spans (file, start, end, colour): file, at, kind, colour for each byte under a span."""
-    cells = spans.withColumn("at", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).groupBy("file", "at").agg(F.max(F.struct("start", "colour")).alias("c"))
-    own = runs.withColumnRenamed("start", "first")
-    hit = cells.join(own, "file").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("end")))
-    return hit.select("file", "at", "kind", F.col("c.colour").alias("colour"))
+def file_colours(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """file, start, end, colour: runs of one colour (bytes) over every file.
+
+    spans (file, start, end, colour, and seq: their order): a byte has the
+    colour of the last span over it, else that of its kind of text, else
+    default. A file meets its own spans in one row, and is coloured by itself.
+    """
+    code = {c: i for i, c in enumerate(["default", *sorted({*KIND_COLOURS.values(), *SYMBOL_COLOURS.values()})])}
+    names = list(code)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for file, content, own in zip(pdf["file"], pdf["content"], pdf["spans"], strict=True):
+                data = (content or "").encode()
+                cells = np.zeros(len(data), np.int8)
+                for a, b, kind in kinds(data):
+                    cells[a:b] = code[KIND_COLOURS.get(kind, "default")]
+                for x in own if own is not None else ():
+                    cells[max(x["start"], 0) : x["end"]] = code[x["colour"]]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]]) if len(cells) else np.zeros(1, int)
+                out.append(pd.DataFrame({"file": file, "start": cuts[:-1], "end": cuts[1:], "colour": [names[k] for k in cells[cuts[:-1]]]}))
+            yield pd.concat(out) if out else pd.DataFrame({"file": [], "start": [], "end": [], "colour": []})
+
+    own = spans.where("colour IS NOT NULL").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "colour"))).alias("spans"))
+    return files.select("file", "content").join(own, "file", "left").mapInPandas(run, "file string, start bigint, end bigint, colour string")

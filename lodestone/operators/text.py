@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestone.functions.regex import find_all, java_pattern
+from lodestone.functions.arrays import running_sum
+from lodestone.functions.regex import java_pattern, longest_pattern
+from lodestone.sources.store import materialise
+
+#: Bytes of a file to a stretch that offsets are looked up in.
+STRETCH = 4096
 
 
 def line_array(content: Column) -> Column:
@@ -25,24 +29,28 @@ def lines(files: DataFrame) -> DataFrame:
     Starts are summed along each file's own array, so nothing is shuffled.
     """
     texts = files.select("file", line_array(F.col("content")).alias("t"))
-    starts = F.aggregate(
-        F.transform("t", lambda x: F.octet_length(x).cast("bigint")),
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)),
-    )
-    rows = texts.select("file", F.posexplode(F.arrays_zip(F.col("t").alias("text"), F.slice(starts, F.lit(1), F.size("t")).alias("start"))).alias("line", "x"))
-    return rows.select("file", F.col("line").cast("bigint").alias("line"), F.col("x.start").alias("start"), F.octet_length("x.text").cast("bigint").alias("len"), F.col("x.text").alias("text"))
+    ends = running_sum(F.transform("t", lambda x: F.octet_length(x) + 1))
+    rows = texts.select("file", F.posexplode(F.arrays_zip(F.col("t").alias("text"), ends.alias("end"))).alias("line", "x"))
+    n = F.octet_length("x.text").cast("bigint")
+    return rows.select("file", F.col("line").cast("bigint").alias("line"), (F.col("x.end") - n - 1).alias("start"), n.alias("len"), F.col("x.text").alias("text"))
 
 
 def offset_to_line(files: DataFrame, offsets: DataFrame) -> DataFrame:
     """file, offset, line, col: the last line that starts at or before each offset (of file, offset).
 
-    The offsets meet their file's line starts in one row; no line is paired with an offset.
+    Line starts and offsets are put in order within each stretch of a file; the
+    last start of earlier stretches is one row per stretch. No line is paired
+    with an offset, and a large file is dealt over its stretches.
     """
-    starts = lines(files).groupBy("file").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    hit = offsets.distinct().join(starts, "file")
-    line = F.size(F.filter("starts", lambda s: s <= F.col("offset"))).cast("bigint") - 1
-    return hit.withColumn("line", line).where("line >= 0").select("file", "offset", "line", (F.col("offset") - F.get("starts", F.col("line").cast("int"))).alias("col"))
+    starts = lines(files).select("file", F.col("start").alias("at"), "line", F.lit(False).alias("wanted"))
+    wanted = offsets.select("file", F.col("offset").cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("line"), F.lit(True).alias("wanted")).distinct()
+    both = materialise(starts.unionByName(wanted).withColumn("b", F.floor(F.col("at") / STRETCH)))
+    start = F.when(~F.col("wanted"), F.struct("at", "line"))
+    heads = both.groupBy("file", "b").agg(F.max(start).alias("head"))
+    before = F.last("head", ignorenulls=True).over(W.partitionBy("file").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    here = F.last(start, ignorenulls=True).over(W.partitionBy("file", "b").orderBy("at", "wanted").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = both.withColumn("s", here).join(heads.select("file", "b", before.alias("before")), ["file", "b"]).where("wanted").withColumn("s", F.coalesce("s", "before"))
+    return placed.where("s IS NOT NULL").select("file", F.col("at").alias("offset"), "s.line", (F.col("at") - F.col("s.at")).alias("col"))
 
 
 def location_to_offset(line_rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -66,58 +74,53 @@ def longest_line(files: DataFrame, stop: int = 8) -> DataFrame:
 
 
 def words_at(line_rows: DataFrame, places: DataFrame) -> DataFrame:
-    """file, line, col, word: the run of word characters around each place, or the one character there."""
+    """file, line, col, word: the run of word characters around each place, or the one character there (the whole one, at any of its bytes)."""
     hit = places.distinct().join(line_rows, ["file", "line"]).where((F.col("col") >= 0) & (F.col("col") < F.col("len")))
     at = F.col("col").cast("int")
     raw = F.col("text").cast("binary")
-    before = F.regexp_extract(F.substring(raw, F.lit(1), at).cast("string"), "[A-Za-z0-9_]*$", 0)
-    after = F.regexp_extract(F.substring(raw, at + 1, F.col("len").cast("int")).cast("string"), "^[A-Za-z0-9_]*", 0)
-    one = F.substring(F.substring(raw, at + 1, F.lit(4)).cast("string"), 1, 1)
+    tail = lambda x: F.regexp_extract(x.cast("string"), "[A-Za-z0-9_]*$", 0)
+    head = lambda x: F.regexp_extract(x.cast("string"), "^[A-Za-z0-9_]*", 0)
+    before, after = tail(F.substring(raw, F.lit(1), at)), head(F.substring(raw, at + 1, F.col("len").cast("int")))
+    chars = F.split("text", "")
+    ends = running_sum(F.transform(chars, lambda c: F.octet_length(c)))
+    one = F.get(F.filter(F.zip_with(chars, ends, lambda c, e: F.struct(c.alias("c"), e.alias("e"))), lambda x: x["e"] > at), F.lit(0))["c"]
     return hit.select("file", "line", "col", F.when(after != "", F.concat(before, after)).otherwise(one).alias("word"))
 
 
 def matches(files: DataFrame, pattern: str) -> DataFrame:
-    """file, idx (from 0), start, len, of all matches of a pattern, in bytes; leftmost, non-overlapping, not empty."""
-    if not pattern:
-        return files.sparkSession.createDataFrame([], "file string, idx bigint, start bigint, len bigint")
-    found = find_all(F.col("content"), pattern)
-    gaps = F.split("content", java_pattern(pattern), -1)
-    n = F.size("m")
-    pairs = F.zip_with(F.slice("g", F.lit(1), n), "m", lambda g, m: F.struct(F.octet_length(g).cast("bigint").alias("gap"), F.octet_length(m).cast("bigint").alias("len")))
-    fold = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + p["gap"] + p["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["len"].alias("len")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    rows = files.where(F.col("content").rlike(java_pattern(pattern))).select("file", found.alias("m"), gaps.alias("g"))
-    return rows.select("file", F.posexplode(fold).alias("idx", "x")).select("file", F.col("idx").cast("bigint").alias("idx"), "x.start", "x.len")
-
-
-def longest_matches(files: DataFrame, alternatives: list[str]) -> DataFrame:
-    """Leftmost-longest matches of literal alternatives (file, start, end in bytes); Java takes the first alternative instead.
-
-    Sequential per file, so it runs as Arrow batches; an alternative may be a regular expression.
+    """file, idx (from 0), start, len, of all matches of a pattern, in bytes: leftmost-longest, non-overlapping.
+
+    Empty matches count, but for those at the end of the match before. An empty
+    pattern has none. Java leaves out the files without a match; the search in
+    the others is sequential per file and runs in Arrow batches.
     """
-    compiled = [re.compile(a.encode()) for a in alternatives]
+    result = "file string, idx bigint, start bigint, len bigint"
+    if not pattern:
+        return files.sparkSession.createDataFrame([], result)
+    longest_pattern(pattern)  # an invalid one fails here
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = longest_pattern(pattern)
+        for b in batches:
             out: list[tuple] = []
-            for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                data, pos, last = (content or "").encode(), 0, -1
-                while pos <= len(data):
-                    hits = [m for c in compiled if (m := c.search(data, pos))]
-                    if not hits:
+            for file, text in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), strict=True):
+                pos, last, idx, seen, offset = 0, -1, 0, 0, 0
+                while pos <= len(text):
+                    m = compiled.search(text, pos)
+                    if m is None:
                         break
-                    best = min(hits, key=lambda m: (m.start(), -m.end()))
-                    if best.end() > last:
-                        out.append((file, best.start(), best.end()))
-                        last = best.end()
-                    pos = max(best.end(), pos + 1)
-            yield pd.DataFrame(out, columns=["file", "start", "end"])
+                    start, end = m.span()
+                    if end > last:
+                        offset += len(text[seen:start].encode())
+                        size = len(text[start:end].encode())
+                        out.append((file, idx, offset, size))
+                        seen, offset = end, offset + size
+                        last, idx = end, idx + 1
+                    pos = max(end, pos + 1)
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "idx", "start", "len"])
 
-    return files.select("file", "content").mapInPandas(run, "file string, start bigint, end bigint")
+    return files.where(F.col("content").rlike(java_pattern(pattern))).select("file", "content").mapInArrow(run, result)
 
 
 def next_previous(found: DataFrame) -> DataFrame:
@@ -168,10 +171,11 @@ def range_text(content: Column, start: Column, end: Column) -> Column:
 
 def char_widths(line_rows: DataFrame) -> DataFrame:
     """file, line, col (byte), n (bytes), is_word of every character."""
-    chars = line_rows.select("file", "line", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "c"))
-    w = W.partitionBy("file", "line").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    n = F.octet_length("c").cast("bigint")
-    return chars.select("file", "line", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint").alias("col"), n.alias("n"), F.col("c").rlike("^[A-Za-z0-9_]$").alias("is_word"))
+    own = line_rows.select("file", "line", F.filter(F.split("text", ""), lambda c: c != "").alias("cs"))
+    ends = running_sum(F.transform("cs", lambda c: F.octet_length(c)))
+    chars = own.select("file", "line", F.explode(F.zip_with("cs", ends, lambda c, e: F.struct(c.alias("c"), e.alias("e")))).alias("x"))
+    n = F.octet_length("x.c").cast("bigint")
+    return chars.select("file", "line", (F.col("x.e") - n).alias("col"), n.alias("n"), F.col("x.c").rlike("^[A-Za-z0-9_]$").alias("is_word"))
 
 
 def backgrounds(spans: DataFrame) -> DataFrame:
@@ -181,6 +185,7 @@ def backgrounds(spans: DataFrame) -> DataFrame:
     return cells.groupBy("file", "at").agg(F.max_by("what", rank).alias("what"))
 
 
-def canonical_files(files: DataFrame) -> DataFrame:
-    """real_path, ids: one context per real path for files (id, real_path) that several names reach."""
-    return files.groupBy("real_path").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+def canonical_files(files: DataFrame, salts: int = 16) -> DataFrame:
+    """real_path, id, canonical: the context (the smallest id) of each file (id, real_path); one per real path, however many names reach it."""
+    first = files.groupBy("real_path").agg(F.min("id").alias("canonical")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return files.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(first, ["real_path", "_salt"]).select("real_path", "id", "canonical")

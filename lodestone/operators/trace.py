@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.dictionary import ranked
 from lodestone.schema import TRACE
 from lodestone.sources.store import materialise
 
@@ -18,13 +19,15 @@ SAFE_ARGUMENT = "^[^*?\\[\\]'\"\\\\$;&()|^<>\\s!#~`]+$"
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """line (order of the records), cwd, pidlist, argv of a JSON-lines trace."""
-    rows = spark.read.schema(TRACE).json(path)
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    where = F.col("_metadata")
+    rows = spark.read.schema(TRACE).json(path).select("*", where["file_path"].alias("_f"), where["file_block_start"].alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return ranked(rows, ["_f", "_b", "_i"], "line").drop("_f", "_b", "_i")  # a file's splits may be read in any order
 
 
 def decode_pids(records: DataFrame) -> DataFrame:
     """records with procs array<struct<pid, start>>: the running sums of the flattened (pid, start) deltas."""
-    deltas = F.transform(F.sequence(F.lit(0), F.floor(F.size("pidlist") / 2).cast("int") - 1), lambda i: F.struct(F.get("pidlist", i * 2).alias("pid"), F.get("pidlist", i * 2 + 1).alias("start")))
+    pairs = F.floor(F.size("pidlist") / 2).cast("int")
+    deltas = F.transform(F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("pidlist", i * 2).alias("pid"), F.get("pidlist", i * 2 + 1).alias("start")))
     sums = F.aggregate(
         F.slice(deltas, F.lit(2), F.size(deltas)), F.slice(deltas, 1, 1),
         lambda acc, d: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["pid"] + d["pid"]).alias("pid"), (F.element_at(acc, -1)["start"] + d["start"]).alias("start")))),
@@ -106,9 +109,12 @@ def compile_steps(records: DataFrame, existing: DataFrame | None = None) -> Data
     return steps.withColumn("_path", absolute(F.col("directory"), F.col("file"))).join(known, "_path", "left_semi").drop("_path")
 
 
-def write_compile_db(steps: DataFrame, path: str) -> None:
-    """One JSON object per line, in the order of the trace."""
-    steps.orderBy("line").select("directory", "command", "file").write.json(path)
+def write_compile_db(steps: DataFrame, path: str, many: int = 10_000) -> None:
+    """Files that hold a JSON array of at most many commands each, in the order of the trace."""
+    rows = ranked(steps.select("line", "directory", "command", "file"), ["line"], "_pos").withColumn("_block", F.floor(F.col("_pos") / many))
+    each = F.array_sort(F.collect_list(F.struct("_pos", F.struct("directory", "command", "file").alias("c"))))
+    text = rows.groupBy("_block").agg(F.to_json(F.transform(each, lambda x: x["c"])).alias("value"))
+    text.repartitionByRange("_block").sortWithinPartitions("_block").select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def absolute(cwd: Column, path: Column) -> Column:
@@ -116,7 +122,7 @@ def absolute(cwd: Column, path: Column) -> Column:
 
 
 def read_compile_db(spark: SparkSession, path: str) -> DataFrame:
-    """A compile database (a JSON array)."""
+    """A compile database (one or more files with a JSON array each)."""
     return spark.read.schema("directory string, command string, file string, arguments array<string>").option("multiLine", True).json(path)
 
 

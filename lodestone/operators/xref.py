@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lodestone.operators.tables import global_symbols, symbol_rows
 from lodestone.schema import DECLARATION, DEFINITION, PATH_TYPE, REFERENCE
@@ -106,9 +105,14 @@ def click_to_definition(facts: DataFrame, points: DataFrame) -> DataFrame:
 
 def first_definition(facts: DataFrame) -> DataFrame:
     """The first definition of each symbol in reference order."""
-    w = W.partitionBy("symbol").orderBy("file", "line", "start_col", "end_col")
-    rows = facts.where(F.col("kind") == DEFINITION).select(*REFERENCE).distinct()
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    best = F.min(F.struct("file", "line", "start_col", "end_col", "kind")).alias("b")
+    return facts.where(F.col("kind") == DEFINITION).groupBy("symbol").agg(best).select("b.file", "b.line", "b.start_col", "b.end_col", "symbol", "b.kind")
+
+
+def references_at(facts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every reference to any symbol of each span (file, line, start_col, end_col), as at_file, at_line, at_start, at_end and the reference."""
+    at = symbols_at_span(facts, spans).select(F.col("file").alias("at_file"), F.col("line").alias("at_line"), F.col("start_col").alias("at_start"), F.col("end_col").alias("at_end"), F.explode("symbols").alias("symbol"))
+    return at.join(facts.select(*REFERENCE).distinct(), "symbol").select("at_file", "at_line", "at_start", "at_end", *REFERENCE)
 
 
 def with_text(refs: DataFrame, line_rows: DataFrame) -> DataFrame:

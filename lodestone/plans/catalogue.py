@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import regex
 from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
-from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, JOBS, NAME_SPANS, NAMES, PRECOMPILED, TABS, TRACE_RECORDS
+from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, INCLUDES, INITIALIZERS, JOBS, NAME_SPANS, NAMES, PRECOMPILED, SCOPED, TABS, TRACE_RECORDS, TYPES
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
 from lodestone.sources.facts import document_files, event_refs, line_refs, page_paths
@@ -93,7 +93,7 @@ def single_definition(s: SparkSession, d: str) -> DataFrame:
 @query
 def single_definition_path(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
-    wanted = facts.select(F.col("file").alias("symbol")).unionByName(facts.select("symbol").where(F.col("symbol").like("u1%"))).unionByName(s.createDataFrame([("@/zz",)], "symbol string"))
+    wanted = facts.select(F.col("file").alias("symbol")).unionByName(facts.select("symbol")).unionByName(s.createDataFrame([("@/zz",)], "symbol string"))
     return xref.definitions_of(facts, wanted)
 
 
@@ -358,7 +358,7 @@ def tab_expanded_length(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_at_position(s: SparkSession, d: str) -> DataFrame:
-    rows = text.lines(document_files(s, d)).where(F.length("text") == F.col("len"))
+    rows = text.lines(document_files(s, d))
     return text.words_at(rows, rows.select("file", "line", F.explode(F.array(F.lit(0), F.lit(9), F.lit(23)).cast("array<bigint>")).alias("col")))
 
 
@@ -369,7 +369,8 @@ def find_in_file_matches(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def find_longest_matches(s: SparkSession, d: str) -> DataFrame:
-    return text.longest_matches(document_files(s, d), ["the", "the of", "of"])
+    """The longer alternative counts, wherever it stands."""
+    return text.matches(document_files(s, d), "the|[[:alpha:]]+ of|the[a-z]* of")
 
 
 @query
@@ -452,7 +453,7 @@ def tree_roots(s: SparkSession, d: str) -> DataFrame:
 def _sessions(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     action = F.when(F.col("event_type") == "error", "back").when(F.col("event_type") == "signup", "forward").otherwise("jump")
-    return e.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"), F.col("event_id").alias("seq"), action.alias("action"), F.get_json_object("props", "$.k").alias("place"), F.lit(None).cast("string").alias("origin"))
+    return e.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"), F.col("event_id").alias("seq"), action.alias("action"), F.get_json_object("props", "$.k").alias("place"), F.when(F.col("event_type") == "click", F.concat(F.lit("o"), F.get_json_object("props", "$.k"))).alias("origin"))
 
 
 @query
@@ -543,7 +544,29 @@ def symbol_names(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def declaration_facts(s: SparkSession, d: str) -> DataFrame:
-    return classify.declaration_facts(s.createDataFrame(DECLARATIONS, "class string, name string, defining boolean"))
+    return classify.declaration_facts(s.createDataFrame(DECLARATIONS, "class string, name string, target string, defining boolean"))
+
+
+@query
+def scoped_names(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame([r[:-1] for r in SCOPED], "scopes array<struct<name:string,enum:boolean>>, name string, typedef_name string, arguments array<string>, offset bigint, extern_c boolean, parameters array<string>, qualifier string")
+    c = F.col
+    return rows.select(F.concat(classify.scoped_name(c("scopes"), c("name"), c("typedef_name"), c("arguments"), c("offset")), classify.function_signature(c("extern_c"), c("parameters"), c("qualifier"))).alias("symbol"))
+
+
+@query
+def type_facts(s: SparkSession, d: str) -> DataFrame:
+    return classify.type_facts(s.createDataFrame(TYPES, "form string, symbol string, in_bases boolean"))
+
+
+@query
+def initializer_facts(s: SparkSession, d: str) -> DataFrame:
+    return classify.initializer_facts(s.createDataFrame(INITIALIZERS, "member string, line bigint"))
+
+
+@query
+def include_facts(s: SparkSession, d: str) -> DataFrame:
+    return classify.include_facts(s.createDataFrame(INCLUDES, "file string, line bigint, start_col bigint, end_col bigint, found boolean, target string"))
 
 
 @query
@@ -575,21 +598,74 @@ def widened_spans(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def range_text(s: SparkSession, d: str) -> DataFrame:
-    files = document_files(s, d).where(F.octet_length("content") == F.length("content"))
-    return files.select("file", text.range_text(F.col("content"), F.lit(10), F.lit(60)).alias("text"))
+    """The second and the third line of every file, by their bytes."""
+    files = document_files(s, d)
+    at = text.lines(files).where("line IN (1, 2)").groupBy("file").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("len")).alias("last"))
+    return files.join(at, "file").select("file", text.range_text(F.col("content"), F.col("first"), F.col("last")).alias("text"))
 
 
 @query
 def char_widths(s: SparkSession, d: str) -> DataFrame:
-    rows = text.lines(document_files(s, d)).where("line < 2")
+    rows = text.lines(document_files(s, d))
     return text.char_widths(rows).groupBy("file", "line", "n", "is_word").agg(F.count("*").alias("chars"), F.max("col").alias("last"))
 
 
 @query
 def refs_with_text(s: SparkSession, d: str) -> DataFrame:
-    rows = text.lines(document_files(s, d))
-    refs = text.matches(document_files(s, d), "the[a-z]* of").join(document_files(s, d).select("file"), "file").select("file", F.lit(1).cast("bigint").alias("line"), "idx")
-    return xref.with_text(refs, rows)
+    """Each match with the line it begins on."""
+    files = document_files(s, d)
+    found = text.matches(files, "the[a-z]* of").select("file", "idx", F.col("start").alias("offset"))
+    at = text.offset_to_line(files, found.select("file", "offset"))
+    refs = found.join(at, ["file", "offset"]).select("file", (F.col("line") + 1).alias("line"), "idx")
+    return xref.with_text(refs, text.lines(files))
+
+
+@query
+def file_colours(s: SparkSession, d: str) -> DataFrame:
+    """Every file coloured by kinds of text and, over them, by references: each match of a pattern is one, of a type by its number."""
+    files = document_files(s, d)
+    kind = F.element_at(F.array(F.lit("Class"), F.lit("Macro"), F.lit("Function")), (F.col("idx") % 3 + 1).cast("int"))
+    spans = text.matches(files, "the[a-z]* of").select("file", "start", (F.col("start") + F.col("len")).alias("end"), syntax.colour(kind).alias("colour"), F.col("idx").alias("seq"))
+    return syntax.file_colours(files, spans)
+
+
+@query
+def symbols_report_view(s: SparkSession, d: str) -> DataFrame:
+    """A report sorted by its second column, filtered, and with its columns' widths."""
+    view = report.symbol_report(xref.symbol_types(_typed(s, d))).filter("k[1-3]$")
+    widths = view.widths().select(F.col("symbol").alias("w_symbol"), F.col("symbol_type").alias("w_type"))
+    return view.sorted("symbol_type", descending=True).select("position", "symbol", "symbol_type").join(F.broadcast(widths))  # one row
+
+
+@query
+def references_at_span(s: SparkSession, d: str) -> DataFrame:
+    """References of every symbol that stands at a definition's span of the first file."""
+    facts = event_refs(s, d)
+    first = facts.agg(F.min("file").alias("file"))
+    spans = facts.where("kind = 'Definition'").join(F.broadcast(first), "file", "left_semi").select("file", "line", "start_col", "end_col")  # one row
+    return xref.references_at(facts, spans)
+
+
+@query
+def index_project(s: SparkSession, d: str) -> DataFrame:
+    """An archive of half-known entries is refreshed: fresh entries are taken over, files changed since (day above 20) are indexed anew."""
+    facts = event_refs(s, d).select(*REFERENCE).distinct()
+    base = f"{shared_dir(s)}/project-{uuid.uuid4().hex}"
+    merge.write_archive(facts.where("line < 12"), f"{base}/old")
+    names = facts.select(F.col("file").alias("name")).distinct()
+    day = F.dayofmonth(F.substring("name", 6, 10).try_cast("date")).cast("bigint")
+    merge.refresh(s, f"{base}/old", f"{base}/new", names.select(F.col("name").alias("index_file"), F.lit(20).cast("bigint").alias("index_mtime"), "name"), names.withColumn("mtime", day), lambda stale: facts.join(stale.withColumnRenamed("name", "file"), "file", "left_semi"))
+    return s.read.parquet(f"{base}/new/entries").select(*REFERENCE)
+
+
+@query
+def trace_to_compile_db(s: SparkSession, d: str) -> DataFrame:
+    """A trace file is read, its compile steps are written as a database, and that is read again."""
+    base = f"{shared_dir(s)}/trace-{uuid.uuid4().hex}"
+    _trace(s).coalesce(1).orderBy("line").select("cwd", "pidlist", "argv").write.json(f"{base}/trace")
+    trace.write_compile_db(trace.compile_steps(trace.read_trace(s, f"{base}/trace")), f"{base}/db", many=1)
+    db = trace.read_compile_db(s, f"{base}/db")
+    return db.select("directory", "file", F.array_join(trace.split_command(F.col("command")), "|").alias("argv"))
 
 
 @query
@@ -625,7 +701,7 @@ def report_batches(s: SparkSession, d: str) -> DataFrame:
 @query
 def canonical_files(s: SparkSession, d: str) -> DataFrame:
     files = document_files(s, d).select(F.col("doc_id").alias("id"), F.sha2("content", 256).alias("real_path"))
-    return text.canonical_files(files).select("real_path", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return text.canonical_files(files)
 
 
 @query

@@ -38,10 +38,32 @@ NAMES = [
     ([], "hidden", "/s/b.cc", 9, False, True, ["void"], None),
     ([], "main", "/s/b.cc", 1, False, False, None, None),
 ]
+#: class, name, target, defining
 DECLARATIONS = [
-    ("function", "f", True), ("function", "f", False), ("instantiated-function", "f", True), ("parameter", "p", False), ("parameter", "p", True), ("class", None, True), ("struct", "S", True),
-    ("field", "x", True), ("using-directive", "N", False), ("class-template", "T", True), ("label", "l", True), ("macro", "M", True), ("namespace-alias", "A", False), ("enumerator", "E", True),
+    ("function", "f", None, True), ("function", "f", None, False), ("instantiated-function", "f", None, True), ("parameter", "p", None, False), ("parameter", "p", None, True), ("class", None, None, True), ("struct", "S", None, True),
+    ("field", "x", None, True), ("using-directive", "N", None, False), ("class-template", "T", None, True), ("label", "l", None, True), ("macro", "M", None, True), ("namespace-alias", "A", "N", False), ("enumerator", "E", None, True),
+    ("constructor", "C", None, False), ("destructor", "~C", None, True), ("method", "m", None, True), ("global-variable", "g", None, False), ("local-variable", "v", None, True), ("union", "U", None, True), ("enum", "En", None, False),
+    ("interface", "I", None, True), ("using-declaration", "u", None, True), ("function-template", "ft", None, True), ("typedef", "td", None, False), ("namespace", "ns", None, True), ("include", "@/a.h", None, True),
 ]
+#: what each of DECLARATIONS makes, written down from the rules: class, name, defining, symbol_type, kind
+DECLARED = [
+    ("function", "f", True, "Function", "Definition"), ("function", "f", False, "Function", "Declaration"), ("parameter", "p", True, "Parameter", "Definition"), ("struct", "S", True, "Struct", "Definition"),
+    ("field", "x", True, "Field", "Declaration"), ("using-directive", "N", False, None, "Using-Directive"), ("label", "l", True, None, "Declaration"), ("macro", "M", True, "Macro", "Definition"),
+    ("namespace-alias", "A", False, "Namespace", "Declaration"), ("namespace-alias", "N", False, None, "Namespace-Alias"), ("enumerator", "E", True, "Enumerator", "Declaration"), ("constructor", "C", False, "Constructor", "Declaration"),
+    ("destructor", "~C", True, "Destructor", "Definition"), ("method", "m", True, "Method", "Definition"), ("global-variable", "g", False, "GlobalVariable", "Declaration"), ("local-variable", "v", True, "LocalVariable", "Definition"),
+    ("union", "U", True, "Union", "Definition"), ("enum", "En", False, "Enum", "Declaration"), ("interface", "I", True, "Interface", "Definition"), ("using-declaration", "u", True, None, "Using"),
+    ("typedef", "td", False, "Typedef", "Declaration"), ("namespace", "ns", True, "Namespace", "Declaration"), ("include", "@/a.h", True, "Path", "Included"),
+]
+#: scopes (name, whether an enum), name, typedef's name, arguments, offset, extern C, parameters, qualifier; and the name
+SCOPED = [
+    ([("std", False), ("vector", False)], "size", None, None, 1, False, [], " const", "std::vector::size() const"), ([("N", False), ("Colour", True)], "red", None, None, 2, True, [], None, "N::red"),
+    ([(None, False)], None, "S", None, 3, True, [], None, "<anon>::S"), ([], "hash", None, ["int", "A::B"], 4, False, ["A::B", "int"], None, "hash<int, A::B>(A::B, int)"), ([], None, None, None, 77, True, [], None, "<unnamed77>"),
+]
+#: form, symbol, in_bases
+TYPES = [("tag", "A", False), ("tag", "B", True), ("typedef", "T", False), ("typedef", "T2", True), ("template-parameter", "P", False), ("record-specialisation", "V", True), ("builtin", "int", False), ("tag", None, True)]
+#: file, line, start_col, end_col, found, target
+INCLUDES = [("@/a.c", 1, 10, 15, True, "/i/a.h"), ("@/a.c", 2, 10, 15, False, None), ("@/a.c", 3, 10, 15, True, None)]
+INITIALIZERS = [("C::x", 4), (None, 5), ("C::y", 6)]
 COMMANDS = [
     ("g++ -c 'a b.cc' -o a.o",), (r"""cc  -DX=\"y\" "-I/a \\ b" x\ y.c""",), ("",), (r"""gcc 'it'\''s' ""z""",),
 ]

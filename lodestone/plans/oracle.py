@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.operators import classify, syntax, trace
-from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, JOBS, NAME_SPANS, NAMES, TABS, TRACE_RECORDS
+from lodestone.operators import syntax, trace
+from lodestone.plans.fixtures import COMMANDS, DECLARED, JOBS, NAME_SPANS, NAMES, SCOPED, TABS, TRACE_RECORDS
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -77,7 +77,7 @@ oracle("single_definition", "SELECT * FROM sd", EV, SD)
 oracle(
     "single_definition_path",
     """SELECT DISTINCT file AS symbol, file, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS start_col, CAST(1 AS BIGINT) AS end_col, CAST(NULL AS VARCHAR) AS kind FROM ev
-UNION ALL SELECT symbol, file, line, start_col, end_col, kind FROM sd WHERE symbol LIKE 'u1%' AND file IS NOT NULL""",
+UNION ALL SELECT symbol, file, line, start_col, end_col, kind FROM sd WHERE file IS NOT NULL""",
     EV, SD,
 )
 oracle("global_definitions", f"SELECT {REF} FROM gd", EV)
@@ -129,7 +129,10 @@ oracle(
 )
 oracle("invert_reference", f"SELECT {REF}, row_number() OVER (ORDER BY symbol, kind, file, line, start_col, end_col) - 1 AS position FROM r", EV)
 oracle("invert_symbol", "SELECT symbol_type, symbol, row_number() OVER (ORDER BY symbol_type, symbol) - 1 AS position FROM sy", EV)
-oracle("archive_manifest", "SELECT file AS name, sha256(string_agg(x, chr(10) ORDER BY x)) AS hash, count(*) AS n FROM (SELECT file, concat_ws('|', file, line, start_col, end_col, symbol, kind) AS x FROM r) GROUP BY file", EV)
+HASHES = """hb AS (SELECT file, (row_number() OVER (PARTITION BY file ORDER BY x) - 1) // 4096 AS b, x FROM (SELECT file, concat_ws('|', file, line, start_col, end_col, symbol, kind) AS x FROM r)),
+hc AS (SELECT file, b, sha256(string_agg(x, chr(10) ORDER BY x)) AS h, count(*) AS n FROM hb GROUP BY file, b),
+he AS (SELECT file AS name, sha256(string_agg(h, chr(10) ORDER BY b)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM hc GROUP BY file)"""
+oracle("archive_manifest", "SELECT name, hash, n FROM he", EV, HASHES)
 oracle("archive_dedup", "SELECT sha256(content) AS hash, doc_id, file FROM df QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id) = 1", DOC)
 oracle("archive_open_entry", f"SELECT {REF} FROM r WHERE file = (SELECT min(file) FROM ev)", EV)
 oracle("archive_merge", f"SELECT {REF} FROM r", EV)
@@ -167,12 +170,17 @@ oracle(
 w AS (SELECT line, c, 1 AS i, CAST(strlen(c[1]) AS BIGINT) AS w FROM t UNION ALL SELECT line, c, i + 1, CAST((w // 8 + 1) * 8 + strlen(c[i + 1]) AS BIGINT) FROM w WHERE i < len(c))
 SELECT line, w AS width FROM w WHERE i = len(c)""".replace("t AS (SELECT", "WITH RECURSIVE t AS (SELECT", 1),
 )
+CHARS = """ch0 AS (SELECT file, line, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM dl WHERE text <> ''),
+ch AS (SELECT file, line, i, c, strlen(c) AS n, sum(strlen(c)) OVER (PARTITION BY file, line ORDER BY i) AS e, regexp_matches(c, '^[A-Za-z0-9_]$') AS is_word FROM ch0)"""
 oracle(
     "word_at_position",
-    """SELECT file, line, col, CASE WHEN a <> '' THEN regexp_extract(substr(text, 1, col), '[A-Za-z0-9_]*$') || a ELSE substr(text, col + 1, 1) END AS word
-FROM (SELECT *, regexp_extract(substr(text, col + 1), '^[A-Za-z0-9_]*') AS a FROM (SELECT file, line, len, text, unnest([0, 9, 23]::BIGINT[]) AS col FROM dl WHERE length(text) = len) WHERE col < len)""",
-    DOC,
-)
+    """SELECT g.file, g.line, col, CASE WHEN is_word THEN word ELSE c END AS word FROM
+(SELECT file, line, c, is_word, n, e, sum(CASE WHEN is_word THEN 0 ELSE 1 END) OVER (PARTITION BY file, line ORDER BY i) AS k FROM ch) g
+JOIN (VALUES (CAST(0 AS BIGINT)), (9), (23)) AS v(col) ON e - n <= col AND col < e
+LEFT JOIN (SELECT file, line, k, string_agg(c, '' ORDER BY i) AS word FROM (SELECT *, sum(CASE WHEN is_word THEN 0 ELSE 1 END) OVER (PARTITION BY file, line ORDER BY i) AS k FROM ch) WHERE is_word GROUP BY file, line, k) w
+ON g.file = w.file AND g.line = w.line AND g.k = w.k""",
+    DOC, CHARS,
+)
 oracle("find_in_file_matches", "SELECT file, idx, start, len FROM m", DOC, MATCH)
 oracle(
     "match_next_prev",
@@ -261,10 +269,16 @@ oracle(
   CAST(flags & 3 AS INTEGER) AS masked FROM fl""",
     FL,
 )
+# written down from the rules, one case each: what the part's use is
+_PARTS = """call callee: 1 | call argument: 4 | comma left: 0 | comma right: whole | assign left: result + 8 | assign right: 0 | compound-assign left: result + 16 | compound-assign right: 0 | cast-array-to-pointer operand: 4 |
+cast-to-void operand: 0 | cast-lvalue-to-rvalue operand: 2 | address-of operand: 4 | dereference operand: 0 | parenthesis operand: whole | declaration initialiser: 4 | return operand: 4 | list item: 4"""
+_SPELLED = {"whole": "flags", "result": "(CASE WHEN flags & 1 <> 0 THEN (flags & 30) | 2 ELSE flags END)"}
 oracle(
     "operand_flags",
-    f"""SELECT expression, part, flags, CAST((CASE WHEN inherit = 0 THEN 0 WHEN expression IN ('assign', 'compound-assign') AND flags & 1 <> 0 THEN (flags & 30) | 2 ELSE flags END) | added AS INTEGER) AS part_flags
-FROM (SELECT DISTINCT flags FROM fl), {values(classify.EXPRESSION_RULES, 'expression, part, inherit, added')}""",
+    " UNION ALL ".join(
+        f"SELECT '{name.split()[0]}' AS expression, '{name.split()[1]}' AS part, flags, CAST({' | '.join(_SPELLED.get(x.strip(), x) for x in use.split('+'))} AS INTEGER) AS part_flags FROM (SELECT DISTINCT flags FROM fl)"
+        for name, use in (x.split(":") for x in _PARTS.split("|"))
+    ),
     FL,
 )
 oracle("qualifier_segments", "SELECT symbol, i - 1 AS pos, q[i] AS qualifier FROM (SELECT symbol, q, unnest(range(1, len(q))) AS i FROM (SELECT DISTINCT symbol, string_split(symbol, '::') AS q FROM ev))", EV)
@@ -275,11 +289,7 @@ oracle(
   || (CASE WHEN parameters IS NULL THEN '' ELSE '(' || coalesce(array_to_string(parameters, ', '), '') || ')' || coalesce(qualifier, '') END) AS symbol
 FROM (SELECT scopes::VARCHAR[] AS scopes, name, "offset", in_function, internal, parameters::VARCHAR[] AS parameters, qualifier, string_split(file, '/')[-1] AS b FROM {values(NAMES, 'scopes, name, file, "offset", in_function, internal, parameters, qualifier')})""",
 )
-oracle(
-    "declaration_facts",
-    f"""SELECT class, name, defining, symbol_type, kind FROM (SELECT d.*, r.symbol_type, CASE WHEN r.class IS NULL THEN 'Declaration' WHEN defining THEN r.dk ELSE r.ok END AS kind
-FROM (SELECT * FROM {values(DECLARATIONS, 'class, name, defining')}) d LEFT JOIN (SELECT * FROM {values(classify.DECLARATION_RULES, 'class, dk, ok, symbol_type')}) r ON d.class = r.class WHERE name IS NOT NULL) WHERE kind IS NOT NULL""",
-)
+oracle("declaration_facts", f"SELECT * FROM {values(DECLARED, 'class, name, defining, symbol_type, kind')}")
 oracle("volume_definitions", "SELECT symbol, count(*) FILTER (kind = 'Definition') AS n_def, count(*) FILTER (kind = 'Declaration') AS n_decl FROM lr GROUP BY symbol", LI)
 oracle(
     "volume_point_lookup",
@@ -291,14 +301,35 @@ _ARGV = ["g++|-c|a b.cc|-o|a.o", r'cc|-DX="y"|-I/a \ b|x y.c', "", "gcc|it's|z"]
 oracle("command_split", f"SELECT command, argv, CAST(n AS BIGINT) AS n FROM {values([(c, a, len(a.split('|')) if a else 0) for (c,), a in zip(COMMANDS, _ARGV, strict=True)], 'command, argv, n')}")
 _AT = [(3, 7), (6, 18), (4, 7), (12, 13)]
 oracle("widened_spans", f'SELECT line, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM {values([(x[0], *at) for x, at in zip(NAME_SPANS, _AT, strict=True)], 'line, "start", "end"')}')
-oracle("range_text", "SELECT file, substr(content, 11, 50) AS text FROM df WHERE strlen(content) = length(content)", DOC)
+# written down by hand: steps of TRACE_RECORDS, and JOBS without their precompiled headers
+_STEPS = [("/b", "a b.cc", "/usr/bin/g++|-c|a b.cc|-o|a.o"), ("/b", "it's.cpp", "clang++|-O2|-c|it's.cpp"), ("/c", "pre.c", "gcc|-E|-c|pre.c")]
+_STRIPPED = [
+    ("/b", "a.cc", "g++ -c a.cc -o out/a.o"), ("/b", "/src/b.c", "/usr/bin/cc -c /src/b.c"), ("/b", "c.tar.cc", "clang++ -include plain.h -o c c.tar.cc"), ("/b", "noext", "gcc -o x -o y.obj -o z.o noext"),
+    ("/b", "e.c", ""), ("/b", "f.c", "gcc -include -include f.c -include"), ("/c", "g.c", "gcc g.c"),
+]
+oracle("range_text", "SELECT file, string_agg(text, chr(10) ORDER BY line) AS text FROM dl WHERE line IN (1, 2) GROUP BY file", DOC)
+oracle("char_widths", "SELECT file, line, n, is_word, count(*) AS chars, CAST(max(e - n) AS BIGINT) AS last FROM ch GROUP BY file, line, n, is_word", DOC, CHARS)
+oracle("refs_with_text", "SELECT m.file, dl.line + 1 AS line, idx, text FROM m ASOF JOIN dl ON m.file = dl.file AND m.start >= dl.start", DOC, MATCH)
+oracle("find_longest_matches", "SELECT file, idx, start, len FROM m", DOC, MATCH.replace("the[a-z]* of", "[a-z]+ of|the"))
 oracle(
-    "char_widths",
-    """SELECT file, line, n, is_word, count(*) AS chars, max(col) AS last FROM (SELECT file, line, CAST(strlen(text[1:i - 1]) AS BIGINT) AS col, CAST(strlen(text[i]) AS BIGINT) AS n, regexp_matches(text[i], '^[A-Za-z0-9_]$') AS is_word
-FROM (SELECT file, line, text, unnest(range(1, length(text) + 1)) AS i FROM dl WHERE line < 2)) GROUP BY file, line, n, is_word""",
-    DOC,
-)
-oracle("refs_with_text", "SELECT m.file, CAST(1 AS BIGINT) AS line, idx, text FROM m JOIN dl ON m.file = dl.file AND dl.line = 0", DOC, MATCH)
+    "symbols_report_view",
+    """v AS (SELECT symbol, symbol_type FROM ty WHERE regexp_matches(symbol, '(?i)k[1-3]$'))
+SELECT row_number() OVER (ORDER BY symbol_type DESC NULLS LAST, symbol DESC) - 1 AS position, symbol, symbol_type, (SELECT greatest(coalesce(max(length(symbol)), 0), 6) FROM v) AS w_symbol, (SELECT greatest(coalesce(max(length(symbol_type)), 0), 11) FROM v) AS w_type FROM v""".replace("v AS (", ", v AS (", 1),
+    EV, TYPED,
+)
+oracle(
+    "references_at_span",
+    """SELECT a.file AS at_file, a.line AS at_line, a.start_col AS at_start, a.end_col AS at_end, b.file, b.line, b.start_col, b.end_col, b.symbol, b.kind FROM
+(SELECT DISTINCT r.file, r.line, r.start_col, r.end_col, r.symbol FROM r JOIN (SELECT DISTINCT file, line, start_col, end_col FROM r WHERE kind = 'Definition' AND file = (SELECT min(file) FROM ev)) USING (file, line, start_col, end_col)) a JOIN r b USING (symbol)""",
+    EV,
+)
+oracle("index_project", f"SELECT {REF} FROM r WHERE line < 12 OR day(CAST(substr(file, 6) AS DATE)) > 20", EV)
+oracle("type_facts", f"SELECT * FROM {values([('A', 'Reference'), ('B', 'Base-Class'), ('T', 'Reference'), ('T2', 'Base-Class'), ('P', 'Reference'), ('V', 'Base-Class')], 'symbol, kind')}")
+oracle("initializer_facts", f"SELECT symbol, CAST(line AS BIGINT) AS line, kind FROM {values([('C::x', 4, 'Initialized'), ('C::y', 6, 'Initialized')], 'symbol, line, kind')}")
+oracle("include_facts", f"SELECT file, CAST(line AS BIGINT) AS line, CAST(start_col AS BIGINT) AS start_col, CAST(end_col AS BIGINT) AS end_col, symbol, kind, symbol_type FROM {values([('@/a.c', 1, 10, 15, '@/i/a.h', 'Included', 'Path'), ('@/a.c', 3, 10, 15, '@<blank>', 'Included', 'Path')], 'file, line, start_col, end_col, symbol, kind, symbol_type')}")
+oracle("scoped_names", f"SELECT symbol FROM {values([(r[-1],) for r in SCOPED], 'symbol')}")
+oracle("trace_to_compile_db", f"SELECT * FROM {values(_STEPS, 'directory, file, argv')}")
+oracle("pch_strip", f"SELECT * FROM {values(_STRIPPED, 'directory, file, argv')}")
 oracle(
     "match_backgrounds",
     """SELECT file, what, count(*) AS n, min("at") AS first FROM (SELECT file, "at", arg_max(what, p) AS what FROM (SELECT file, what, CASE what WHEN 'selection' THEN 3 WHEN 'hover' THEN 2 ELSE 1 END AS p, unnest(range(a, b)) AS "at" FROM
@@ -307,11 +338,32 @@ oracle(
 )
 oracle("tree_open_all", "SELECT DISTINCT category, array_to_string(string_split(path, '/')[1:i], '/') AS path FROM (SELECT category, path, unnest(range(1, depth)) AS i FROM tn WHERE is_file AND depth > 2)", PG)
 oracle("archive_entry_position", "SELECT CASE WHEN count(*) FILTER (file = n) > 0 THEN count(DISTINCT file) FILTER (file < n) ELSE -1 END AS position FROM ev, (VALUES ('@/ev/2024-01-05'), ('@/zz')) AS v(n) GROUP BY n", EV)
-oracle("archive_dump", "SELECT name, hash, n, symbols FROM (SELECT file AS name, sha256(string_agg(x, chr(10) ORDER BY x)) AS hash, count(*) AS n FROM (SELECT file, concat_ws('|', file, line, start_col, end_col, symbol, kind) AS x FROM r) GROUP BY file) JOIN (SELECT file AS name, count(DISTINCT symbol) AS symbols FROM r GROUP BY file) USING (name)", EV)
+oracle("archive_dump", "SELECT name, hash, n, symbols FROM he JOIN (SELECT file AS name, count(DISTINCT symbol) AS symbols FROM r GROUP BY file) USING (name)", EV, HASHES)
 oracle("report_batches", "SELECT CAST(i // greatest(100, t // 20) AS BIGINT) AS batch, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS t FROM (SELECT symbol FROM ev UNION SELECT file FROM ev)) GROUP BY 1", EV)
-oracle("canonical_files", "SELECT sha256(content) AS real_path, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM df GROUP BY content", DOC)
+oracle("canonical_files", "SELECT sha256(content) AS real_path, doc_id AS id, min(doc_id) OVER (PARTITION BY content) AS canonical FROM df", DOC)
 oracle(
     "macro_facts",
     """SELECT strftime(ts, '%Y-%m-%d') AS file, hour(ts) AS line, minute(ts) AS start_col, minute(ts) + strlen('M' || user_id) AS end_col, '#M' || user_id AS symbol,
   CASE event_type WHEN 'signup' THEN 'Definition' WHEN 'purchase' THEN 'Undefinition' WHEN 'click' THEN 'Expansion' ELSE 'Defined-Test' END AS kind, 'Macro' AS symbol_type FROM events""",
 )
+
+
+def _recorded(source: str, place: str) -> str:
+    """Rows of source with place recorded in the list es (from 1) at the cursor cu (from 0, -1 for none)."""
+    fresh = f"SELECT *, CASE WHEN {place} IS NULL OR cu >= 0 AND es[cu + 1] = {place} THEN 0 WHEN cu >= 0 AND cu < len(es) - 1 AND es[cu + 2] = {place} THEN 1 ELSE 2 END AS how FROM ({source})"
+    put = f"SELECT * REPLACE (CASE WHEN how = 2 THEN es[1:cu + 1] || [{place}] || es[cu + 2:] ELSE es END AS es, CASE WHEN how = 0 THEN cu ELSE cu + 1 END AS cu) FROM ({fresh})"
+    return f"SELECT * EXCLUDE (how) REPLACE (CASE WHEN how = 2 THEN es[greatest(0, cu - 100) + 1:cu + 101] ELSE es END AS es, CASE WHEN how = 2 THEN cu - greatest(0, cu - 100) ELSE cu END AS cu) FROM ({put})"
+
+
+_next = "SELECT h.session, e.i, e.seq, e.action, e.place, e.origin, h.es, h.cu FROM h JOIN he0 e ON e.session = h.session AND e.i = h.i + 1"
+_jumps = _recorded(_recorded(f"SELECT * FROM ({_next}) WHERE action = 'jump'", "origin"), "place")
+_steps = f"""SELECT *, CASE WHEN cu + k >= 0 AND cu + k < len(es) THEN cu + k END AS nc FROM (SELECT *, CASE action WHEN 'back' THEN -1 ELSE 1 END AS k FROM ({_next}) WHERE action <> 'jump')"""
+oracle(
+    "history_fold",
+    'SELECT session, seq, action, "at", CAST(cu AS BIGINT) AS "cursor", CAST(len(es) AS BIGINT) AS size FROM h WHERE i > 0',
+    """he0 AS (SELECT 's' || user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'back' WHEN 'signup' THEN 'forward' ELSE 'jump' END AS action, json_extract_string(props, '$.k') AS place,
+  CASE WHEN event_type = 'click' THEN 'o' || json_extract_string(props, '$.k') END AS origin, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)""",
+    f"""h AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST([] AS VARCHAR[]) AS es, CAST(-1 AS BIGINT) AS cu, CAST(NULL AS VARCHAR) AS "at" FROM he0 UNION ALL
+SELECT session, i, seq, action, es, cu, "at" FROM (SELECT session, i, seq, action, es, cu, place AS "at" FROM ({_jumps}) UNION ALL
+SELECT session, i, seq, action, CASE WHEN nc IS NULL THEN es ELSE es[greatest(0, nc - 100) + 1:nc + 101] END, CASE WHEN nc IS NULL THEN cu ELSE nc - greatest(0, nc - 100) END, CASE WHEN nc IS NOT NULL THEN es[nc + 1] END FROM ({_steps})))""",
+)

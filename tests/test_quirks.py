@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,7 +70,6 @@ def test_smart_case(spark):
     df = spark.createDataFrame([("FOO foo",), ("É",)], "x string")
     hits = lambda p: df.where(regex.report_filter(F.col("x"), p)).count()
     assert hits("foo") == 1 and hits("fOO") == 0 and hits("é") == 1 and hits("") == 2 and hits("\\Boo") == 1 and hits("\\BOo") == 0
-    assert df.select(F.size(regex.find_all(F.col("x"), ""))).first()[0] == 0
     assert regex.next_filter(spark, "(", "old") == "old" and regex.next_filter(spark, "(a)", "old") == "(a)"
 
 
@@ -96,8 +98,144 @@ def test_tab_width(spark):
 
 
 def test_longest_matches(spark):
-    df = spark.createDataFrame([("f", "xabcd ab")], "file string, content string")
-    assert rows(text.longest_matches(df, ["ab", "abcd"]), "start", "end") == [(1, 5), (6, 8)]
+    df = spark.createDataFrame([("f", "ab or abcd"), ("g", "axxb"), ("h", "é ab\nÉ"), ("i", None)], "file string, content string")
+    found = lambda p: rows(text.matches(df, p), "file", "start", "len")
+    assert found("ab|abcd") == [("f", 0, 2), ("f", 6, 4), ("h", 3, 2)]
+    assert [r for r in found("x*") if r[0] == "g"] == [("g", 0, 0), ("g", 1, 2), ("g", 4, 0)]
+    assert found("[[:alpha:]]+d|a") == [("f", 0, 1), ("f", 6, 4), ("g", 0, 1), ("h", 3, 1)]
+    assert found("é") == [("h", 0, 2), ("h", 6, 2)] and found("^é$") == [("h", 6, 2)] and found("") == [] and found("(a|ab)(bcd|c)") == [("f", 6, 4)]
+    assert found("\\bor\\b") == [("f", 3, 2)] and found(".b$") == [("g", 2, 2), ("h", 3, 2)]
+
+
+def test_pattern_syntax(spark):
+    good = {"a{2}": "aa", "[]a-]+": "]-a", "[^[:space:]b]": "x", "a|": "", "x{": "x{", "[[:^alpha:]]": "1", "[\\d_]": "_", "\\.": ".", "a**": "aaa", "[^\\W]": "w", "#": "#", "a&&b": "a&&b"}
+    for pattern, hit in good.items():
+        assert regex.valid(spark, pattern) and regex.longest_pattern(pattern).fullmatch(hit), pattern
+        assert spark.range(1).select(F.lit(hit).rlike(f"^(?:{regex.java_pattern(pattern)})$")).first()[0], pattern
+    for pattern in ("(", "a)", "[a", "*a", "(?i)a", "(a)\\1", "[[:nope:]]", "a\\", "\\q", "(?=a)"):
+        assert not regex.valid(spark, pattern), pattern
+    assert not regex.longest_pattern("[^[:alpha:][:^digit:]]").fullmatch("a") and regex.longest_pattern("[^[:alpha:][:^digit:]]").fullmatch("1")
+
+
+def plain_kinds(source):
+    """Kind of every character of an ASCII text, one state machine step at a time."""
+    out, state, i, fresh, include = [], "text", 0, True, False
+    while i < len(source):
+        c, two = source[i], source[i : i + 2]
+        was_include, include = include, False
+        if two == "/*":
+            end = source.find("*/", i + 2)
+            end = len(source) if end < 0 else end + 2
+            kind, fresh = "comment", False
+        elif two == "//":
+            end = i
+            while end < len(source) and not (source[end] == "\n" and source[end - 1] != "\\"):
+                end += 1
+            end = min(end + 1, len(source))
+            kind, fresh = "comment", True
+        elif c in "'\"":
+            end = i + 1
+            while end < len(source) and source[end] != c:
+                end += 2 if source[end] == "\\" else 1
+            end = min(end + 1, len(source))
+            kind, fresh = "quoted", False
+        elif c.isdigit() or c == "." and source[i + 1 : i + 2].isdigit():
+            end = i + 1
+            while end < len(source) and (source[end].isalnum() or source[end] in "_." or source[end] in "+-" and source[end - 1] in "eE"):
+                end += 1
+            kind, fresh = "number", False
+        elif c.isalpha() or c == "_":
+            end = i
+            while end < len(source) and (source[end].isalnum() or source[end] == "_"):
+                end += 1
+            kind, fresh = "keyword" if source[i:end] in syntax.KEYWORDS else "default", False
+        elif c == "#" and fresh:
+            end = i + 1
+            while source[end : end + 1] in (" ", "\t"):
+                end += 1
+            start = end
+            while end < len(source) and (source[end].isalnum() and end > start or source[end].isalpha() or source[end] == "_") and not source[end].isdigit():
+                end += 1
+            name = source[start:end]
+            kind, fresh, include = "directive" if name in syntax.DIRECTIVES else "default", False, name in ("include", "include_next", "import")
+        elif was_include and source[i:].lstrip(" \t").startswith("<"):
+            at = i + len(source[i:]) - len(source[i:].lstrip(" \t"))
+            out += ["default"] * (at - i)
+            end = at + 1
+            while end < len(source) and source[end] != ">":
+                end += 2 if source[end] == "\\" else 1
+            i, end = at, min(end + 1, len(source))
+            kind, fresh = "quoted", False
+        else:
+            end, kind = i + 1, "default"
+            fresh = c == "\n" or fresh and c in " \t"
+        out += [kind] * (end - i)
+        i = end
+    return out
+
+
+SOURCES = [
+    "int main() { return 0x1F + 1.5e-3; } // done\n#include <a.h>\n#define X 'a'\n", "/* open", "a /* b */ #if x\n  #  if y\n\"s\\\"t\" '\\'' .5 x.5\n", "# include <x>y\n#include \"q\"\n#foo <z>\n// a\\\nb\nint", "while(i<3>2){}", "",
+]
+
+
+@pytest.mark.parametrize("source", SOURCES)
+def test_kinds_equal_the_plain_scanner(source):
+    got = [k for a, b, k in syntax.kinds(source.encode()) for _ in range(a, b)]
+    assert got == plain_kinds(source)
+
+
+def test_file_colours(spark):
+    files = list(enumerate(SOURCES))
+    spans = [(0, 4, 8, "darkRed", 1), (0, 6, 10, "darkMagenta", 2), (0, 0, 2, None, 3), (1, 3, 99, "darkBlue", 1)]
+    df = spark.createDataFrame([(str(i), s) for i, s in files], "file string, content string")
+    got = syntax.file_colours(df, spark.createDataFrame([(str(f), *r) for f, *r in spans], "file string, start bigint, end bigint, colour string, seq bigint")).collect()
+    for i, source in files:
+        want = [syntax.KIND_COLOURS.get(k, "default") for k in plain_kinds(source)]
+        for f, a, b, colour, _ in spans:
+            if f == i and colour:
+                want[a:b] = [colour] * len(want[a:b])
+        runs = sorted((r.start, r.end, r.colour) for r in got if r.file == str(i))
+        assert [c for a, b, c in runs for _ in range(a, b)] == want and all(x[2] != y[2] for x, y in itertools.pairwise(runs))
+
+
+def test_many_lines_and_offsets(spark):
+    """The time grows with the lines, and offsets find lines that begin stretches before."""
+    content = "x\n" * 100_000 + "y" * 50_000 + "\nz"
+    df = spark.createDataFrame([("f", content)], "file string, content string")
+    at = spark.createDataFrame([("f", 0), ("f", 199_999), ("f", 240_000), ("f", 250_001)], "file string, offset bigint")
+    began = time.time()
+    assert rows(text.offset_to_line(df, at), "offset", "line", "col") == [(0, 0, 0), (199_999, 99_999, 1), (240_000, 100_000, 40_000), (250_001, 100_001, 0)]
+    assert time.time() - began < 60
+
+
+def test_archives_hold_an_entry_once(spark, tmp_path):
+    a, b = facts(spark, [("@/a", 1, 1, 2, "s", "Read", None)]), facts(spark, [("@/a", 2, 1, 2, "s", "Read", None)])
+    with pytest.raises(ValueError, match="@/a"):
+        merge.united(a, b)
+    assert merge.united(a, b.withColumn("file", F.lit("@/b"))).count() == 2
+
+
+def test_entry_hashes_over_several_blocks(spark):
+    many = facts(spark, [("@/a", i, 1, 2, "s", "Read", None) for i in range(9000)])
+    text_of = lambda i: f"@/a|{i}|1|2|s|Read"
+    ordered = sorted(map(text_of, range(9000)))
+    blocks = [hashlib.sha256("\n".join(ordered[k : k + merge.HASHED]).encode()).hexdigest() for k in range(0, 9000, merge.HASHED)]
+    assert merge.entry_hashes(many).first().hash == hashlib.sha256("\n".join(blocks).encode()).hexdigest()
+
+
+def test_empty_process_lists(spark):
+    df = spark.createDataFrame([(1, "/", [], ["gcc"]), (2, "/", [4, 5], ["gcc"])], "line bigint, cwd string, pidlist array<bigint>, argv array<string>")
+    assert {r.line: [tuple(p) for p in r.procs] for r in trace.decode_pids(df).collect()} == {1: [], 2: [(4, 5)]}
+
+
+def test_compile_databases(spark, tmp_path):
+    (tmp_path / "t.json").write_text("".join(json.dumps({"cwd": "/b", "pidlist": [1, k], "argv": ["gcc", "-c", f"{k} x.c"]}) + "\n" for k in range(5)))
+    steps = trace.compile_steps(trace.read_trace(spark, str(tmp_path / "t.json")), spark.createDataFrame([(f"/b/{k} x.c",) for k in range(4)], "path string"))
+    trace.write_compile_db(steps, str(tmp_path / "db"), many=3)
+    arrays = [json.loads(p.read_text()) for p in sorted((tmp_path / "db").glob("part-*"))]
+    assert [c["file"] for x in arrays for c in x] == [f"{k} x.c" for k in range(4)] and len(arrays) == 2
+    assert trace.read_compile_db(spark, str(tmp_path / "db")).count() == 4
 
 
 def test_match_label(spark):

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 from lodestone.operators.history import fold
-from lodestone.streaming.sessions import history_stream, symbol_activity, trace_stream
+from lodestone.streaming.sessions import history_stream, refresh_stream, symbol_activity, trace_stream
 
 EVENTS = "session string, seq bigint, action string, place string, origin string"
 
@@ -34,3 +34,12 @@ def test_activity(spark, tmp_path):
     spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'Read' AS kind UNION ALL SELECT timestamp'2024-01-02 00:00:00', 'Called'").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "in"))
     assert run(spark, symbol_activity(stream), "act").where("kind = 'Read'").first()["n"] == 1
+
+
+def test_refresh_stream(spark, tmp_path):
+    spark.sql("SELECT '@/a' AS name UNION ALL SELECT '@/a' UNION ALL SELECT '@/b'").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("name string").parquet(str(tmp_path / "in"))
+    q = refresh_stream(stream, lambda df: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["@/a", "@/b"]
