@@ -12,8 +12,9 @@ Training passes over all training texts: every task runs noise-contrastive
 estimation over the trigrams of its own texts (all tokens, with their counts),
 starting from the same parameters; the parameters are then averaged by the
 number of tokens. Only sums of parameters and the TABLE most frequent words
-(both of fixed size) come to the driver. Counts of all other words stay in a
-table that the scored texts' rare words are joined to.
+(both of fixed size) come to the driver; of words of like counts that don't all
+fit, a hash range of them does. Counts of all other words stay in a table that
+the scored texts' rare words are joined to.
 
 Edge cases: a null text is empty and has one token, the end; without any
 training text all scores follow from N = V = 0; rows that repeat are scored
@@ -40,6 +41,8 @@ from lodestone.llm.common import BLOCK, blocks_of, vector_sum, written
 TOP, BUCKETS, DIM = 768, 256, 32
 SYMBOLS = TOP + BUCKETS
 TABLE = 1 << 18
+#: Hash ranges that split the words of the count grade which no longer fits in whole.
+PLACES = 4096
 NOISE = 64
 BATCH = 8192
 LEARN_AT = 2_000_000
@@ -111,16 +114,20 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    # the most frequent: all above a count that leaves TABLE at most, found by a histogram of fixed size
-    grade = F.floor(F.log2("c") * 8)
+    # the most frequent: whole grades of counts while they fit, found by a histogram of fixed size;
+    # of the next grade as many of PLACES hash ranges as fit, so that words of one count don't all stay out
+    grade, place = F.floor(F.log2("c") * 8), F.pmod(F.xxhash64("word"), F.lit(PLACES))
     steps = sorted(((r["g"], r["k"]) for r in counts.groupBy(grade.alias("g")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    room, least = TABLE - 1, None
+    room, chosen = TABLE - 1, F.lit(False)
     for g, k in steps:
-        room -= k
-        if room < 0:
+        if k > room:
+            ranges = sorted((r["p"], r["k"]) for r in counts.where(grade == g).groupBy(place.alias("p")).agg(F.count("*").alias("k")).collect())
+            fits = [p for (p, _), sum_ in zip(ranges, np.cumsum([n for _, n in ranges]).tolist(), strict=True) if sum_ <= room]
+            chosen = chosen | ((grade == g) & (place <= fits[-1])) if fits else chosen
             break
-        least = g
-    top = counts.where((F.col("word") == END) | ((grade >= least) if least is not None else F.lit(False))).toArrow()
+        room -= k
+        chosen = grade >= g
+    top = counts.where((F.col("word") == END) | chosen).toArrow()
     ordered = sorted((w != END, -k, w) for w, k in zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     words = [w.encode() for _, _, w in ordered]
     c = np.array([-k for _, k, _ in ordered], np.int64)

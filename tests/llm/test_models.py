@@ -34,6 +34,23 @@ def test_toxicity_of_hard_rows(spark, docs, hard, none, clashing):
     assert nothing.where("severity > 0 OR toxic").count() == 0
 
 
+def test_toxicity_against_plain_sums(spark, docs, hard):
+    """Severity, grade and chance of every text from its features one by one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    every = docs.select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    m = toxicity.fit(docs, labels)
+    want = []
+    for d in every.collect():
+        s = sum(m.weights.get(h, 0.0) for h in {h for w in toxicity.words(d.text) for h in toxicity.features(w)})
+        above = [1 / (1 + math.exp(t - s)) if m.weights else 0.0 for t in m.thresholds]
+        each = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        want.append((-1 if d.doc_id is None else d.doc_id, sum(j * p for j, p in enumerate(each)), each.index(max(each)), above[0]))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.severity, r.grade, r.p_toxic) for r in toxicity.score(every, m).collect()]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got), sorted(want), strict=True):
+        assert (g[0], g[2]) == (w[0], w[2]) and math.isclose(g[1], w[1], abs_tol=1e-9) and math.isclose(g[3], w[3], abs_tol=1e-9)
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(1)
     toxic = rng.random(400) < 0.3
@@ -62,6 +79,60 @@ def test_lm_is_normalised():
     assert math.isclose(p.sum(), 1, rel_tol=1e-4)
 
 
+def test_words_of_one_count_fill_the_table(spark, monkeypatch):
+    """More words of one count than fit: some are symbols of their own all the same, and the sums agree."""
+    monkeypatch.setattr(lbl, "TABLE", 2048)
+    for first in (0, 50):
+        words = [(f"w{i}", lbl.bucket(b"w%d" % i), 9 if i < first else 1) for i in range(9000)] + [(lbl.END, lbl.bucket(b"\n"), 5)]
+        v = lbl.vocabulary(spark.createDataFrame(words, "word string, bucket int, c long"))
+        assert v.words[0] == b"\n" and 2000 < len(v.words) <= 2048 and len(set(v.words)) == len(v.words)
+        assert v.counts[1 : first + 1].tolist() == [9] * first and set(v.counts[first + 1 :].tolist()) == {1}
+        assert v.n == 9000 + 8 * first + 5 and v.v == 9001
+        assert v.bucket_v.sum() == 9001 - lbl.TOP and v.bucket_n.sum() == v.n - v.counts[: lbl.TOP].sum()
+
+
+def test_lm_scores_against_plain_sums(spark, hard):
+    """Every score by a softmax over all symbols, token by token, with the fitted parameters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    rows = lbl.split(docs)
+    training = rows.where("NOT held_out")
+    counts = lbl.token_counts(training)
+    v = lbl.vocabulary(counts)
+    params = lbl.fit(training, v)
+    r, q, c1, c2, bias = (p.astype(np.float64) for p in params)
+    count = {x.word.encode(): x.c for x in counts.collect()}
+    symbol = {w: i for i, w in enumerate(v.words[: lbl.TOP])}
+    of_class = defaultdict(list)
+    for w, k in count.items():
+        if w not in symbol:
+            of_class[lbl.bucket(w)].append(k)
+    memo = {}
+
+    def chance(a, b, w):
+        if (a, b) not in memo:
+            x = (r[b] @ c1 + r[a] @ c2) @ q.T + bias
+            memo[a, b] = x - x.max() - math.log(np.exp(x - x.max()).sum())
+            assert math.isclose(np.exp(memo[a, b]).sum(), 1)
+        s = symbol.get(w, lbl.TOP + lbl.bucket(w))
+        out = memo[a, b][s] / math.log(10)
+        if s >= lbl.TOP:
+            own = of_class[s - lbl.TOP]
+            out += math.log10((count.get(w, 0) + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+        return s, out
+
+    want = []
+    for d in sorted((x for x in docs.collect()), key=lambda x: len(x.text or ""))[:150]:
+        a = b = 0
+        total = 0.0
+        for w in lbl.tokens(d.text):
+            s, p = chance(a, b, w)
+            total, a, b = total + p, b, s
+        want.append((len(lbl.tokens(d.text)), total))
+    got = sorted((x.n_tokens, x.score) for x in lbl.score(rows, counts, v, params).collect())
+    for n, total in want:
+        assert any(n == m and math.isclose(total, x, rel_tol=1e-4, abs_tol=1e-3) for m, x in got)
+
+
 def test_lm_of_hard_rows(hard, none, clashing):
     got = sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lbl.lm_scores(hard).collect())
     want = sorted((n, k, round(b, 6)) for _, n, k, _, b in brute.lm_base([(r.doc_id, r.text) for r in hard.collect()]))
