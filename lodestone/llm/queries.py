@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import hnsw, htmltext, lbl, linefreq, mixing, neardup, packing, pseudonyms, secrets, toxicity
+from lodestone.llm import hnsw, htmltext, lbl, linefreq, mixing, neardup, packing, partial, pseudonyms, secrets, simhash, toxicity, whiten
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,47 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_main_text"] = op9_main_text
+
+
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial.codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op11_codes"] = op11_codes
+
+
+def _codes_sql() -> str:
+    """Distances are |x|^2 - 2 x.c + |c|^2 in doubles, exact for these integers; each round is two tables."""
+    vectors = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: CAST(floor({partial.SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS MATERIALIZED (SELECT rid, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS x FROM k, (SELECT unnest(range(0, {partial.PARTS})) AS p)),
+b0 AS MATERIALIZED (SELECT p, e, x FROM v JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) USING (rid) WHERE e < {partial.ENTRIES})"""
+    near = """a{i} AS MATERIALIZED (SELECT rid, p, arg_min(e, (d, e)) AS e, CAST(min(d) AS BIGINT) AS d FROM
+  (SELECT rid, v.p, e, list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.x) + list_inner_product(b.x, b.x) AS d
+   FROM (SELECT rid, p, CAST(x AS DOUBLE[]) AS x FROM v) v JOIN (SELECT p, e, CAST(x AS DOUBLE[]) AS x FROM b{i}) b USING (p)) GROUP BY rid, p)"""
+    move = """b{j} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN
+  (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY pos) AS x FROM
+    (SELECT p, e, pos, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT v.p, a.e, unnest(v.x) AS c, unnest(range(len(v.x))) AS pos FROM v JOIN a{i} a USING (rid, p)) GROUP BY p, e, pos) GROUP BY p, e) m
+  USING (p, e))"""
+    rounds = [near.format(i=i) + ",\n" + move.format(i=i, j=i + 1) for i in range(partial.ROUNDS)] + [near.format(i=partial.ROUNDS)]
+    return ",\n".join([vectors, *rounds]) + f""",
+o AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{partial.ROUNDS} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{partial.ROUNDS}) AS codebooks_sha256 FROM o JOIN k USING (rid)"""
+
+
+ORACLE_SQL["op11_codes"] = _codes_sql()
+
+
+def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op12_whitened"] = op12_whitened
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_simhash"] = op13_simhash
