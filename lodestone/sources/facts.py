@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.classify import EXPRESSION_RULES
 from lodestone.sources.store import table
 
 
@@ -62,3 +63,41 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("p"))
     path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/project/"), "p")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/"), "p")).otherwise(F.col("p"))
     return p.select(path.alias("path")).distinct()
+
+
+def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ts, u (user), k, event_type, file of events."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), "event_type", F.concat(F.lit("@/ev/"), F.date_format("ts", "yyyy-MM-dd")).alias("file"))
+
+
+def expression_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expression trees of 400 events each: node, parent, expression, part, is_expression, is_rvalue, is_function."""
+    e = _numbered_events(spark, sf_dir)
+    in_tree, n = F.col("id") % 400, F.pmod(F.col("u") + F.col("k"), F.lit(30))
+    of = [("member", "arrow"), *[("member", "dot")] * 3, ("parenthesis", "operand")]
+    roles = [(x[0], x[1]) for x in EXPRESSION_RULES] + of
+    role = F.get(F.array(*(F.struct(F.lit(a).alias("expression"), F.lit(b).alias("part")) for a, b in roles)), F.least(n, F.lit(len(roles) - 1)).cast("int"))
+    parent = F.when(in_tree > 0, F.col("id") - 1 - F.col("k") % F.greatest(F.least(in_tree, F.lit(3)), F.lit(1)))
+    return e.select(
+        F.col("id").alias("node"), parent.alias("parent"), role["expression"].alias("expression"), role["part"].alias("part"),
+        (F.col("k") % 11 != 0).alias("is_expression"), F.col("event_type").isin("click", "error").alias("is_rvalue"), F.when(F.col("id") % 3 == 0, F.col("u") % 4 == 0).alias("is_function"),
+    )
+
+
+def declaration_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations (naming.DECLARATIONS) from events: a forest in each run of 60."""
+    e = _numbered_events(spark, sf_dir)
+    c, i, u, k = F.col, F.col("id"), F.col("u"), F.col("k")
+    at, turn, text = i % 60, (i % 12).cast("int"), lambda *xs: F.concat(*(x.cast("string") if x is not None else x for x in xs))
+    classes = ["namespace", "namespace", "tag", "tag", "enum", "function", "function", "variable", "class-specialisation", "enumerator", "field", "linkage"]
+    kind = F.get(F.array(*map(F.lit, classes)), turn)
+    unnamed = turn.isin(1, 11) | (turn == 3) | (turn == 10) & (u % 5 == 0)
+    return e.select(
+        i.alias("decl"), F.when(at > 0, i - 1 - k % F.greatest(F.least(at, F.lit(4)), F.lit(1))).alias("parent"), F.when((kind == "linkage") & (u % 3 != 0), "typedef").otherwise(kind).alias("class"),
+        F.when(~unnamed, text(F.lit("n"), u)).when((turn == 11) & (u % 3 != 0), text(F.lit("t"), u)).alias("name"), F.when((turn == 3) & (u % 2 == 0), text(F.lit("T"), k)).alias("typedef_name"),
+        F.when(k % 13 != 0, text(c("file"), F.lit("/f"), u % 7, F.lit(".h"))).alias("file"), (i * 10).alias("offset"), F.when(u % 6 != 0, i - i % 5).alias("canonical"), (k % 7 == 0).alias("extern_c"), (k % 5 == 0).alias("external"),
+        (k % 2 == 0).alias("defining"), (k % 3 == 0).alias("explicit"), F.when(turn.isin(5, 6, 8) & (k % 4 != 1) & (at >= 12), i - 12).alias("origin"),
+        F.when(turn.isin(8) | (k % 5 == 1), F.when(k % 2 == 0, F.array(F.lit("int"), text(F.lit("A"), k))).otherwise(F.array(text(F.lit("B"), u)))).alias("arguments"),
+        F.slice(F.array(F.lit("int"), F.lit("char *"), F.lit("T &")), F.lit(1), (k % 4).cast("int")).alias("parameters"), F.when(k % 4 == 0, F.lit(" const")).alias("qualifiers"),
+    )
