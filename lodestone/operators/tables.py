@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import dictionary
-from lodestone.schema import DICTIONARIES, LOCAL_TYPES, PATH_TYPE, TABLES
-from lodestone.sources.store import layout, write_clustered
+from lodestone.schema import DICTIONARIES, LOCAL_TYPES, PATH_TYPE, REFERENCE, TABLES
+from lodestone.sources.keyed import Keyed, write_keyed
+from lodestone.sources.store import layout
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -81,10 +82,11 @@ class CodeIndex:
         return df.select(*[c.removesuffix("_id") for c in TABLES[name]])
 
     def write(self, path: str, compression: str = "snappy") -> None:
+        """Every part in the order of its keys, a dictionary by value, with the first keys of its files."""
         for name, df in self.dictionaries.items():
-            write_clustered(df, f"{path}/dictionaries/{name}", ["id"], compression=compression)
+            write_keyed(df, f"{path}/dictionaries/{name}", ["value", "id"], compression=compression)
         for name, df in self.tables.items():
-            write_clustered(df, f"{path}/tables/{name}", df.columns, compression=compression)
+            write_keyed(df, f"{path}/tables/{name}", df.columns, compression=compression)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> CodeIndex:
@@ -93,6 +95,17 @@ class CodeIndex:
         return cls({n: spark.read.parquet(f"{path}/dictionaries/{n}") for n in DICTIONARIES}, {n: spark.read.parquet(f"{path}/tables/{n}") for n in TABLES})
 
 
+def written_references(spark: SparkSession, path: str, symbols: DataFrame) -> DataFrame:
+    """The references of symbols (symbol) in the index written at path, as facts; of dictionary and table only the files that can hold them are read."""
+    names = Keyed(spark, f"{path}/dictionaries/Symbol").lookup(symbols.select(F.col("symbol").alias("value")))
+    rows = Keyed(spark, f"{path}/tables/ReferenceIndex").lookup(names.select(F.col("id").alias("symbol_id")))
+    index = CodeIndex.read(spark, path)
+    rows = rows.join(names.select(F.col("id").alias("symbol_id"), F.col("value").alias("symbol")), "symbol_id")
+    for column, name in (("file_id", "Symbol"), ("kind_id", "ReferenceType")):
+        rows = dictionary.decode(rows, index.dictionaries[name], column, column.removesuffix("_id"))
+    return rows.select(*REFERENCE)
+
+
 def symbol_rows(facts: DataFrame) -> DataFrame:
     """symbol, symbol_type of facts, with a Path symbol for each file."""
     own = facts.where("symbol_type IS NOT NULL").select("symbol", "symbol_type")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import regex
 from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
-from lodestone.plans import forests
+from lodestone.plans import forests, indexes
 from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, INCLUDES, INITIALIZERS, JOBS, NAME_SPANS, NAMES, PRECOMPILED, SCOPED, TABS, TRACE_RECORDS, TYPES
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
@@ -714,6 +714,6 @@ def macro_facts(s: SparkSession, d: str) -> DataFrame:
     return classify.macro_facts(macros)
 
 
-QUERIES |= forests.QUERIES
+QUERIES |= forests.QUERIES | indexes.QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators.history import RESULT, History
+from lodestone.operators.maintained import Definitions
+from lodestone.operators.snapshots import Snapshots
 from lodestone.operators.trace import decode_pids, is_driver
 from lodestone.schema import TRACE
+from lodestone.sources.store import materialise
 
 STATE = "entries array<string>, cursor int"
 
@@ -45,6 +48,21 @@ def refresh_stream(changed: DataFrame, rebuild: Callable[[DataFrame], None], che
     return changed.writeStream.foreachBatch(lambda df, _: rebuild(df.distinct())).option("checkpointLocation", checkpoint).start()
 
 
+def snapshot_stream(changed: DataFrame, store: Snapshots, rebuild: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """A version of the archive for each micro-batch of changed entries (entry); rebuild gives the facts of some entries. A batch that comes twice changes nothing."""
+
+    def step(df: DataFrame, batch: int) -> None:
+        entries = materialise(df.select("entry").distinct())
+        store.refresh(rebuild(entries), entries, f"batch-{batch}")
+
+    return changed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def definitions_stream(changes: DataFrame, view: Definitions, checkpoint: str) -> StreamingQuery:
+    """The maintained definitions, a micro-batch of signed facts at a time."""
+    return changes.writeStream.foreachBatch(lambda df, batch: view.apply(materialise(df), batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def symbol_activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """References per symbol kind and window of a stream (ts, kind), closed once the watermark passes."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
