@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import running_sum
 from lodestone.operators.dictionary import ranked
+from lodestone.operators.pointers import followed, looked_up
 from lodestone.schema import TRACE
 from lodestone.sources.store import materialise
 
@@ -25,14 +27,11 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_pids(records: DataFrame) -> DataFrame:
-    """records with procs array<struct<pid, start>>: the running sums of the flattened (pid, start) deltas."""
-    pairs = F.floor(F.size("pidlist") / 2).cast("int")
-    deltas = F.transform(F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("pidlist", i * 2).alias("pid"), F.get("pidlist", i * 2 + 1).alias("start")))
-    sums = F.aggregate(
-        F.slice(deltas, F.lit(2), F.size(deltas)), F.slice(deltas, 1, 1),
-        lambda acc, d: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["pid"] + d["pid"]).alias("pid"), (F.element_at(acc, -1)["start"] + d["start"]).alias("start")))),
-    )
-    return records.withColumn("procs", sums)
+    """records with procs array<struct<pid, start>>: the running sums of the flattened (pid, start) deltas; empty for an empty or null list."""
+    pairs = F.floor(F.coalesce(F.size("pidlist"), F.lit(0)) / 2).cast("int")
+    at = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
+    sums = lambda k: running_sum(F.transform(at, lambda i: F.get("pidlist", i * 2 + k)))
+    return records.withColumn("procs", F.zip_with(sums(0), sums(1), lambda pid, start: F.struct(pid.alias("pid"), start.alias("start"))))
 
 
 def encode_pids(procs: Column) -> Column:
@@ -52,12 +51,13 @@ def is_driver(argv: Column) -> Column:
 def parents(records: DataFrame) -> DataFrame:
     """line, parent: the record of the nearest ancestor known when the line was written; of several records of a process the last one before it.
 
-    Each record joins earlier records by process; the best is one aggregate.
+    A process's own records are one row, so an ancestor that most records name
+    (a shell) is looked up, not joined pair by pair. Runs an action.
     """
-    d = decode_pids(records)
-    own = d.select(F.col("line").alias("parent"), F.element_at("procs", -1).alias("p")).select("parent", "p.pid", "p.start")
-    up = d.select("line", F.posexplode(F.slice("procs", F.lit(1), F.size("procs") - 1)).alias("depth", "p")).select("line", "depth", "p.pid", "p.start")
-    hit = up.join(own, ["pid", "start"]).where(F.col("parent") < F.col("line"))
+    d = materialise(decode_pids(records).select("line", "procs"))
+    own = d.select("line", F.try_element_at("procs", F.lit(-1)).alias("p")).where("p IS NOT NULL").groupBy("p").agg(F.collect_set("line").alias("own"))
+    up = d.select("line", F.posexplode(F.slice("procs", F.lit(1), F.greatest(F.size("procs") - 1, F.lit(0)))).alias("depth", "p"))
+    hit = looked_up(up, own, "p", up.count()).where("own IS NOT NULL").withColumn("parent", F.array_max(F.filter("own", lambda x: x < F.col("line")))).where("parent IS NOT NULL")
     return hit.groupBy("line").agg(F.max(F.struct("depth", "parent")).alias("b")).select("line", F.col("b.parent").alias("parent"))
 
 
@@ -67,13 +67,10 @@ def below_driver(records: DataFrame) -> DataFrame:
     Pointers are doubled, so the rounds are the logarithm of the deepest chain.
     """
     edges = parents(records)
-    flags = records.select(F.col("line").alias("parent"), is_driver(F.col("argv")).alias("driver"))
-    state = materialise(edges.join(flags, "parent").select("line", F.col("parent").alias("up"), F.col("driver").alias("below")))
-    while True:
-        ahead = state.select(F.col("line").alias("up"), F.col("up").alias("next"), F.col("below").alias("far"))
-        state = materialise(state.join(ahead, "up", "left").select("line", F.col("next").alias("up"), (F.col("below") | F.coalesce("far", F.lit(False))).alias("below")))
-        if not state.where("up IS NOT NULL").limit(1).count():
-            return state.where("below").select("line")
+    flags = records.select(F.col("line").alias("parent"), F.coalesce(is_driver(F.col("argv")), F.lit(False)).alias("driver"))
+    state = edges.join(flags, "parent").select("line", F.col("parent").alias("up"), F.col("driver").alias("below"))
+    found = followed(state, "line", "up", {"below": lambda near, far: near | F.coalesce(far, F.lit(False))})
+    return found.where("below").select("line")
 
 
 def _ends(arg: Column, extensions: tuple[str, ...]) -> Column:

@@ -12,11 +12,12 @@ from pyspark.sql.window import Window as W
 from lodestone.functions import regex
 from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
 from lodestone.plans import forests, indexes
-from lodestone.plans.fixtures import COMMANDS, DECLARATIONS, INCLUDES, INITIALIZERS, JOBS, NAME_SPANS, NAMES, PRECOMPILED, SCOPED, TABS, TRACE_RECORDS, TYPES
+from lodestone.plans.fixtures import DECLARATIONS, INCLUDES, INITIALIZERS, NAME_SPANS, NAMES, SCOPED, TABS, TYPES
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
-from lodestone.sources.facts import document_files, event_refs, line_refs, page_paths
+from lodestone.sources.facts import document_files, event_refs, indexing_commands, line_refs, page_paths, precompiled_headers, trace_records
 from lodestone.sources.store import shared_dir, table
+from lodestone.streaming import processes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,49 +463,41 @@ def history_fold(s: SparkSession, d: str) -> DataFrame:
     return history.fold(_sessions(s, d))
 
 
-def _trace(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(TRACE_RECORDS, "line bigint, cwd string, pidlist array<bigint>, argv array<string>")
-
-
 @query
 def trace_delta_decode(s: SparkSession, d: str) -> DataFrame:
-    return trace.decode_pids(_trace(s)).select("line", F.posexplode("procs").alias("pos", "p")).select("line", F.col("pos").cast("bigint").alias("pos"), "p.pid", "p.start")
+    return trace.decode_pids(trace_records(s, d)).select("line", F.posexplode("procs").alias("pos", "p")).select("line", F.col("pos").cast("bigint").alias("pos"), "p.pid", "p.start")
 
 
 @query
 def trace_delta_encode(s: SparkSession, d: str) -> DataFrame:
-    again = trace.decode_pids(_trace(s)).select("line", F.posexplode(trace.encode_pids(F.col("procs"))).alias("pos", "delta"))
+    again = trace.decode_pids(trace_records(s, d)).select("line", F.posexplode(trace.encode_pids(F.col("procs"))).alias("pos", "delta"))
     return again.select("line", F.col("pos").cast("bigint").alias("pos"), "delta")
 
 
 @query
 def trace_parent(s: SparkSession, d: str) -> DataFrame:
-    return trace.parents(_trace(s))
+    return trace.parents(trace_records(s, d))
 
 
 @query
 def trace_driver_child(s: SparkSession, d: str) -> DataFrame:
-    return trace.below_driver(_trace(s))
+    return trace.below_driver(trace_records(s, d))
 
 
 @query
 def trace_compile_steps(s: SparkSession, d: str) -> DataFrame:
-    return trace.compile_steps(_trace(s))
-
-
-def _jobs(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(JOBS, "directory string, file string, argv array<string>")
+    return trace.compile_steps(trace_records(s, d))
 
 
 @query
 def compile_db_paths(s: SparkSession, d: str) -> DataFrame:
-    return trace.indexing_jobs(_jobs(s)).withColumn("argv", F.array_join("argv", " "))
+    return trace.indexing_jobs(indexing_commands(s, d)).withColumn("argv", F.array_join("argv", " "))
 
 
 @query
 def pch_strip(s: SparkSession, d: str) -> DataFrame:
-    jobs = trace.strip_precompiled(_jobs(s), s.createDataFrame(PRECOMPILED, "path string"))
-    return jobs.select("directory", "file", F.array_join("argv", " ").alias("argv"))
+    jobs = trace.strip_precompiled(indexing_commands(s, d), precompiled_headers(s, d))
+    return jobs.select("line", "directory", F.array_join("argv", " ").alias("argv"))
 
 
 def _flags(s: SparkSession) -> DataFrame:
@@ -587,8 +580,13 @@ def volume_point_lookup(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def command_split(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame(COMMANDS, "command string").withColumn("argv", trace.split_command(F.col("command")))
-    return rows.select("command", F.array_join("argv", "|").alias("argv"), F.size("argv").cast("bigint").alias("n"))
+    """Command lines as the trace quotes them, and with double quotes, backslashes and blanks."""
+    records = trace_records(s, d).where("argv IS NOT NULL")
+    k = F.size("pidlist")
+    dressed = F.concat(F.lit('"'), F.regexp_replace(F.get("argv", F.lit(0)), "c", r"\\c"), F.lit(r'"  -DX=\"'), k, F.lit(r"""\" \ 'it'\''s' """), F.lit('""z'))
+    rows = records.select("line", F.when(F.col("line") % 3 == 0, dressed).otherwise(trace.quote(F.col("argv"))).alias("command"))
+    rows = rows.withColumn("argv", trace.split_command(F.col("command")))
+    return rows.select("line", F.array_join("argv", "|").alias("argv"), F.size("argv").cast("bigint").alias("n"))
 
 
 @query
@@ -663,12 +661,24 @@ def index_project(s: SparkSession, d: str) -> DataFrame:
 def trace_to_compile_db(s: SparkSession, d: str) -> DataFrame:
     """A trace file is read, its compile steps are written as a database, and that is read again."""
     base = f"{shared_dir(s)}/trace-{uuid.uuid4().hex}"
-    _trace(s).coalesce(1).orderBy("line").select("cwd", "pidlist", "argv").write.json(f"{base}/trace")
-    trace.write_compile_db(trace.compile_steps(trace.read_trace(s, f"{base}/trace")), f"{base}/db", many=1)
+    trace_records(s, d).orderBy("line").select("cwd", "pidlist", "argv").coalesce(1).write.option("ignoreNullFields", False).json(f"{base}/trace")
+    trace.write_compile_db(trace.compile_steps(trace.read_trace(s, f"{base}/trace")), f"{base}/db", many=50)
     db = trace.read_compile_db(s, f"{base}/db")
     return db.select("directory", "file", F.array_join(trace.split_command(F.col("command")), "|").alias("argv"))
 
 
+@query
+def trace_stream_parents(s: SparkSession, d: str) -> DataFrame:
+    """The trace as a stream of files: parents and drivers above each record, from the state kept between them."""
+    base = f"{shared_dir(s)}/processes-{uuid.uuid4().hex}"
+    records = trace_records(s, d)
+    records.write.parquet(f"{base}/in")
+    with processes.map_state(s):
+        stream = processes.ancestry_stream(s.readStream.schema(records.schema).parquet(f"{base}/in"))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return s.read.schema(processes.RESULT).parquet(f"{base}/out").select("line", "parent", F.coalesce("driver", F.lit(False)).alias("driver"), "below")
+
+
 @query
 def match_backgrounds(s: SparkSession, d: str) -> DataFrame:
     found = text.matches(document_files(s, d), "the[a-z]* of").select("file", "start", (F.col("start") + F.col("len")).alias("end"), F.when(F.col("idx") == 1, "hover").when(F.col("idx") == 2, "selection").otherwise("match").alias("what"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestone.operators import syntax, trace
-from lodestone.plans.fixtures import COMMANDS, DECLARED, JOBS, NAME_SPANS, NAMES, SCOPED, TABS, TRACE_RECORDS
+from lodestone.plans.fixtures import DECLARED, NAME_SPANS, NAMES, SCOPED, TABS
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -224,7 +224,17 @@ oracle(
     PG, SINGLE, "op AS (SELECT category, path FROM ax UNION SELECT category, path FROM tn WHERE depth = 1 AND NOT is_file)",
 )
 oracle("tree_roots", "SELECT category FROM pc UNION SELECT 'Project'", PG)
-TR = f"""tr AS (SELECT CAST(line AS BIGINT) AS line, cwd, pidlist::BIGINT[] AS pidlist, argv FROM {values(TRACE_RECORDS, 'line, cwd, pidlist, argv')}),
+TR = f"""t0 AS (SELECT event_id AS id, user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id // 20 AS build, CASE WHEN event_id % 20 % 6 = 5 THEN event_id % 20 - 1 ELSE event_id % 20 END AS a0 FROM events),
+t1 AS (SELECT *, CASE WHEN a0 > 0 THEN (a0 - 1) // 2 END AS a1 FROM t0), t2 AS (SELECT *, CASE WHEN a1 > 0 THEN (a1 - 1) // 2 END AS a2 FROM t1), t3 AS (SELECT *, CASE WHEN a2 > 0 THEN (a2 - 1) // 2 END AS a3 FROM t2),
+t4 AS (SELECT *, list_filter([CASE WHEN a3 > 0 THEN (a3 - 1) // 2 END, a3, a2, a1, a0], lambda x: x IS NOT NULL) AS c FROM t3),
+t5 AS (SELECT *, list_transform(c, lambda x: 1000 + (build * 20 + x) % 30000) AS p, list_transform(c, lambda x: build * 100 + x * 3) AS s FROM t4),
+t6 AS (SELECT *, [1] || CASE WHEN k % 4 = 0 THEN p[1:len(p) - 1] || [70000 + id % 1000] || p[len(p):] ELSE p END AS ps, [0] || CASE WHEN k % 4 = 0 THEN s[1:len(s) - 1] || [build * 100 + 1] || s[len(s):] ELSE s END AS ss FROM t5),
+tr AS (SELECT id + 1 AS line, CASE WHEN k % 43 <> 0 THEN '/b' || u % 5 END AS cwd,
+  CASE WHEN k % 41 = 0 THEN [] WHEN k % 37 <> 0 THEN flatten(list_transform(range(1, len(ps) + 1), lambda i: [ps[i] - CASE WHEN i > 1 THEN ps[i - 1] ELSE 0 END, ss[i] - CASE WHEN i > 1 THEN ss[i - 1] ELSE 0 END])) END::BIGINT[] AS pidlist,
+  CASE WHEN k % 31 = 0 THEN [] WHEN k % 29 <> 0 THEN [['/usr/bin/g++', 'cc', 'make', 'clang++', 'cc1plus', 'gcc', 'ld', 'sh'][u % 8 + 1]] || CASE WHEN k % 3 = 0 THEN ['-include', 'pre' || u % 3 || '.h'] ELSE [] END
+    || CASE WHEN k % 5 < 2 THEN ['-c'] WHEN k % 5 = 2 THEN ['-S'] WHEN k % 5 = 3 THEN ['-E', '-c'] ELSE ['-c', '-E'] END
+    || CASE u % 4 WHEN 0 THEN ['-o', 'out/x' || k || '.o'] WHEN 1 THEN ['-o', 'y' || k || '.obj'] WHEN 2 THEN ['-o', 'z'] ELSE [] END
+    || [CASE WHEN u % 3 = 1 THEN '/src/' ELSE '' END || ['a b.cc', 'it''s.cpp', 'x.c', 'start.S', 'no_source', '$v.cxx', 'pre.c++'][k % 7 + 1]] || CASE WHEN k % 17 = 0 THEN ['two.cc'] ELSE [] END || CASE WHEN k % 19 = 0 THEN ['-include'] ELSE [] END END::VARCHAR[] AS argv FROM t6),
 td AS (SELECT line, i AS pos, CAST(list_sum(list_transform(range(0, i + 1), lambda k: pidlist[2 * k + 1])) AS BIGINT) AS pid, CAST(list_sum(list_transform(range(0, i + 1), lambda k: pidlist[2 * k + 2])) AS BIGINT) AS start, len(pidlist) // 2 AS n
   FROM (SELECT line, pidlist, unnest(range(0, len(pidlist) // 2)) AS i FROM tr)),
 tp AS (SELECT a.line, b.line AS parent FROM td a JOIN td b ON a.pid = b.pid AND a.start = b.start AND b.pos = b.n - 1 AND a.pos < a.n - 1 AND b.line < a.line
@@ -237,23 +247,20 @@ oracle("trace_delta_encode", "SELECT line, unnest(range(0, len(pidlist))) AS pos
 oracle("trace_parent", "SELECT line, parent FROM tp", TR)
 oracle("trace_driver_child", "SELECT line FROM bd", TR)
 _safe = "^[^*?\\[\\]''\"\\\\$;&()|^<>\\s!#~`]+$"
-oracle(
-    "trace_compile_steps",
-    f"""SELECT line, cwd AS directory, array_to_string(list_transform(argv, lambda a: CASE WHEN regexp_matches(a, '{_safe}') THEN a ELSE '''' || replace(a, '''', '''\\''''') || '''' END), ' ') AS command, src[1] AS file FROM
+STEPS = f"""st AS (SELECT line, cwd AS directory, argv, src[1] AS file FROM
 (SELECT tr.*, list_filter(argv[2:], lambda a: NOT starts_with(a, '-') AND regexp_matches(a, '\\.(c|cc|cpp|cxx|c\\+\\+)$')) AS src, list_filter(argv[2:], lambda a: NOT starts_with(a, '-') AND regexp_matches(a, '\\.[sS]$')) AS asm,
-  list_filter(argv, lambda a: a IN ('-c', '-S', '-E'))[-1] AS mode FROM tr JOIN dr USING (line) WHERE d AND line NOT IN (SELECT line FROM bd)) WHERE mode = '-c' AND len(src) = 1 AND len(asm) = 0""",
-    TR,
-)
-JB = f"jb AS (SELECT directory, file, argv::VARCHAR[] AS argv FROM {values(JOBS, 'directory, file, argv')})"
+  list_filter(argv, lambda a: a IN ('-c', '-S', '-E'))[-1] AS mode FROM tr JOIN dr USING (line) WHERE d AND line NOT IN (SELECT line FROM bd)) WHERE mode = '-c' AND len(src) = 1 AND len(asm) = 0)"""
+oracle("trace_compile_steps", f"SELECT line, directory, array_to_string(list_transform(argv, lambda a: CASE WHEN regexp_matches(a, '{_safe}') THEN a ELSE chr(39) || replace(a, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) END), ' ') AS command, file FROM st", TR, STEPS)
+JB = """jb AS (SELECT line, cwd AS directory, coalesce(argv[-1], 'e.c') AS file, argv FROM tr WHERE argv IS NOT NULL)"""
 oracle(
     "compile_db_paths",
     """SELECT directory, source, CASE WHEN len(argv) = 0 THEN '' ELSE concat_ws(' ', CASE WHEN ends_with(argv[1], '++') THEN 'clang++' ELSE 'clang' END, CASE WHEN len(argv) > 1 THEN array_to_string(argv[2:], ' ') END) END AS argv,
-  CASE WHEN starts_with(t, '/') THEN t ELSE directory || '/' || t END AS index_path FROM
+  CASE WHEN starts_with(t, '/') THEN t ELSE coalesce(directory || '/', '') || t END AS index_path FROM
 (SELECT *, coalesce(regexp_replace(o, '\\.[^.]*$', '.idx'), regexp_replace(string_split(source, '/')[-1], '\\.[^.]*$', '.idx')) AS t FROM
-(SELECT directory, argv, CASE WHEN starts_with(file, '/') THEN file ELSE directory || '/' || file END AS source,
+(SELECT directory, argv, CASE WHEN starts_with(file, '/') THEN file ELSE coalesce(directory || '/', '') || file END AS source,
   list_filter(list_transform(range(1, len(argv)), lambda i: CASE WHEN argv[i] = '-o' AND (ends_with(argv[i + 1], '.o') OR ends_with(argv[i + 1], '.obj')) THEN argv[i + 1] END), lambda x: x IS NOT NULL)[1] AS o FROM jb))""",
-    JB,
-)
+    TR, JB,
+)
 _uses = [(f, fn, rv) for f in range(32) for fn in (False, True) for rv in (False, True)]
 FL = f"fl AS (SELECT CAST(flags AS INTEGER) AS flags, is_function, is_rvalue FROM {values(_uses, 'flags, is_function, is_rvalue')})"
 oracle(
@@ -297,16 +304,14 @@ oracle(
   QUALIFY row_number() OVER (PARTITION BY p.file, p.line, p.col ORDER BY lr.start_col DESC, lr.end_col, lr.symbol, lr.kind) = 1""",
     LI,
 )
-_ARGV = ["g++|-c|a b.cc|-o|a.o", r'cc|-DX="y"|-I/a \ b|x y.c', "", "gcc|it's|z"]
-oracle("command_split", f"SELECT command, argv, CAST(n AS BIGINT) AS n FROM {values([(c, a, len(a.split('|')) if a else 0) for (c,), a in zip(COMMANDS, _ARGV, strict=True)], 'command, argv, n')}")
+oracle(
+    "command_split",
+    """SELECT line, array_to_string(a, '|') AS argv, CAST(len(a) AS BIGINT) AS n FROM
+(SELECT line, CASE WHEN line % 3 <> 0 THEN argv WHEN len(argv) > 0 AND pidlist IS NOT NULL THEN [argv[1], '-DX="' || len(pidlist) || '"', ' it''s', 'z'] END AS a FROM tr WHERE argv IS NOT NULL)""",
+    TR,
+)
 _AT = [(3, 7), (6, 18), (4, 7), (12, 13)]
 oracle("widened_spans", f'SELECT line, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM {values([(x[0], *at) for x, at in zip(NAME_SPANS, _AT, strict=True)], 'line, "start", "end"')}')
-# written down by hand: steps of TRACE_RECORDS, and JOBS without their precompiled headers
-_STEPS = [("/b", "a b.cc", "/usr/bin/g++|-c|a b.cc|-o|a.o"), ("/b", "it's.cpp", "clang++|-O2|-c|it's.cpp"), ("/c", "pre.c", "gcc|-E|-c|pre.c")]
-_STRIPPED = [
-    ("/b", "a.cc", "g++ -c a.cc -o out/a.o"), ("/b", "/src/b.c", "/usr/bin/cc -c /src/b.c"), ("/b", "c.tar.cc", "clang++ -include plain.h -o c c.tar.cc"), ("/b", "noext", "gcc -o x -o y.obj -o z.o noext"),
-    ("/b", "e.c", ""), ("/b", "f.c", "gcc -include -include f.c -include"), ("/c", "g.c", "gcc g.c"),
-]
 oracle("range_text", "SELECT file, string_agg(text, chr(10) ORDER BY line) AS text FROM dl WHERE line IN (1, 2) GROUP BY file", DOC)
 oracle("char_widths", "SELECT file, line, n, is_word, count(*) AS chars, CAST(max(e - n) AS BIGINT) AS last FROM ch GROUP BY file, line, n, is_word", DOC, CHARS)
 oracle("refs_with_text", "SELECT m.file, dl.line + 1 AS line, idx, text FROM m ASOF JOIN dl ON m.file = dl.file AND m.start >= dl.start", DOC, MATCH)
@@ -328,8 +333,13 @@ oracle("type_facts", f"SELECT * FROM {values([('A', 'Reference'), ('B', 'Base-Cl
 oracle("initializer_facts", f"SELECT symbol, CAST(line AS BIGINT) AS line, kind FROM {values([('C::x', 4, 'Initialized'), ('C::y', 6, 'Initialized')], 'symbol, line, kind')}")
 oracle("include_facts", f"SELECT file, CAST(line AS BIGINT) AS line, CAST(start_col AS BIGINT) AS start_col, CAST(end_col AS BIGINT) AS end_col, symbol, kind, symbol_type FROM {values([('@/a.c', 1, 10, 15, '@/i/a.h', 'Included', 'Path'), ('@/a.c', 3, 10, 15, '@<blank>', 'Included', 'Path')], 'file, line, start_col, end_col, symbol, kind, symbol_type')}")
 oracle("scoped_names", f"SELECT symbol FROM {values([(r[-1],) for r in SCOPED], 'symbol')}")
-oracle("trace_to_compile_db", f"SELECT * FROM {values(_STEPS, 'directory, file, argv')}")
-oracle("pch_strip", f"SELECT * FROM {values(_STRIPPED, 'directory, file, argv')}")
+oracle("trace_to_compile_db", "SELECT directory, file, array_to_string(argv, '|') AS argv FROM st", TR, STEPS)
+oracle(
+    "pch_strip",
+    """SELECT line, directory, array_to_string(CASE WHEN argv[2] = '-include' AND coalesce(directory || '/', '') || argv[3] IN (SELECT path FROM ph) THEN [argv[1]] || argv[4:] ELSE argv END, ' ') AS argv FROM jb""",
+    TR, JB, "ph AS (SELECT DISTINCT '/b' || user_id % 5 || '/pre' || user_id % 3 || '.h' AS path FROM events WHERE user_id % 11 <> 0 AND user_id % 5 IN (0, 2) AND user_id % 3 = 1)",
+)
+oracle("trace_stream_parents", "SELECT tr.line, tp.parent, coalesce(dr.d, false) AS driver, bd.line IS NOT NULL AS below FROM tr LEFT JOIN tp USING (line) LEFT JOIN dr USING (line) LEFT JOIN bd USING (line)", TR)
 oracle(
     "match_backgrounds",
     """SELECT file, what, count(*) AS n, min("at") AS first FROM (SELECT file, "at", arg_max(what, p) AS what FROM (SELECT file, what, CASE what WHEN 'selection' THEN 3 WHEN 'hover' THEN 2 ELSE 1 END AS p, unnest(range(a, b)) AS "at" FROM

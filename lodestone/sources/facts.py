@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.classify import EXPRESSION_RULES
+from lodestone.operators.trace import encode_pids
 from lodestone.sources.store import table
 
 
@@ -101,3 +102,51 @@ def declaration_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn.isin(8) | (k % 5 == 1), F.when(k % 2 == 0, F.array(F.lit("int"), text(F.lit("A"), k))).otherwise(F.array(text(F.lit("B"), u)))).alias("arguments"),
         F.slice(F.array(F.lit("int"), F.lit("char *"), F.lit("T &")), F.lit(1), (k % 4).cast("int")).alias("parameters"), F.when(k % 4 == 0, F.lit(" const")).alias("qualifiers"),
     )
+
+
+def _pick(values: list, at: Column) -> Column:
+    return F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
+
+
+def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process records from events, a build of 20 each: trace, line, cwd, pidlist, argv.
+
+    Processes of a build are a heap below one shell that writes nothing; every
+    sixth record is its predecessor's process again; some parents have no record.
+    """
+    e = _numbered_events(spark, sf_dir)
+    i, u, k = F.col("id"), F.col("u"), F.col("k")
+    build, at = F.floor(i / 20), i % 20
+    own = F.when(at % 6 == 5, at - 1).otherwise(at).cast("bigint")
+    up = lambda x: F.when(x > 0, F.floor((x - 1) / 2))
+    chain = [own]
+    for _ in range(4):
+        chain.append(up(chain[-1]))
+    known = F.transform(F.array_compact(F.array(*reversed(chain))), lambda p: F.struct((F.lit(1000) + (build * 20 + p) % 30000).cast("bigint").alias("pid"), (build * 100 + p * 3).cast("bigint").alias("start")))
+    between = F.array(F.struct((i % 1000 + 70000).cast("bigint").alias("pid"), (build * 100 + 1).cast("bigint").alias("start")))
+    n = F.size(known)
+    known = F.when(k % 4 == 0, F.concat(F.slice(known, F.lit(1), n - 1), between, F.slice(known, n, F.lit(1)))).otherwise(known)
+    procs = F.concat(F.array(F.struct(F.lit(1).cast("bigint").alias("pid"), F.lit(0).cast("bigint").alias("start"))), known)
+    nothing = F.array().cast("array<string>")
+    modes = F.when(k % 5 < 2, F.array(F.lit("-c"))).when(k % 5 == 2, F.array(F.lit("-S"))).when(k % 5 == 3, F.array(F.lit("-E"), F.lit("-c"))).otherwise(F.array(F.lit("-c"), F.lit("-E")))
+    output = F.when(u % 4 == 0, F.array(F.lit("-o"), F.concat(F.lit("out/x"), k, F.lit(".o")))).when(u % 4 == 1, F.array(F.lit("-o"), F.concat(F.lit("y"), k, F.lit(".obj")))).when(u % 4 == 2, F.array(F.lit("-o"), F.lit("z"))).otherwise(nothing)
+    source = F.concat(F.when(u % 3 == 1, F.lit("/src/")).otherwise(F.lit("")), _pick(["a b.cc", "it's.cpp", "x.c", "start.S", "no_source", "$v.cxx", "pre.c++"], k % 7))
+    argv = F.concat(
+        F.array(_pick(["/usr/bin/g++", "cc", "make", "clang++", "cc1plus", "gcc", "ld", "sh"], u % 8)), F.when(k % 3 == 0, F.array(F.lit("-include"), F.concat(F.lit("pre"), u % 3, F.lit(".h")))).otherwise(nothing), modes, output,
+        F.array(source), F.when(k % 17 == 0, F.array(F.lit("two.cc"))).otherwise(nothing), F.when(k % 19 == 0, F.array(F.lit("-include"))).otherwise(nothing),
+    )
+    return e.select(
+        build.cast("string").alias("trace"), (i + 1).alias("line"), F.when(k % 43 != 0, F.concat(F.lit("/b"), u % 5)).alias("cwd"),
+        F.when(k % 41 == 0, F.array().cast("array<bigint>")).when(k % 37 != 0, encode_pids(procs)).alias("pidlist"), F.when(k % 31 == 0, nothing).when(k % 29 != 0, argv).alias("argv"),
+    )
+
+
+def indexing_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, directory, file, argv of the records that have a command line."""
+    return trace_records(spark, sf_dir).where("argv IS NOT NULL").select("line", F.col("cwd").alias("directory"), F.coalesce(F.try_element_at("argv", F.lit(-1)), F.lit("e.c")).alias("file"), "argv")
+
+
+def precompiled_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path of the files that exist beside headers, from the users of events."""
+    u = table(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct().where("u % 5 IN (0, 2) AND u % 3 = 1 OR u % 11 = 0")
+    return u.select(F.concat(F.lit("/b"), F.col("u") % 5, F.lit("/pre"), F.col("u") % 3, F.when(F.col("u") % 11 == 0, F.lit(".h.txt")).when(F.col("u") % 2 == 0, F.lit(".h.pch")).otherwise(F.lit(".h.gch"))).alias("path")).distinct()
