@@ -12,10 +12,9 @@ from pyspark.sql.window import Window as W
 from lodestone.functions import regex
 from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
 from lodestone.plans import forests, indexes
-from lodestone.plans.fixtures import DECLARATIONS, INCLUDES, INITIALIZERS, NAME_SPANS, NAMES, SCOPED, TABS, TYPES
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
-from lodestone.sources.facts import document_files, event_refs, indexing_commands, line_refs, page_paths, precompiled_headers, trace_records
+from lodestone.sources.facts import document_files, event_refs, indexing_commands, line_refs, numbered_events, page_paths, precompiled_headers, trace_records
 from lodestone.sources.store import shared_dir, table
 from lodestone.streaming import processes
 
@@ -355,7 +354,9 @@ def longest_line(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def tab_expanded_length(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame(TABS, "line string").select("line", text.tab_width(F.col("line")).alias("width"))
+    """Lines of all files, with a tab for each blank."""
+    lines = text.lines(document_files(s, d)).select(F.translate("text", " ", "\t").alias("line")).distinct()
+    return lines.select("line", text.tab_width(F.col("line")).alias("width"))
 
 
 @query
@@ -500,25 +501,24 @@ def pch_strip(s: SparkSession, d: str) -> DataFrame:
     return jobs.select("line", "directory", F.array_join("argv", " ").alias("argv"))
 
 
-def _flags(s: SparkSession) -> DataFrame:
-    both = F.array(F.lit(False), F.lit(True))
-    return s.range(32).select(F.col("id").cast("int").alias("flags"), F.explode(both).alias("is_function")).withColumn("is_rvalue", F.explode(both))
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    return numbered_events(s, d).select((F.col("k") % 32).cast("int").alias("flags"), (F.col("u") % 2 == 0).alias("is_function"), (F.col("id") % 3 == 0).alias("is_rvalue")).distinct()
 
 
 @query
 def expr_ref_kinds(s: SparkSession, d: str) -> DataFrame:
-    return _flags(s).withColumn("kind", F.explode(classify.reference_kinds(F.col("flags"), F.col("is_function"), F.col("is_rvalue"))))
+    return _flags(s, d).withColumn("kind", F.explode(classify.reference_kinds(F.col("flags"), F.col("is_function"), F.col("is_rvalue"))))
 
 
 @query
 def member_flags(s: SparkSession, d: str) -> DataFrame:
-    rows = _flags(s).select("flags", F.col("is_function").alias("is_arrow")).distinct()
+    rows = _flags(s, d).select("flags", F.col("is_function").alias("is_arrow")).distinct()
     return rows.withColumn("base", classify.member_base_flags(F.col("flags"), F.col("is_arrow"))).withColumn("masked", classify.rvalue_flags(F.col("flags")))
 
 
 @query
 def operand_flags(s: SparkSession, d: str) -> DataFrame:
-    uses = _flags(s).select("flags").distinct().withColumn("u", F.explode(F.array(*[F.struct(F.lit(e).alias("expression"), F.lit(p).alias("part")) for e, p, _, _ in classify.EXPRESSION_RULES])))
+    uses = _flags(s, d).select("flags").distinct().withColumn("u", F.explode(F.array(*[F.struct(F.lit(e).alias("expression"), F.lit(p).alias("part")) for e, p, _, _ in classify.EXPRESSION_RULES])))
     return classify.operand_flags(uses.select("flags", "u.*")).select("expression", "part", "flags", "part_flags")
 
 
@@ -531,36 +531,50 @@ def qualifier_segments(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def symbol_names(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame(NAMES, "scopes array<string>, name string, file string, offset bigint, in_function boolean, internal boolean, parameters array<string>, qualifier string")
-    c = F.col
-    return rows.select(classify.symbol_name(c("scopes"), c("name"), c("file"), c("offset"), c("in_function"), c("internal"), c("parameters"), c("qualifier")).alias("symbol"))
+    e, c = numbered_events(s, d), F.col
+    scopes = F.slice(F.array(F.concat(F.lit("n"), c("u")), F.when(c("u") % 4 == 0, F.lit(None).cast("string")).otherwise(F.lit("mid")), F.concat(F.lit("s"), c("k"))), F.lit(1), (c("k") % 4).cast("int"))
+    parameters = F.when(c("k") % 5 != 0, F.slice(F.array(F.lit("int"), F.lit("char *")), F.lit(1), (c("k") % 3).cast("int")))
+    own = F.when(c("k") % 8 != 0, F.concat(F.lit("f"), c("u")))
+    return e.select("id", classify.symbol_name(scopes, own, F.concat("file", F.lit("/f.h")), c("id"), c("u") % 3 == 0, c("u") % 2 == 0, parameters, F.when(c("k") % 7 == 0, " const")).alias("symbol"))
 
 
 @query
 def declaration_facts(s: SparkSession, d: str) -> DataFrame:
-    return classify.declaration_facts(s.createDataFrame(DECLARATIONS, "class string, name string, target string, defining boolean"))
+    """Declarations of every class, of unknown ones and of none, from events."""
+    e, c = numbered_events(s, d), F.col
+    classes = sorted({r[0] for r in classify.DECLARATION_RULES}) + ["label", None]
+    turn = F.get(F.array(*(F.lit(x) for x in classes)), ((c("u") * 7 + c("k")) % len(classes)).cast("int"))
+    rows = e.select("id", turn.alias("class"), F.when(c("k") % 9 != 0, F.concat(F.lit("d"), c("u"))).alias("name"), F.when(c("k") % 4 != 0, F.concat(F.lit("N"), c("k"))).alias("target"), (c("id") % 2 == 0).alias("defining"))
+    return classify.declaration_facts(rows)
 
 
 @query
 def scoped_names(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([r[:-1] for r in SCOPED], "scopes array<struct<name:string,enum:boolean>>, name string, typedef_name string, arguments array<string>, offset bigint, extern_c boolean, parameters array<string>, qualifier string")
-    c = F.col
-    return rows.select(F.concat(classify.scoped_name(c("scopes"), c("name"), c("typedef_name"), c("arguments"), c("offset")), classify.function_signature(c("extern_c"), c("parameters"), c("qualifier"))).alias("symbol"))
+    e, c = numbered_events(s, d), F.col
+    scope = lambda name, enum: F.struct(name.alias("name"), enum.alias("enum"))
+    scopes = F.slice(F.array(scope(F.concat(F.lit("n"), c("u")), F.lit(False)), scope(F.lit("Colour"), c("u") % 2 == 0), scope(F.when(c("u") % 3 != 0, "in"), F.lit(False))), F.lit(1), (c("k") % 4).cast("int"))
+    own = classify.scoped_name(scopes, F.when(c("k") % 5 != 0, F.concat(F.lit("f"), c("u"))), F.when(c("k") % 10 == 0, "T"), F.when(c("k") % 6 == 0, F.array(F.lit("int"), F.concat(F.lit("A"), c("k")))), c("id"))
+    return e.select("id", F.concat(own, classify.function_signature(c("k") % 3 == 0, F.slice(F.array(F.lit("int"), F.lit("T &")), F.lit(1), (c("u") % 3).cast("int")), F.when(c("k") % 7 == 0, " const"))).alias("symbol"))
 
 
 @query
 def type_facts(s: SparkSession, d: str) -> DataFrame:
-    return classify.type_facts(s.createDataFrame(TYPES, "form string, symbol string, in_bases boolean"))
+    e, c = numbered_events(s, d), F.col
+    form = F.get(F.array(*map(F.lit, (*classify.TYPE_FORMS, "builtin", "auto"))), (c("k") % 6).cast("int"))
+    return classify.type_facts(e.select("id", form.alias("form"), F.when(c("u") % 7 != 0, F.concat(F.lit("t"), c("u"))).alias("symbol"), (c("u") % 2 == 0).alias("in_bases")))
 
 
 @query
 def initializer_facts(s: SparkSession, d: str) -> DataFrame:
-    return classify.initializer_facts(s.createDataFrame(INITIALIZERS, "member string, line bigint"))
+    e, c = numbered_events(s, d), F.col
+    return classify.initializer_facts(e.select("id", F.when(c("k") % 5 != 0, F.concat(F.lit("C"), c("u"), F.lit("::m"), c("k"))).alias("member")))
 
 
 @query
 def include_facts(s: SparkSession, d: str) -> DataFrame:
-    return classify.include_facts(s.createDataFrame(INCLUDES, "file string, line bigint, start_col bigint, end_col bigint, found boolean, target string"))
+    e, c = numbered_events(s, d), F.col
+    target = F.when(c("k") % 6 == 1, "").when(c("k") % 6 != 0, F.concat(F.lit("/i/h"), c("u"), F.lit(".h")))
+    return classify.include_facts(e.select("file", c("id").alias("line"), (c("k") + 1).alias("start_col"), (c("k") + 9).alias("end_col"), (c("k") % 4 != 0).alias("found"), target.alias("target")))
 
 
 @query
@@ -591,8 +605,13 @@ def command_split(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def widened_spans(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame(NAME_SPANS, "line string, at bigint, name string")
-    return rows.withColumn("x", classify.widened_span(F.col("line"), F.col("at"), F.col("name"))).select("line", "x.start", "x.end")
+    """Names with a tilde, an operator keyword, a longer word or nothing before them."""
+    e, c = numbered_events(s, d), F.col
+    name = F.when(c("k") % 5 == 1, "==").otherwise(F.concat(F.lit("F"), c("u")))
+    blanks = F.repeat(F.lit(" "), (c("u") % 7).cast("int"))
+    lead = F.when(c("k") % 5 == 0, "x ~").when(c("k") % 5 == 1, "bool operator  ").when(c("k") % 5 == 2, "é ~ ").when(c("k") % 5 == 3, "myoperator ").otherwise(blanks)
+    rows = e.select("id", F.concat(lead, name, F.lit("();")).alias("line"), (F.octet_length(lead) + 1).alias("at"), name.alias("name"))
+    return rows.withColumn("x", classify.widened_span(F.col("line"), F.col("at"), F.col("name"))).select("id", "x.start", "x.end")
 
 
 @query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lodestone.operators import syntax, trace
-from lodestone.plans.fixtures import DECLARED, NAME_SPANS, NAMES, SCOPED, TABS
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -50,10 +49,6 @@ def _text(v: object) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
-def values(rows: list[tuple], columns: str) -> str:
-    return f"(VALUES {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) AS t({columns})"
-
-
 def oracle(name: str, body: str, *prefix: str) -> None:
     ORACLE_SQL[name] = ("WITH RECURSIVE " + ",\n".join(prefix) + "\n" if prefix else "") + body
 
@@ -166,10 +161,10 @@ oracle("location_to_offset", 'SELECT file, line, CAST(40 AS BIGINT) AS col, star
 oracle("longest_line", "SELECT df.file, coalesce(max(len), 0) AS width FROM df LEFT JOIN dl USING (file) GROUP BY df.file", DOC)
 oracle(
     "tab_expanded_length",
-    f"""t AS (SELECT line, string_split(line, chr(9)) AS c FROM {values(TABS, 'line')}),
-w AS (SELECT line, c, 1 AS i, CAST(strlen(c[1]) AS BIGINT) AS w FROM t UNION ALL SELECT line, c, i + 1, CAST((w // 8 + 1) * 8 + strlen(c[i + 1]) AS BIGINT) FROM w WHERE i < len(c))
-SELECT line, w AS width FROM w WHERE i = len(c)""".replace("t AS (SELECT", "WITH RECURSIVE t AS (SELECT", 1),
-)
+    "SELECT line, w AS width FROM w WHERE i = len(c)",
+    DOC, "t AS (SELECT DISTINCT replace(text, ' ', chr(9)) AS line, string_split(replace(text, ' ', chr(9)), chr(9)) AS c FROM dl)",
+    "w AS (SELECT line, c, 1 AS i, CAST(strlen(c[1]) AS BIGINT) AS w FROM t UNION ALL SELECT line, c, i + 1, CAST((w // 8 + 1) * 8 + strlen(c[i + 1]) AS BIGINT) FROM w WHERE i < len(c))",
+)
 CHARS = """ch0 AS (SELECT file, line, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM dl WHERE text <> ''),
 ch AS (SELECT file, line, i, c, strlen(c) AS n, sum(strlen(c)) OVER (PARTITION BY file, line ORDER BY i) AS e, regexp_matches(c, '^[A-Za-z0-9_]$') AS is_word FROM ch0)"""
 oracle(
@@ -261,8 +256,8 @@ oracle(
   list_filter(list_transform(range(1, len(argv)), lambda i: CASE WHEN argv[i] = '-o' AND (ends_with(argv[i + 1], '.o') OR ends_with(argv[i + 1], '.obj')) THEN argv[i + 1] END), lambda x: x IS NOT NULL)[1] AS o FROM jb))""",
     TR, JB,
 )
-_uses = [(f, fn, rv) for f in range(32) for fn in (False, True) for rv in (False, True)]
-FL = f"fl AS (SELECT CAST(flags AS INTEGER) AS flags, is_function, is_rvalue FROM {values(_uses, 'flags, is_function, is_rvalue')})"
+N0 = "n0 AS (SELECT event_id AS id, user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '@/ev/' || strftime(ts, '%Y-%m-%d') AS file FROM events)"
+FL = N0 + ", fl AS (SELECT DISTINCT CAST(k % 32 AS INTEGER) AS flags, u % 2 = 0 AS is_function, id % 3 = 0 AS is_rvalue FROM n0)"
 oracle(
     "expr_ref_kinds",
     """SELECT *, 'Called' AS kind FROM fl WHERE flags & 1 <> 0 UNION ALL SELECT *, 'AddressTaken' FROM fl WHERE is_function AND (flags & 1 = 0 OR flags & 6 <> 0) OR NOT is_function AND flags & 4 <> 0
@@ -291,12 +286,22 @@ oracle(
 oracle("qualifier_segments", "SELECT symbol, i - 1 AS pos, q[i] AS qualifier FROM (SELECT symbol, q, unnest(range(1, len(q))) AS i FROM (SELECT DISTINCT symbol, string_split(symbol, '::') AS q FROM ev))", EV)
 oracle(
     "symbol_names",
-    f"""SELECT (CASE WHEN in_function THEN b || '@' || "offset" || '/' WHEN internal OR list_contains(list_transform(scopes, lambda s: s IS NULL), true) THEN b || '/' ELSE '' END)
-  || array_to_string(list_append(list_transform(scopes, lambda s: coalesce(s, '<anon>')), coalesce(name, '<unnamed' || "offset" || '>')), '::')
-  || (CASE WHEN parameters IS NULL THEN '' ELSE '(' || coalesce(array_to_string(parameters, ', '), '') || ')' || coalesce(qualifier, '') END) AS symbol
-FROM (SELECT scopes::VARCHAR[] AS scopes, name, "offset", in_function, internal, parameters::VARCHAR[] AS parameters, qualifier, string_split(file, '/')[-1] AS b FROM {values(NAMES, 'scopes, name, file, "offset", in_function, internal, parameters, qualifier')})""",
+    """SELECT id, (CASE WHEN u % 3 = 0 THEN 'f.h@' || id || '/' WHEN u % 2 = 0 OR u % 4 = 0 AND k % 4 >= 2 THEN 'f.h/' ELSE '' END) || CASE WHEN k % 4 > 0 THEN 'n' || u || '::' ELSE '' END || CASE WHEN k % 4 > 1 THEN CASE WHEN u % 4 = 0 THEN '<anon>' ELSE 'mid' END || '::' ELSE '' END
+  || CASE WHEN k % 4 > 2 THEN 's' || k || '::' ELSE '' END || CASE WHEN k % 8 <> 0 THEN 'f' || u ELSE '<unnamed' || id || '>' END
+  || CASE WHEN k % 5 = 0 THEN '' ELSE '(' || ['', 'int', 'int, char *'][k % 3 + 1] || ')' || CASE WHEN k % 7 = 0 THEN ' const' ELSE '' END END AS symbol FROM n0""",
+    N0,
 )
-oracle("declaration_facts", f"SELECT * FROM {values(DECLARED, 'class, name, defining, symbol_type, kind')}")
+oracle(
+    "declaration_facts",
+    """SELECT id, class, name, defining, symbol_type, kind FROM (SELECT *, CASE WHEN r.c IS NULL THEN 'Declaration' WHEN defining THEN dk ELSE ok END AS kind FROM d LEFT JOIN r ON d.class = r.c) WHERE kind IS NOT NULL AND name IS NOT NULL
+UNION ALL SELECT id, class, target, defining, NULL, 'Namespace-Alias' FROM d WHERE class = 'namespace-alias' AND target IS NOT NULL""",
+    N0, """r(c, dk, ok, symbol_type) AS (VALUES
+  ('class', 'Definition', 'Declaration', 'Class'), ('class-template', NULL, NULL, NULL), ('constructor', 'Definition', 'Declaration', 'Constructor'), ('destructor', 'Definition', 'Declaration', 'Destructor'), ('enum', 'Definition', 'Declaration', 'Enum'), ('enumerator', 'Declaration', 'Declaration', 'Enumerator'),
+  ('field', 'Declaration', 'Declaration', 'Field'), ('function', 'Definition', 'Declaration', 'Function'), ('function-template', NULL, NULL, NULL), ('global-variable', 'Definition', 'Declaration', 'GlobalVariable'), ('include', 'Included', 'Included', 'Path'), ('instantiated-function', NULL, NULL, NULL),
+  ('interface', 'Definition', 'Declaration', 'Interface'), ('local-variable', 'Definition', 'Declaration', 'LocalVariable'), ('macro', 'Definition', 'Definition', 'Macro'), ('method', 'Definition', 'Declaration', 'Method'), ('namespace', 'Declaration', 'Declaration', 'Namespace'), ('namespace-alias', 'Declaration', 'Declaration', 'Namespace'),
+  ('parameter', 'Definition', NULL, 'Parameter'), ('struct', 'Definition', 'Declaration', 'Struct'), ('typedef', 'Declaration', 'Declaration', 'Typedef'), ('union', 'Definition', 'Declaration', 'Union'), ('using-declaration', 'Using', 'Using', NULL), ('using-directive', 'Using-Directive', 'Using-Directive', NULL))""",
+    """d AS (SELECT id, (SELECT list(c ORDER BY c) || ['label', NULL] FROM r)[(u * 7 + k) % 26 + 1] AS class, CASE WHEN k % 9 <> 0 THEN 'd' || u END AS name, CASE WHEN k % 4 <> 0 THEN 'N' || k END AS target, id % 2 = 0 AS defining FROM n0)""",
+)
 oracle("volume_definitions", "SELECT symbol, count(*) FILTER (kind = 'Definition') AS n_def, count(*) FILTER (kind = 'Declaration') AS n_decl FROM lr GROUP BY symbol", LI)
 oracle(
     "volume_point_lookup",
@@ -310,8 +315,12 @@ oracle(
 (SELECT line, CASE WHEN line % 3 <> 0 THEN argv WHEN len(argv) > 0 AND pidlist IS NOT NULL THEN [argv[1], '-DX="' || len(pidlist) || '"', ' it''s', 'z'] END AS a FROM tr WHERE argv IS NOT NULL)""",
     TR,
 )
-_AT = [(3, 7), (6, 18), (4, 7), (12, 13)]
-oracle("widened_spans", f'SELECT line, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM {values([(x[0], *at) for x, at in zip(NAME_SPANS, _AT, strict=True)], 'line, "start", "end"')}')
+oracle(
+    "widened_spans",
+    """SELECT id, CAST(CASE k % 5 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 3 THEN 12 ELSE u % 7 + 1 END AS BIGINT) AS "start",
+  CAST(CASE k % 5 WHEN 0 THEN 4 + n WHEN 1 THEN 18 WHEN 2 THEN 6 + n WHEN 3 THEN 12 + n ELSE u % 7 + 1 + n END AS BIGINT) AS "end" FROM (SELECT *, strlen('F' || u) AS n FROM n0)""",
+    N0,
+)
 oracle("range_text", "SELECT file, string_agg(text, chr(10) ORDER BY line) AS text FROM dl WHERE line IN (1, 2) GROUP BY file", DOC)
 oracle("char_widths", "SELECT file, line, n, is_word, count(*) AS chars, CAST(max(e - n) AS BIGINT) AS last FROM ch GROUP BY file, line, n, is_word", DOC, CHARS)
 oracle("refs_with_text", "SELECT m.file, dl.line + 1 AS line, idx, text FROM m ASOF JOIN dl ON m.file = dl.file AND m.start >= dl.start", DOC, MATCH)
@@ -329,10 +338,16 @@ oracle(
     EV,
 )
 oracle("index_project", f"SELECT {REF} FROM r WHERE line < 12 OR day(CAST(substr(file, 6) AS DATE)) > 20", EV)
-oracle("type_facts", f"SELECT * FROM {values([('A', 'Reference'), ('B', 'Base-Class'), ('T', 'Reference'), ('T2', 'Base-Class'), ('P', 'Reference'), ('V', 'Base-Class')], 'symbol, kind')}")
-oracle("initializer_facts", f"SELECT symbol, CAST(line AS BIGINT) AS line, kind FROM {values([('C::x', 4, 'Initialized'), ('C::y', 6, 'Initialized')], 'symbol, line, kind')}")
-oracle("include_facts", f"SELECT file, CAST(line AS BIGINT) AS line, CAST(start_col AS BIGINT) AS start_col, CAST(end_col AS BIGINT) AS end_col, symbol, kind, symbol_type FROM {values([('@/a.c', 1, 10, 15, '@/i/a.h', 'Included', 'Path'), ('@/a.c', 3, 10, 15, '@<blank>', 'Included', 'Path')], 'file, line, start_col, end_col, symbol, kind, symbol_type')}")
-oracle("scoped_names", f"SELECT symbol FROM {values([(r[-1],) for r in SCOPED], 'symbol')}")
+oracle("type_facts", "SELECT id, 't' || u AS symbol, CASE WHEN u % 2 = 0 THEN 'Base-Class' ELSE 'Reference' END AS kind FROM n0 WHERE k % 6 < 4 AND u % 7 <> 0", N0)
+oracle("initializer_facts", "SELECT id, 'C' || u || '::m' || k AS symbol, 'Initialized' AS kind FROM n0 WHERE k % 5 <> 0", N0)
+oracle("include_facts", "SELECT file, id AS line, k + 1 AS start_col, k + 9 AS end_col, '@' || CASE WHEN k % 6 < 2 THEN '<blank>' ELSE '/i/h' || u || '.h' END AS symbol, 'Included' AS kind, 'Path' AS symbol_type FROM n0 WHERE k % 4 <> 0", N0)
+oracle(
+    "scoped_names",
+    """SELECT id, CASE WHEN k % 4 > 0 THEN 'n' || u || '::' ELSE '' END || CASE WHEN k % 4 > 1 AND u % 2 = 1 THEN 'Colour::' ELSE '' END || CASE WHEN k % 4 > 2 THEN CASE WHEN u % 3 = 0 THEN '<anon>' ELSE 'in' END || '::' ELSE '' END
+  || CASE WHEN k % 5 <> 0 THEN 'f' || u WHEN k % 10 = 0 THEN 'T' ELSE '<unnamed' || id || '>' END || CASE WHEN k % 6 = 0 THEN '<int, A' || k || '>' ELSE '' END
+  || CASE WHEN k % 3 = 0 THEN '' ELSE '(' || ['', 'int', 'int, T &'][u % 3 + 1] || ')' || CASE WHEN k % 7 = 0 THEN ' const' ELSE '' END END AS symbol FROM n0""",
+    N0,
+)
 oracle("trace_to_compile_db", "SELECT directory, file, array_to_string(argv, '|') AS argv FROM st", TR, STEPS)
 oracle(
     "pch_strip",

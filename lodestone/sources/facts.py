@@ -66,7 +66,7 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(path.alias("path")).distinct()
 
 
-def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ts, u (user), k, event_type, file of events."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), "event_type", F.concat(F.lit("@/ev/"), F.date_format("ts", "yyyy-MM-dd")).alias("file"))
@@ -74,7 +74,7 @@ def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expression_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expression trees of 400 events each: node, parent, expression, part, is_expression, is_rvalue, is_function."""
-    e = _numbered_events(spark, sf_dir)
+    e = numbered_events(spark, sf_dir)
     in_tree, n = F.col("id") % 400, F.pmod(F.col("u") + F.col("k"), F.lit(30))
     of = [("member", "arrow"), *[("member", "dot")] * 3, ("parenthesis", "operand")]
     roles = [(x[0], x[1]) for x in EXPRESSION_RULES] + of
@@ -88,7 +88,7 @@ def expression_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def declaration_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations (naming.DECLARATIONS) from events: a forest in each run of 60."""
-    e = _numbered_events(spark, sf_dir)
+    e = numbered_events(spark, sf_dir)
     c, i, u, k = F.col, F.col("id"), F.col("u"), F.col("k")
     at, turn, text = i % 60, (i % 12).cast("int"), lambda *xs: F.concat(*(x.cast("string") if x is not None else x for x in xs))
     classes = ["namespace", "namespace", "tag", "tag", "enum", "function", "function", "variable", "class-specialisation", "enumerator", "field", "linkage"]
@@ -114,7 +114,7 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Processes of a build are a heap below one shell that writes nothing; every
     sixth record is its predecessor's process again; some parents have no record.
     """
-    e = _numbered_events(spark, sf_dir)
+    e = numbered_events(spark, sf_dir)
     i, u, k = F.col("id"), F.col("u"), F.col("k")
     build, at = F.floor(i / 20), i % 20
     own = F.when(at % 6 == 5, at - 1).otherwise(at).cast("bigint")
