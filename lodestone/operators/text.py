@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions.arrays import running_sum
 from lodestone.functions.regex import java_pattern, longest_pattern
+from lodestone.operators.sweep import top_runs
 from lodestone.sources.store import materialise
 
 #: Bytes of a file to a stretch that offsets are looked up in.
@@ -104,19 +106,11 @@ def matches(files: DataFrame, pattern: str) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for file, text in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), strict=True):
-                pos, last, idx, seen, offset = 0, -1, 0, 0, 0
-                while pos <= len(text):
-                    m = compiled.search(text, pos)
-                    if m is None:
-                        break
-                    start, end = m.span()
-                    if end > last:
-                        offset += len(text[seen:start].encode())
-                        size = len(text[start:end].encode())
-                        out.append((file, idx, offset, size))
-                        seen, offset = end, offset + size
-                        last, idx = end, idx + 1
-                    pos = max(end, pos + 1)
+                spans = [m.span() for m in compiled.finditer(text)]
+                spans = [x for x, before in zip(spans, [(-1, -1), *spans], strict=False) if x[1] > before[1]]  # without empty ones at the end of the one before
+                marks = [0, *(place for x in spans for place in x)]
+                places = list(accumulate(len(text[x:y].encode()) for x, y in pairwise(marks)))
+                out += [(file, i, places[2 * i], places[2 * i + 1] - places[2 * i]) for i in range(len(spans))]
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "idx", "start", "len"])
 
@@ -179,10 +173,9 @@ def char_widths(line_rows: DataFrame) -> DataFrame:
 
 
 def backgrounds(spans: DataFrame) -> DataFrame:
-    """file, at, what: of the spans (file, start, end, what) over each byte the strongest: selection, then hover, then match."""
+    """file, start, end, what: runs of the strongest of the spans (file, start, end, what) over each byte: selection, then hover, then match."""
     rank = F.when(F.col("what") == "selection", 3).when(F.col("what") == "hover", 2).otherwise(1)
-    cells = spans.where(F.col("end") > F.col("start")).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-    return cells.groupBy("file", "at").agg(F.max_by("what", rank).alias("what"))
+    return top_runs(spans.select("file", "start", "end", rank.cast("bigint").alias("rank"), F.col("what").alias("value")), ["file"]).withColumnRenamed("value", "what")
 
 
 def canonical_files(files: DataFrame, salts: int = 16) -> DataFrame:

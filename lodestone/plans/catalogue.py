@@ -407,6 +407,13 @@ def syntax_kinds(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def color_overlay(s: SparkSession, d: str) -> DataFrame:
+    """Colours column by column, from runs."""
+    runs = syntax.colour_overlay(event_refs(s, d))
+    return runs.select("file", "line", F.explode(F.sequence("start", F.col("end") - 1)).alias("col"), "colour")
+
+
+@query
+def colour_runs(s: SparkSession, d: str) -> DataFrame:
     return syntax.colour_overlay(event_refs(s, d))
 
 
@@ -647,6 +654,15 @@ def file_colours(s: SparkSession, d: str) -> DataFrame:
     return syntax.file_colours(files, spans)
 
 
+@query
+def syntax_pieces(s: SparkSession, d: str) -> DataFrame:
+    """Kinds of texts put together twenty ids at a time by language, read in small pieces: the same as in one go."""
+    docs = table(s, d, "documents").where("text IS NOT NULL").groupBy("lang", F.floor(F.col("doc_id") / 20).alias("part"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    files = docs.agg(F.array_join(texts, "\n").alias("content")).select(F.concat_ws("/", "lang", "part").alias("file"), "content")
+    return syntax.syntax_kinds(files, size=2000)
+
+
 @query
 def symbols_report_view(s: SparkSession, d: str) -> DataFrame:
     """A report sorted by its second column, filtered, and with its columns' widths."""
@@ -702,7 +718,7 @@ def trace_stream_parents(s: SparkSession, d: str) -> DataFrame:
 def match_backgrounds(s: SparkSession, d: str) -> DataFrame:
     found = text.matches(document_files(s, d), "the[a-z]* of").select("file", "start", (F.col("start") + F.col("len")).alias("end"), F.when(F.col("idx") == 1, "hover").when(F.col("idx") == 2, "selection").otherwise("match").alias("what"))
     wider = found.where("what = 'selection'").withColumn("start", F.greatest(F.col("start") - 40, F.lit(0)))
-    return text.backgrounds(found.unionByName(wider)).groupBy("file", "what").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    return text.backgrounds(found.unionByName(wider)).groupBy("file", "what").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.min("start").alias("first"))
 
 
 @query

@@ -392,3 +392,47 @@ oracle(
 SELECT session, i, seq, action, es, cu, "at" FROM (SELECT session, i, seq, action, es, cu, place AS "at" FROM ({_jumps}) UNION ALL
 SELECT session, i, seq, action, CASE WHEN nc IS NULL THEN es ELSE es[greatest(0, nc - 100) + 1:nc + 101] END, CASE WHEN nc IS NULL THEN cu ELSE nc - greatest(0, nc - 100) END, CASE WHEN nc IS NOT NULL THEN es[nc + 1] END FROM ({_steps})))""",
 )
+
+
+# tokens by one pattern: a line feed is put before the text, and directives take the one before them, so a line's beginning is part of the pattern
+_TOKENS = r"""\n[ \t]*#[ \t]*(?:include_next|include|import)[ \t]*<(?:\\(?s:.)|[^\\>])*(?:>|\\?\z)|\n[ \t]*#[ \t]*[A-Za-z_]*|/\*(?s:.*?)(?:\*/|\z)|//(?:\\\n|[^\n])*|'(?:\\(?s:.)|[^\\'])*(?:'|\\?\z)|"(?:\\(?s:.)|[^\\"])*(?:"|\\?\z)|\.?[0-9](?:[eE][+-]|[A-Za-z0-9_.])*|[A-Za-z_][A-Za-z0-9_]*|(?s:.)""".replace("'", "''")
+
+
+def lexed(files: str) -> str:
+    """CTEs that end in sk (file, start, "end", kind) of a table with file and content."""
+    words = lambda xs: ", ".join(map(_text, sorted(xs)))
+    return f"""sx0 AS (SELECT file, regexp_extract_all(chr(10) || content, '{_TOKENS}') AS ts FROM {files} WHERE content <> ''),
+sx1 AS (SELECT file, ts[i] AS t, i, i > 1 AND starts_with(ts[i - 1], '//') AS after_comment FROM (SELECT file, ts, unnest(range(1, len(ts) + 1)) AS i FROM sx0)),
+sx2 AS (SELECT file, i, t, CASE WHEN after_comment THEN 'comment' ELSE 'default' END AS feed, regexp_matches(t, '^\\n[ \\t]*#') AS hash, regexp_extract(t, '#[ \\t]*([A-Za-z_]*)', 1) AS name, regexp_extract(t, '^\\n([ \\t]*)#', 1) AS blanks,
+  regexp_extract(t, '^\\n[ \\t]*(#[ \\t]*[A-Za-z_]*)', 1) AS word, regexp_extract(t, '^\\n[ \\t]*#[ \\t]*[A-Za-z_]*([ \\t]*)', 1) AS gap FROM sx1),
+sx3 AS (SELECT file, i, unnest(CASE WHEN hash THEN [{{n: 1, k: feed}}, {{n: strlen(blanks), k: 'default'}}, {{n: strlen(word), k: CASE WHEN name IN ({words(syntax.DIRECTIVES)}) THEN 'directive' ELSE 'default' END}},
+    {{n: strlen(gap), k: 'default'}}, {{n: strlen(t) - 1 - strlen(blanks) - strlen(word) - strlen(gap), k: 'quoted'}}]
+  ELSE [{{n: strlen(t), k: CASE WHEN t = chr(10) THEN feed WHEN t LIKE '/*%' OR t LIKE '//%' THEN 'comment' WHEN starts_with(t, chr(39)) OR starts_with(t, chr(34)) THEN 'quoted' WHEN regexp_matches(t, '^\\.?[0-9]') THEN 'number'
+    WHEN t IN ({words(syntax.KEYWORDS)}) THEN 'keyword' ELSE 'default' END}}] END) AS x, unnest(CASE WHEN hash THEN [1, 2, 3, 4, 5] ELSE [1] END) AS j FROM sx2),
+sx4 AS (SELECT file, i, j, x.k AS kind, x.n AS n, sum(x.n) OVER (PARTITION BY file ORDER BY i, j) - 1 AS e FROM sx3 WHERE x.n > 0),
+sx5 AS (SELECT file, greatest(e - n, 0) AS s, e, kind FROM sx4 WHERE e > 0),
+sx6 AS (SELECT *, sum(CASE WHEN kind = before THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s) AS island FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY file ORDER BY s), '') AS before FROM sx5)),
+sk AS (SELECT file, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", any_value(kind) AS kind FROM sx6 GROUP BY file, island)"""
+
+
+oracle("syntax_kinds", 'SELECT file, start, "end", kind FROM sk', DOC, lexed("df"))
+oracle("syntax_pieces", 'SELECT file, start, "end", kind FROM sk', "lf AS (SELECT lang || '/' || doc_id // 20 AS file, string_agg(text, chr(10) ORDER BY doc_id, text) AS content FROM documents WHERE text IS NOT NULL GROUP BY lang, doc_id // 20)", lexed("lf"))
+_kind_colour = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in syntax.KIND_COLOURS.items()) + " ELSE 'default' END"
+oracle(
+    "file_colours",
+    'SELECT file, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", any_value(colour) AS colour FROM island GROUP BY file, i',
+    DOC, MATCH, lexed("df"),
+    f"""cs AS (SELECT file, start AS s, start + len AS e, idx, CASE idx % 3 WHEN 0 THEN 'darkMagenta' WHEN 1 THEN 'darkBlue' END AS colour FROM m WHERE idx % 3 < 2),
+cut AS (SELECT file, start AS s FROM sk UNION SELECT file, "end" FROM sk UNION SELECT file, s FROM cs UNION SELECT file, e FROM cs),
+seg AS (SELECT * FROM (SELECT file, s, lead(s) OVER (PARTITION BY file ORDER BY s) AS e FROM cut) WHERE e IS NOT NULL),
+top AS (SELECT seg.file, seg.s, max(idx) AS idx FROM seg JOIN cs ON seg.file = cs.file AND cs.s <= seg.s AND seg.s < cs.e GROUP BY seg.file, seg.s),
+col AS (SELECT k.file, k.s, k.e, coalesce(cs.colour, {_kind_colour}) AS colour FROM (SELECT seg.*, sk.kind FROM seg ASOF JOIN sk ON seg.file = sk.file AND seg.s >= sk.start) k LEFT JOIN top ON top.file = k.file AND top.s = k.s LEFT JOIN cs ON cs.file = top.file AND cs.idx = top.idx),
+island AS (SELECT *, sum(CASE WHEN colour = before THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s) AS i FROM (SELECT *, coalesce(lag(colour) OVER (PARTITION BY file ORDER BY s), '') AS before FROM col))""",
+)
+oracle(
+    "colour_runs",
+    f"""SELECT file, line, CAST(min(col) AS BIGINT) AS start, CAST(max(col) + 1 AS BIGINT) AS "end", any_value(colour) AS colour FROM (SELECT *, col - row_number() OVER (PARTITION BY file, line, colour ORDER BY col) AS g FROM
+(SELECT file, line, col, c.colour AS colour FROM (SELECT file, line, col, max({{a: start_col, b: end_col, c: symbol, d: kind, colour: colour}}) AS c FROM
+(SELECT DISTINCT file, line, start_col, end_col, symbol, kind, {_colour} AS colour, unnest(range(start_col, end_col)) AS col FROM ev) WHERE colour IS NOT NULL GROUP BY file, line, col))) GROUP BY file, line, colour, g""",
+    EV,
+)
