@@ -8,13 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import tables
+from lodestone.operators import report, tables, xref
 from lodestone.operators.maintained import Definitions
+from lodestone.operators.paging import Paged
 from lodestone.operators.snapshots import Snapshots
 from lodestone.plans.oracle import EV, oracle
 from lodestone.schema import REFERENCE
 from lodestone.sources.facts import event_refs
 from lodestone.sources.keyed import Keyed, write_keyed
+from lodestone.sources.lines import file_lines
 from lodestone.sources.store import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +131,38 @@ def maintained_globals(s: SparkSession, d: str) -> DataFrame:
     return _maintained(s, d).global_definitions()
 
 
+@query
+def report_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages of one written report: from its middle, from its end in falling order, of two filtered views."""
+    whole = Paged.write(report.definition_report(xref.global_definitions(event_refs(s, d))), "symbol", _folder(s, "report"), PARTITIONS)
+    few = whole.filter("symbol", "k[1-3]$")
+    pages = {"middle": whole.page(100, 50), "end": whole.reversed().page(0, 20), "filtered": few.page(5, 30), "filtered end": few.reversed().page(3, 10)}
+    out = None
+    for name, page in pages.items():
+        own = page.select(F.lit(name).alias("page"), "position", "source_position", "symbol", "file")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def report_positions(s: SparkSession, d: str) -> DataFrame:
+    """Positions of some symbols' definitions in a filtered view and in the whole report."""
+    whole = Paged.write(report.definition_report(xref.global_definitions(event_refs(s, d))), "symbol", _folder(s, "report"), PARTITIONS)
+    wanted = table(s, d, "events").groupBy("user_id").agg(F.max(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
+    wanted = wanted.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("::k"), F.col("k").cast("string")).alias("symbol"))
+    return whole.filter("symbol", "[02468]$").positions(wanted)
+
+
+@query
+def disk_lines(s: SparkSession, d: str) -> DataFrame:
+    """Texts of a hundred ids each are written as files with three kinds of line ends; their lines are read from the folder."""
+    docs = table(s, d, "documents").where("text IS NOT NULL").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", F.replace(F.replace("text", F.lit(". "), F.lit(".\r\n")), F.lit(", "), F.lit(",\r")).alias("value"))
+    path = _folder(s, "files")
+    docs.repartition("part").sortWithinPartitions("part", "doc_id", "value").select("part", "value").write.partitionBy("part").text(path)
+    rows = file_lines(s, path)
+    return rows.select(F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), "line", "start", "len", F.md5("text").alias("text"))
+
+
 oracle("written_prefix_lookup", f"SELECT {REF} FROM r WHERE (file, line) IN (SELECT (file, line) FROM ev WHERE kind = 'Read' AND line % 5 = 0)", EV)
 _DAY = "day(CAST(substr(file, 6) AS DATE))"
 oracle("written_line_ranges", f"SELECT {REF} FROM r WHERE {_DAY} % 3 = 0 AND line BETWEEN {_DAY} % 10 AND {_DAY} % 10 + 6", EV)
@@ -159,3 +193,21 @@ oracle(
     EV, KEPT,
 )
 oracle("maintained_globals", f"SELECT {REF} FROM kr WHERE kind = 'Definition' AND symbol IN (SELECT symbol FROM kp WHERE symbol_type NOT IN ('LocalVariable', 'Parameter', 'Path'))", EV, KEPT)
+GD = """gq AS (SELECT symbol, file, row_number() OVER (ORDER BY symbol, file, line, start_col, end_col) - 1 AS spot, count(*) OVER () AS n FROM gd),
+fq AS (SELECT *, row_number() OVER (ORDER BY spot) - 1 AS own, count(*) OVER () AS m FROM gq WHERE regexp_matches(symbol, 'k[1-3]$'))"""
+oracle(
+    "report_pages",
+    """SELECT 'middle' AS page, spot AS position, spot AS source_position, symbol, file FROM gq WHERE spot BETWEEN 100 AND 149 UNION ALL SELECT 'end', n - 1 - spot, n - 1 - spot, symbol, file FROM gq WHERE n - 1 - spot < 20
+UNION ALL SELECT 'filtered', own, spot, symbol, file FROM fq WHERE own BETWEEN 5 AND 34 UNION ALL SELECT 'filtered end', m - 1 - own, n - 1 - spot, symbol, file FROM fq WHERE m - 1 - own BETWEEN 3 AND 12""",
+    EV, GD,
+)
+oracle(
+    "report_positions",
+    "SELECT symbol, own AS position, spot AS source_position FROM (SELECT *, row_number() OVER (ORDER BY spot) - 1 AS own FROM gq WHERE regexp_matches(symbol, '[02468]$')) WHERE symbol IN (SELECT 'u' || user_id || '::k' || max(k) FROM e0 GROUP BY user_id)",
+    EV, GD,
+)
+oracle(
+    "disk_lines",
+    """SELECT part, i - 1 AS line, CAST(sum(strlen(l) + 1) OVER (PARTITION BY part ORDER BY i) - strlen(l) - 1 AS BIGINT) AS start, CAST(strlen(l) AS BIGINT) AS len, md5(l) AS text FROM (SELECT part, unnest(ls[:-2]) AS l, unnest(range(1, len(ls))) AS i FROM f)""",
+    """f AS (SELECT doc_id // 100 AS part, string_split(replace(replace(string_agg(text || chr(10), '' ORDER BY doc_id, text), '. ', '.' || chr(10)), ', ', ',' || chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 100)""",
+)

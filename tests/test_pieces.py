@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from lodestone.operators import syntax
 
-PARTS = ["/*", "*/", "//", "\n", "\\\n", "\\", "'", '"', "#include <a b>", "#include", "# define X", " ", "\t", "if", "word1", "1.5e+3", "<", ">", ";", ",", "{", "}", "(", "é", "#", ".", "include_next <x\n;y>", "/", "*", "\;"]
+PARTS = ["/*", "*/", "//", "\n", "\\\n", "\\", "'", '"', "#include <a b>", "#include", "# define X", " ", "\t", "if", "word1", "1.5e+3", "<", ">", ";", ",", "{", "}", "(", "é", "#", ".", "include_next <x\n;y>", "/", "*", r"\;"]
 
 
 def whole(data):
