@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lodestone.operators.dictionary import ranked
+from lodestone.operators.pointers import looked_up
 
 #: Sorts before every character of a title, so that a folder's children follow it directly.
 _CUT = "\u0001"
@@ -55,9 +55,10 @@ def sort_key(path: Column, is_file: Column) -> Column:
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """tree with row (0-based place in the flattened tree) and last (whether no sibling follows)."""
-    w = W.partitionBy("category", "parent").orderBy("is_file", "title")
-    flagged = tree.withColumn("last", F.lead("title").over(w).isNull())
+    """tree with row (0-based place in the flattened tree) and last (whether no sibling follows). Runs an action."""
+    ends = tree.groupBy(F.struct("category", "parent").alias("_at")).agg(F.max(F.struct("is_file", "title")).alias("_end"))
+    placed = looked_up(tree.withColumn("_at", F.struct("category", "parent")), ends, "_at", tree.count())
+    flagged = placed.withColumn("last", F.struct("is_file", "title") == F.col("_end")).drop("_at", "_end")
     order = F.when(F.col("category") == "Project", 0).when(F.col("category") == "External", 1).otherwise(2)
     return ranked(flagged.withColumns({"_c": order, "_k": sort_key(F.col("path"), F.col("is_file"))}), ["_c", "_k"], "row").drop("_c", "_k")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.tables import global_symbols, symbol_rows
 from lodestone.schema import DECLARATION, DEFINITION, PATH_TYPE, REFERENCE
+from lodestone.sources.store import materialise
 
 #: Columns to a stretch of a line in point lookups.
 STRETCH = 32
@@ -17,6 +18,16 @@ def refs_of_symbol(facts: DataFrame, symbol: str) -> DataFrame:
     return facts.where(F.col("symbol") == symbol).select(*REFERENCE).distinct()
 
 
+def refs_of_symbols(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Distinct references of several symbols (symbol)."""
+    return facts.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select(*REFERENCE).distinct()
+
+
+def refs_of_files(facts: DataFrame, files: DataFrame, first: int = 0, last: int = (1 << 31) - 1) -> DataFrame:
+    """Distinct references on lines first to last of several files (file)."""
+    return facts.where(F.col("line").between(first, last)).join(files.select("file").distinct(), "file", "left_semi").select(*REFERENCE).distinct()
+
+
 def file_refs(facts: DataFrame, file: str, first: int = 0, last: int = (1 << 31) - 1) -> DataFrame:
     return facts.where((F.col("file") == file) & F.col("line").between(first, last)).select(*REFERENCE).distinct()
 
@@ -94,9 +105,12 @@ def symbols_at_span(facts: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def click_to_definition(facts: DataFrame, points: DataFrame) -> DataFrame:
-    """Where a click at each point (file, line, col) leads: its innermost span must hold exactly one symbol."""
-    facts = facts.select(*REFERENCE).distinct()
-    spans = point_in_span(facts, points).select("file", "line", "col", "start_col", "end_col")
+    """Where a click at each point (file, line, col) leads: its innermost span must hold exactly one symbol.
+
+    The facts are made distinct and written once, for the five passes over them.
+    """
+    facts = materialise(facts.select(*REFERENCE).distinct())
+    spans = materialise(point_in_span(facts, points).select("file", "line", "col", "start_col", "end_col"))
     symbols = symbols_at_span(facts, spans.drop("col")).where(F.size("symbols") == 1).withColumn("symbol", F.get("symbols", F.lit(0))).drop("symbols")
     at = spans.join(symbols, ["file", "line", "start_col", "end_col"]).select("file", "line", "col", "symbol")
     to = definitions_of(facts, at).select("symbol", F.col("file").alias("to_file"), F.col("line").alias("to_line"), F.col("start_col").alias("to_col"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import regex
 from lodestone.operators import classify, dictionary, history, merge, report, syntax, tables, text, trace, tree, xref
+from lodestone.operators.snapshots import Snapshots
 from lodestone.plans import forests, indexes
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
@@ -40,7 +41,7 @@ def _busy(facts: DataFrame) -> DataFrame:
 @query
 def refs_of_symbol(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
-    return facts.join(F.broadcast(_busy(facts)), "symbol", "left_semi").select(*REFERENCE).distinct()  # one row
+    return xref.refs_of_symbols(facts, _busy(facts))
 
 
 @query
@@ -51,7 +52,7 @@ def refs_of_missing_symbol(s: SparkSession, d: str) -> DataFrame:
 @query
 def refs_of_symbol_report(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
-    rows = facts.join(F.broadcast(_busy(facts)), "symbol", "left_semi").select(*REFERENCE).distinct()
+    rows = xref.refs_of_symbols(facts, _busy(facts))
     out = report.Report("References", ("file", "line", "kind"), report.numbered(rows, ["file", "line", "start_col", "end_col", "kind"]))
     return out.sorted("kind").select("position", "file", "line", "kind")
 
@@ -60,7 +61,7 @@ def refs_of_symbol_report(s: SparkSession, d: str) -> DataFrame:
 def file_refs_range(s: SparkSession, d: str) -> DataFrame:
     facts = event_refs(s, d)
     first = facts.agg(F.min("file").alias("file"))
-    return facts.join(F.broadcast(first), "file", "left_semi").where(F.col("line").between(5, 12)).select(*REFERENCE).distinct()  # one row
+    return xref.refs_of_files(facts, first, 5, 12)
 
 
 @query
@@ -423,6 +424,16 @@ def keyword_lookup(s: SparkSession, d: str) -> DataFrame:
     return words.where(F.col("word").isin(*sorted(syntax.KEYWORDS))).groupBy("word").agg(F.count("*").alias("n"))
 
 
+@query
+def directive_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Kinds of texts made of directives, comments and quotations, fifty lines of events each."""
+    e, c = numbered_events(s, d), F.col
+    made = ["#if X", " # define Y 1", "#include <a b.h>", "x #if 2", "#pragma once", "#nothing here", "// note \\", "/* open", "closed */ #else", "'c' \"s\" 1.5e+3", "#include_next \t<x", "int y; // #endif", "#  import <z>"]
+    line = F.get(F.array(*map(F.lit, made)), ((c("k") + c("u")) % len(made)).cast("int"))
+    lines = e.groupBy(F.floor(c("id") / 50).cast("string").alias("file")).agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("lines"))
+    return syntax.syntax_kinds(lines.select("file", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content")))
+
+
 # --- trees ----------------------------------------------------------------
 
 
@@ -682,14 +693,16 @@ def references_at_span(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def index_project(s: SparkSession, d: str) -> DataFrame:
-    """An archive of half-known entries is refreshed: fresh entries are taken over, files changed since (day above 20) are indexed anew."""
+    """An archive of half-known entries is refreshed: fresh entries stay as they are, files changed since (day above 20) are indexed anew, in a version of their own."""
     facts = event_refs(s, d).select(*REFERENCE).distinct()
-    base = f"{shared_dir(s)}/project-{uuid.uuid4().hex}"
-    merge.write_archive(facts.where("line < 12"), f"{base}/old")
     names = facts.select(F.col("file").alias("name")).distinct()
+    store = Snapshots(s, f"{shared_dir(s)}/project-{uuid.uuid4().hex}")
+    store.refresh(facts.where("line < 12"), names.select(F.col("name").alias("entry")), "first")
     day = F.dayofmonth(F.substring("name", 6, 10).try_cast("date")).cast("bigint")
-    merge.refresh(s, f"{base}/old", f"{base}/new", names.select(F.col("name").alias("index_file"), F.lit(20).cast("bigint").alias("index_mtime"), "name"), names.withColumn("mtime", day), lambda stale: facts.join(stale.withColumnRenamed("name", "file"), "file", "left_semi"))
-    return s.read.parquet(f"{base}/new/entries").select(*REFERENCE)
+    known = names.select(F.col("name").alias("index_file"), F.lit(20).cast("bigint").alias("index_mtime"), "name")
+    stale = merge.reusable(known, names.withColumn("mtime", day)).where("NOT reusable").select(F.col("index_file").alias("entry"))
+    store.refresh(facts.join(stale.withColumnRenamed("entry", "file"), "file", "left_semi"), stale, "second")
+    return store.facts()
 
 
 @query

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import report, tables, xref
+from lodestone.functions import regex
+from lodestone.operators import dictionary, merge, report, tables, xref
 from lodestone.operators.maintained import Definitions
 from lodestone.operators.paging import Paged
 from lodestone.operators.snapshots import Snapshots
@@ -17,7 +18,7 @@ from lodestone.schema import REFERENCE
 from lodestone.sources.facts import event_refs
 from lodestone.sources.keyed import Keyed, write_keyed
 from lodestone.sources.lines import file_lines
-from lodestone.sources.store import shared_dir, table
+from lodestone.sources.store import shared_dir, table, text_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 REF = "file, line, start_col, end_col, symbol, kind"
@@ -163,6 +164,52 @@ def disk_lines(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), "line", "start", "len", F.md5("text").alias("text"))
 
 
+@query
+def index_dump(s: SparkSession, d: str) -> DataFrame:
+    """The written Reference table as JSON, with values for ids."""
+    path = _folder(s, "index")
+    tables.build_index(event_refs(s, d)).write(path)
+    return merge.dump(tables.CodeIndex.read(s, path), "Reference")
+
+
+@query
+def index_catalogue(s: SparkSession, d: str) -> DataFrame:
+    """Tables and dictionaries of a written index, by name: rows, bytes of values, values in hash buckets."""
+    path = _folder(s, "index")
+    tables.build_index(event_refs(s, d)).write(path)
+    index = tables.CodeIndex.read(s, path)
+    out = None
+    for name in index.table_names():
+        own = index.table(name).agg(F.lit("table").alias("part"), F.lit(name).alias("name"), F.count("*").alias("n"), F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("bigint").alias("in_buckets"))
+        out = own if out is None else out.unionByName(own)
+    for name in index.dictionary_names():
+        values = index.dictionaries[name]
+        buckets = dictionary.bucket_stats(values, 64).agg(F.sum("n").alias("in_buckets"))
+        out = out.unionByName(dictionary.item_stats(values).join(F.broadcast(buckets)).select(F.lit("dictionary").alias("part"), F.lit(name).alias("name"), "n", "bytes", "in_buckets"))  # one row each
+    return out
+
+
+@query
+def filters_as_typed(s: SparkSession, d: str) -> DataFrame:
+    """Symbols under what was typed last, where an invalid pattern leaves the former one in force."""
+    symbols, out, filter_ = xref.all_symbols(event_refs(s, d)), None, ""
+    for step, typed in enumerate(("", "u1", "u1(", "U1", "[", "k7$")):
+        filter_ = regex.next_filter(s, typed, filter_)
+        own = symbols.where(regex.report_filter(F.col("symbol"), filter_)).agg(F.lit(step).cast("bigint").alias("step"), F.lit(filter_).alias("in_force"), F.count("*").alias("n"), F.min("symbol").alias("first"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def disk_files(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts of files in a folder, by the hashes of their normalised contents."""
+    docs = table(s, d, "documents").where("text IS NOT NULL").select(F.floor(F.col("doc_id") / 10).alias("part"), "doc_id", F.replace("text", F.lit(". "), F.lit(".\r\n")).alias("value"))
+    path = _folder(s, "files")
+    docs.repartition("part").sortWithinPartitions("part", "doc_id", "value").select("part", "value").write.partitionBy("part").text(path)
+    rows = text_files(s, f"{path}/*/*.txt").where("error IS NULL")
+    return rows.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), F.octet_length("content").cast("bigint").alias("bytes"), F.md5("content").alias("content"))
+
+
 oracle("written_prefix_lookup", f"SELECT {REF} FROM r WHERE (file, line) IN (SELECT (file, line) FROM ev WHERE kind = 'Read' AND line % 5 = 0)", EV)
 _DAY = "day(CAST(substr(file, 6) AS DATE))"
 oracle("written_line_ranges", f"SELECT {REF} FROM r WHERE {_DAY} % 3 = 0 AND line BETWEEN {_DAY} % 10 AND {_DAY} % 10 + 6", EV)
@@ -211,3 +258,17 @@ oracle(
     """SELECT part, i - 1 AS line, CAST(sum(strlen(l) + 1) OVER (PARTITION BY part ORDER BY i) - strlen(l) - 1 AS BIGINT) AS start, CAST(strlen(l) AS BIGINT) AS len, md5(l) AS text FROM (SELECT part, unnest(ls[:-2]) AS l, unnest(range(1, len(ls))) AS i FROM f)""",
     """f AS (SELECT doc_id // 100 AS part, string_split(replace(replace(string_agg(text || chr(10), '' ORDER BY doc_id, text), '. ', '.' || chr(10)), ', ', ',' || chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 100)""",
 )
+oracle("index_dump", """SELECT '{"file":"' || file || '","line":' || line || ',"start_col":' || start_col || ',"end_col":' || end_col || ',"symbol":"' || symbol || '","kind":"' || kind || '"}' AS json FROM r""", EV)
+oracle(
+    "index_catalogue",
+    """SELECT 'table' AS part, unnest(['Reference', 'ReferenceIndex']) AS name, (SELECT count(*) FROM r) AS n, NULL AS bytes, NULL AS in_buckets UNION ALL SELECT 'table', unnest(['Symbol', 'SymbolTypeIndex']), (SELECT count(*) FROM sy), NULL, NULL
+UNION ALL SELECT 'table', 'GlobalSymbol', (SELECT count(*) FROM gs), NULL, NULL UNION ALL SELECT 'dictionary', 'Symbol', count(*), CAST(sum(strlen(symbol) + 1) AS BIGINT), count(*) FROM (SELECT DISTINCT symbol FROM sy)
+UNION ALL SELECT 'dictionary', 'SymbolType', count(*), CAST(sum(strlen(symbol_type) + 1) AS BIGINT), count(*) FROM (SELECT DISTINCT symbol_type FROM sy) UNION ALL SELECT 'dictionary', 'ReferenceType', count(*), CAST(sum(strlen(kind) + 1) AS BIGINT), count(*) FROM (SELECT DISTINCT kind FROM r WHERE kind IS NOT NULL)""",
+    EV,
+)
+_TYPED = {0: ("", "true"), 1: ("u1", "s ILIKE '%u1%'"), 2: ("u1", "s ILIKE '%u1%'"), 3: ("U1", "s LIKE '%U1%'"), 4: ("U1", "s LIKE '%U1%'"), 5: ("k7$", "s ILIKE '%k7'")}
+oracle("filters_as_typed", " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS step, '{f}' AS in_force, count(*) AS n, min(s) AS first FROM als WHERE {on}" for i, (f, on) in _TYPED.items()), EV, "als AS (SELECT symbol AS s FROM ev UNION SELECT file FROM ev)")
+oracle(
+    "disk_files",
+    "SELECT part, CAST(strlen(c) AS BIGINT) AS bytes, md5(c) AS content FROM (SELECT doc_id // 10 AS part, replace(string_agg(text || chr(10), '' ORDER BY doc_id, text), '. ', '.' || chr(10)) AS c FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 10)",
+)

@@ -416,6 +416,8 @@ sk AS (SELECT file, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "
 
 
 oracle("syntax_kinds", 'SELECT file, start, "end", kind FROM sk', DOC, lexed("df"))
+_MADE = ["#if X", " # define Y 1", "#include <a b.h>", "x #if 2", "#pragma once", "#nothing here", "// note \\", "/* open", "closed */ #else", "'c' \"s\" 1.5e+3", "#include_next \t<x", "int y; // #endif", "#  import <z>"]
+oracle("directive_kinds", 'SELECT file, start, "end", kind FROM sk', N0, f"mf AS (SELECT CAST(id // 50 AS VARCHAR) AS file, string_agg({_text(_MADE)}[(k + u) % {len(_MADE)} + 1], chr(10) ORDER BY id) AS content FROM n0 GROUP BY id // 50)", lexed("mf"))
 oracle("syntax_pieces", 'SELECT file, start, "end", kind FROM sk', "lf AS (SELECT lang || '/' || doc_id // 20 AS file, string_agg(text, chr(10) ORDER BY doc_id, text) AS content FROM documents WHERE text IS NOT NULL GROUP BY lang, doc_id // 20)", lexed("lf"))
 _kind_colour = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in syntax.KIND_COLOURS.items()) + " ELSE 'default' END"
 oracle(
