@@ -5,7 +5,9 @@ window is one sequence. In every window a queue may spend a quantum, its target
 share of LENGTH tokens; the part of a token that it can't spend carries on as
 its deficit, from window to window, and a queue that has run out leaves its
 share to the others by theirs. Documents are cut where a quantum ends, so every
-window has its target proportions but for rounding.
+window has its target proportions but for rounding. A queue whose quantum is
+under LEAST tokens saves up and spends LEAST at a time, so that documents of
+small sources aren't cut into single tokens.
 
 What all queues have spent by the end of a window follows from their totals
 alone (``Schedule``), so any document's pieces follow from its place in its
@@ -142,56 +144,91 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, order: Column | Non
     return written(rows.mapInArrow(run, "row long, doc_id long, source string, place string, n_tokens long, ids binary"))
 
 
+#: Tokens that a queue of small quanta saves up for before it spends any; windows to a block of the schedule's table.
+LEAST = 32
+ROWS = 2048
+
+
 class Schedule:
-    """What each queue has spent by the end of each window, from the queues' tokens and shares alone."""
+    """What each queue has spent by the end of each window, from the queues' tokens and shares alone.
+
+    A queue whose quantum is under LEAST spends LEAST tokens at a time, when its
+    deficit has grown to them; queues begin with deficits spread over that
+    range, so they don't all pay in one window.
+    """
 
     def __init__(self, tokens: list[int], shares: list[float], length: int) -> None:
         self.tokens, self.length = np.array(tokens, np.int64), length
         self.share = np.array(shares, float) / sum(shares)
-        ends = self.tokens / self.share  # of the queues, in tokens of a stream in which none runs out
-        self.times = np.concatenate([[0.0], np.sort(ends)])
+        self.own_ends = self.tokens / self.share  # of the queues, in tokens of a stream in which none runs out
+        self.times = np.concatenate([[0.0], np.sort(self.own_ends)])
         self.served = np.minimum(self.tokens, self.share * self.times[:, None]).sum(1)
         self.served[-1] = self.tokens.sum()
+        small = self.share * length < LEAST
+        self.lump = np.where(small, LEAST, 1)
+        self.phase = np.where(small, np.arange(len(tokens)) * 0.6180339887498949 % 1, 0.5)
+
+    def _spent(self, queue: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What queues have spent when n tokens are served, of both arrays' common shape."""
+        time = np.interp(n, self.served, self.times)
+        own, lump = self.tokens[queue], self.lump[queue]
+        out = np.floor(self.share[queue] * time / lump + self.phase[queue]).astype(np.int64) * lump
+        return np.where((n >= self.served[-1]) | (time >= self.own_ends[queue] * (1 - 1e-12)), own, np.minimum(own, out)) * (n > 0)
 
     def spent(self, windows: np.ndarray) -> np.ndarray:
         """Tokens of each queue in all windows up to each of windows: (windows, queues); none before window 0."""
-        n = (windows + 1) * self.length
-        time = np.interp(n, self.served, self.times)
-        out = np.floor(np.minimum(self.tokens, self.share * time[:, None]) + 0.5).astype(np.int64)
-        out[n >= self.served[-1]] = self.tokens
-        return out
+        n = (windows[:, None] + 1) * self.length
+        return self._spent(np.arange(len(self.tokens))[None, :], np.broadcast_to(n, (len(windows), len(self.tokens))))
 
     def window(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Window of the token at a place (from 0) of its queue."""
-        w = np.floor(np.interp((at + 0.5) / self.share[queue], self.times, self.served) / self.length).astype(np.int64)
+        due = np.minimum((at // self.lump[queue] + 1 - self.phase[queue]) * self.lump[queue], self.tokens[queue])
+        w = np.floor(np.interp(np.maximum(due, 0) / self.share[queue], self.times, self.served) / self.length).astype(np.int64)
+        w = np.minimum(w, (self.served[-1].astype(np.int64) - 1) // self.length)
         while True:
-            early, late = self._of(queue, w - 1) > at, self._of(queue, w) <= at
+            early, late = self._spent(queue, w * self.length) > at, self._spent(queue, (w + 1) * self.length) <= at
             if not (early.any() or late.any()):
                 return w
             w = w - early + late
 
-    def _of(self, queue: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """What each queue has spent by the end of its own w."""
-        n = (w + 1) * self.length
-        own = self.tokens[queue]
-        out = np.floor(np.minimum(own, self.share[queue] * np.interp(n, self.served, self.times)) + 0.5).astype(np.int64)
-        return np.where(n >= self.served[-1], own, out)
-
-    def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cuts of documents (queue, first place in it, tokens): document, begin in it, length, window, place in the stream."""
+    def _touched(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and window of every window that a document's tokens lie in; as many at most as it has lumps or quanta."""
+        lump = self.lump[queue]
         first, last = self.window(queue, start), self.window(queue, start + size - 1)
-        many = last - first + 1
+        by_lump = lump > 1
+        many = np.where(by_lump, (start + size - 1) // lump - start // lump + 1, last - first + 1)
         doc = np.repeat(np.arange(len(queue)), many)
-        w = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        named, at = np.unique(w, return_inverse=True)
-        before, after = self.spent(named - 1), self.spent(named)
-        slices = np.cumsum(after - before, axis=1) - (after - before)  # where each queue's slice begins in its window
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        w = first[doc] + k
+        some = np.flatnonzero(by_lump[doc])
+        d = doc[some]
+        w[some] = self.window(queue[d], np.maximum(start[d], (start[d] // lump[d] + k[some]) * lump[d]))
+        keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (w[1:] != w[:-1])])[: len(doc)]
+        return doc[keep], w[keep]
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cuts of documents (queue, first place in it, tokens): document, begin in it, length, window, place in the stream.
+
+        Work and memory follow the documents' own tokens, whatever the stream's length; the table of all
+        queues' spendings is taken ROWS windows at a time.
+        """
+        doc, w = self._touched(queue, start, size)
         q = queue[doc]
-        begin, end = np.maximum(start[doc], before[at, q]), np.minimum(start[doc] + size[doc], after[at, q])
-        place = before.sum(1)[at] + slices[at, q] + begin - before[at, q]
+        named, at = np.unique(w, return_inverse=True)
+        base = np.zeros(len(doc), np.int64)  # place in the stream where the queue's slice of the window begins
+        order = np.argsort(at, kind="stable")
+        for block in range(0, len(named), ROWS):
+            mine = order[np.searchsorted(at[order], block) : np.searchsorted(at[order], block + ROWS)]
+            before, after = self.spent(named[block : block + ROWS] - 1), self.spent(named[block : block + ROWS])
+            slices = np.cumsum(after - before, axis=1) - (after - before)
+            row = at[mine] - block
+            base[mine] = before.sum(1)[row] + slices[row, q[mine]]
+        before, after = self._spent(q, w * self.length), self._spent(q, (w + 1) * self.length)
+        begin, end = np.maximum(start[doc], before), np.minimum(start[doc] + size[doc], after)
+        place = base + begin - before
         keep = np.flatnonzero(end > begin)
         doc, w, begin, end, place = doc[keep], w[keep], begin[keep], end[keep], place[keep]
-        # slices may reach over the end of a sequence by a few tokens
+        # slices may reach over the end of a sequence
         cuts = (place + end - begin - 1) // self.length - place // self.length + 1
         i = np.repeat(np.arange(len(doc)), cuts)
         k = np.arange(len(i)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
