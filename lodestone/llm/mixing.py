@@ -48,6 +48,8 @@ from lodestone.operators.dictionary import ranked
 
 BUCKETS = 256
 GROUPS = 256
+#: Blocks that a draw may hold; numpy's limit is 10^9.
+DRAWN = 500_000_000
 NULL = "\x00"
 PLAN = "skey string, size long, n long, base long, extra long"
 
@@ -154,8 +156,7 @@ def even_quotas(total: int, n_shards: int) -> np.ndarray:
     return np.concatenate([even_quotas(left, half), even_quotas(total - left, n_shards - half)])
 
 
-def split_blocks(blocks: dict[str, int], quotas: np.ndarray, seed: int, path: str = "") -> Iterable[tuple[str, int, int, int]]:
-    """(source, shard, first, end) of each shard's draw of each source's permuted blocks; the shards' quotas add up to all blocks."""
+def _split(blocks: dict[str, int], quotas: np.ndarray, seed: int, path: str) -> Iterable[tuple[str, int, int, int]]:
     names = sorted(blocks)
     given = np.zeros(len(names), np.int64)
     for shard, k in _halves(np.array([blocks[x] for x in names], np.int64), quotas, 0, seed, path):
@@ -164,6 +165,36 @@ def split_blocks(blocks: dict[str, int], quotas: np.ndarray, seed: int, path: st
         given += k
 
 
+def split_blocks(blocks: dict[str, int], quotas: np.ndarray, seed: int, path: str = "") -> Iterable[tuple[str, int, int, int]]:
+    """(source, shard, first, end) of the shards' draws of each source's permuted blocks; the shards' quotas add up to all blocks.
+
+    Draws take under DRAWN blocks. Of more, super-blocks of as many neighbouring
+    blocks as needed are dealt first, then the blocks left over, so a shard may
+    have two ranges of a source; quotas hold exactly.
+    """
+    unit = -(-sum(blocks.values()) // DRAWN)
+    if unit <= 1:
+        yield from _split(blocks, quotas, seed, path)
+        return
+    whole, share = {k: n // unit for k, n in blocks.items()}, quotas // unit
+    over = sum(whole.values()) - int(share.sum())
+    for k in sorted(whole, key=lambda k: (-whole[k], k)):  # more super-blocks than the shards have room for: some stay blocks
+        less = min(whole[k], max(over, 0))
+        whole[k], over = whole[k] - less, over - less
+    while over < 0:
+        most = np.argsort(-share, kind="stable")[: -over]
+        most = most[share[most] > 0]
+        share[most] -= 1
+        over += len(most)
+    if not any(whole.values()):
+        raise ValueError("more sources than blocks can be drawn for")
+    for k, shard, first, end in _split(whole, share, seed, path + "u"):
+        yield k, shard, first * unit, end * unit
+    rest = {k: n - whole[k] * unit for k, n in blocks.items()}
+    for k, shard, first, end in split_blocks(rest, quotas - share * unit, seed, path + "r"):
+        yield k, shard, whole[k] * unit + first, whole[k] * unit + end
+
+
 DRAWS = "skey string, shard long, first long, end long"
 
 
@@ -176,7 +207,7 @@ def draws(blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
     def draw(key: tuple, own: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
         q = np.zeros(n_shards, np.int64)
-        q[quota["shard"].to_numpy()] = quota["quota"].to_numpy()
+        np.add.at(q, quota["shard"].to_numpy(), quota["quota"].to_numpy())
         found = list(split_blocks(dict(zip(own["skey"], own["n_blocks"].astype(int), strict=True)), q, seed, f"{key[0]}:")) if len(own) else []
         return pd.DataFrame(found, columns=[c.split()[0] for c in DRAWS.split(", ")])
 

@@ -39,3 +39,65 @@ def test_schedule_covers_every_token_once(sources, length):
 def test_word_ids_equal_whole_encoding(text):
     known = packing.word_ids(packing.default_tokenizer())
     assert known.ids(text) == known.whole(text.encode("utf-8", "replace").decode()) + b"\x02\x00"
+
+
+def test_more_blocks_than_a_draw_holds():
+    blocks = {"a": 17_000_000_000, "b": 12_000_000_001, "c": 999_999_999, "d": 3, "e": 0}
+    quotas = mixing.even_quotas(sum(blocks.values()), 64)
+    got = list(mixing.split_blocks(blocks, quotas, 5))
+    assert got == list(mixing.split_blocks(blocks, quotas, 5))
+    per = np.zeros(64, np.int64)
+    for source, n in blocks.items():
+        at = 0
+        for first, end in sorted((f, e) for k, _, f, e in got if k == source):
+            assert first == at and end > first
+            at = end
+        assert at == n
+    for _, shard, first, end in got:
+        per[shard] += end - first
+    assert per.tolist() == quotas.tolist()
+    share = {k: [0] * 64 for k in blocks}
+    for k, shard, first, end in got:
+        share[k][shard] += end - first
+    assert all(abs(x * 64 / blocks["a"] - 1) < 0.01 for x in share["a"])
+
+
+def test_a_rare_source_in_a_long_stream():
+    """One document of ten tokens beside 2 * 10^11 tokens in 200 queues: work follows the document."""
+    import time
+    import tracemalloc
+
+    tokens = [10**9] * 200 + [10, 5000, 1]
+    plan = packing.Schedule(tokens, [float(t) for t in tokens], 4096)
+    tracemalloc.start()
+    began = time.time()
+    queue, start, size = np.array([200, 201, 202, 7]), np.array([0, 1000, 0, 123_456_789]), np.array([10, 1000, 1, 4000])
+    doc, begin, length, window, place = plan.pieces(queue, start, size)
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 1 and peak < 100_000_000
+    for d in range(4):
+        own = np.argsort(begin[doc == d])
+        b, n = begin[doc == d][own], length[doc == d][own]
+        assert b[0] == 0 and (b[1:] == (b + n)[:-1]).all() and n.sum() == size[d]
+    assert (doc == 0).sum() <= 2 and (doc == 1).sum() <= 1000 // packing.LEAST + 3  # pieces of LEAST tokens, but for cuts of sequences
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 4000), min_size=1, max_size=30), st.integers(0, 99))
+def test_small_quanta_fill_the_stream(sizes, seed):
+    """Queues of quanta below the least piece: every token has one place, and spending stays near the share."""
+    rng = np.random.default_rng(seed)
+    tokens = [20_000, *sizes]
+    plan = packing.Schedule(tokens, [float(t) for t in tokens], 256)
+    queue = np.repeat(np.arange(len(tokens)), 1)
+    doc, begin, length, window, place = plan.pieces(queue, np.zeros(len(tokens), np.int64), np.array(tokens))
+    covered = np.zeros(sum(tokens), np.int64)
+    for p, n in zip(place.tolist(), length.tolist(), strict=True):
+        covered[p : p + n] += 1
+    assert (covered == 1).all()
+    n = (sum(tokens) - 1) // 256
+    some = rng.integers(0, n + 1, 5)
+    spent = plan.spent(some)
+    due = np.array(tokens) / sum(tokens) * np.minimum((some[:, None] + 1) * 256, sum(tokens))
+    assert (np.abs(spent - due) <= packing.LEAST + 1).all()
