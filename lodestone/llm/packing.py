@@ -6,8 +6,8 @@ share of LENGTH tokens; the part of a token that it can't spend carries on as
 its deficit, from window to window, and a queue that has run out leaves its
 share to the others by theirs. Documents are cut where a quantum ends, so every
 window has its target proportions but for rounding. A queue whose quantum is
-under LEAST tokens saves up and spends LEAST at a time, so that documents of
-small sources aren't cut into single tokens.
+under a LEAST-th of a window saves up and spends that much at a time, so that
+documents of small sources aren't cut into single tokens.
 
 What all queues have spent by the end of a window follows from their totals
 alone (``Schedule``), so any document's pieces follow from its place in its
@@ -144,17 +144,17 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, order: Column | Non
     return written(rows.mapInArrow(run, "row long, doc_id long, source string, place string, n_tokens long, ids binary"))
 
 
-#: Tokens that a queue of small quanta saves up for before it spends any; windows to a block of the schedule's table.
-LEAST = 32
+#: A queue of small quanta saves up for this part of a sequence (32 tokens of 4,096) before it spends any; windows to a block of the schedule's table.
+LEAST = 128
 ROWS = 2048
 
 
 class Schedule:
     """What each queue has spent by the end of each window, from the queues' tokens and shares alone.
 
-    A queue whose quantum is under LEAST spends LEAST tokens at a time, when its
-    deficit has grown to them; queues begin with deficits spread over that
-    range, so they don't all pay in one window.
+    A queue whose quantum is under ``least`` spends that many tokens at a time,
+    when its deficit has grown to them; queues begin with deficits spread over
+    that range, so they don't all pay in one window.
     """
 
     def __init__(self, tokens: list[int], shares: list[float], length: int) -> None:
@@ -164,8 +164,9 @@ class Schedule:
         self.times = np.concatenate([[0.0], np.sort(self.own_ends)])
         self.served = np.minimum(self.tokens, self.share * self.times[:, None]).sum(1)
         self.served[-1] = self.tokens.sum()
-        small = self.share * length < LEAST
-        self.lump = np.where(small, LEAST, 1)
+        self.least = max(1, length // LEAST)
+        small = self.share * length < self.least
+        self.lump = np.where(small, self.least, 1)
         self.phase = np.where(small, np.arange(len(tokens)) * 0.6180339887498949 % 1, 0.5)
 
     def _spent(self, queue: np.ndarray, n: np.ndarray) -> np.ndarray:
