@@ -39,29 +39,35 @@ from lodestone.llm.vectors import added, integers, matrix
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Dimensions to a step of the search; vectors that it takes at a time.
-STEP, BATCH = 4, 2048
+STEP, BATCH = 6, 512
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entry and squared distance of each row of x (integers), ties to the lower entry."""
     n, d = x.shape
     order = np.argsort(-book.astype(np.float64).var(axis=0), kind="stable")
-    x, book = x[:, order], book[:, order]
-    head = slice(0, STEP)
-    so_far = ((x[:, None, head] - book[None, :, head]) ** 2).sum(axis=2)
-    guess = so_far.argmin(axis=1)
-    best = ((x - book[guess]) ** 2).sum(axis=1)
-    row, entry = np.nonzero(so_far <= best[:, None])
-    distance = so_far[row, entry]
-    for at in range(STEP, d, STEP):
-        distance = distance + ((x[row, at : at + STEP] - book[entry, at : at + STEP]) ** 2).sum(axis=1)
+    largest = max(int(np.abs(x).max(initial=0)), int(np.abs(book).max(initial=0)))
+    kind = np.int32 if d * (2 * largest) ** 2 < 1 << 31 else np.int64  # exact either way
+    columns, entries = (np.ascontiguousarray(v[:, order].T, kind) for v in (x, book))
+    so_far = np.zeros((n, len(book)), kind)
+    for j in range(min(STEP, d)):
+        off = columns[j][:, None] - entries[j]
+        so_far += off * off
+    best = ((columns - entries[:, so_far.argmin(axis=1)]) ** 2).sum(axis=0, dtype=kind)
+    at = np.flatnonzero(so_far <= best[:, None])
+    distance = so_far.ravel()[at]
+    row, entry = np.divmod(at, len(book))
+    for done in range(STEP, d, STEP):
+        for j in range(done, min(done + STEP, d)):
+            off = columns[j][row] - entries[j][entry]
+            distance = distance + off * off
         alive = distance <= best[row]
         row, entry, distance = row[alive], entry[alive], distance[alive]
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))[: len(row)]
     best = np.minimum.reduceat(distance, starts) if len(starts) else best  # of the complete distances, by row
     first = np.flatnonzero(distance == best[row])
     at = first[np.concatenate([[True], row[first[1:]] != row[first[:-1]]])[: len(first)]]  # entries ascend in a row
-    return entry[at], best
+    return entry[at], best.astype(np.int64)
 
 
 def _cuts(d: int) -> list[slice]:
