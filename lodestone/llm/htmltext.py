@@ -17,8 +17,11 @@ Text: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined by one newline. Scripts, styles, head
 metadata, templates, embedded frames and form controls never count as text.
 
+A page in which the trees find nothing (bare text, one list) gives the text that
+stands in no element or name of boilerplate and isn't mostly links.
+
 Edge cases: null and empty html gives empty text; text outside any element is
-a block of its own; unclosed elements end with their parent, those that never
+a block of its own; a block ends a drawing it stands in; unclosed elements end with their parent, those that never
 count as text too (an unclosed button, list of options or text field also at the
 next block); rows that repeat are each returned; an empty table gives an empty result; extra columns of the
 input are ignored.
@@ -45,6 +48,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 #: Elements for phrases or options only: a block ends them.
 FIELDS = frozenset("select textarea button datalist option optgroup".split())
+#: Start tags that end a drawing they stand in, unless it has a part open that may hold HTML.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = ("foreignobject", "desc", "title", "script", "style")
 SKIP = frozenset("script style title template noscript noembed svg iframe object canvas audio video select textarea button datalist option optgroup".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
@@ -166,6 +172,8 @@ class _Parser(HTMLParser):
         if self.skip and tag in BLOCKS and self.open[-1][0] in FIELDS:
             while self.open and self.open[-1][0] in FIELDS:
                 self._drop(len(self.open) - 1)
+        if self.skip and self.names["svg"] and tag in BREAKOUT and not any(self.names[x] for x in HOLDS_HTML):
+            self._drop(max(k for k, x in enumerate(self.open) if x[0] == "svg"))
         if tag == "option" and self.open and self.open[-1][0] == tag:  # implied end
             self._drop(len(self.open) - 1)
         if tag in SKIP or self.skip:
@@ -515,6 +523,19 @@ def model(pages: int = PAGES) -> Trees:
     return boost(features(made), np.concatenate(ys).astype(np.float64), np.concatenate(ws))
 
 
+#: Elements and names of boilerplate.
+_NOT_MAIN = ("nav", "header", "footer", "aside", "form")
+_NAMED = sum(1 << i for i, g in enumerate(GROUPS) if g != "main")
+
+
+def unmarked(page: Page) -> np.ndarray:
+    """Leaves of a page that stand in no element or name of boilerplate and aren't mostly links."""
+    bad = [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        bad[i] = bad[page.parent[i]] or page.tag[i] in _NOT_MAIN or bool(page.groups[i] & _NAMED)
+    return np.array([bool(t) and not b and 2 * k <= len(t) for t, b, k in zip(page.text, bad, page.link, strict=True)], bool)
+
+
 def main_texts(htmls: list[str | None], trees: Trees) -> list[str]:
     pages = [parse(h) for h in htmls]
     margins = trees.margin(features(pages))
@@ -523,6 +544,8 @@ def main_texts(htmls: list[str | None], trees: Trees) -> list[str]:
         n = len(p.tag)
         keep = decode(p, margins[at : at + n])
         at += n
+        if not any(t and k for t, k in zip(p.text, keep.tolist(), strict=True)):
+            keep = unmarked(p)
         out.append("\n".join(t for t, k in zip(p.text, keep.tolist(), strict=True) if k and t))
     return out
 
