@@ -19,9 +19,13 @@ tables count in full.
    document frequencies and with term frequencies alone; those of ``threshold``
    or more by either are linked. Once linked, a text needn't be compared with
    the rest of its group, so no group is expanded into pairs. A bucket of more
-   than CHUNK texts or CHUNK_WORDS words is dealt into chunks by hash first.
-   Then, where such a bucket still holds several components, the texts outside
-   its largest one are compared with all its other chunks.
+   than CHUNK texts or CHUNK_WORDS words is dealt into chunks by hash, and the
+   chunks compared. What its chunks keep apart meets again by rare elements: of
+   two texts that are alike each has a shared element among its rarest, so many
+   that the rest weighs less than ``threshold`` of it (a prefix filter, exact for
+   either weighting). Texts that a bucket holds only for a common passage share
+   none of these. In the group of an element the texts outside its largest
+   component are compared with all others, in chunks.
 4. Connected components of the links are the classes.
 
 Two texts of similarity 0.8, by either weighting, share a bucket with a
@@ -367,10 +371,60 @@ def _elements_of(docs: DataFrame, wanted: DataFrame, idf: object) -> DataFrame:
     return rows.select("doc", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc long, els binary, weights binary")
 
 
+def rarest(els: np.ndarray, weights: np.ndarray | None, df: np.ndarray, threshold: float) -> np.ndarray:
+    """A text's rarest elements, of which any text that is alike by either weighting shares one."""
+    order = np.lexsort((els, df[(els & np.uint64(TABLE - 1)).astype(np.int64)]))
+    n = int(len(els) * (1 - threshold) + 1e-9) + 1
+    if weights is not None:
+        w = weights[order].astype(np.float64)
+        left = w.sum() - np.cumsum(w) + w  # of an element and those after it
+        n = max(n, int((left >= threshold * w.sum() - 1e-6).sum()))
+    return els[order[:n]]
+
+
+def _rare_elements(els: DataFrame, df: object, threshold: float) -> DataFrame:
+    """doc, key (element), words (elements of the text) of the rarest elements of texts (doc, els, weights)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [np.frombuffer(x, "<u8") for x in b.column("els").to_pylist()]
+                own = [rarest(x, None if w is None else np.frombuffer(w, "<f4"), df.value, threshold) for x, w in zip(sets, b.column("weights").to_pylist(), strict=True)]
+                n, words = [len(x) for x in own], np.array([len(x) for x in sets], np.int64)
+                keys = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc").to_numpy(), n)), pa.array(keys), pa.array(np.repeat(words, n))], ["doc", "key", "words"])
+
+    return els.where("length(els) > 0").select("doc", "els", "weights").mapInArrow(run, "doc long, key long, words long")
+
+
+def _second_look(members: DataFrame, labels: DataFrame, els: DataFrame, df: object, threshold: float, chunk: int) -> DataFrame | None:
+    """group, doc, label of the texts of large buckets that rare elements bring together again; None where no bucket is large."""
+    crowded = written(members.where("chunks > 1").select("doc").distinct().join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc")))
+    if not crowded.limit(1).count():
+        return None
+    rare = written(_rare_elements(els.join(crowded.select("doc"), "doc", "left_semi"), df, threshold).join(crowded, "doc"))
+    met = rare.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("all2"))
+    met = met.where("lo <> hi").groupBy("n", "words", "all", "all2").agg(F.min("key").alias("key"))  # of those with the same texts one is enough
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / CHUNK_WORDS)).cast("long")
+    place = F.pmod(F.xxhash64("key", "doc"), F.col("chunks"))
+    groups = written(rare.join(met.select("key", chunks.alias("chunks")), "key").select("key", "doc", "label", "chunks", place.alias("chunk")))
+    parts = groups.groupBy("key", "label").agg(F.count("*").alias("n"))
+    major = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"))
+    minor = groups.join(major, "key").where("label <> major").select("key", "doc", "label", "chunks")
+    minors = minor.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
+    minor = minor.join(minors, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "key", "doc"), F.col("parts")))
+    left = groups.join(minors, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    right = minor.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    group = F.xxhash64("key", "chunk", "part").alias("group")
+    return left.select(group, "doc", "label").unionByName(right.select(group, "doc", "label"))
+
+
 def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: int) -> tuple[DataFrame, DataFrame]:
     """The rows (row, doc_id, same) and the classes of texts (same, class_id, kept: the number of the row that stands for the class)."""
     sc = docs.sparkSession.sparkContext
-    idf = sc.broadcast(ln_idf(slot_counts(docs), docs.count()))
+    counts = slot_counts(docs)
+    idf, df = sc.broadcast(ln_idf(counts, docs.count())), sc.broadcast(counts.astype(np.float32))  # TABLE numbers each
     sampled = written(_sampled(docs, idf, bands, rows))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     texts = written(sampled.groupBy("same").agg(least, F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()))
@@ -389,20 +443,9 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: in
     edges = written(_linked(first, threshold))
     labels = components(edges)
 
-    # large buckets: what is outside a bucket's largest component meets its other chunks
-    large = members.where("chunks > 1").join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc")).withColumn("chunk", place)
-    large = written(large)
-    if large.limit(1).count():
-        parts = large.groupBy("key", "label").agg(F.count("*").alias("n"))
-        major = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"))
-        minor = large.join(major, "key").where("label <> major").select("key", "doc", "label", "chunks")
-        minors = minor.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
-        minor = minor.join(minors, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "key", "doc"), F.col("parts")))
-        left = large.join(minors, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        right = minor.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        group = F.xxhash64("key", "chunk", "part").alias("group")
-        again = left.select(group, "doc", "label").unionByName(right.select(group, "doc", "label")).join(els, "doc")
-        edges = edges.unionByName(written(_linked(again, threshold)))
+    again = _second_look(members, labels, els, df, threshold, chunk)
+    if again is not None:
+        edges = edges.unionByName(written(_linked(again.join(els, "doc"), threshold)))
         labels = components(edges)
 
     labelled = texts.select("same", "rep", "least").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
