@@ -30,7 +30,7 @@ def decode_pids(records: DataFrame) -> DataFrame:
     """records with procs array<struct<pid, start>>: the running sums of the flattened (pid, start) deltas; empty for an empty or null list."""
     pairs = F.floor(F.coalesce(F.size("pidlist"), F.lit(0)) / 2).cast("int")
     at = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
-    sums = lambda k: running_sum(F.transform(at, lambda i: F.get("pidlist", i * 2 + k)))
+    sums = lambda k: running_sum(F.transform(at, lambda i: F.get("pidlist", i * 2 + k)), 1)
     return records.withColumn("procs", F.zip_with(sums(0), sums(1), lambda pid, start: F.struct(pid.alias("pid"), start.alias("start"))))
 
 

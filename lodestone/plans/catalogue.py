@@ -16,7 +16,7 @@ from lodestone.plans import forests, indexes
 from lodestone.plans.oracle import ORACLE_SQL
 from lodestone.schema import REFERENCE
 from lodestone.sources.facts import document_files, event_refs, indexing_commands, line_refs, numbered_events, page_paths, precompiled_headers, trace_records
-from lodestone.sources.store import shared_dir, table
+from lodestone.sources.store import materialise, shared_dir, table
 from lodestone.streaming import processes
 
 
@@ -482,30 +482,35 @@ def history_fold(s: SparkSession, d: str) -> DataFrame:
     return history.fold(_sessions(s, d))
 
 
+def _trace(s: SparkSession, d: str) -> DataFrame:
+    """Process records as a trace has them, in files: the expressions that make them from events are not planned again for each use."""
+    return materialise(trace_records(s, d))
+
+
 @query
 def trace_delta_decode(s: SparkSession, d: str) -> DataFrame:
-    return trace.decode_pids(trace_records(s, d)).select("line", F.posexplode("procs").alias("pos", "p")).select("line", F.col("pos").cast("bigint").alias("pos"), "p.pid", "p.start")
+    return trace.decode_pids(_trace(s, d)).select("line", F.posexplode("procs").alias("pos", "p")).select("line", F.col("pos").cast("bigint").alias("pos"), "p.pid", "p.start")
 
 
 @query
 def trace_delta_encode(s: SparkSession, d: str) -> DataFrame:
-    again = trace.decode_pids(trace_records(s, d)).select("line", F.posexplode(trace.encode_pids(F.col("procs"))).alias("pos", "delta"))
+    again = trace.decode_pids(_trace(s, d)).select("line", F.posexplode(trace.encode_pids(F.col("procs"))).alias("pos", "delta"))
     return again.select("line", F.col("pos").cast("bigint").alias("pos"), "delta")
 
 
 @query
 def trace_parent(s: SparkSession, d: str) -> DataFrame:
-    return trace.parents(trace_records(s, d))
+    return trace.parents(_trace(s, d))
 
 
 @query
 def trace_driver_child(s: SparkSession, d: str) -> DataFrame:
-    return trace.below_driver(trace_records(s, d))
+    return trace.below_driver(_trace(s, d))
 
 
 @query
 def trace_compile_steps(s: SparkSession, d: str) -> DataFrame:
-    return trace.compile_steps(trace_records(s, d))
+    return trace.compile_steps(_trace(s, d))
 
 
 @query
@@ -613,7 +618,7 @@ def volume_point_lookup(s: SparkSession, d: str) -> DataFrame:
 @query
 def command_split(s: SparkSession, d: str) -> DataFrame:
     """Command lines as the trace quotes them, and with double quotes, backslashes and blanks."""
-    records = trace_records(s, d).where("argv IS NOT NULL")
+    records = _trace(s, d).where("argv IS NOT NULL")
     k = F.size("pidlist")
     dressed = F.concat(F.lit('"'), F.regexp_replace(F.get("argv", F.lit(0)), "c", r"\\c"), F.lit(r'"  -DX=\"'), k, F.lit(r"""\" \ 'it'\''s' """), F.lit('""z'))
     rows = records.select("line", F.when(F.col("line") % 3 == 0, dressed).otherwise(trace.quote(F.col("argv"))).alias("command"))
@@ -709,7 +714,7 @@ def index_project(s: SparkSession, d: str) -> DataFrame:
 def trace_to_compile_db(s: SparkSession, d: str) -> DataFrame:
     """A trace file is read, its compile steps are written as a database, and that is read again."""
     base = f"{shared_dir(s)}/trace-{uuid.uuid4().hex}"
-    trace_records(s, d).orderBy("line").select("cwd", "pidlist", "argv").coalesce(1).write.option("ignoreNullFields", False).json(f"{base}/trace")
+    _trace(s, d).orderBy("line").select("cwd", "pidlist", "argv").coalesce(1).write.option("ignoreNullFields", False).json(f"{base}/trace")
     trace.write_compile_db(trace.compile_steps(trace.read_trace(s, f"{base}/trace")), f"{base}/db", many=50)
     db = trace.read_compile_db(s, f"{base}/db")
     return db.select("directory", "file", F.array_join(trace.split_command(F.col("command")), "|").alias("argv"))
@@ -719,7 +724,7 @@ def trace_to_compile_db(s: SparkSession, d: str) -> DataFrame:
 def trace_stream_parents(s: SparkSession, d: str) -> DataFrame:
     """The trace as a stream of files: parents and drivers above each record, from the state kept between them."""
     base = f"{shared_dir(s)}/processes-{uuid.uuid4().hex}"
-    records = trace_records(s, d)
+    records = _trace(s, d)
     records.write.parquet(f"{base}/in")
     with processes.map_state(s):
         stream = processes.ancestry_stream(s.readStream.schema(records.schema).parquet(f"{base}/in"))
