@@ -93,29 +93,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_featu
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     got = got.take(pa.array(order))
     lists = got.column("index").combine_chunks()
-    return fit_grades(got.column("toxic").to_numpy() > 0, lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), max_features)
+    toxic, sizes, index = got.column("toxic").to_numpy() > 0, lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
+    del got, lists
+    model = fit_grades(toxic, sizes, index, max_features)
+    del sizes, index
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def fit_grades(toxic: np.ndarray, sizes: np.ndarray, index: np.ndarray, max_features: int = 4096) -> OrdinalModel:
     """toxic: per row; index: the rows' features one after another, as many as sizes says."""
-    n, row = len(toxic), np.repeat(np.arange(len(toxic)), sizes)
+    n, row = len(toxic), np.repeat(np.arange(len(toxic), dtype=np.int32), sizes)
     n1 = int(toxic.sum())
     if not n1 or n1 == n:
         return OrdinalModel({}, [0.0] * GRADES)
-    df1 = np.bincount(index[toxic[row]], minlength=1 << BITS).astype(float)
-    df0 = np.bincount(index[~toxic[row]], minlength=1 << BITS).astype(float)
+    with_, without = (np.bincount(index[on[row]], minlength=1 << BITS) for on in (toxic, ~toxic))
+    often = np.flatnonzero(with_ + without >= 2)
+    df1, df0 = with_[often].astype(float), without[often].astype(float)
+    del with_, without
     odds = np.log((df1 + 0.5) / (n1 - df1 + 0.5)) - np.log((df0 + 0.5) / (n - n1 - df0 + 0.5))
-    error = np.sqrt(1 / (df1 + 0.5) + 1 / (df0 + 0.5))
-    z = np.where(df1 + df0 >= 2, odds / error, 0)
-    strong = np.argsort(-np.abs(z), kind="stable")[:max_features]
-    strong = strong[np.abs(z[strong]) > 1.5]
+    z = odds / np.sqrt(1 / (df1 + 0.5) + 1 / (df0 + 0.5))
+    top = np.argsort(-np.abs(z), kind="stable")[:max_features]
+    top = top[np.abs(z[top]) > 1.5]
+    strong, z, df1, df0 = often[top], z[top], df1[top], df0[top]
     if not len(strong):
         return OrdinalModel({}, [0.0] * GRADES)
     at = np.full(1 << BITS, -1, np.int32)
     at[strong] = np.arange(len(strong))
     keep = at[index] >= 0
     r, c = row[keep], at[index[keep]]
-    marker = (z[strong] > 3) & (df1[strong] >= 4 * df0[strong]) & (strong % 2 == 0)
+    marker = (z > 3) & (df1 >= 4 * df0) & (strong % 2 == 0)
     hits = np.bincount(r, weights=marker[c], minlength=n)
     grade = np.where(toxic, 1 + (hits > GRADE_CUTS[0]) + (hits > GRADE_CUTS[1]), 0)
 
@@ -124,7 +131,7 @@ def fit_grades(toxic: np.ndarray, sizes: np.ndarray, index: np.ndarray, max_feat
     params = np.concatenate([w, [theta0], gaps])
     m1, m2 = np.zeros_like(params), np.zeros_like(params)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    rare = 1 / np.sqrt(df1[strong] + df0[strong])
+    rare = 1 / np.sqrt(df1 + df0)
     for step in range(1, 301):
         w, theta = params[:k], params[k] + np.concatenate([[0], np.cumsum(np.exp(params[k + 1 :]))])
         s = np.bincount(r, weights=w[c], minlength=n)
