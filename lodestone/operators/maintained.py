@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.schema import DECLARATION, DEFINITION, LOCAL_TYPES, PATH_TYPE, REFERENCE
@@ -28,15 +28,11 @@ TYPES = "symbol string, symbol_type string, change bigint"
 BUCKETS = 64
 
 
-def _bucket(symbol: Column) -> Column:
-    return F.pmod(F.hash(symbol), F.lit(BUCKETS))
-
-
 class Definitions:
-    """The view below a root folder."""
+    """The view below a root folder, in buckets of symbols; their number stays as it was at the first batch."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -68,9 +64,9 @@ class Definitions:
             return False
         changes = changes.dropna(subset=[*REFERENCE, "sign"])
         own = uuid.uuid4().hex  # a try that broke off leaves rows that no marker names
-        facts = materialise(changes.groupBy(*REFERENCE).agg(F.sum("sign").cast("bigint").alias("change")).where("change <> 0").withColumn("bucket", _bucket(F.col("symbol"))))
-        types = changes.where("symbol_type IS NOT NULL").groupBy("symbol", "symbol_type").agg(F.sum("sign").cast("bigint").alias("change")).where("change <> 0").withColumn("bucket", _bucket(F.col("symbol")))
-        touched = [r["bucket"] for r in facts.select("bucket").distinct().collect()]  # BUCKETS at most
+        facts = materialise(changes.groupBy(*REFERENCE).agg(F.sum("sign").cast("bigint").alias("change")).where("change <> 0").withColumn("bucket", F.pmod(F.hash("symbol"), F.lit(self.buckets))))
+        types = changes.where("symbol_type IS NOT NULL").groupBy("symbol", "symbol_type").agg(F.sum("sign").cast("bigint").alias("change")).where("change <> 0").withColumn("bucket", F.pmod(F.hash("symbol"), F.lit(self.buckets)))
+        touched = [r["bucket"] for r in facts.select("bucket").distinct().collect()]  # as many as buckets at most
         before = self._log("facts", FACT, touched).join(facts.select(*REFERENCE), list(REFERENCE), "left_semi").groupBy(*REFERENCE).agg(F.sum("change").alias("had"))
         moved = materialise(facts.join(before, list(REFERENCE), "left").withColumn("had", F.coalesce("had", F.lit(0))).withColumn("has", F.col("had") + F.col("change")))
         gone = moved.where("has < 0").limit(1).collect()

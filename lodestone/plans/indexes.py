@@ -113,7 +113,7 @@ def _maintained(s: SparkSession, d: str) -> Definitions:
     """Three batches: two thirds of all facts come; the rest comes and every fifth goes; some of those come back, some others go; the second batch comes twice."""
     facts = event_refs(s, d).withColumn("m", F.col("line") * 7 + F.col("start_col") * 3 + F.col("end_col"))
     signed = lambda on, sign: facts.where(on).withColumn("sign", F.lit(sign))
-    view = Definitions(s, _folder(s, "definitions"))
+    view = Definitions(s, _folder(s, "definitions"), buckets=4)
     view.apply(signed("m % 3 <> 0", 1), 1)
     second = signed("m % 3 = 0", 1).unionByName(signed("m % 3 <> 0 AND m % 5 = 0", -1))
     view.apply(second, 2)
