@@ -712,9 +712,9 @@ def index_project(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def trace_to_compile_db(s: SparkSession, d: str) -> DataFrame:
-    """A trace file is read, its compile steps are written as a database, and that is read again."""
+    """A trace's files are read in order, its compile steps are written as a database, and that is read again."""
     base = f"{shared_dir(s)}/trace-{uuid.uuid4().hex}"
-    _trace(s, d).orderBy("line").select("cwd", "pidlist", "argv").coalesce(1).write.option("ignoreNullFields", False).json(f"{base}/trace")
+    _trace(s, d).orderBy("line").select("cwd", "pidlist", "argv").write.option("ignoreNullFields", False).json(f"{base}/trace")
     trace.write_compile_db(trace.compile_steps(trace.read_trace(s, f"{base}/trace")), f"{base}/db", many=50)
     db = trace.read_compile_db(s, f"{base}/db")
     return db.select("directory", "file", F.array_join(trace.split_command(F.col("command")), "|").alias("argv"))
