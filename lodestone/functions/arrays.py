@@ -20,7 +20,8 @@ def running(values: Column, start: Column, step: Callable[[Column, Column], Colu
     """For each value of an array the fold by step of those up to and including it; step must be associative, with start as neutral element.
 
     Sums of blocks of BLOCK values are folded first, those of blocks of blocks
-    before them, so no growing array is copied at each value.
+    before them, so no growing array is copied at each value. Arrays of up to
+    BLOCK values are folded as they are.
     """
     fold = lambda xs: F.aggregate(xs, start, step)
 
@@ -37,7 +38,7 @@ def running(values: Column, start: Column, step: Callable[[Column, Column], Colu
 
         return let(blocks, lambda s: let(level(s, k - 1), each))
 
-    return let(values, lambda xs: F.when(F.size(xs) > 0, level(xs, levels)).otherwise(F.slice(F.array(start), 1, 0)))
+    return let(values, lambda xs: F.when(F.size(xs) <= BLOCK, level(xs, 0)).when(F.size(xs) > 0, level(xs, levels)).otherwise(F.slice(F.array(start), 1, 0)))
 
 
 def running_sum(values: Column, levels: int = 2) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.arrays import running_sum
+from lodestone.functions.arrays import let, running_sum
 from lodestone.operators.dictionary import ranked
 from lodestone.operators.pointers import followed, looked_up
 from lodestone.schema import TRACE
@@ -35,9 +35,9 @@ def decode_pids(records: DataFrame) -> DataFrame:
 
 
 def encode_pids(procs: Column) -> Column:
-    """The flattened deltas of an array of (pid, start)."""
-    back = lambda p, i, f: p[f] - F.when(i > 0, F.get(procs, i - 1)[f]).otherwise(0)
-    return F.flatten(F.transform(procs, lambda p, i: F.array(back(p, i, "pid"), back(p, i, "start"))))
+    """The flattened deltas of an array of (pid, start), which is made once."""
+    back = lambda xs, p, i, f: p[f] - F.when(i > 0, F.get(xs, i - 1)[f]).otherwise(0)
+    return F.flatten(let(procs, lambda xs: F.transform(xs, lambda p, i: F.array(back(xs, p, i, "pid"), back(xs, p, i, "start")))))
 
 
 def basename(path: Column) -> Column:

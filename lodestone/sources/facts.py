@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import let
 from lodestone.operators.classify import EXPRESSION_RULES
 from lodestone.operators.trace import encode_pids
 from lodestone.sources.store import table
@@ -108,6 +109,14 @@ def _pick(values: list, at: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
 
 
+def _ancestry(at: int) -> Column:
+    """Processes above a build's record and its own, the highest first."""
+    chain = [at - (at % 6 == 5)]
+    while chain[0]:
+        chain.insert(0, (chain[0] - 1) // 2)
+    return F.array(*map(F.lit, chain)).cast("array<bigint>")
+
+
 def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Process records from events, a build of 20 each: trace, line, cwd, pidlist, argv.
 
@@ -117,16 +126,10 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = numbered_events(spark, sf_dir)
     i, u, k = F.col("id"), F.col("u"), F.col("k")
     build, at = F.floor(i / 20), i % 20
-    own = F.when(at % 6 == 5, at - 1).otherwise(at).cast("bigint")
-    up = lambda x: F.when(x > 0, F.floor((x - 1) / 2))
-    chain = [own]
-    for _ in range(4):
-        chain.append(up(chain[-1]))
-    known = F.transform(F.array_compact(F.array(*reversed(chain))), lambda p: F.struct((F.lit(1000) + (build * 20 + p) % 30000).cast("bigint").alias("pid"), (build * 100 + p * 3).cast("bigint").alias("start")))
+    known = F.transform(F.coalesce(F.get(F.array(*map(_ancestry, range(20))), at.cast("int")), F.array_compact(F.array(at))), lambda p: F.struct((F.lit(1000) + (build * 20 + p) % 30000).cast("bigint").alias("pid"), (build * 100 + p * 3).cast("bigint").alias("start")))
     between = F.array(F.struct((i % 1000 + 70000).cast("bigint").alias("pid"), (build * 100 + 1).cast("bigint").alias("start")))
-    n = F.size(known)
-    known = F.when(k % 4 == 0, F.concat(F.slice(known, F.lit(1), n - 1), between, F.slice(known, n, F.lit(1)))).otherwise(known)
-    procs = F.concat(F.array(F.struct(F.lit(1).cast("bigint").alias("pid"), F.lit(0).cast("bigint").alias("start"))), known)
+    mixed = lambda x: F.concat(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.when(k % 4 == 0, between).otherwise(F.slice(between, 1, 0)), F.slice(x, F.greatest(F.size(x), F.lit(1)), F.lit(1)))
+    procs = F.concat(F.array(F.struct(F.lit(1).cast("bigint").alias("pid"), F.lit(0).cast("bigint").alias("start"))), let(known, mixed))
     nothing = F.array().cast("array<string>")
     modes = F.when(k % 5 < 2, F.array(F.lit("-c"))).when(k % 5 == 2, F.array(F.lit("-S"))).when(k % 5 == 3, F.array(F.lit("-E"), F.lit("-c"))).otherwise(F.array(F.lit("-c"), F.lit("-E")))
     output = F.when(u % 4 == 0, F.array(F.lit("-o"), F.concat(F.lit("out/x"), k, F.lit(".o")))).when(u % 4 == 1, F.array(F.lit("-o"), F.concat(F.lit("y"), k, F.lit(".obj")))).when(u % 4 == 2, F.array(F.lit("-o"), F.lit("z"))).otherwise(nothing)
