@@ -41,8 +41,12 @@ class Ancestry(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         seen: dict[tuple, tuple | None] = {}
+        own: dict[tuple, tuple] = {}  # each process is written once a batch
+        first = not self.swept.exists()  # nothing is known yet, so nothing is asked for
 
         def look(process: tuple) -> tuple | None:
+            if first:
+                return seen.get(process)
             if process not in seen:
                 seen[process] = tuple(self.known.getValue(process)) if self.known.containsKey(process) else None
             return seen[process]
@@ -54,16 +58,19 @@ class Ancestry(StatefulProcessor):
             parent = hits[-1] if hits else None
             below = bool(parent and parent[1])
             if chain:
-                seen[chain[-1]] = (r["line"], bool(r["driver"]) or below)
-                self.known.updateValue(chain[-1], seen[chain[-1]])
+                seen[chain[-1]] = own[chain[-1]] = (r["line"], bool(r["driver"]) or below)
             newest = r["line"]
             yield Row(trace=key[0], line=r["line"], parent=parent[0] if parent else None, driver=r["driver"], below=below)
-        last = self.swept.get()[0] if self.swept.exists() else 0
+        for process, value in own.items():
+            self.known.updateValue(process, value)
+        last = 0 if first else self.swept.get()[0]
         if newest - last > self.horizon:  # twice the horizon is kept at most
             old = [k for k, v in self.known.iterator() if v[0] < newest - self.horizon]
             for k in old:
                 self.known.removeKey(tuple(k))
             self.swept.update((newest,))
+        elif first:
+            self.swept.update((0,))
 
     def close(self) -> None:
         pass
