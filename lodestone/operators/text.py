@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestone.functions.arrays import running_sum
 from lodestone.functions.regex import java_pattern, longest_pattern
 from lodestone.operators.sweep import top_runs
 from lodestone.sources.store import materialise
 
+#: Bytes of text that a batch holds at a time.
+PART = 1 << 20
+_WORD_BYTE = np.array([chr(c).isalnum() and c < 128 or c == 95 for c in range(256)])
 #: Bytes of a file to a stretch that offsets are looked up in.
 STRETCH = 4096
 
@@ -28,13 +32,32 @@ def line_array(content: Column) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """file, line (from 0), start, len, text of every line.
 
-    Starts are summed along each file's own array, so nothing is shuffled.
+    Files are cut and their starts summed in Arrow batches; nothing is shuffled.
     """
-    texts = files.select("file", line_array(F.col("content")).alias("t"))
-    ends = running_sum(F.transform("t", lambda x: F.octet_length(x) + 1))
-    rows = texts.select("file", F.posexplode(F.arrays_zip(F.col("t").alias("text"), ends.alias("end"))).alias("line", "x"))
-    n = F.octet_length("x.text").cast("bigint")
-    return rows.select("file", F.col("line").cast("bigint").alias("line"), (F.col("x.end") - n - 1).alias("start"), n.alias("len"), F.col("x.text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _parts(b, "content"):
+                cut = [x.removesuffix(b"\n").split(b"\n") if x else [] for x in part.column("content").to_pylist()]
+                of = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+                n = np.array([len(t) for x in cut for t in x], np.int64)
+                begins = np.cumsum(n + 1) - n - 1
+                firsts = np.flatnonzero(np.diff(of, prepend=-1))
+                count = np.diff(np.append(firsts, len(of)))
+                line = np.arange(len(of)) - np.repeat(firsts, count)
+                text = pa.array([t for x in cut for t in x], pa.binary()).view(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("file").take(pa.array(of)), pa.array(line, pa.int64()), pa.array(begins - np.repeat(begins[firsts], count), pa.int64()), pa.array(n), text], ["file", "line", "start", "len", "text"])
+
+    result = f"file {files.schema['file'].dataType.simpleString()}, line bigint, start bigint, len bigint, text string"
+    return files.select("file", F.col("content").cast("binary").alias("content")).mapInArrow(run, result)
+
+
+def _parts(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about PART bytes of a binary column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PART, prepend=-1)) if len(sizes) else []
+    for x, y in pairwise([*edges, b.num_rows]):
+        yield b.slice(int(x), int(y - x))
 
 
 def offset_to_line(files: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -83,9 +106,7 @@ def words_at(line_rows: DataFrame, places: DataFrame) -> DataFrame:
     tail = lambda x: F.regexp_extract(x.cast("string"), "[A-Za-z0-9_]*$", 0)
     head = lambda x: F.regexp_extract(x.cast("string"), "^[A-Za-z0-9_]*", 0)
     before, after = tail(F.substring(raw, F.lit(1), at)), head(F.substring(raw, at + 1, F.col("len").cast("int")))
-    chars = F.split("text", "")
-    ends = running_sum(F.transform(chars, lambda c: F.octet_length(c)))
-    one = F.get(F.filter(F.zip_with(chars, ends, lambda c, e: F.struct(c.alias("c"), e.alias("e"))), lambda x: x["e"] > at), F.lit(0))["c"]
+    one = F.substring(F.col("text"), F.length(F.substring(raw, F.lit(1), at + 1).cast("string")), F.lit(1))  # a character cut off at its end counts
     return hit.select("file", "line", "col", F.when(after != "", F.concat(before, after)).otherwise(one).alias("word"))
 
 
@@ -103,7 +124,7 @@ def matches(files: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = longest_pattern(pattern)
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, "content")):
             out: list[tuple] = []
             for file, text in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), strict=True):
                 spans = [m.span() for m in compiled.finditer(text)]
@@ -165,11 +186,24 @@ def range_text(content: Column, start: Column, end: Column) -> Column:
 
 def char_widths(line_rows: DataFrame) -> DataFrame:
     """file, line, col (byte), n (bytes), is_word of every character."""
-    own = line_rows.select("file", "line", F.filter(F.split("text", ""), lambda c: c != "").alias("cs"))
-    ends = running_sum(F.transform("cs", lambda c: F.octet_length(c)))
-    chars = own.select("file", "line", F.explode(F.zip_with("cs", ends, lambda c, e: F.struct(c.alias("c"), e.alias("e")))).alias("x"))
-    n = F.octet_length("x.c").cast("bigint")
-    return chars.select("file", "line", (F.col("x.e") - n).alias("col"), n.alias("n"), F.col("x.c").rlike("^[A-Za-z0-9_]$").alias("is_word"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _parts(b, "text"):
+                texts = [x or b"" for x in part.column("text").to_pylist()]
+                data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+                lead = (data & 0xC0) != 0x80
+                lead[edges[:-1][edges[:-1] < edges[1:]]] = True
+                at = np.flatnonzero(lead)
+                n = np.diff(np.append(at, len(data)))
+                first = np.searchsorted(at, edges)
+                col = at - np.repeat(edges[:-1], np.diff(first))
+                offsets = pa.array(first, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (col, n, _WORD_BYTE[data[at]])]
+                yield pa.RecordBatch.from_arrays([part.column("file"), part.column("line"), *lists], ["file", "line", "col", "n", "is_word"])
+
+    kinds = ", ".join(f"{c} {line_rows.schema[c].dataType.simpleString()}" for c in ("file", "line"))
+    own = line_rows.select("file", "line", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{kinds}, col array<bigint>, n array<bigint>, is_word array<boolean>")
+    return own.select("file", "line", F.explode(F.arrays_zip("col", "n", "is_word")).alias("x")).select("file", "line", "x.*")
 
 
 def backgrounds(spans: DataFrame) -> DataFrame:

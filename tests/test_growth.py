@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import running_sum
-from lodestone.operators import trace
-from lodestone.plans import catalogue
-from lodestone.sources import facts
+from lodestone.operators import syntax, text, trace
+from lodestone.plans import catalogue, indexes
+from lodestone.sources import facts, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,49 @@ def test_running_sums_of_short_and_long_arrays(spark):
     rows = spark.range(1).select(*(running_sum(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x)).alias(f"n{n}") for n in (1, 31, 32, 33, 1025))).collect()[0]
     for n in (1, 31, 32, 33, 1025):
         assert rows[f"n{n}"] == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
+def test_lines_words_and_widths_fold_no_arrays(spark):
+    """Starts and widths are summed in batches, not by folds over arrays; values as before."""
+    files = spark.createDataFrame([("a", "x\u00e9 \U0001f600y\n\n z"), ("b", ""), ("c", None), (None, "\n"), ("d", "w\n")], "file string, content string")
+    rows = text.lines(files)
+    got = sorted(map(tuple, rows.collect()), key=str)
+    assert got == sorted([("a", 0, 0, 9, "x\u00e9 \U0001f600y"), ("a", 1, 10, 0, ""), ("a", 2, 11, 2, " z"), (None, 0, 0, 0, ""), ("d", 0, 0, 1, "w")], key=str)
+    widths = text.char_widths(rows)
+    assert sorted(tuple(r)[2:] for r in widths.where("file = 'a' AND line = 0").collect()) == [(0, 1, True), (1, 2, False), (3, 1, False), (4, 4, False), (8, 1, True)]
+    places = spark.createDataFrame([("a", 0, c) for c in range(10)], "file string, line bigint, col bigint")
+    words = text.words_at(rows, places)
+    assert [r["word"] for r in words.orderBy("col").collect()] == ["x", "\u00e9", "\u00e9", " ", *["\U0001f600"] * 4, "y"]
+    for df in (rows, widths, words):
+        assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_hold_a_part_of_a_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000, None] * 3000 + ["y" * (3 * text.PART)])], ["content"])
+    parts = list(text._parts(batch, "content"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(p.num_rows for p in parts) <= 2 * text.PART // 1000 + 2 and len(parts) > 3
+    assert not list(text._parts(batch.slice(0, 0), "content"))
+
+
+def test_plain_text_is_no_sequence_of_tokens(monkeypatch):
+    taken = []
+
+    class Counted:
+        def match(self, data, at):
+            taken.append(at)
+            return token.match(data, at)
+
+    token = syntax._TOKEN
+    monkeypatch.setattr(syntax, "_TOKEN", Counted())
+    assert syntax.kinds(b"some plain words, without a mark.\n" * 500) == [(0, 17000, "default")]
+    assert len(taken) < 10
+
+
+def test_files_are_listed_by_spark(spark, monkeypatch):
+    """No pattern of paths: that is expanded on the driver, folder by folder."""
+    seen = []
+    monkeypatch.setattr(indexes, "text_files", lambda s, path: (seen.append(path), text_files(s, path))[1])
+    text_files = store.text_files
+    assert indexes.QUERIES["disk_files"](spark, SF).count() > 0
+    assert "*" not in seen[0]
