@@ -49,6 +49,17 @@ _TOKEN = re.compile(
 )
 
 
+def _words(words: frozenset) -> bytes:
+    """A pattern of the words, by first letter."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in first.items()).encode()
+
+
+#: Text of the default kind that may hold line feeds, taken at once: words but keywords, and marks that begin no token where no included name is awaited.
+_PLAIN = re.compile(rb"(?:[^A-Za-z_0-9.#'\"/]|(?!(?:" + _words(KEYWORDS) + rb")(?![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]*|\.(?![0-9])|/(?![/*]))+")
+
 #: States at the beginning of a piece: at the start of a line, within one, in a block comment, a line comment, quotations, an included name.
 FRESH, WITHIN, BLOCK_COMMENT, LINE_COMMENT, SINGLE, DOUBLE, ANGLED = range(7)
 STATES = 7
@@ -99,6 +110,12 @@ def read_piece(content: bytes, state: int = FRESH) -> tuple[list[tuple[int, int,
         add(0, at, "comment" if state in (BLOCK_COMMENT, LINE_COMMENT) else "quoted")
         fresh, left = state == LINE_COMMENT, state
     while at < len(content):
+        if not include and (m := _PLAIN.match(content, at)):
+            line = content.rfind(b"\n", at, m.end())
+            fresh = (line >= 0 or fresh) and not content[max(line + 1, at) : m.end()].strip(b" \t")
+            add(at, m.end(), "default")
+            at, left = m.end(), None
+            continue
         m = _TOKEN.match(content, at)
         what, text = m.lastgroup, m[0]
         if what == "angled" and not include or what == "directive" and not fresh:
