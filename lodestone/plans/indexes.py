@@ -205,8 +205,8 @@ def disk_files(s: SparkSession, d: str) -> DataFrame:
     """Whole texts of files in a folder, by the hashes of their normalised contents."""
     docs = table(s, d, "documents").where("text IS NOT NULL").select(F.floor(F.col("doc_id") / 10).alias("part"), "doc_id", F.replace("text", F.lit(". "), F.lit(".\r\n")).alias("value"))
     path = _folder(s, "files")
-    docs.repartition("part").sortWithinPartitions("part", "doc_id", "value").select("part", "value").write.partitionBy("part").text(path)
-    rows = text_files(s, f"{path}/*/*.txt").where("error IS NULL")
+    docs.repartition("part").sortWithinPartitions("part", "doc_id", "value").select("part", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part").text(path)  # tasks move their own files; the folder is new
+    rows = text_files(s, path).where("error IS NULL")
     return rows.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), F.octet_length("content").cast("bigint").alias("bytes"), F.md5("content").alias("content"))
 
 
