@@ -24,8 +24,10 @@ tables count in full.
    two texts that are alike each has a shared element among its rarest, so many
    that the rest weighs less than ``threshold`` of it (a prefix filter, exact for
    either weighting). Texts that a bucket holds only for a common passage share
-   none of these. In the group of an element the texts outside its largest
-   component are compared with all others, in chunks.
+   none of these. At the rarest element that two alike texts share, the lighter
+   one has 2 t / (1 + t) of its weight left (t: ``threshold``); it seeks, the
+   other needs not. In the group of an element those that seek, or those outside
+   its largest component if these are fewer, are compared with all, in chunks.
 4. Connected components of the links are the classes.
 
 Two texts of similarity 0.8, by either weighting, share a bucket with a
@@ -371,53 +373,71 @@ def _elements_of(docs: DataFrame, wanted: DataFrame, idf: object) -> DataFrame:
     return rows.select("doc", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc long, els binary, weights binary")
 
 
-def rarest(els: np.ndarray, weights: np.ndarray | None, df: np.ndarray, threshold: float) -> np.ndarray:
-    """A text's rarest elements, of which any text that is alike by either weighting shares one."""
+def prefixes(els: np.ndarray, weights: np.ndarray | None, df: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """A text's rarest elements, rarest first, and how many of them seek.
+
+    Of two texts that are alike, by either weighting, the rarest element that
+    both have is among these of either, and seeks in one of them (the lighter):
+    from it on, that one still has 2 t / (1 + t) of its weight, as both share so much.
+    """
     order = np.lexsort((els, df[(els & np.uint64(TABLE - 1)).astype(np.int64)]))
-    n = int(len(els) * (1 - threshold) + 1e-9) + 1
+    least = 2 * threshold / (1 + threshold)
+    n, seeks = (int(len(els) * (1 - x) + 1e-9) + 1 for x in (threshold, least))
     if weights is not None:
         w = weights[order].astype(np.float64)
         left = w.sum() - np.cumsum(w) + w  # of an element and those after it
-        n = max(n, int((left >= threshold * w.sum() - 1e-6).sum()))
-    return els[order[:n]]
+        n, seeks = (max(k, int((left >= x * w.sum() - 1e-6).sum())) for k, x in ((n, threshold), (seeks, least)))
+    return els[order[:n]], seeks
+
+
+def rarest(els: np.ndarray, weights: np.ndarray | None, df: np.ndarray, threshold: float) -> np.ndarray:
+    """A text's rarest elements, of which any text that is alike by either weighting shares one."""
+    return prefixes(els, weights, df, threshold)[0]
 
 
 def _rare_elements(els: DataFrame, df: object, threshold: float) -> DataFrame:
-    """doc, key (element), words (elements of the text) of the rarest elements of texts (doc, els, weights)."""
+    """doc, label, key (element), df (documents of its slot), words (elements of the text), seeks of the rarest elements of texts (doc, label, els, weights). By (df, key) elements are in the order of prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 sets = [np.frombuffer(x, "<u8") for x in b.column("els").to_pylist()]
-                own = [rarest(x, None if w is None else np.frombuffer(w, "<f4"), df.value, threshold) for x, w in zip(sets, b.column("weights").to_pylist(), strict=True)]
-                n, words = [len(x) for x in own], np.array([len(x) for x in sets], np.int64)
-                keys = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc").to_numpy(), n)), pa.array(keys), pa.array(np.repeat(words, n))], ["doc", "key", "words"])
+                own = [prefixes(x, None if w is None else np.frombuffer(w, "<f4"), df.value, threshold) for x, w in zip(sets, b.column("weights").to_pylist(), strict=True)]
+                n, words = [len(x) for x, _ in own], np.array([len(x) for x in sets], np.int64)
+                keys = np.concatenate([x for x, _ in own]) if own else np.zeros(0, np.uint64)
+                columns = [
+                    np.repeat(b.column("doc").to_numpy(), n), np.repeat(b.column("label").to_numpy(), n), (keys ^ np.uint64(1 << 63)).view(np.int64), df.value[(keys & np.uint64(TABLE - 1)).astype(np.int64)],
+                    np.repeat(words, n), np.concatenate([np.arange(len(x)) < k for x, k in own]) if own else np.zeros(0, bool),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "label", "key", "df", "words", "seeks"])
 
-    return els.where("length(els) > 0").select("doc", "els", "weights").mapInArrow(run, "doc long, key long, words long")
+    return els.where("length(els) > 0").select("doc", "label", "els", "weights").mapInArrow(run, "doc long, label long, key long, df float, words long, seeks boolean")
 
 
 def _second_look(members: DataFrame, labels: DataFrame, els: DataFrame, df: object, threshold: float, chunk: int) -> DataFrame | None:
-    """group, doc, label of the texts of large buckets that rare elements bring together again; None where no bucket is large."""
+    """doc, label, groups of the texts of large buckets that rare elements bring together again; None where no bucket is large."""
     crowded = written(members.where("chunks > 1").select("doc").distinct().join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc")))
     if not crowded.limit(1).count():
         return None
-    rare = written(_rare_elements(els.join(crowded.select("doc"), "doc", "left_semi"), df, threshold).join(crowded, "doc"))
-    met = rare.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("all2"))
-    met = met.where("lo <> hi").groupBy("n", "words", "all", "all2").agg(F.min("key").alias("key"))  # of those with the same texts one is enough
+    rare = written(_rare_elements(els.join(crowded, "doc"), df, threshold))
+    parts = rare.groupBy("key", "df", "label").agg(F.count("*").alias("own"), F.sum("words").alias("words"), F.count_if("seeks").alias("seekers"), F.bit_xor(F.xxhash64("doc")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("all2"))
+    met = parts.groupBy("key", "df").agg(
+        F.sum("own").alias("n"), F.sum("words").alias("words"), F.sum("seekers").alias("seekers"), F.count("*").alias("labels"), F.bit_xor("all").alias("all"), F.bit_xor("all2").alias("all2"), F.max_by("label", F.struct("own", "label")).alias("major"), F.max("own").alias("most"),
+    ).where("labels > 1 AND seekers > 0")
+    # of those with the same texts the rarest is enough: who seeks by a later one seeks by it
+    met = met.groupBy("n", "words", "all", "all2").agg(F.min(F.struct("df", "key", "seekers", "major", "most")).alias("x")).select("n", "words", "x.*")
+    # of two texts to compare one seeks and one is outside the largest component: the fewer of these meet all
+    few = F.least("seekers", F.col("n") - F.col("most"))
     chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") / CHUNK_WORDS)).cast("long")
-    place = F.pmod(F.xxhash64("key", "doc"), F.col("chunks"))
-    groups = written(rare.join(met.select("key", chunks.alias("chunks")), "key").select("key", "doc", "label", "chunks", place.alias("chunk")))
-    parts = groups.groupBy("key", "label").agg(F.count("*").alias("n"))
-    major = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"))
-    minor = groups.join(major, "key").where("label <> major").select("key", "doc", "label", "chunks")
-    minors = minor.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
-    minor = minor.join(minors, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "key", "doc"), F.col("parts")))
-    left = groups.join(minors, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    right = minor.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    group = F.xxhash64("key", "chunk", "part").alias("group")
-    return left.select(group, "doc", "label").unionByName(right.select(group, "doc", "label"))
+    met = met.select("key", "major", (F.col("seekers") <= F.col("n") - F.col("most")).alias("by_seekers"), chunks.alias("chunks"), F.ceil(few / chunk).cast("long").alias("parts"))
+    rows = spread_join(rare, met, ["key"], F.col("doc")).withColumn("few", F.when(F.col("by_seekers"), F.col("seeks")).otherwise(F.col("label") != F.col("major")))
+    place, part = F.pmod(F.xxhash64("key", "doc"), F.col("chunks")), F.pmod(F.xxhash64(F.lit(2), "key", "doc"), F.col("parts"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    group = lambda at, of: F.xxhash64("key", at, of)
+    all_ = F.transform(upto("parts"), lambda x: group(place, x))
+    sought = F.when(F.col("few"), F.transform(upto("chunks"), lambda x: group(x, part))).otherwise(F.array().cast("array<long>"))
+    return rows.groupBy("doc", "label").agg(F.flatten(F.collect_list(F.array_union(all_, sought))).alias("groups"))
 
 
 def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -445,7 +465,8 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: in
 
     again = _second_look(members, labels, els, df, threshold, chunk)
     if again is not None:
-        edges = edges.unionByName(written(_linked(again.join(els, "doc"), threshold)))
+        met = again.join(els, "doc").select(F.explode("groups").alias("group"), "doc", "label", "els", "weights")
+        edges = edges.unionByName(written(_linked(met, threshold)))
         labels = components(edges)
 
     labelled = texts.select("same", "rep", "least").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
