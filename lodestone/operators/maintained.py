@@ -77,17 +77,18 @@ class Definitions:
         turns = materialise(turns.where(F.col("kind").isin(DEFINITION, DECLARATION)))
         view = self._view(touched)
         is_def, come = F.col("kind") == DEFINITION, F.col("turn") == 1
+        first = lambda on: F.min(F.when(on, F.col("p")))
         step = turns.groupBy("symbol", "bucket").agg(
             F.sum(F.when(is_def, F.col("turn")).otherwise(0)).alias("defs"), F.sum(F.when(is_def, 0).otherwise(F.col("turn"))).alias("decls"),
-            F.min(F.when(is_def & come, F.col("p"))).alias("new_d"), F.min(F.when(~is_def & come, F.col("p"))).alias("new_c"),
+            first(is_def & come).alias("new_d"), first(~is_def & come).alias("new_c"), first(is_def & ~come).alias("gone_d"), first(~is_def & ~come).alias("gone_c"),
         )
-        old = step.join(view, "symbol", "left")
-        lost = turns.where("turn = -1").join(view.select("symbol", "d", "c"), "symbol").where("p <=> d OR p <=> c").select("symbol").distinct()
-        least = self._least(lost, facts, touched)
+        # no place that goes is before the least one, so the least that goes tells whether this is lost. Each step is written: a task then holds the sorts of one
+        old = materialise(step.join(view, "symbol", "left").withColumn("lost", F.coalesce(F.col("gone_d") == F.col("d"), F.lit(False)) | F.coalesce(F.col("gone_c") == F.col("c"), F.lit(False))).drop("gone_d", "gone_c"))
+        least = materialise(self._least(old.where("lost").select("symbol"), facts, touched))
         kept = lambda own, new: F.when(F.col(own).isNull(), F.col(new)).when(F.col(new).isNull(), F.col(own)).otherwise(F.least(own, new))
         merged = old.join(least, "symbol", "left").select(
             "symbol", (F.coalesce("n_def", F.lit(0)) + F.col("defs")).cast("bigint").alias("n_def"), (F.coalesce("n_decl", F.lit(0)) + F.col("decls")).cast("bigint").alias("n_decl"),
-            F.when(F.col("again"), F.col("least_d")).otherwise(kept("d", "new_d")).alias("d"), F.when(F.col("again"), F.col("least_c")).otherwise(kept("c", "new_c")).alias("c"), "bucket",
+            F.when(F.col("lost"), F.col("least_d")).otherwise(kept("d", "new_d")).alias("d"), F.when(F.col("lost"), F.col("least_c")).otherwise(kept("c", "new_c")).alias("c"), "bucket",
         )
         for what, rows in (("facts", facts), ("types", types), ("view", merged)):
             rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{what}/batch={batch}/try={own}")
@@ -104,12 +105,11 @@ class Definitions:
         return rows.groupBy(*REFERENCE).agg(F.sum("change").alias("n")).where("n > 0").select(*REFERENCE)
 
     def _least(self, symbols: DataFrame, facts: DataFrame, buckets: list[int]) -> DataFrame:
-        """symbol, least_d, least_c, again of the symbols whose least place went, from their facts."""
+        """symbol, least_d, least_c of the symbols whose least place went, from their facts; those without any have no row."""
         all_ = self._log("facts", FACT, buckets).select(*REFERENCE, "change").unionByName(facts.select(*REFERENCE, "change")).where(F.col("kind").isin(DEFINITION, DECLARATION))
         live = self._live(all_.join(symbols, "symbol", "left_semi"))
         place = F.struct("file", "line", "start_col", "end_col", "kind")
-        found = live.groupBy("symbol").agg(F.min(F.when(F.col("kind") == DEFINITION, place)).alias("least_d"), F.min(F.when(F.col("kind") == DECLARATION, place)).alias("least_c"))
-        return symbols.join(found, "symbol", "left").withColumn("again", F.lit(True))
+        return live.groupBy("symbol").agg(F.min(F.when(F.col("kind") == DEFINITION, place)).alias("least_d"), F.min(F.when(F.col("kind") == DECLARATION, place)).alias("least_c"))
 
     def single(self) -> DataFrame:
         """symbol, n_def, n_decl and the single definition or declaration, as xref.single_definition gives it for symbols with either."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import running_sum
 from lodestone.operators import syntax, text, trace
+from lodestone.operators.maintained import Definitions
 from lodestone.plans import catalogue, indexes
 from lodestone.sources import facts, store
 
@@ -96,3 +97,19 @@ def test_files_are_listed_by_spark(spark, monkeypatch):
     text_files = store.text_files
     assert indexes.QUERIES["disk_files"](spark, SF).count() > 0
     assert "*" not in seen[0]
+
+
+def test_maintained_steps_are_written(spark, monkeypatch):
+    """Which symbols lose their least place is told by one join that is written; a task doesn't hold the sorts of all steps."""
+    seen = []
+    least = Definitions._least
+    monkeypatch.setattr(Definitions, "_least", lambda self, symbols, *rest: seen.append(symbols._jdf.queryExecution().optimizedPlan().toString()) or least(self, symbols, *rest))
+    place = lambda line, sign: ("f", line, 1, 2, "s", "Definition", None, sign)
+    rows = lambda *x: spark.createDataFrame(x, "file string, line bigint, start_col bigint, end_col bigint, symbol string, kind string, symbol_type string, sign int")
+    view = Definitions(spark, f"{spark.conf.get('spark.checkpoint.dir')}/steps", buckets=2)
+    view.apply(rows(place(3, 1), place(5, 1)), 1)
+    view.apply(rows(place(3, -1)), 2)
+    assert [(r.n_def, r.line) for r in view.single().collect()] == [(1, 5)]
+    view.apply(rows(place(5, -1)), 3)
+    assert view.single().count() == 0
+    assert len(seen) == 3 and not any("Join" in x or "Aggregate" in x for x in seen)
