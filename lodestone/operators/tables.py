@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import dictionary
 from lodestone.schema import DICTIONARIES, LOCAL_TYPES, PATH_TYPE, REFERENCE, TABLES
 from lodestone.sources.keyed import Keyed, write_keyed
-from lodestone.sources.store import layout
+from lodestone.sources.store import layout, materialise
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -117,15 +117,22 @@ def global_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.where(~F.col("symbol_type").isin(*LOCAL_TYPES, PATH_TYPE)).select("symbol").distinct()
 
 
-def build_index(facts: DataFrame) -> CodeIndex:
-    """Encode facts (file, line, start_col, end_col, symbol, kind, symbol_type) into an index."""
-    refs = facts.select("file", "line", "start_col", "end_col", "symbol", "kind").distinct()
-    symbols = symbol_rows(facts)
+def build_index(facts: DataFrame, once: bool = False) -> CodeIndex:
+    """Encode facts (file, line, start_col, end_col, symbol, kind, symbol_type) into an index.
+
+    Distinct facts are written, for the dictionaries and tables made of them. once:
+    coded rows are written too, for indexes whose tables are all written; each is
+    read twice there, by the range partitioning.
+    """
+    refs = materialise(facts.select("file", "line", "start_col", "end_col", "symbol", "kind").distinct())
+    symbols = materialise(symbol_rows(facts))
     names = refs.select(F.col("file").alias("v")).unionByName(refs.select(F.col("symbol").alias("v"))).unionByName(symbols.select(F.col("symbol").alias("v")))
     index = CodeIndex({"Symbol": dictionary.encode(names, "v"), "SymbolType": dictionary.encode(symbols, "symbol_type"), "ReferenceType": dictionary.encode(refs, "kind")})
     ids = lambda name, key: index.dictionaries[name].select(F.col("id").alias(f"{key}_id"), F.col("value").alias(key))
     coded = refs.join(ids("Symbol", "file"), "file").join(ids("Symbol", "symbol"), "symbol").join(ids("ReferenceType", "kind"), "kind")
     typed = symbols.join(ids("Symbol", "symbol"), "symbol").join(ids("SymbolType", "symbol_type"), "symbol_type").withColumnRenamed("symbol_type_id", "type_id")
+    if once:
+        coded, typed = materialise(coded.select(*TABLES["Reference"])), materialise(typed.select(*TABLES["Symbol"]))
     sources = {"Reference": coded, "ReferenceIndex": coded, "Symbol": typed, "SymbolTypeIndex": typed, "GlobalSymbol": global_symbols(symbols).join(ids("Symbol", "symbol"), "symbol")}
     for name, columns in TABLES.items():
         index.add_table(name, sources[name].select(*columns))

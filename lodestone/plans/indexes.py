@@ -72,7 +72,7 @@ def written_lower_bounds(s: SparkSession, d: str) -> DataFrame:
 def written_symbol_references(s: SparkSession, d: str) -> DataFrame:
     """A built index is written; the references of one symbol per user are read from it through its dictionary."""
     path = _folder(s, "index")
-    tables.build_index(event_refs(s, d)).write(path)
+    tables.build_index(event_refs(s, d), once=True).write(path)
     wanted = table(s, d, "events").groupBy("user_id").agg(F.min(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
     return tables.written_references(s, path, wanted.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("::k"), F.col("k").cast("string")).alias("symbol")))
 
@@ -168,7 +168,7 @@ def disk_lines(s: SparkSession, d: str) -> DataFrame:
 def index_dump(s: SparkSession, d: str) -> DataFrame:
     """The written Reference table as JSON, with values for ids."""
     path = _folder(s, "index")
-    tables.build_index(event_refs(s, d)).write(path)
+    tables.build_index(event_refs(s, d), once=True).write(path)
     return merge.dump(tables.CodeIndex.read(s, path), "Reference")
 
 
@@ -176,7 +176,7 @@ def index_dump(s: SparkSession, d: str) -> DataFrame:
 def index_catalogue(s: SparkSession, d: str) -> DataFrame:
     """Tables and dictionaries of a written index, by name: rows, bytes of values, values in hash buckets."""
     path = _folder(s, "index")
-    tables.build_index(event_refs(s, d)).write(path)
+    tables.build_index(event_refs(s, d), once=True).write(path)
     index = tables.CodeIndex.read(s, path)
     out = None
     for name in index.table_names():

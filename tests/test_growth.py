@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import running_sum
-from lodestone.operators import syntax, text, trace
+from lodestone.operators import syntax, tables, text, trace
 from lodestone.operators.maintained import Definitions
 from lodestone.plans import catalogue, indexes
 from lodestone.sources import facts, store
@@ -113,3 +113,11 @@ def test_maintained_steps_are_written(spark, monkeypatch):
     view.apply(rows(place(5, -1)), 3)
     assert view.single().count() == 0
     assert len(seen) == 3 and not any("Join" in x or "Aggregate" in x for x in seen)
+
+
+def test_rows_of_a_written_index_are_coded_once(spark):
+    """Tables of the same rows don't repeat the joins with the dictionaries, nor does their range partitioning."""
+    index = tables.build_index(facts.event_refs(spark, SF), once=True)
+    plans = {n: index.table(n)._jdf.queryExecution().optimizedPlan().toString() for n in index.table_names()}
+    assert {n for n, p in plans.items() if "Join" in p or "Aggregate" in p} == {"GlobalSymbol"}
+    assert index.table("Reference").count() == index.table("ReferenceIndex").count() > 0
