@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.pointers import LEAST, followed, looked_up
+from lodestone.sources.store import materialise
 
 DECLARATIONS = (
     "decl bigint, parent bigint, class string, name string, typedef_name string, file string, offset bigint, canonical bigint, extern_c boolean, external boolean, defining boolean, "
@@ -78,8 +79,9 @@ def symbol_names(declarations: DataFrame, least: int = LEAST) -> DataFrame:
     it is missing; without a file nothing is put before.
     """
     c = F.col
+    declarations = materialise(declarations)  # read by several joins
     n = declarations.count()
-    rows = _segments(declarations, least)
+    rows = materialise(_segments(declarations, least))  # scopes and names
     scopes = rows.where("class <> 'linkage'").select("decl", "scope", "text", "asked")
     paths = followed(scopes, "decl", "scope", {"text": _joined, "asked": lambda near, far: near.bitwiseOR(F.coalesce(far, F.lit(0)))}, least)
     inner = rows.where("own IS NOT NULL AND class <> 'linkage'").drop("text", "asked")

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import running_sum
-from lodestone.operators import syntax, tables, text, trace
+from lodestone.operators import naming, syntax, tables, text, trace
 from lodestone.operators.maintained import Definitions
 from lodestone.plans import catalogue, indexes
 from lodestone.sources import facts, store
@@ -121,3 +121,12 @@ def test_rows_of_a_written_index_are_coded_once(spark):
     plans = {n: index.table(n)._jdf.queryExecution().optimizedPlan().toString() for n in index.table_names()}
     assert {n for n, p in plans.items() if "Join" in p or "Aggregate" in p} == {"GlobalSymbol"}
     assert index.table("Reference").count() == index.table("ReferenceIndex").count() > 0
+
+
+def test_segments_of_names_are_made_once(spark, monkeypatch):
+    """Scopes and names are drawn from written segments, not from the joins behind them anew."""
+    seen = []
+    followed = naming.followed
+    monkeypatch.setattr(naming, "followed", lambda rows, key, up, *rest: seen.append((up, rows._jdf.queryExecution().optimizedPlan().toString())) or followed(rows, key, up, *rest))
+    assert naming.symbol_names(facts.declaration_forest(spark, SF)).count() > 0
+    assert {up for up, _ in seen} == {"origin", "scope"} and not any("Join" in p or "get_json_object" in p for _, p in seen)
