@@ -9,7 +9,7 @@ from lodestone.operators.tables import global_symbols, symbol_rows
 from lodestone.schema import DECLARATION, DEFINITION, PATH_TYPE, REFERENCE
 from lodestone.sources.store import materialise
 
-#: Columns to a stretch of a line in point lookups.
+#: Columns to a stretch of a line in point lookups; a power of two, 64 at most.
 STRETCH = 32
 
 
@@ -87,15 +87,21 @@ def covers(start: Column, end: Column, at: Column) -> Column:
 def point_in_span(facts: DataFrame, points: DataFrame) -> DataFrame:
     """The innermost reference at each point (file, line, col): latest start, then earliest end, then symbol and kind order.
 
-    A span stands in each stretch of STRETCH columns that it touches, a point in
-    one; so a point meets the spans near it, not all of a long line. The best is
-    one aggregate per point; nothing is ranked or sorted.
+    A span stands in each stretch of STRETCH columns that it touches, the points
+    of a stretch are one mask of its columns; so a point meets the spans near it,
+    not all of a long line. Both are dealt by file, line and stretch, once: masks
+    are made and spans meet them there, and the best of each point is taken there.
+    Repeated references don't change a least one, so none are sought.
     """
-    stretch = lambda c: F.floor(c / STRETCH).cast("bigint")
-    refs = facts.select(*REFERENCE).distinct().where("end_col > start_col").withColumn("_s", F.explode(F.sequence(stretch(F.col("start_col")), stretch(F.col("end_col") - 1))))
-    hit = points.distinct().withColumn("_s", stretch(F.col("col"))).join(refs, ["file", "line", "_s"]).where(covers(F.col("start_col"), F.col("end_col"), F.col("col")))
-    best = F.min(F.struct((-F.col("start_col")).alias("later"), "end_col", "symbol", "kind")).alias("b")
-    return hit.groupBy("file", "line", "col").agg(best).select("file", "line", "col", (-F.col("b.later")).alias("start_col"), "b.end_col", "b.symbol", "b.kind")
+    c, bits = F.col, STRETCH.bit_length() - 1
+    stretch, at = lambda x: F.shiftright(x.cast("bigint"), bits), lambda x: F.pmod(x, F.lit(STRETCH)).cast("int")
+    masks = points.withColumn("_s", stretch(c("col"))).groupBy("file", "line", "_s").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at(c("col")))).alias("_mask"))
+    refs = facts.select(*REFERENCE).where("end_col > start_col").withColumn("_s", F.explode(F.sequence(stretch(c("start_col")), stretch(c("end_col") - 1))))
+    first = F.shiftleft("_s", bits)
+    inside = F.sequence(F.greatest(c("start_col"), first), F.least(c("end_col") - 1, first + STRETCH - 1))
+    hit = masks.join(refs, ["file", "line", "_s"]).withColumn("col", F.explode(F.filter(inside, lambda x: F.call_function("getbit", c("_mask"), at(x)) == 1)))
+    best = F.min(F.struct((-c("start_col")).alias("later"), "end_col", "symbol", "kind")).alias("b")
+    return hit.groupBy("file", "line", "_s", "col").agg(best).select("file", "line", c("col").cast(points.schema["col"].dataType).alias("col"), (-c("b.later")).alias("start_col"), "b.end_col", "b.symbol", "b.kind")
 
 
 def symbols_at_span(facts: DataFrame, spans: DataFrame) -> DataFrame:

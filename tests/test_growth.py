@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import running_sum
-from lodestone.operators import naming, syntax, tables, text, trace
+from lodestone.operators import naming, syntax, tables, text, trace, xref
 from lodestone.operators.maintained import Definitions
 from lodestone.plans import catalogue, indexes
 from lodestone.sources import facts, store
@@ -130,3 +131,14 @@ def test_segments_of_names_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(naming, "followed", lambda rows, key, up, *rest: seen.append((up, rows._jdf.queryExecution().optimizedPlan().toString())) or followed(rows, key, up, *rest))
     assert naming.symbol_names(facts.declaration_forest(spark, SF)).count() > 0
     assert {up for up, _ in seen} == {"origin", "scope"} and not any("Join" in p or "get_json_object" in p for _, p in seen)
+
+
+def test_point_lookups_deal_points_and_spans_once(spark):
+    rng = random.Random(4)
+    spans = [(f"f{rng.randrange(2)}", 1, a := rng.randrange(-70, 140), a + rng.choice([0, 1, 2, 31, 32, 33, 100]), rng.choice("xyz"), rng.choice(["Read", "Called"])) for _ in range(150)]
+    points = [(f"f{rng.randrange(2)}", 1, rng.randrange(-100, 280)) for _ in range(250)]
+    refs = spark.createDataFrame([*spans, *spans[:40]], "file string, line long, start_col long, end_col long, symbol string, kind string").withColumn("symbol_type", F.lit("Class"))
+    got = xref.point_in_span(refs, spark.createDataFrame(points, "file string, line long, col int"))
+    best = {(f, n, c): min(((-a, e, s, k) for g, _, a, e, s, k in spans if g == f and a <= c < e), default=None) for f, n, c in points}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*p, -b[0], *b[1:]) for p, b in best.items() if b) and dict(got.dtypes)["col"] == "int"
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
