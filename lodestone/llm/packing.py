@@ -47,8 +47,11 @@ from lodestone.operators.dictionary import ranked
 END_ID = 2
 LENGTH = 4096
 QUEUES = 256
-#: Words that a task remembers; it starts anew beyond.
-MEMO = 800_000
+#: Words that came twice, as many as a task remembers of late and as many older ones; hash slots that tell a second time.
+MEMO = 200_000
+SLOTS = 1 << 22
+#: Rows whose texts and ids a task holds as Python objects at a time.
+HELD = 256
 #: Letters whose lower case and normal form are settled letter by letter, then ASCII signs (no apostrophe).
 _SIMPLE = re.compile("([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,;:!?&%$#*|<>\"()+=-]*)")
 
@@ -75,6 +78,8 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.spelling = byte_letters()
         self.runs: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.once = bytearray(SLOTS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -85,18 +90,25 @@ class WordIds(dict):
         return struct.pack("<%dH" % len(out := self.model.tokenize(spelled)), *[t.id for t in out])
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.made(word)
+            at = hash(word) % SLOTS
+            if not self.once[at]:
+                self.once[at] = 1
+                return ids
         if len(self) >= MEMO:
+            self.older, self.once = dict(self), bytearray(SLOTS)
             self.clear()
+        self[word] = ids
+        return ids
+
+    def made(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         m = _SIMPLE.fullmatch(text.lower())
         if m is None:
-            ids = self.whole(text)
-        elif m[2]:
-            ids = self[m[1].encode()] + self.signs(m[2])
-        else:
-            ids = self.letters(m[1])
-        self[word] = ids
-        return ids
+            return self.whole(text)
+        return self[m[1].encode()] + self.signs(m[2]) if m[2] else self.letters(m[1])
 
     def signs(self, run: str) -> bytes:
         if run not in self.runs:
@@ -135,7 +147,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, order: Column | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
-        for b in batches:
+        for b in (whole.slice(first, HELD) for whole in batches for first in range(0, whole.num_rows, HELD)):
             ids = [known.ids(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("source"), b.column("place"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "doc_id", "source", "place", "n_tokens", "ids"])
 
@@ -278,8 +290,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                b = whole.slice(first, 256)
+            for first in range(0, whole.num_rows, HELD):
+                b = whole.slice(first, HELD)
                 n, queue, at = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "queue", "at"))
                 doc, start, size, window, place = plan.pieces(queue, at, n)
                 ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype("<u4")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -41,6 +42,28 @@ def test_word_ids_equal_whole_encoding(text):
     assert known.ids(text) == known.whole(text.encode("utf-8", "replace").decode()) + b"\x02\x00"
 
 
+def test_words_that_come_once_are_not_kept(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 50)
+    known = packing.WordIds(packing.default_tokenizer())
+    once = " ".join(f"{a}{b}q" for a in "abcdefgh" for b in "ijklmnop")
+    known.ids(once)
+    assert len(known) <= 5
+    for text in (once, once, "the of, and. the " * 3 + once, once + " the of, and."):  # words turn old, come again and go
+        assert known.ids(text) == known.whole(text) + b"\x02\x00"
+        assert len(known) <= 50 and len(known.older) <= 50
+
+
+def test_packing_holds_few_texts_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    plain, steps = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda d, f, schema: steps.append(f) or plain(d, f, schema))
+    packing.tokenized(docs)
+    n = 3 * packing.HELD + 7
+    rows = pa.RecordBatch.from_pydict({"row": range(n), "doc_id": range(n), "source": ["s"] * n, "place": pa.nulls(n, pa.string()), "text": [f"some text {i}" for i in range(n)]})
+    got = list(steps[0](iter([rows])))
+    assert max(b.num_rows for b in got) == packing.HELD and [x for b in got for x in b.column("row").to_pylist()] == list(range(n))
+
+
 def test_more_blocks_than_a_draw_holds():
     blocks = {"a": 17_000_000_000, "b": 12_000_000_001, "c": 999_999_999, "d": 3, "e": 0}
     quotas = mixing.even_quotas(sum(blocks.values()), 64)
